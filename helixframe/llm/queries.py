@@ -7,7 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, exact_dedup, packing, simhash, warc
+import corpus_pipeline
+
+from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +21,22 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+    starts, base = F.transform("phrases", lambda p: p["start"]), F.array_distinct(F.transform("phrases", lambda p: p["label"]))
+    own = F.transform("spans", lambda s: s["label"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(base), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(base, own))), ",").alias("labels"),
+        F.greatest(F.when(F.size("phrases") > 0, 1.0).otherwise(0.0), F.coalesce(F.array_max(F.transform("spans", lambda s: s["covered"])), F.lit(0.0))).alias("score"),
+    )
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -37,11 +55,64 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id ROWS
 """
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (
+  SELECT item_id, least(len(ws), 13) AS m, unnest(range(0, greatest(len(ws) - 12, 1))) AS s, ws FROM b WHERE len(ws) > 0),
+w AS (SELECT DISTINCT item_id, m, list_slice(ws, s + 1, s + m) AS win FROM bw),
+dp AS (SELECT doc_id, ws, unnest(range(0, len(ws))) AS s FROM d),
+h AS (
+  SELECT p.doc_id, p.s, w.m, w.item_id
+  FROM (SELECT doc_id, s, m, list_slice(ws, s + 1, s + m) AS win, len(ws) AS n FROM dp CROSS JOIN (SELECT DISTINCT m FROM w)) p
+  JOIN w ON p.m = w.m AND p.win = w.win WHERE p.s + p.m <= p.n),
+hit AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + m)) AS x FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM h) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+w AS (
+  SELECT doc_id, s, list_slice(ws, s + 1, s + 13) AS win FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 12)) AS s FROM d WHERE len(ws) >= 13)),
+f AS (SELECT doc_id, s FROM (SELECT doc_id, s, min(doc_id) OVER (PARTITION BY win) AS least FROM w) WHERE least < doc_id),
+r AS (SELECT DISTINCT doc_id, unnest(range(s, s + 13)) AS x FROM f),
+k AS (
+  SELECT p.doc_id, string_agg(p.w, ' ' ORDER BY p.x) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS x FROM d) p
+  LEFT JOIN r ON r.doc_id = p.doc_id AND r.x = p.x WHERE r.x IS NULL GROUP BY p.doc_id),
+n AS (SELECT doc_id, count(*) AS n_removed FROM r GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    return found.select("doc_id", F.col("in_held_out").alias("held_out"), F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score"), F.col("lang_id.rejected").alias("rejected"))
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{common.checkpoint_root(spark)}/helix-warc-{uuid.uuid4().hex}"
@@ -70,6 +141,11 @@ FROM d
 """
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
@@ -105,14 +181,22 @@ FROM f GROUP BY conv_id
 
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_license_scans": op2_license_scans,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
+    "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {
     "op3_exact_dedup": OP3_SQL,
+    "op4_benchmark_decontamination": OP4_SQL,
+    "op5_substring_dedup": OP5_SQL,
     "op8_warc": OP8_SQL,
     "op10_chat_formatting": OP10_SQL,
 }
