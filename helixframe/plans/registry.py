@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .fixtures import duckdb_sql
+
 FLAGSHIP = "e03_skipped_exons"
+MODULES = ("annotation", "alignments", "events", "variants")
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None):
+    """Registers a query; ``sql`` may read the fixture views and ``ctes``."""
+
+    def add(f):
+        _QUERIES[name] = f
+        if sql is not None:
+            _SQL[name] = duckdb_sql(sql, ctes)
+        return f
+
+    return add
+
+
+def _load() -> None:
+    for m in MODULES:
+        importlib.import_module(f".queries_{m}", __package__)
 
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
 
 
-def oracle_sql():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
