@@ -1 +1,265 @@
-"""Queries."""
+"""Queries of splicing events."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import annotation as A
+from ..operators import events as E
+from ..operators import quantify as N
+from .fixtures import view
+from .queries_annotation import UTR, exon_rows, occ, utr_blocks
+from .registry import query
+
+LX = {"lx": "SELECT DISTINCT gene_id AS locus, chrom, strand, start0, end1 FROM fx_exon_occ", "jx": "SELECT gene_id AS locus, chrom, strand, start0, end1, next_start0, next_end1 FROM fx_jnx"}
+GROUPS = LX | {
+    "mk": "SELECT locus, start0 AS pos, 1 AS kind FROM lx UNION SELECT locus, end1, 0 FROM lx",
+    "ch": "SELECT *, CASE WHEN coalesce(lag(kind) OVER (PARTITION BY locus ORDER BY pos, kind), -1) <> kind THEN 1 ELSE 0 END AS nw FROM mk",
+    "nm": "SELECT *, CAST(sum(CASE WHEN kind = 1 THEN nw ELSE 0 END) OVER w AS BIGINT) AS lg, CAST(sum(CASE WHEN kind = 0 THEN nw ELSE 0 END) OVER w AS BIGINT) AS rg FROM ch WINDOW w AS (PARTITION BY locus ORDER BY pos, kind)",
+    "gr": "SELECT lx.*, a.lg AS left_group, b.rg AS right_group FROM lx JOIN nm a ON a.locus = lx.locus AND a.kind = 1 AND a.pos = start0 JOIN nm b ON b.locus = lx.locus AND b.kind = 0 AND b.pos = end1",
+}
+PATHS = GROUPS | {
+    "p1": "SELECT locus, chrom, strand, start0 AS s1, end1 AS e1, next_start0 AS s2, next_end1 AS e2 FROM jx",
+    "p2": "SELECT a.*, b.next_start0 AS s3, b.next_end1 AS e3 FROM p1 a JOIN jx b ON b.locus = a.locus AND b.start0 = a.s2 AND b.end1 = a.e2",
+    "g1": "SELECT p1.*, f.right_group AS src, l.left_group AS dst FROM p1 JOIN gr f ON f.locus = p1.locus AND f.start0 = s1 AND f.end1 = e1 JOIN gr l ON l.locus = p1.locus AND l.start0 = s2 AND l.end1 = e2",
+    "g2": "SELECT p2.*, f.right_group AS src, l.left_group AS dst FROM p2 JOIN gr f ON f.locus = p2.locus AND f.start0 = s1 AND f.end1 = e1 JOIN gr l ON l.locus = p2.locus AND l.start0 = s3 AND l.end1 = e3",
+    "se": "SELECT m.locus, m.chrom, m.strand, m.s1 AS a_start, m.e1 AS a_end, m.s2 AS c_start, m.e2 AS c_end, n.s1 AS na_start, n.e1 AS na_end, n.s2 AS b_start, n.e2 AS b_end, n.s3 AS nc_start, n.e3 AS nc_end FROM g1 m JOIN g2 n ON m.locus = n.locus AND m.src = n.src AND m.dst = n.dst AND m.s1 < n.e1 AND n.s1 < m.e1 AND m.s2 < n.e3 AND n.s3 < m.e2",
+}
+
+
+def locus_exon(s, d):
+    return occ(s, d).select(F.col("gene_id").alias("locus"), "chrom", "strand", "start0", "end1").distinct()
+
+
+def jnx(s, d):
+    return A.gene_junctions(occ(s, d)).withColumnRenamed("gene_id", "locus")
+
+
+def skipped(s, d):
+    return E.aep_events(E.splice_paths(jnx(s, d), 2), E.bound_groups(locus_exon(s, d)))
+
+
+@query("e01_bound_groups", "SELECT * FROM gr", GROUPS)
+def _(s, d):
+    return E.bound_groups(locus_exon(s, d)).select("locus", "chrom", "strand", "start0", "end1", "left_group", "right_group")
+
+
+@query("s25_locus_exon_bounds", "SELECT chrom, start0, end1, 'L' || left_group || '_R' || right_group AS name, 0 AS score, strand FROM gr", GROUPS)
+def _(s, d):
+    return A.locus_exon_bounds(E.bound_groups(locus_exon(s, d)))
+
+
+@query("e02_splice_paths", "SELECT locus, 1 AS steps, s1 AS first0, e2 AS last1 FROM p1 UNION ALL SELECT locus, 2, s1, e3 FROM (SELECT DISTINCT * FROM p2) UNION ALL SELECT a.locus, 3, s1, b.next_end1 FROM (SELECT DISTINCT * FROM p2) a JOIN jx b ON b.locus = a.locus AND b.start0 = a.s3 AND b.end1 = a.e3", PATHS)
+def _(s, d):
+    p = E.splice_paths(jnx(s, d), 3)
+    return p.select("locus", "steps", F.element_at("exons", 1)["start0"].alias("first0"), F.element_at("exons", -1)["end1"].alias("last1"))
+
+
+@query("e03_skipped_exons", "SELECT DISTINCT * FROM se", PATHS)
+def _(s, d):
+    at = lambda c, i, k: F.element_at(c, i)[k]
+    return skipped(s, d).select(
+        "locus", "chrom", "strand", at("exc", 1, "start0").alias("a_start"), at("exc", 1, "end1").alias("a_end"), at("exc", 2, "start0").alias("c_start"), at("exc", 2, "end1").alias("c_end"),
+        at("inc", 1, "start0").alias("na_start"), at("inc", 1, "end1").alias("na_end"), at("inc", 2, "start0").alias("b_start"), at("inc", 2, "end1").alias("b_end"), at("inc", 3, "start0").alias("nc_start"), at("inc", 3, "end1").alias("nc_end"),
+    )
+
+
+@query(
+    "e04_mutually_exclusive",
+    """SELECT DISTINCT locus, CASE WHEN sw THEN n_s2 ELSE m_s2 END AS exc_start, CASE WHEN sw THEN m_s2 ELSE n_s2 END AS inc_start, CASE WHEN sw THEN n_s1 ELSE m_s1 END AS exc_first, CASE WHEN sw THEN m_s1 ELSE n_s1 END AS inc_first, CASE WHEN sw THEN n_e3 ELSE m_e3 END AS exc_last, CASE WHEN sw THEN m_e3 ELSE n_e3 END AS inc_last,
+CASE WHEN sw THEN n_e1 ELSE m_e1 END AS exc_donor, CASE WHEN sw THEN m_e1 ELSE n_e1 END AS inc_donor, CASE WHEN sw THEN n_s3 ELSE m_s3 END AS exc_acceptor, CASE WHEN sw THEN m_s3 ELSE n_s3 END AS inc_acceptor, CASE WHEN sw THEN n_e2 ELSE m_e2 END AS exc_end, CASE WHEN sw THEN m_e2 ELSE n_e2 END AS inc_end FROM
+(SELECT m.locus, m.s1 AS m_s1, m.e1 AS m_e1, m.s2 AS m_s2, m.e2 AS m_e2, m.s3 AS m_s3, m.e3 AS m_e3, n.s1 AS n_s1, n.e1 AS n_e1, n.s2 AS n_s2, n.e2 AS n_e2, n.s3 AS n_s3, n.e3 AS n_e3, CASE WHEN m.strand = '-' THEN NOT (m.s2 < n.s2) ELSE m.s2 < n.s2 END AS sw
+FROM g2 m JOIN g2 n ON m.locus = n.locus AND m.src = n.src AND m.dst = n.dst AND m.s1 < n.e1 AND n.s1 < m.e1 AND m.s3 < n.e3 AND n.s3 < m.e3 AND NOT (m.s2 < n.e2 AND n.s2 < m.e2))""",
+    PATHS,
+)
+def _(s, d):
+    e = E.aep_events(E.splice_paths(jnx(s, d), 2), E.bound_groups(locus_exon(s, d)), (2, 2), (2, 2))
+    at = lambda c, i, k: F.element_at(c, i)[k]
+    cols = {"start": (2, "start0"), "first": (1, "start0"), "last": (3, "end1"), "donor": (1, "end1"), "acceptor": (3, "start0"), "end": (2, "end1")}
+    return e.select("locus", *(at(c, *v).alias(f"{c}_{k}") for k, v in cols.items() for c in ("exc", "inc")))
+
+
+A53 = PATHS | {
+    "sj": "SELECT g1.*, src AS rg, dst AS lg FROM g1",
+    "ss": """SELECT a.locus, a.chrom, CASE WHEN a.strand = '-' THEN 'A3SS' ELSE 'A5SS' END AS type, a.s2 AS common_start, a.e2 AS common_end, a.s1 AS short_start, a.e1 AS short_end, b.s1 AS long_start, b.e1 AS long_end FROM sj a JOIN sj b ON a.locus = b.locus AND a.rg = b.rg AND a.lg = b.lg AND a.s2 = b.s2 AND a.e2 = b.e2 AND a.e1 < b.e1 AND a.s1 < b.e1 AND b.s1 < a.e1
+UNION SELECT a.locus, a.chrom, CASE WHEN a.strand = '-' THEN 'A5SS' ELSE 'A3SS' END, a.s1, a.e1, a.s2, a.e2, b.s2, b.e2 FROM sj a JOIN sj b ON a.locus = b.locus AND a.rg = b.rg AND a.lg = b.lg AND a.s1 = b.s1 AND a.e1 = b.e1 AND a.s2 > b.s2 AND a.s2 < b.e2 AND b.s2 < a.e2""",
+}
+
+
+@query("e05_alternative_splice_sites", "SELECT * FROM ss", A53)
+def _(s, d):
+    e = E.a53ss_events(jnx(s, d), E.bound_groups(locus_exon(s, d)))
+    return e.select("locus", "chrom", "type", *(F.col(f"{c}.{k}").alias(f"{c}_{n}") for c in ("common", "short", "long") for k, n in (("start0", "start"), ("end1", "end"))))
+
+
+ATE = GROUPS | {
+    "rk": "SELECT gene_id AS locus, chrom, strand, tx_id, start0, end1, count(*) OVER (PARTITION BY tx_id) AS n, row_number() OVER w AS u, row_number() OVER (PARTITION BY tx_id ORDER BY start0 DESC, end1 DESC) AS dn, lead(start0) OVER w AS ns, lead(end1) OVER w AS ne, lag(start0) OVER w AS ps, lag(end1) OVER w AS pe FROM fx_exon_occ WINDOW w AS (PARTITION BY tx_id ORDER BY start0, end1)",
+    "lo": "SELECT DISTINCT rk.locus, rk.chrom, rk.strand, gr.left_group AS g, rk.start0 AS s, rk.end1 AS e FROM rk JOIN gr ON gr.locus = rk.locus AND gr.start0 = ns AND gr.end1 = ne WHERE n >= 2 AND u = 1",
+    "hi": "SELECT DISTINCT rk.locus, rk.chrom, rk.strand, gr.right_group AS g, rk.start0 AS s, rk.end1 AS e FROM rk JOIN gr ON gr.locus = rk.locus AND gr.start0 = ps AND gr.end1 = pe WHERE n >= 2 AND dn = 1",
+}
+
+
+@query("e06_terminal_exons", "SELECT a.locus, CASE WHEN a.strand = '-' THEN 'ALE' ELSE 'AFE' END AS type, b.s AS near_start, b.e AS near_end, a.s AS far_start, a.e AS far_end FROM lo a JOIN lo b ON a.locus = b.locus AND a.g = b.g AND a.e <= b.s UNION SELECT a.locus, CASE WHEN a.strand = '-' THEN 'AFE' ELSE 'ALE' END, a.s, a.e, b.s, b.e FROM hi a JOIN hi b ON a.locus = b.locus AND a.g = b.g AND a.e <= b.s", ATE)
+def _(s, d):
+    own = occ(s, d).withColumn("locus", F.col("gene_id"))
+    e = E.terminal_exon_events(own, E.bound_groups(locus_exon(s, d)))
+    return e.select("locus", "type", *(F.col(f"{c}.{k}").alias(f"{n}_{m}") for c, n in (("proximal", "near"), ("distal", "far")) for k, m in (("start0", "start"), ("end1", "end")))).distinct()
+
+
+RI = {
+    "lx": "SELECT DISTINCT locus, chrom, strand, start0, end1 FROM (SELECT gene_id AS locus, chrom, strand, start0, end1 FROM fx_exon_occ UNION ALL SELECT gene_id, chrom, strand, start0, next_end1 FROM fx_jnx WHERE (start0 + next_start0) % 7 = 0)",
+    "jx": LX["jx"],
+    "ri": "SELECT DISTINCT j.*, p.start0 AS p0, p.end1 AS p1 FROM jx j JOIN lx p ON p.locus = j.locus AND p.start0 < j.end1 AND p.end1 > j.next_start0",
+}
+
+
+def with_retained(s, d):
+    j = jnx(s, d)
+    long = j.filter((F.col("start0") + F.col("next_start0")) % 7 == 0).select("locus", "chrom", "strand", "start0", F.col("next_end1").alias("end1"))
+    return locus_exon(s, d).unionByName(long).distinct()
+
+
+@query("e07_retained_introns", "SELECT locus, start0, end1, next_start0, next_end1, p0, p1 FROM ri", RI)
+def _(s, d):
+    r = E.retained_introns(jnx(s, d), with_retained(s, d))
+    return r.select("locus", "a.start0", "a.end1", F.col("b.start0").alias("next_start0"), F.col("b.end1").alias("next_end1"), F.col("parent.start0").alias("p0"), F.col("parent.end1").alias("p1"))
+
+
+@query("e07_retained_introns_free", "SELECT locus, start0, end1, next_start0, next_end1, p0, p1 FROM ri WHERE NOT EXISTS (SELECT 1 FROM lx e WHERE e.locus = ri.locus AND e.start0 < ri.next_start0 AND e.end1 > ri.end1 AND NOT (e.start0 < ri.end1 AND e.end1 > ri.next_start0))", RI)
+def _(s, d):
+    r = E.retained_introns(jnx(s, d), with_retained(s, d), free=True)
+    return r.select("locus", "a.start0", "a.end1", F.col("b.start0").alias("next_start0"), F.col("b.end1").alias("next_end1"), F.col("parent.start0").alias("p0"), F.col("parent.end1").alias("p1"))
+
+
+@query("e07_retained_introns_unambiguous")
+def _(s, d):
+    r = E.retained_introns(jnx(s, d), with_retained(s, d), unambiguous=True)
+    return r.select("locus", "a.end1", F.col("b.start0").alias("next_start0"), F.size("kept").alias("n_kept"))
+
+
+UR = UTR | {
+    "ur": "SELECT *, row_number() OVER (PARTITION BY gene_id, run ORDER BY start0, end1) AS i, count(*) OVER (PARTITION BY gene_id, run) AS k FROM (SELECT *, sum(nw) OVER (PARTITION BY gene_id ORDER BY start0, end1) AS run FROM (SELECT *, CASE WHEN start0 <= max(end1) OVER (PARTITION BY gene_id ORDER BY start0, end1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS nw FROM ub))",
+}
+
+
+@query("e08_alt3utr", "SELECT gene_id, CAST(run AS BIGINT) AS run, CAST(x.x AS INT) AS core_blocks, CAST(y.y - x.x AS INT) AS ext_blocks, sum(end1 - start0) FILTER (i <= x.x)::BIGINT AS core_len, sum(end1 - start0) FILTER (i > x.x AND i <= y.y)::BIGINT AS ext_len FROM ur, (SELECT unnest(range(1, 60)) AS x) x, (SELECT unnest(range(2, 61)) AS y) y WHERE x.x < y.y AND y.y <= k AND k >= 2 GROUP BY gene_id, run, x.x, y.y", UR)
+def _(s, d):
+    runs = A.utr_runs(utr_blocks(s, d), 2).withColumn("strand", F.lit("+"))
+    e = E.alt3utr_events(runs)
+    size = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x["end1"] - x["start0"])
+    return e.select("gene_id", "run", F.size("core").alias("core_blocks"), F.size("extension").alias("ext_blocks"), size("core").alias("core_len"), size("extension").alias("ext_len"))
+
+
+def utr_counts(s, d):
+    from pyspark.sql import Window
+
+    runs = A.utr_runs(utr_blocks(s, d), 2)
+    idx = runs.withColumn("idx", F.row_number().over(Window.partitionBy("gene_id", "run").orderBy("start0", "end1")) - 1)
+    n = N.block_counts(view(s, d, "fx_read"), idx.select("chrom", "start0", "end1").distinct())
+    return idx.join(n, ["chrom", "start0", "end1"]).withColumn("n_positions", F.col("end1") - F.col("start0"))
+
+
+@query("e09_utr_isoforms")
+def _(s, d):
+    return E.utr_isoforms(utr_counts(s, d))
+
+
+@query("e12_bayes_psi")
+def _(s, d):
+    c = utr_counts(s, d)
+    first = c.filter("idx = 0").select("gene_id", "run", F.col("n_reads").alias("core_n"), F.col("n_positions").alias("core_len"))
+    return c.filter("idx = 1").join(first, ["gene_id", "run"]).select("gene_id", "run", E.bayes_psi(F.col("n_positions"), F.col("n_reads"), F.col("core_len"), F.col("core_n")).alias("psi"))
+
+
+@query("e13_naive_psi", "SELECT a.gene_id, a.run, CASE WHEN c.n > 0 THEN round((a.n / (a.end1 - a.start0)) / (c.n / (c.end1 - c.start0)), 9) END AS psi FROM rc a JOIN rc c ON a.gene_id = c.gene_id AND a.run = c.run WHERE a.i = 2 AND c.i = 1 AND a.k >= 2", UR | {"rc": "SELECT gene_id, CAST(run AS BIGINT) AS run, i, k, start0, end1, (SELECT count(*) FROM fx_read r WHERE r.chrom = ur.chrom AND r.pos0 >= start0 AND r.pos0 < end1) AS n FROM ur"})
+def _(s, d):
+    c = utr_counts(s, d)
+    first = c.filter("idx = 0").select("gene_id", "run", F.col("n_reads").alias("core_n"), F.col("n_positions").alias("core_len"))
+    return c.filter("idx = 1").join(first, ["gene_id", "run"]).select("gene_id", "run", F.round(E.naive_psi(F.col("n_positions"), F.col("n_reads"), F.col("core_len"), F.col("core_n")), 9).alias("psi"))
+
+
+QUANT = PATHS | {
+    "xc": "SELECT chrom, start0, end1, (SELECT count(*) FROM fx_read r WHERE r.chrom = fx_exon.chrom AND r.pos0 >= start0 AND r.pos0 < end1) AS n FROM fx_exon",
+    "jc": "SELECT DISTINCT locus, end1, next_start0, (end1 * 3 + next_start0) % 17 AS n FROM jx",
+    "sd": "SELECT DISTINCT * FROM se",
+}
+
+
+@query(
+    "e10_quantify",
+    """SELECT locus, a_end, b_start, b_end, c_start, na_start, na_end, nc_start, nc_end, a_start, c_end, ni AS inc_reads, ne AS exc_reads, ne + fl AS exc_plus, CASE WHEN ni + ne + fl > 0 THEN round(ni / (ni + ne + fl), 9) END AS ir, CASE WHEN ni / ip + ne / 32.0 > 0 THEN round((ni / ip) / (ni / ip + ne / 32.0), 9) END AS psi FROM
+(SELECT sd.*, b.n + j1.n + j2.n AS ni, j0.n AS ne, fa.n + fc.n AS fl, (b_end - b_start) + 64 AS ip FROM sd JOIN xc b ON b.chrom = sd.chrom AND b.start0 = b_start AND b.end1 = b_end JOIN jc j1 ON j1.locus = sd.locus AND j1.end1 = na_end AND j1.next_start0 = b_start JOIN jc j2 ON j2.locus = sd.locus AND j2.end1 = b_end AND j2.next_start0 = nc_start
+JOIN jc j0 ON j0.locus = sd.locus AND j0.end1 = a_end AND j0.next_start0 = c_start JOIN xc fa ON fa.chrom = sd.chrom AND fa.start0 = a_start AND fa.end1 = a_end JOIN xc fc ON fc.chrom = sd.chrom AND fc.start0 = c_start AND fc.end1 = c_end)""",
+    QUANT,
+)
+def _(s, d):
+    ev = skipped(s, d).withColumn("event_id", F.xxhash64("locus", "exc", "inc"))
+    lx, j = locus_exon(s, d), jnx(s, d)
+    xc = lx.join(_overlapping_counts(s, d), ["chrom", "start0", "end1"]).withColumn("n_positions", F.col("end1") - F.col("start0")).select("locus", "start0", "end1", "n_reads", "n_positions").distinct()
+    jc = j.select("locus", "end1", "next_start0").distinct().withColumns({"n_reads": (F.col("end1") * 3 + F.col("next_start0")) % 17, "n_positions": F.lit(32).cast("long")})
+    q = E.quantify(ev, xc, jc)
+    at = lambda c, i, k: F.element_at(c, i)[k]
+    return q.select(
+        "locus", at("exc", 1, "end1").alias("a_end"), at("inc", 2, "start0").alias("b_start"), at("inc", 2, "end1").alias("b_end"), at("exc", 2, "start0").alias("c_start"), at("inc", 1, "start0").alias("na_start"), at("inc", 1, "end1").alias("na_end"),
+        at("inc", 3, "start0").alias("nc_start"), at("inc", 3, "end1").alias("nc_end"), at("exc", 1, "start0").alias("a_start"), at("exc", 2, "end1").alias("c_end"), "inc_reads", "exc_reads", "exc_plus", F.round("ir", 9).alias("ir"), F.round("psi", 9).alias("psi"),
+    )
+
+
+def _overlapping_counts(s, d):
+    """Read starts in each distinct exon; exons may overlap, so a start can count for several."""
+    from ..operators import intervals as I
+
+    e = exon_rows(s, d).select("chrom", "start0", "end1")
+    held = I.point_join(N.read_starts(view(s, d, "fx_read")), e).groupBy("chrom", "start0", "end1").agg(F.sum("n").alias("n_reads"))
+    return e.join(held, ["chrom", "start0", "end1"], "left").withColumn("n_reads", F.coalesce("n_reads", F.lit(0)))
+
+
+@query("u07_drop_iso_bound", "SELECT locus, count(*) AS n FROM (SELECT DISTINCT locus, a_end, c_start, na_end, b_start, b_end, nc_start FROM se) GROUP BY locus", PATHS)
+def _(s, d):
+    return E.drop_iso_bound(skipped(s, d)).groupBy("locus").agg(F.count(F.lit(1)).alias("n"))
+
+
+KJ = {
+    "ld": "SELECT *, lead(start0) OVER w AS s2, lead(end1) OVER w AS e2, lead(start0, 2) OVER w AS s3, lead(end1, 2) OVER w AS e3 FROM fx_exon_occ WINDOW w AS (PARTITION BY tx_id ORDER BY start0, end1)",
+}
+
+
+@query("e14_known_junctions", "SELECT chrom, strand, greatest(start0, end1 - 32) AS left_start, end1 AS left_end, s2 AS right_start, s2 + 32 AS right_end, count(*) AS n_tx FROM ld WHERE s2 IS NOT NULL AND e2 - s2 >= 32 GROUP BY ALL", KJ)
+def _(s, d):
+    k = E.known_junctions(occ(s, d), 36, 4)
+    at = lambda i, c: F.element_at("blocks", i)[c]
+    return k.select("chrom", "strand", at(1, "start0").alias("left_start"), at(1, "end1").alias("left_end"), at(2, "start0").alias("right_start"), at(2, "end1").alias("right_end"), "n_tx")
+
+
+def tag_rows(s, d):
+    return E.known_junctions(occ(s, d), 36, 4).withColumn("tag_id", F.xxhash64("chrom", "strand", "blocks"))
+
+
+@query("e15_tag_blocks", "SELECT chrom, strand, left_end, right_start, CAST(0 AS BIGINT) AS block_start0, CAST(29 AS BIGINT) AS block_end1 FROM (SELECT DISTINCT chrom, strand, end1 AS left_end, s2 AS right_start FROM ld WHERE s2 IS NOT NULL)", KJ)
+def _(s, d):
+    t = tag_rows(s, d)
+    b = E.tag_blocks(t, 36, 4).groupBy("tag_id").agg(F.min("block_start0").alias("block_start0"), F.max("block_end1").alias("block_end1"))
+    return t.join(b, "tag_id").select("chrom", "strand", F.element_at("blocks", 1)["end1"].alias("left_end"), F.element_at("blocks", 2)["start0"].alias("right_start"), "block_start0", "block_end1")
+
+
+@query("e16_recombined_junctions", "SELECT a.locus, a.start0, a.end1, b.start0 AS next_start0, b.end1 AS next_end1 FROM lx a JOIN lx b ON a.locus = b.locus AND b.start0 - a.end1 >= 5", LX)
+def _(s, d):
+    return E.recombined_junctions(locus_exon(s, d)).select("locus", "start0", "end1", "next_start0", "next_end1")
+
+
+@query("e18_splice_graph_edges", "SELECT 'touch' AS kind, a.chrom, a.start0, a.end1, b.start0 AS next_start0, b.end1 AS next_end1 FROM bb a JOIN bb b ON a.chrom = b.chrom AND a.end1 = b.start0 UNION ALL SELECT 'junction', a.chrom, a.start0, a.end1, b.start0, b.end1 FROM (SELECT DISTINCT chrom, end1, next_start0 FROM fx_jnx) j JOIN bb a ON a.chrom = j.chrom AND a.end1 = j.end1 JOIN bb b ON b.chrom = j.chrom AND b.start0 = j.next_start0", {"bb": "SELECT chrom, start0, end1 FROM fx_gblock WHERE n_exons > 0"})
+def _(s, d):
+    return E.splice_graph_edges(A.gblocks(exon_rows(s, d)), jnx(s, d))
+
+
+@query("e19_same_locus", "SELECT chrom, left_locus, right_locus, end1, next_start0 FROM (SELECT chrom, gene_id AS left_locus, CASE WHEN start0 % 3 = 0 THEN gene_id + 1 ELSE gene_id END AS right_locus, end1, next_start0 FROM fx_jnx) WHERE left_locus = right_locus")
+def _(s, d):
+    j = A.gene_junctions(occ(s, d)).select("chrom", F.col("gene_id").alias("left_locus"), F.when(F.col("start0") % 3 == 0, F.col("gene_id") + 1).otherwise(F.col("gene_id")).alias("right_locus"), "end1", "next_start0")
+    return A.same_locus(j)
+
+
+@query("e20_shared_windows", "SELECT chrom, count(*) AS n_windows, CAST(sum(n_tags) AS BIGINT) AS n_total FROM (SELECT chrom, x, d, a, count(*) AS n_tags FROM (SELECT chrom, strand, end1 AS d, s2 AS a, unnest(range(1, 36)) AS x FROM (SELECT DISTINCT chrom, strand, end1, s2 FROM ld WHERE s2 IS NOT NULL)) WHERE x >= 4 AND x <= 32 GROUP BY ALL) GROUP BY chrom", KJ)
+def _(s, d):
+    t = E.known_junctions(occ(s, d), 36, 4).withColumn("tag_id", F.xxhash64("chrom", "strand", "blocks"))
+    w = E.shared_windows(t, 36)
+    return w.groupBy("chrom").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_tags").cast("long").alias("n_total"))
