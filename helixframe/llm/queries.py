@@ -116,7 +116,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.register(spark)
     path = f"{common.checkpoint_root(spark)}/helix-warc-{uuid.uuid4().hex}"
-    warc.page_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).save()
+    warc.page_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).option("compress", "true").save()
     back = spark.read.format("warc").option("verify", "true").option("payload", "false").load(path)
     return back.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
