@@ -1 +1,130 @@
-"""Queries."""
+"""Queries of consensus and variant operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import variants as V
+from .fixtures import view
+from .queries_alignments import with_bases
+from .registry import query
+
+PLAIN = {
+    "el": "SELECT rname AS chrom, pos0 + i AS pos0, ordinal, substr('ACGT', CAST((ordinal % 4 + i) % 4 + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, 36)) AS i FROM fx_aln WHERE cigar = '36M' AND flag & 1796 = 0)",
+}
+
+
+def elements(s, d):
+    return V.site_elements(with_bases(s, d).filter("cigar = '36M'"))
+
+
+@query("c03_first_base", "SELECT chrom, pos0, arg_min(base, ordinal) AS cons FROM el GROUP BY ALL", PLAIN)
+def _(s, d):
+    return V.cheap_consensus(elements(s, d), "first")
+
+
+CODES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.bases_of.__globals__["IUPAC"].items())
+
+
+@query("c03_union_bases", f"SELECT chrom, pos0, CASE string_agg(DISTINCT base, '' ORDER BY base) {CODES} END AS cons FROM el GROUP BY ALL", PLAIN)
+def _(s, d):
+    return V.cheap_consensus(elements(s, d), "union")
+
+
+@query("c06_indel_sites", "SELECT rname, pos0 FROM (SELECT rname, pos0 + CASE cigar WHEN '20M1D16M' THEN 19 ELSE 17 END AS pos0 FROM fx_aln WHERE flag & 1796 = 0 AND cigar IN ('20M1D16M', '18M2I16M')) GROUP BY ALL")
+def _(s, d):
+    from ..operators.alignments import pileup
+
+    return V.indel_sites(pileup(with_bases(s, d))).select("rname", "pos0")
+
+
+@query("c01_genotype_likelihoods")
+def _(s, d):
+    return V.genotype_likelihoods(elements(s, d))
+
+
+@query("c01_genotype_likelihoods_maq")
+def _(s, d):
+    return V.genotype_likelihoods(elements(s, d), model="maq")
+
+
+@query("c02_consensus")
+def _(s, d):
+    return V.consensus(V.genotype_likelihoods(elements(s, d)))
+
+
+CNS = {
+    "cn": """SELECT rname AS chrom, pos0 + 1 AS pos1, CASE WHEN ordinal % 6 = 0 THEN '*' ELSE substr('ACGT', CAST(ordinal % 4 + 1 AS INT), 1) END AS ref,
+CASE WHEN ordinal % 6 = 0 THEN CASE ordinal % 5 WHEN 0 THEN '*/-AC' WHEN 1 THEN '+T/+T' WHEN 2 THEN '-GG/-G' WHEN 3 THEN '*/*' ELSE '+A/*' END ELSE substr('ACGTMRWSYK', CAST(qsum % 10 + 1 AS INT), 1) END AS cons,
+mapq AS cons_q, mapq + 5 AS snp_q, mapq AS rms_mapq, CAST(qsum % 60 AS INT) AS depth, CASE WHEN ordinal % 6 = 0 THEN '+C' ELSE '*' END AS a1, '*' AS a2, 1 AS cnt1, 2 AS cnt2 FROM fx_aln""",
+}
+
+
+def calls(s, d):
+    o = F.col("ordinal")
+    pick = lambda text, k: F.substr(F.lit(text), (k + 1).cast("int"), F.lit(1))
+    gap, n = o % 6 == 0, o % 5
+    indel = F.when(n == 0, "*/-AC").when(n == 1, "+T/+T").when(n == 2, "-GG/-G").when(n == 3, "*/*").otherwise("+A/*")
+    return view(s, d, "fx_aln").select(
+        F.col("rname").alias("chrom"), (F.col("pos0") + 1).alias("pos1"), F.when(gap, "*").otherwise(pick("ACGT", o % 4)).alias("ref"), F.when(gap, indel).otherwise(pick("ACGTMRWSYK", F.col("qsum") % 10)).alias("cons"),
+        F.col("mapq").alias("cons_q"), (F.col("mapq") + 5).alias("snp_q"), F.col("mapq").alias("rms_mapq"), (F.col("qsum") % 60).cast("int").alias("depth"), F.when(gap, "+C").otherwise("*").alias("a1"), F.lit("*").alias("a2"), F.lit(1).alias("cnt1"), F.lit(2).alias("cnt2"),
+    )
+
+
+@query("c04_variants_only", "SELECT chrom, pos1, ref, cons FROM cn WHERE ref = '*' OR cons <> ref", CNS)
+def _(s, d):
+    return V.variants_only(calls(s, d)).select("chrom", "pos1", "ref", "cons")
+
+
+@query(
+    "c09_to_vcf",
+    """SELECT chrom AS "CHROM", pos1 AS "POS", ref AS "REF", CASE WHEN length(b) = 1 THEN b WHEN b[1] = ref THEN b[2] WHEN b[2] = ref THEN b[1] ELSE b[1] || ',' || b[2] END AS "ALT", snp_q AS "QUAL", 'DP=' || depth AS "INFO",
+CASE WHEN length(b) = 1 THEN '1/1' WHEN b[1] = ref OR b[2] = ref THEN '0/1' ELSE '1/2' END || ':' || cons_q || ':' || depth AS "SAMPLE" FROM (SELECT *, CASE cons WHEN 'M' THEN 'AC' WHEN 'R' THEN 'AG' WHEN 'W' THEN 'AT' WHEN 'S' THEN 'CG' WHEN 'Y' THEN 'CT' WHEN 'K' THEN 'GT' ELSE cons END AS b FROM cn WHERE ref <> '*' AND ref <> cons)
+UNION ALL SELECT chrom, pos1, 'N', CASE ordering WHEN 0 THEN 'D2' WHEN 1 THEN 'IT' WHEN 2 THEN 'D2,D1' WHEN 3 THEN 'IC' ELSE 'IA' END, snp_q, 'DP=' || depth, CASE ordering WHEN 1 THEN '1/1' WHEN 2 THEN '1/2' ELSE '0/1' END || ':' || cons_q || ':' || depth FROM (SELECT *, CASE cons WHEN '*/-AC' THEN 0 WHEN '+T/+T' THEN 1 WHEN '-GG/-G' THEN 2 WHEN '*/*' THEN 3 ELSE 4 END AS ordering FROM cn WHERE ref = '*')""",
+    CNS,
+)
+def _(s, d):
+    c = calls(s, d)
+    one = V.to_vcf(c, indels=False).unionByName(V.to_vcf(c.filter("ref = '*'")))
+    return one.select("CHROM", "POS", "REF", "ALT", "QUAL", "INFO", "SAMPLE")
+
+
+@query("w06_variant_filter")
+def _(s, d):
+    return V.variant_filter(calls(s, d)).select("chrom", "pos1", "ref", "cons", "reason")
+
+
+@query("c08_consensus_fastq")
+def _(s, d):
+    return V.consensus_fastq(calls(s, d))
+
+
+def reference(s, d):
+    return view(s, d, "fx_seq").select("contig", F.lit(0).alias("chunk"), "seq")
+
+
+@query("s11_fetch_sequence", "SELECT contig, b AS start0, b + 25 AS end1, substr(seq, CAST(b + 1 AS INT), 25) AS seq FROM (SELECT contig, seq, doc_id % 60 AS b FROM fx_seq)")
+def _(s, d):
+    from ..operators.sequences import fetch_sequence
+
+    v = view(s, d, "fx_seq")
+    return fetch_sequence(reference(s, d), v.select("contig", (F.col("doc_id") % 60).alias("start0"), (F.col("doc_id") % 60 + 25).alias("end1")))
+
+
+@query("j14_reference_base", "SELECT contig, b AS pos0, CASE WHEN b < length(seq) THEN substr(seq, CAST(b + 1 AS INT), 1) ELSE 'N' END AS ref FROM (SELECT contig, seq, doc_id % 450 AS b FROM fx_seq)")
+def _(s, d):
+    from ..operators.sequences import with_ref_base
+
+    v = view(s, d, "fx_seq")
+    return with_ref_base(v.select("contig", (F.col("doc_id") % 450).alias("pos0")), reference(s, d))
+
+
+def reads_on(s, d):
+    v = view(s, d, "fx_seq").filter("length(seq) >= 60")
+    flip = F.translate(F.substr("seq", F.lit(12), F.lit(1)), "ACGT", "CGTA")
+    return v.select("doc_id", F.concat(F.substr("seq", F.lit(2), F.lit(10)), flip, F.substr("seq", F.lit(13), F.lit(19))).alias("r"), "contig").select(F.col("doc_id").alias("ordinal"), F.col("contig").alias("rname"), F.lit(1).alias("pos0"), F.lit("30M").alias("cigar"), F.col("r").alias("seq"))
+
+
+@query("c07_recompute_md", "SELECT doc_id AS ordinal, CASE WHEN substr(seq, 12, 1) = 'N' THEN '30' ELSE '10' || substr(seq, 12, 1) || '19' END AS md, CAST(CASE WHEN substr(seq, 12, 1) = 'N' THEN 0 ELSE 1 END AS INT) AS nm FROM fx_seq WHERE length(seq) >= 60")
+def _(s, d):
+    return V.recompute_md(reads_on(s, d), reference(s, d)).select("ordinal", "md", "nm")
