@@ -302,3 +302,31 @@ def shared_windows(tags: DataFrame, read_length: int) -> DataFrame:
     win = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EXON).alias("w")), step, lambda a: a["w"])
     rows = at.select("tag_id", "chrom", win.alias("window")).filter(F.size("window") > 1)
     return rows.groupBy("chrom", "window").agg(F.countDistinct("tag_id").alias("n_tags"), F.min("tag_id").alias("tag_id"))
+
+
+def event_sequences(events: DataFrame, sequences: DataFrame, i5: int = 0, i3: int = 0) -> DataFrame:
+    """``events`` (event_id, chrom, strand, exc, inc) with the exon sequences of both paths, joined by ``|`` in transcript direction.
+
+    ``inc_up`` and ``inc_down`` are i5 and i3 intron bases before and after the inclusion path's second exon. All parts of
+    all events are fetched by one join.
+    """
+    from ..functions.sequence import reverse_complement
+    from .sequences import fetch_sequence
+
+    paths = F.array(F.struct(F.lit("exc").alias("side"), F.col("exc").alias("p")), F.struct(F.lit("inc").alias("side"), F.col("inc").alias("p")))
+    parts = events.select("event_id", "chrom", "strand", F.explode(paths).alias("s")).select("event_id", "chrom", "strand", "s.side", F.posexplode("s.p").alias("i", "x"))
+    mid = F.element_at("inc", 2)
+    around = lambda side, s, e: events.select("event_id", "chrom", "strand", F.lit(side).alias("side"), F.lit(0).alias("i"), F.struct(s.alias("start0"), e.alias("end1")).alias("x"))
+    minus = F.col("strand") == "-"
+    low = around("low", F.greatest(mid["start0"] - F.when(minus, i3).otherwise(i5), F.lit(0)), mid["start0"])
+    high = around("high", mid["end1"], mid["end1"] + F.when(minus, i5).otherwise(i3))
+    want = parts.unionByName(low).unionByName(high)
+    regions = want.select(F.col("chrom").alias("contig"), F.col("x.start0").alias("start0"), F.col("x.end1").alias("end1")).distinct()
+    got = fetch_sequence(sequences, regions).withColumnRenamed("contig", "chrom")
+    rows = want.withColumns({"start0": F.col("x.start0"), "end1": F.col("x.end1")}).join(got, ["chrom", "start0", "end1"])
+    rows = rows.withColumns({"seq": F.when(minus, reverse_complement(F.col("seq"))).otherwise(F.col("seq")), "k": F.when(minus, -F.col("i")).otherwise(F.col("i"))})
+    joined = rows.groupBy("event_id", "strand", "side").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "seq"))), lambda x: x["seq"]), "|").alias("seq"))
+    one = lambda side: F.max(F.when(F.col("side") == side, F.col("seq")))
+    g = joined.groupBy("event_id", "strand").agg(one("exc").alias("exc_seq"), one("inc").alias("inc_seq"), one("low").alias("low"), one("high").alias("high"))
+    named = g.select("event_id", "exc_seq", "inc_seq", F.when(minus, F.col("high")).otherwise(F.col("low")).alias("inc_up"), F.when(minus, F.col("low")).otherwise(F.col("high")).alias("inc_down"))
+    return events.join(named, "event_id")

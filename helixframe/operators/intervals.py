@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -105,3 +108,44 @@ def subtract(a: DataFrame, b: DataFrame, keys=None) -> DataFrame:
     held = own.join(cuts, [*keys, "start0", "end1"], "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<s:bigint,e:bigint>>")))
     parts = held.select(*keys, F.explode(F.aggregate("cuts", state, step, done)).alias("g"))
     return parts.select(*keys, F.col("g.s").alias("start0"), F.col("g.e").alias("end1")).distinct()
+
+
+def _collapse(rows: pd.DataFrame, seed: tuple[float, float], tiers: list[tuple[int, float, float]], passes: int) -> pd.DataFrame:
+    """Greedy islands of one cluster: elements go left to right, and those left over try again in the next pass."""
+    islands: list[list[float]] = []  # start, end, score, in order
+    waiting = list(rows.sort_values(["start0", "end1"])[["start0", "end1", "score"]].itertuples(index=False))
+    for _ in range(passes):
+        rest = []
+        for s, e, score in waiting:
+            dense = score / max(e - s, 1)
+            reach = max((d for d, least, thick in tiers if score >= least and dense >= thick), default=-1)
+            at = next((i for i, x in enumerate(islands) if x[0] > s), len(islands))
+            near = [i for i in (at - 1, at) if 0 <= i < len(islands) and max(s - islands[i][1], islands[i][0] - e) <= reach]
+            if near:
+                own = islands[near[0]]
+                parts = [(s, e, score), *(islands[i] for i in near[1:])]
+                own[0], own[1], own[2] = min(own[0], *(p[0] for p in parts)), max(own[1], *(p[1] for p in parts)), own[2] + sum(p[2] for p in parts)
+                for i in near[1:]:
+                    del islands[i]
+            elif score >= seed[0] and dense >= seed[1]:
+                islands.insert(at, [s, e, score])
+            else:
+                rest.append((s, e, score))
+        if len(rest) == len(waiting):
+            break
+        waiting = rest
+    return pd.DataFrame({"chrom": pd.Series([rows["chrom"].iloc[0]] * len(islands), dtype=object), "start0": [int(x[0]) for x in islands], "end1": [int(x[1]) for x in islands], "score": [float(x[2]) for x in islands]})
+
+
+def collapse_wig(scored: DataFrame, seed: tuple[float, float], tiers: list[tuple[int, float, float]], min_length: int = 0, passes: int = 2) -> DataFrame:
+    """Islands (chrom, start0, end1, score) of scored intervals.
+
+    An element of at least the ``seed`` score and score per base starts an island. One that meets a tier (distance, score,
+    score per base) of an island within that distance joins it, and joins two such islands to one. Further passes offer
+    elements that were left over again. Islands under ``min_length`` go. Elements farther apart than the widest tier never
+    meet, so each chromosome is cut there and a task holds one such cluster at a time.
+    """
+    wide = max(d for d, _, _ in tiers) if tiers else 0
+    known = number_islands(scored.select("chrom", "start0", "end1", "score"), ["chrom"], max_gap=wide, out="cluster")
+    out = known.groupBy("chrom", "cluster").applyInPandas(partial(_collapse, seed=seed, tiers=tiers, passes=passes), "chrom string, start0 long, end1 long, score double")
+    return out.filter(F.col("end1") - F.col("start0") >= min_length)

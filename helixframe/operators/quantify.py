@@ -132,7 +132,7 @@ def window_significance(reads: DataFrame, window: int, rate: float | None = None
     rows = rows.withColumns({"mu": mu, "folds": folds})
     upper = F.greatest(1 - cdf(n - 1), F.lit(0.0))
     if method == "alm":
-        p = 1 - F.exp(-F.col("folds") * F.greatest(n - F.col("mu"), F.lit(0.0)) * pmf(n))
+        p = F.when(n <= F.col("mu"), 1.0).otherwise(1 - F.exp(-F.col("folds") * (n - F.col("mu")) * pmf(n)))
     elif method == "approx33":
         p = F.least(F.lit(1.0), F.col("folds") * (F.greatest(n - F.col("mu"), F.lit(0.0)) * pmf(n) + 2 * upper))
     else:
