@@ -17,6 +17,8 @@ SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 600, 6000
 CLUSTERS, ROUNDS = 4, 12
 #: A document is rejected below this share of the cosine that all but one in a thousand fitted documents reach.
 MARGIN = 0.5
+#: Texts of fewer n-grams are measured by a cosine that shrinks with the root of their number, as short texts' cosines do.
+FULL_NGRAMS = 400
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 #: ASCII bytes that are no letters count as blanks.
@@ -32,9 +34,14 @@ def ngram_counts(text: str) -> np.ndarray:
     return np.bincount(two >> shift, minlength=DIMENSIONS) + np.bincount(three >> shift, minlength=DIMENSIONS)
 
 
+def expected(counts: np.ndarray) -> np.ndarray:
+    """The share of a long text's cosine that texts with these counts come to."""
+    return np.minimum(1.0, np.sqrt(counts.sum(axis=1, dtype=float) / FULL_NGRAMS))
+
+
 @dataclass
 class LanguageModel:
-    """languages: one name a centroid; centroids: unit rows; reject: a centroid's least cosine."""
+    """languages: one name a centroid; centroids: unit rows; reject: a centroid's least cosine for long texts."""
 
     languages: list[str]
     centroids: np.ndarray
@@ -50,9 +57,10 @@ class LanguageModel:
         known = [i for i, t in enumerate(texts) if t is not None and self.languages and _LETTER.search(t)]
         for at in range(0, len(known), 256):
             part = known[at : at + 256]
-            cosines = self.vectors(np.stack([ngram_counts(texts[i]) for i in part])) @ self.centroids.T
-            for i, k, row in zip(part, cosines.argmax(axis=1).tolist(), cosines, strict=True):
-                names[i], scores[i], rejected[i] = self.languages[k], float(min(1.0, max(0.0, row[k]))), bool(row[k] < self.reject[k])
+            counts = np.stack([ngram_counts(texts[i]) for i in part])
+            cosines = self.vectors(counts) @ self.centroids.T
+            for i, k, row, share in zip(part, cosines.argmax(axis=1).tolist(), cosines, expected(counts), strict=True):
+                names[i], scores[i], rejected[i] = self.languages[k], float(min(1.0, max(0.0, row[k]))), bool(row[k] < self.reject[k] * share)
         return names, scores, rejected
 
 
@@ -105,7 +113,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
         own = spherical_means(v, clusters)
         names += [lang] * len(own)
         centroids.append(own)
-        reject += [MARGIN * float(np.quantile((v @ own.T).max(axis=1), 0.001))] * len(own)
+        reject += [MARGIN * float(np.quantile((v @ own.T).max(axis=1) / expected(c), 0.001))] * len(own)
     return LanguageModel(names, np.concatenate(centroids), idf, np.array(reject))
 
 
@@ -131,7 +139,8 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with ``lang_id`` (struct<lang, score, rejected>) and ``in_held_out``, learned from the rows not held out.
 
-    Rows are kept as they are and in number; null ids are not held out. An empty table gives no rows.
+    Rows are kept as they are and in number, but columns of these two names are replaced; null ids are not held out. An
+    empty table gives no rows.
     """
     model = fit(docs.filter(~held_out(F.col(id_col), folds)), lang_col, text_col, id_col)
     return docs.withColumns({"lang_id": language_of(F.col(text_col), model), "in_held_out": held_out(F.col(id_col), folds)})

@@ -239,11 +239,12 @@ def test_rewrite_keeps_rows_and_columns(spark):
 
 def test_language_id_held_out_accuracy(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    extra = spark.createDataFrame([(10**6, None, None, "s", 0), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "12 + 34!", "en", "s", 0), (None, "the and of", None, "s", 0), (5, "x", "en", "s", 0)], df.schema)
+    extra = spark.createDataFrame([(10**6, None, None, "s", 0), (10**6 + 1, "", "en", "s", 0), (10**6 + 2, "12 + 34!", "en", "s", 0), (10**6 + 3, "Ωξψ ћђ ქართ " * 40, None, "s", 0), (None, "the and of", None, "s", 0), (5, "x", "en", "s", 0)], df.schema)
     got = langid.identify(df.unionByName(extra)).select("doc_id", "lang", "in_held_out", "lang_id.*").withColumnRenamed("lang", "lang").collect()
-    assert len(got) == df.count() + 5
+    assert len(got) == df.count() + 6
     odd = {r[0]: r for r in got if r[0] is None or r[0] >= 10**6}
     assert [odd[k][3] for k in (10**6, 10**6 + 1, 10**6 + 2)] == ["und"] * 3 and odd[None][3] == "en"
+    assert odd[10**6 + 3][5] and not odd[None][5]
     held = [r for r in got if r[2] and r[0] < 10**6]
     assert 100 < len(held) < 300
     assert sum(r[1] == r[3] for r in held) / len(held) > 0.97
