@@ -322,3 +322,51 @@ def consensus_fastq(cns: DataFrame, d: int = 3, D: int = 255, Q: int = 25, G: in
     full = chunks.join(held, ["chrom", "chunk"], "left").withColumn("at", F.sequence(F.col("chunk") * chunk + 1, F.least((F.col("chunk") + 1) * chunk, F.col("top").cast("long"))))
     pick = lambda k, none: F.array_join(F.transform("at", lambda p: F.coalesce(F.element_at("m", p)[k], F.lit(none))), "")
     return full.select("chrom", "chunk", pick("b", "n").alias("seq"), pick("q", "!").alias("qual"))
+
+
+def read_indels(aln: DataFrame, mask: int = L.DEFAULT_MASK) -> DataFrame:
+    """(chrom, pos0, ordinal, kind, mapq): insertions (+bases) and deletions (-length) after a read's base at pos0."""
+    parts = aligned_stretches(mask_reads(aln, mask).select("ordinal", "rname", "pos0", "cigar", "mapq", "seq")).drop("pos0")
+    w = Window.partitionBy("ordinal").orderBy("s0", "e1")
+    p = parts.withColumns({"n_s": F.lead("s0").over(w), "n_e": F.lead("e1").over(w), "n_q": F.lead("qpos").over(w), "n_k": F.lead("kind").over(w)})
+    used = F.col("qpos") + F.col("e1") - F.col("s0")
+    ins = F.when((F.col("n_s") == F.col("e1")) & (F.col("n_k") == "M") & (F.col("n_q") > used), F.concat(F.lit("+"), F.upper(F.substr("seq", (used + 1).cast("int"), (F.col("n_q") - used).cast("int")))))
+    gone = F.when(F.col("n_k") == "D", F.concat(F.lit("-"), F.col("n_e") - F.col("n_s")))
+    return p.filter("kind = 'M'").withColumn("indel", F.coalesce(ins, gone)).filter("indel is not null").select(F.col("rname").alias("chrom"), (F.col("e1") - 1).alias("pos0"), "ordinal", F.col("indel").alias("kind"), "mapq")
+
+
+def indel_calls(aln: DataFrame, sequences: DataFrame | None = None, q_indel: int = 40, r_indel: float = 0.00015, mask: int = L.DEFAULT_MASK) -> DataFrame:
+    """Indel rows of a consensus pileup: the best genotype of the two kinds that most reads show at each site with an indel.
+
+    A read speaks by its own alignment, with the lesser of its mapping quality and ``q_indel``; reads without an indel
+    there count as the reference. Kinds other than the reference pay the scaled prior ``r_indel``. cons_q is the distance
+    to the next genotype, snp_q that to the reference. Deletions are written with their bases where ``sequences`` are given.
+    """
+    found = read_indels(aln, mask)
+    sites = found.select(*SITE).distinct()
+    over = I.point_join(sites, aligned_stretches(mask_reads(aln, mask).select("ordinal", "rname", "pos0", "cigar", "mapq")).drop("pos0").filter("kind = 'M'").select(F.col("rname").alias("chrom"), "s0", "e1", "ordinal", "mapq"), "pos0", ("s0", "e1")).select(*SITE, "ordinal", "mapq")
+    each = over.join(found.select(*SITE, "ordinal", "kind"), [*SITE, "ordinal"], "left").withColumns({"kind": F.coalesce("kind", F.lit("*")), "w": F.least("mapq", F.lit(q_indel))})
+    kinds = each.groupBy(*SITE, "kind").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w"), F.sum(F.col("mapq") * F.col("mapq")).alias("sq"))
+    g = kinds.groupBy(*SITE).agg(F.sum("n").alias("depth"), F.sum("w").alias("all"), F.sum("sq").alias("sq"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "kind", "n", "w"))).alias("k"))
+    none = F.struct(F.lit(0).cast("long").alias("m"), F.lit("*").alias("kind"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("w"))
+    g = g.withColumns({"x": F.get("k", F.lit(0)), "y": F.coalesce(F.get("k", F.lit(1)), none), "n_ref": F.coalesce(F.get(F.filter("k", lambda t: t["kind"] == "*"), F.lit(0))["w"], F.lit(0))})
+    cost, half = -SCALE * math.log(r_indel), SCALE * math.log(2)
+    prior = lambda t: F.when(t["kind"] == "*", 0.0).otherwise(cost)
+    x, y = F.col("x"), F.col("y")
+    one, two = F.col("all") - x["w"] + prior(x), F.col("all") - y["w"] + prior(y)
+    both = F.col("all") - x["w"] - y["w"] + half * (x["n"] + y["n"]) + F.greatest(prior(x), prior(y))
+    ref = (F.col("all") - F.col("n_ref")).cast("double")
+    slash = lambda a, b: F.concat_ws("/", a, b)
+    ranked = F.array_sort(F.array(F.struct(one.alias("v"), slash(x["kind"], x["kind"]).alias("g")), F.struct(two.alias("v"), slash(y["kind"], y["kind"]).alias("g")), F.struct(both.alias("v"), slash(F.least(x["kind"], y["kind"]), F.greatest(x["kind"], y["kind"])).alias("g"))))
+    r = g.withColumn("r", ranked)
+    q = lambda c: F.least(F.greatest(F.floor(c + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    out = r.select("chrom", (F.col("pos0") + 1).alias("pos1"), F.lit("*").alias("ref"), F.get("r", F.lit(0))["g"].alias("cons"), q(F.get("r", F.lit(1))["v"] - F.get("r", F.lit(0))["v"]).alias("cons_q"), q(ref - F.get("r", F.lit(0))["v"]).alias("snp_q"), F.floor(F.sqrt(F.col("sq") / F.col("depth")) + 0.499).cast("int").alias("rms_mapq"), "depth", x["kind"].alias("a1"), y["kind"].alias("a2"), x["n"].alias("cnt1"), y["n"].alias("cnt2"), (F.col("depth") - x["n"] - y["n"]).alias("cnt_other"))
+    if sequences is None:
+        return out
+    size = lambda c: F.coalesce(F.regexp_extract(c, r"-(\d+)", 1).try_cast("int"), F.lit(0))
+    spans = out.withColumns({"contig": F.col("chrom"), "start0": F.col("pos1"), "end1": F.col("pos1") + F.greatest(size("a1"), size("a2"))})
+    got = fetch_sequence(sequences, spans)
+    written = lambda k: F.when(F.col(k).startswith("-"), F.concat(F.lit("-"), F.substr("seq", F.lit(1), size(k)))).otherwise(F.col(k))
+    part = lambda c: F.when(c == F.col("o1"), F.col("a1")).when(c == F.col("o2"), F.col("a2")).otherwise(c)
+    named = got.withColumns({"o1": F.col("a1"), "o2": F.col("a2")}).withColumns({"a1": written("a1"), "a2": written("a2")})
+    return named.withColumn("cons", slash(part(F.split_part("cons", F.lit("/"), F.lit(1))), part(F.split_part("cons", F.lit("/"), F.lit(2))))).select(*out.columns)

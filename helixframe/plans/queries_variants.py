@@ -128,3 +128,8 @@ def reads_on(s, d):
 @query("c07_recompute_md", "SELECT doc_id AS ordinal, CASE WHEN substr(seq, 12, 1) = 'N' THEN '30' ELSE '10' || substr(seq, 12, 1) || '19' END AS md, CAST(CASE WHEN substr(seq, 12, 1) = 'N' THEN 0 ELSE 1 END AS INT) AS nm FROM fx_seq WHERE length(seq) >= 60")
 def _(s, d):
     return V.recompute_md(reads_on(s, d), reference(s, d)).select("ordinal", "md", "nm")
+
+
+@query("c05_indel_calls")
+def _(s, d):
+    return V.indel_calls(with_bases(s, d)).select("chrom", "pos1", "cons", "cons_q", "snp_q", "depth", "cnt1", "cnt2")

@@ -207,3 +207,13 @@ def test_consensus_fastq(spark):
     df = spark.createDataFrame(rows, "chrom string, pos1 long, ref string, cons string, cons_q int, snp_q int, rms_mapq int, depth int")
     got = {r.chunk: (r.seq, r.qual) for r in V.consensus_fastq(df, l=4, chunk=10).collect()}
     assert got == {0: ("nArnnnnnnn", "!?I!!!!!!!"), 1: ("nnnnc", "!!!!S")}
+
+
+def test_indel_calls(spark):
+    rows = [(i, "c", 10, "5M1D5M" if i < 6 else "10M", 0, 60, "ACGTAGTACG", "I" * 10) for i in range(12)] + [(20 + i, "c", 100, "5M2I3M", 0, 60, "ACGTATTACG", "I" * 10) for i in range(8)] + [(40, "c", 200, "5M1D5M", 0, 60, "ACGTAGTACG", "I" * 10)] + [(41 + i, "c", 200, "10M", 0, 60, "ACGTAGTACG", "I" * 10) for i in range(9)]
+    aln = spark.createDataFrame(rows, "ordinal long, rname string, pos0 long, cigar string, flag int, mapq int, seq string, qual string")
+    seqs = spark.createDataFrame([("c", 0, "G" * 300)], "contig string, chunk int, seq string")
+    got = {r.pos1: r for r in V.indel_calls(aln, seqs).collect()}
+    assert {p: r.cons for p, r in got.items()} == {15: "*/-G", 105: "+TT/+TT", 205: "*/*"}
+    assert (got[15].depth, got[15].cnt1, got[15].cnt2, got[15].rms_mapq) == (12, 6, 6, 60) and got[105].snp_q == 255 and got[205].snp_q == 0
+    assert {r.POS: r.ALT for r in V.to_vcf(V.indel_calls(aln, seqs).filter("snp_q > 0"), seqs).collect()} == {15: "D1", 105: "ITT"}
