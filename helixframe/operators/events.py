@@ -330,3 +330,24 @@ def event_sequences(events: DataFrame, sequences: DataFrame, i5: int = 0, i3: in
     g = joined.groupBy("event_id", "strand").agg(one("exc").alias("exc_seq"), one("inc").alias("inc_seq"), one("low").alias("low"), one("high").alias("high"))
     named = g.select("event_id", "exc_seq", "inc_seq", F.when(minus, F.col("high")).otherwise(F.col("low")).alias("inc_up"), F.when(minus, F.col("low")).otherwise(F.col("high")).alias("inc_down"))
     return events.join(named, "event_id")
+
+
+def collapse_linear(edges: DataFrame) -> DataFrame:
+    """Runs of segments without a branch: (chrom, start0, end1, run0), where run0 is the start of the run's first segment.
+
+    An edge is linear if it is the only one out of its source and the only one into its target.
+    """
+    from .graph import label_components
+
+    a, b = F.struct("chrom", F.col("start0").alias("s"), F.col("end1").alias("e")), F.struct("chrom", F.col("next_start0").alias("s"), F.col("next_end1").alias("e"))
+    e = edges.select(a.alias("a"), b.alias("b")).distinct()
+    out, into = e.groupBy("a").agg(F.count(F.lit(1)).alias("n_out")), e.groupBy("b").agg(F.count(F.lit(1)).alias("n_in"))
+    linear = e.join(out.filter("n_out = 1"), "a").join(into.filter("n_in = 1"), "b").select("a", "b")
+    nodes = e.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    r = label_components(nodes, linear)
+    return r.select("node.chrom", F.col("node.s").alias("start0"), F.col("node.e").alias("end1"), F.col("label.s").alias("run0"))
+
+
+def graph_bed(runs: DataFrame) -> DataFrame:
+    """One BED row for each run of a splice graph."""
+    return runs.groupBy("chrom", "run0").agg(F.max("end1").alias("end1"), F.count(F.lit(1)).alias("score")).select("chrom", F.col("run0").alias("start0"), "end1", F.concat_ws(":", "chrom", "run0").alias("name"), "score")

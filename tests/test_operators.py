@@ -152,3 +152,12 @@ def test_event_sequences(spark):
     seqs = spark.createDataFrame([("c", 0, "AACCGTTTGA")], "contig string, chunk int, seq string")
     got = {r.event_id: (r.exc_seq, r.inc_seq, r.inc_up, r.inc_down) for r in E.event_sequences(df, seqs, 2, 1).collect()}
     assert got == {1: ("AA|GA", "AA|GT|GA", "CC"[0:2], "T"), 2: ("TC|TT", "TC|AC|TT", "AA", "G")}
+
+
+def test_collapse_linear_runs(spark):
+    # 0-1-2 in a row, 2 branches to 3 and 4, both go to 5, 5-6 in a row
+    rows = [(0, 1), (1, 2), (2, 3), (2, 4), (3, 5), (4, 5), (5, 6)]
+    df = spark.createDataFrame([("c", a * 10, a * 10 + 10, b * 10, b * 10 + 10) for a, b in rows], "chrom string, start0 long, end1 long, next_start0 long, next_end1 long")
+    got = {r.start0: r.run0 for r in E.collapse_linear(df).collect()}
+    assert got == {0: 0, 10: 0, 20: 0, 30: 30, 40: 40, 50: 50, 60: 50}
+    assert {(r.start0, r.end1, r.score) for r in E.graph_bed(E.collapse_linear(df)).collect()} == {(0, 30, 3), (30, 40, 1), (40, 50, 1), (50, 70, 2)}
