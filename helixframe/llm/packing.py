@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache, partial
 
@@ -16,8 +17,12 @@ from .common import id_and_text
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
-#: Chunks up to this length are remembered, and so many of them per Python worker.
-CHUNK_CHARS, CHUNKS_KEPT = 48, 300_000
+#: Chunks up to this length are remembered; so many chunks, and so many words of them, per Python worker.
+CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 400_000, 1_000_000
+#: ASCII marks that are tokens apart from the letters before them when they end a chunk.
+_TAIL = ".,!?;:$*&#%)"
+#: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
 #: Control characters that str.split() takes for white space and the tokenizer doesn't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -37,16 +42,35 @@ class ChunkTokenizer(dict):
             path = public_tokenizers.path("word_bpe_49k.json")
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        self._words: dict[str, bytes] = {}
+        self._tails: dict[str, bytes] = {"": b""}
+        # the vocabulary writes bytes as characters: printable ones as themselves, the others from 256 on
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = iter(range(256, 512))
+        self._letters = {i: i if i in plain else next(others) for i in range(256)}
 
     def encode(self, chunk: str) -> bytes:
         return np.asarray(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.encode(chunk)
-        if len(chunk) <= CHUNK_CHARS:
-            if len(self) >= CHUNKS_KEPT:
-                self.clear()
-            self[chunk] = ids
+        stem = chunk.rstrip(_TAIL)
+        word = stem.lower()
+        ids = self._words.get(word)
+        if ids is None:
+            if len(chunk) > CHUNK_CHARS or not _PLAIN.fullmatch(word):
+                return self.encode(chunk)
+            if len(self._words) >= WORDS_KEPT:
+                self._words.clear()
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+            ids = self._words[word] = array("I", [t.id for t in self._tokenizer.model.tokenize(shown)]).tobytes()
+        tail = chunk[len(stem) :]
+        if tail not in self._tails:
+            if len(self._tails) >= CHUNKS_KEPT:
+                self._tails.clear()
+            self._tails[tail] = self.encode(tail)
+        if len(self) >= CHUNKS_KEPT:
+            self.clear()
+        self[chunk] = ids = ids + self._tails[tail]
         return ids
 
     def text(self, text: str) -> bytes:
@@ -169,7 +193,7 @@ def best_fit_pack(
     if rule not in ("norm", "dot"):
         raise ValueError(rule)
     capacities = (max_tokens, max_documents or max_tokens, max_attention or float(max_tokens) ** 2)
-    key = ["doc_id", "piece", "length"]
+    pieces, key = pieces.drop("sequence_id", "offset"), ["doc_id", "piece", "length"]
     dealt = pieces.repartition(*key).sortWithinPartitions(F.xxhash64(*key), *key)
     schema = pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return dealt.mapInArrow(partial(_pack, capacities=capacities, weights=weights, rule=rule, block_rows=block_rows), schema)

@@ -109,3 +109,11 @@ def test_typed_parts(spark):
     assert [tuple(a) for a in r.attachments] == [("image", "u1"), ("audio", "u2"), ("document", None)]
     assert r.attachment_tokens == 2 * 256 + 3 * 25 + 512
     assert [r.formatted[s["start"] : s["start"] + s["length"]] for s in r.loss_spans] == ["ok"]
+
+
+def test_chunked_ids_on_random_text():
+    own, rng = packing.ChunkTokenizer(None), random.Random(1)
+    letters = "aZ's.,!?<|>é́İΣ1漢 \t#)$-_̸=ßŉ"
+    for _ in range(3000):
+        text = "".join(rng.choice(letters) for _ in range(30))
+        assert np.frombuffer(own.text(text), "<u4").tolist() == own._tokenizer.encode(text, add_special_tokens=False).ids
