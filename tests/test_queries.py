@@ -32,7 +32,6 @@ def test_query(spark, duck, name):
     df = registry.queries()[name](spark, DIR)
     cols = sorted(df.columns)
     rows = collections.Counter(str(tuple(map(plain, r))) for r in df.select(*cols).collect())
-    assert rows
     sql = registry.oracle_sql().get(name)
     if sql is None:
         return
