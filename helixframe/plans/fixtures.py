@@ -84,18 +84,18 @@ def _needed(text: str) -> list[str]:
     return out
 
 
-def with_views(body: str, extra: dict[str, str] | None = None) -> str:
-    """A query with the views that it reads as common table expressions; ``extra`` adds further ones."""
+def with_views(body: str, extra: dict[str, str] | None = None, how: str = "") -> str:
+    """A query with the views that it reads as common table expressions; ``extra`` adds further ones, ``how`` qualifies each."""
     extra = extra or {}
     names = _needed(" ".join([body, *extra.values()]))
-    parts = [f"{n} AS ({VIEWS[n]})" for n in names] + [f"{n} AS ({b})" for n, b in extra.items()]
+    parts = [f"{n} AS {how}({b})" for n, b in {**{n: VIEWS[n] for n in names}, **extra}.items()]
     if not parts:
         return body
     return f"WITH {', '.join(parts)}\n{body}"
 
 
 def duckdb_sql(body: str, extra: dict[str, str] | None = None) -> str:
-    return with_views(body, extra).replace("'[^ACGT]', 'N')", "'[^ACGT]', 'N', 'g')")
+    return with_views(body, extra, "MATERIALIZED ").replace("'[^ACGT]', 'N')", "'[^ACGT]', 'N', 'g')")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
