@@ -18,7 +18,7 @@ from .common import id_and_text
 SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Chunks up to this length are remembered; so many chunks, and so many words of them, per Python worker.
-CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 400_000, 1_000_000
+CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 150_000, 400_000
 #: ASCII marks that are tokens apart from the letters before them when they end a chunk.
 _TAIL = ".,!?;:$*&#%)"
 #: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.
