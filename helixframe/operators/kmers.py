@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.sequence import reverse_complement
 from . import intervals as I
 
+#: Bases that k-mers are read from at once: finding a place in a text takes time in proportion to it.
+STRETCH = 256
+
 
 def kmers(sequences: DataFrame, k: int, prefix: str | None = None) -> DataFrame:
     """(contig, pos1, kmer, strand) for both strands of whole sequences (contig, seq), at their forward position from 1.
 
     Sequences shorter than k give none; ``prefix`` keeps the k-mers that begin so.
     """
-    at = sequences.filter(F.length("seq") >= k).select("contig", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("pos1"))
-    one = at.select("contig", F.col("pos1").cast("long").alias("pos1"), F.substr("seq", F.col("pos1"), F.lit(k)).alias("f"))
+    starts = F.explode(F.sequence(F.lit(0), F.length("seq") - k, F.lit(STRETCH))).alias("s")
+    parts = sequences.filter(F.length("seq") >= k).select("contig", "seq", starts).select("contig", "s", F.substr("seq", F.col("s") + 1, F.lit(STRETCH + k - 1)).alias("seq"))
+    at = parts.select("contig", "s", "seq", F.explode(F.sequence(F.lit(1), F.length("seq") - k + 1)).alias("i"))
+    one = at.select("contig", (F.col("s") + F.col("i")).cast("long").alias("pos1"), F.substr("seq", F.col("i"), F.lit(k)).alias("f"))
     both = one.select("contig", "pos1", F.explode(F.array(F.struct(F.col("f").alias("kmer"), F.lit("+").alias("strand")), F.struct(reverse_complement(F.col("f")).alias("kmer"), F.lit("-").alias("strand")))).alias("x"))
     out = both.select("contig", "pos1", "x.kmer", "x.strand")
     return out if prefix is None else out.filter(F.col("kmer").startswith(prefix))
@@ -37,7 +42,12 @@ def kmer_fold(rows: DataFrame, max_freq: int = 1) -> DataFrame:
 
 def mappable_runs(sequences: DataFrame, k: int, max_freq: int = 1) -> DataFrame:
     """Runs (contig, start1, end1) of forward positions whose k-mer is rare on both strands."""
-    forward = kmer_fold(kmers(sequences, k), max_freq).filter("strand = '+'").select("contig", "pos1")
+    return rare_runs(kmers(sequences, k), max_freq)
+
+
+def rare_runs(rows: DataFrame, max_freq: int = 1) -> DataFrame:
+    """``mappable_runs`` of k-mers (contig, pos1, kmer, strand)."""
+    forward = kmer_fold(rows, max_freq).filter("strand = '+'").select("contig", "pos1")
     return I.position_runs(forward, ["contig"])
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators.sequences import CHUNK
 
 VIEWS = {
     "fx_exon_occ": """
@@ -71,6 +74,10 @@ FROM lineitem""",
 SELECT doc_id, concat('d', CAST(doc_id AS STRING)) AS contig,
   regexp_replace(translate(lower(substring(text,1,400)), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG'),
     '[^ACGT]', 'N') AS seq FROM documents""",
+    "fx_whole": """
+SELECT doc_id, concat('d', CAST(doc_id AS STRING)) AS contig,
+  regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG'),
+    '[^ACGT]', 'N') AS seq FROM documents WHERE text IS NOT NULL""",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
@@ -103,6 +110,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return sql(spark, sf_dir, f"SELECT * FROM {name}")
 
 
+def whole_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contig, chunk, seq): the whole sequences of fx_whole, cut into chunks; an empty one is one empty chunk."""
+    last = F.greatest(F.floor((F.length("seq") - 1) / CHUNK), F.lit(0)).cast("int")
+    at = view(spark, sf_dir, "fx_whole").select("contig", "seq", F.explode(F.sequence(F.lit(0), last)).alias("chunk"))
+    return at.select("contig", "chunk", F.substr("seq", F.col("chunk") * CHUNK + 1, F.lit(CHUNK)).alias("seq"))
+
+
 def sql(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
     text = with_views(body)
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if re.search(rf"(FROM|JOIN) {t}\b", text)}

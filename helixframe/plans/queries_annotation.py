@@ -11,7 +11,7 @@ from ..operators import intervals as I
 from ..operators import kmers as M
 from ..operators import quantify as N
 from ..operators import scans
-from .fixtures import view
+from .fixtures import view, whole_chunks
 from .registry import query
 
 OCC, READ, EXON, GBLOCK = "fx_exon_occ", "fx_read", "fx_exon", "fx_gblock"
@@ -406,6 +406,12 @@ def _(s, d):
 
 
 KM = {"km": "SELECT contig, i AS pos1, substr(seq, CAST(i AS INT), 12) AS kmer, '+' AS strand FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_seq WHERE length(seq) >= 12) UNION ALL SELECT contig, i, reverse(translate(substr(seq, CAST(i AS INT), 12), 'ACGT', 'TGCA')), '-' FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_seq WHERE length(seq) >= 12)"}
+WHOLE_KM = {"km": KM["km"].replace("fx_seq", "fx_whole")}
+
+
+@query("x01_reverse_complement_whole", "SELECT contig, reverse(translate(seq, 'ACGTU', 'TGCAA')) AS rc FROM fx_whole")
+def _(s, d):
+    return view(s, d, "fx_whole").select("contig", X.reverse_complement(F.col("seq")).alias("rc"))
 
 
 @query("m01_kmers", "SELECT strand, count(*) AS n, count(DISTINCT kmer) AS n_distinct, CAST(sum(pos1) AS BIGINT) AS pos_sum FROM km GROUP BY strand", KM)
@@ -414,16 +420,35 @@ def _(s, d):
     return k.groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("n_distinct"), F.sum("pos1").cast("long").alias("pos_sum"))
 
 
+def whole_kmers(s, d):
+    return M.kmers_of_chunks(whole_chunks(s, d), 12)
+
+
+@query("m01_kmers_whole", "SELECT strand, count(*) AS n, count(DISTINCT kmer) AS n_distinct, CAST(sum(pos1) AS BIGINT) AS pos_sum FROM km GROUP BY strand", WHOLE_KM)
+def _(s, d):
+    return whole_kmers(s, d).groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("n_distinct"), F.sum("pos1").cast("long").alias("pos_sum"))
+
+
 @query("a13_kmer_fold", "SELECT kmer, count(*) AS n, min((contig, pos1, strand)).contig AS contig, min((contig, pos1, strand)).pos1 AS pos1, min((contig, pos1, strand)).strand AS strand FROM kk GROUP BY kmer HAVING count(*) <= 2".replace("min((contig, pos1, strand))", "min({'contig': contig, 'pos1': pos1, 'strand': strand})"), KM | {"kk": "SELECT * FROM km"})
 def _(s, d):
     return M.kmer_fold(M.kmers(view(s, d, "fx_seq").select("contig", "seq"), 12), 2)
 
 
+@query("a13_kmer_fold_whole", "SELECT kmer, count(*) AS n, min((contig, pos1, strand)).contig AS contig, min((contig, pos1, strand)).pos1 AS pos1, min((contig, pos1, strand)).strand AS strand FROM kk GROUP BY kmer HAVING count(*) <= 2".replace("min((contig, pos1, strand))", "min({'contig': contig, 'pos1': pos1, 'strand': strand})"), WHOLE_KM | {"kk": "SELECT * FROM km"})
+def _(s, d):
+    return M.kmer_fold(whole_kmers(s, d), 2)
+
+
 @query("m02_mappable_runs", "SELECT contig, min(p) AS start1, max(p) AS end1 FROM (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS g FROM (SELECT contig, pos1 AS p FROM km WHERE strand = '+' AND kmer IN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) = 1))) GROUP BY contig, g", KM)
 def _(s, d):
     return M.mappable_runs(view(s, d, "fx_seq").select("contig", "seq"), 12)
 
 
+@query("m02_mappable_runs_whole", "SELECT contig, min(p) AS start1, max(p) AS end1 FROM (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS g FROM (SELECT contig, pos1 AS p FROM km WHERE strand = '+' AND kmer IN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) = 1))) GROUP BY contig, g", WHOLE_KM)
+def _(s, d):
+    return M.rare_runs(whole_kmers(s, d))
+
+
 @query("m03_parse_contig_id", "SELECT tag_id, split_part(tag_id, '|', 1) AS chrom, split_part(split_part(tag_id, '|', 2), ':', 1) AS tag_set, CAST(split_part(split_part(tag_id, '|', 2), ':', 2) AS BIGINT) AS number FROM tg", {"tg": TAGS["tg"]})
 def _(s, d):
     t, _ = tags(s, d)
@@ -435,11 +460,21 @@ def _(s, d):
     return M.sort_kmers(M.kmers(view(s, d, "fx_seq").select("contig", "seq"), 12, prefix="AC")).select("kmer", "contig", "pos1", "strand")
 
 
+@query("t04_sort_kmers_whole", "SELECT kmer, contig, pos1, strand FROM km WHERE kmer LIKE 'AC%'", WHOLE_KM)
+def _(s, d):
+    return M.sort_kmers(whole_kmers(s, d).filter(F.col("kmer").startswith("AC"))).select("kmer", "contig", "pos1", "strand")
+
+
 @query("a18_sequence_digests", "SELECT contig, md5(upper(seq)) AS md5 FROM fx_seq")
 def _(s, d):
     return M.sequence_digests(view(s, d, "fx_seq").select("contig", F.lit(0).alias("chunk"), "seq"))
 
 
+@query("a18_sequence_digests_whole", "SELECT contig, md5(upper(seq)) AS md5 FROM fx_whole")
+def _(s, d):
+    return M.sequence_digests(whole_chunks(s, d))
+
+
 @query("s20_transcript_xref", "SELECT tx_id, gene_id, string_agg(start0 || '-' || end1, ',' ORDER BY start0, end1) AS exons FROM fx_exon_occ GROUP BY ALL")
 def _(s, d):
     return A.transcript_xref(occ(s, d))

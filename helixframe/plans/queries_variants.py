@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import variants as V
-from .fixtures import view
+from .fixtures import view, whole_chunks
 from .queries_alignments import with_bases
 from .registry import query
 
@@ -108,7 +108,24 @@ def _(s, d):
     from ..operators.sequences import fetch_sequence
 
     v = view(s, d, "fx_seq")
-    return fetch_sequence(reference(s, d), v.select("contig", (F.col("doc_id") % 60).alias("start0"), (F.col("doc_id") % 60 + 25).alias("end1")))
+    return fetch_sequence(whole_chunks(s, d), v.select("contig", (F.col("doc_id") % 60).alias("start0"), (F.col("doc_id") % 60 + 25).alias("end1")))
+
+
+#: Every 4,096 bases of a sequence a place just before, so that some windows cross the border of two chunks.
+WHOLE = {"pl": "SELECT doc_id, contig, seq, i, greatest(i * 4096 - 12, 0) AS b FROM (SELECT doc_id, contig, seq, unnest(range(0, (length(seq) + 4095) // 4096)) AS i FROM fx_whole)"}
+
+
+def places(s, d):
+    n = F.ceil(F.length("seq") / 4096)
+    at = view(s, d, "fx_whole").filter("seq <> ''").select("doc_id", "contig", "seq", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("i"))
+    return at.withColumn("b", F.greatest(F.col("i") * 4096 - 12, F.lit(0)))
+
+
+@query("s11_fetch_sequence_whole", "SELECT contig, b AS start0, b + 25 AS end1, substr(seq, CAST(b + 1 AS INT), 25) AS seq FROM pl", WHOLE)
+def _(s, d):
+    from ..operators.sequences import fetch_sequence
+
+    return fetch_sequence(whole_chunks(s, d), places(s, d).select("contig", F.col("b").alias("start0"), (F.col("b") + 25).alias("end1")))
 
 
 @query("j14_reference_base", "SELECT contig, b AS pos0, CASE WHEN b < length(seq) THEN substr(seq, CAST(b + 1 AS INT), 1) ELSE 'N' END AS ref FROM (SELECT contig, seq, doc_id % 450 AS b FROM fx_seq)")
@@ -125,9 +142,27 @@ def reads_on(s, d):
     return v.select("doc_id", F.concat(F.substr("seq", F.lit(2), F.lit(10)), flip, F.substr("seq", F.lit(13), F.lit(19))).alias("r"), "contig").select(F.col("doc_id").alias("ordinal"), F.col("contig").alias("rname"), F.lit(1).alias("pos0"), F.lit("30M").alias("cigar"), F.col("r").alias("seq"))
 
 
+@query("j14_reference_base_whole", "SELECT contig, b + doc_id % 450 AS pos0, CASE WHEN b + doc_id % 450 < length(seq) THEN substr(seq, CAST(b + doc_id % 450 + 1 AS INT), 1) ELSE 'N' END AS ref FROM pl", WHOLE)
+def _(s, d):
+    from ..operators.sequences import with_ref_base
+
+    return with_ref_base(places(s, d).select("contig", (F.col("b") + F.col("doc_id") % 450).alias("pos0")), whole_chunks(s, d))
+
+
 @query("c07_recompute_md", "SELECT doc_id AS ordinal, CASE WHEN substr(seq, 12, 1) = 'N' THEN '30' ELSE '10' || substr(seq, 12, 1) || '19' END AS md, CAST(CASE WHEN substr(seq, 12, 1) = 'N' THEN 0 ELSE 1 END AS INT) AS nm FROM fx_seq WHERE length(seq) >= 60")
 def _(s, d):
-    return V.recompute_md(reads_on(s, d), reference(s, d)).select("ordinal", "md", "nm")
+    return V.recompute_md(reads_on(s, d), whole_chunks(s, d)).select("ordinal", "md", "nm")
+
+
+def reads_over(s, d):
+    part = lambda at, n: F.substr("seq", (F.col("b") + at).cast("int"), F.lit(n))
+    r = F.concat(part(1, 10), F.translate(part(11, 1), "ACGT", "CGTA"), part(12, 19))
+    return places(s, d).filter("b + 30 <= length(seq)").select((F.col("doc_id") * 10000 + F.col("i")).alias("ordinal"), F.col("contig").alias("rname"), F.col("b").alias("pos0"), F.lit("30M").alias("cigar"), r.alias("seq"))
+
+
+@query("c07_recompute_md_whole", "SELECT doc_id * 10000 + i AS ordinal, CASE WHEN substr(seq, CAST(b + 11 AS INT), 1) = 'N' THEN '30' ELSE '10' || substr(seq, CAST(b + 11 AS INT), 1) || '19' END AS md, CAST(CASE WHEN substr(seq, CAST(b + 11 AS INT), 1) = 'N' THEN 0 ELSE 1 END AS INT) AS nm FROM pl WHERE b + 30 <= length(seq)", WHOLE)
+def _(s, d):
+    return V.recompute_md(reads_over(s, d), whole_chunks(s, d)).select("ordinal", "md", "nm")
 
 
 @query("c05_indel_calls")
