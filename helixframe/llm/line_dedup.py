@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,13 @@ from .components import connected_components
 
 #: Most edits between lines that count as the same; shorter lines are left alone.
 EDITS, MIN_CHARS = 2, 20
+#: A segment's lines are compared in pairs up to the square of this number; those of commoner segments are linked by their variants.
+HOT = 1024
+#: Rows that a task takes at once.
+ROWS_HELD = 1 << 17
+#: Base of the variants' polynomial hashes, modulo 2^64, and its inverse.
+BASE = 0x9E3779B97F4A7C15
+INVERSE = pow(BASE, -1, 1 << 64)
 #: Lines that a task remembers, to send the segments of a line that it meets again but once.
 LINES_KEPT = 200_000
 #: Up to so many line hashes are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
@@ -135,39 +143,162 @@ def _key_batch(keys, lines, signs, times) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(lines, np.uint64).view(np.int64), n)), pa.array(np.repeat(np.array(signs, np.int64), n))], names=["key", "line", "sign"])
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of different lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key.
 
-    def paired(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> pa.RecordBatch:
-        probe, key = key & 1, key >> 1
+    Lines whose own segment comes with too many others to compare all pairs are given alone, with a null b.
+    """
+    held: list[tuple[np.ndarray, ...]] = []
+    passing = None  # a key whose lines are all given alone
+
+    def once(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
+        same = key[1:] >> 1 == key[:-1] >> 1
+        some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
+        some = some[np.lexsort((line[some], key[some]))]
+        new = np.ones(len(some), bool)
+        new[1:] = (key[some[1:]] != key[some[:-1]]) | (line[some[1:]] != line[some[:-1]])
+        return key[some[new]], line[some[new]], sign[some[new]]
+
+    def alone(line: np.ndarray) -> pa.RecordBatch:
+        line = np.unique(line)
+        return pa.record_batch([pa.array(line), pa.nulls(len(line), pa.int64())], names=["a", "b"])
+
+    def paired(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, line, sign = once(key, line, sign)
+        if not len(key):
+            return
+        own, key = key & 1 == 0, key >> 1  # a key's own lines come before its probes
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        many = np.repeat(np.add.reduceat(own.astype(np.int64), starts) * sizes > hot * hot, sizes)
+        if many.any():
+            yield alone(line[many])
         left, right = [], []
-        shift, at = 1, np.arange(len(key) - 1)
+        shift, at = 1, np.flatnonzero(own & ~many)
         while len(at):
             at = at[at + shift < len(key)]
             at = at[key[at] == key[at + shift]]
-            a, b = at, at + shift
-            good = (line[a] != line[b]) & ((probe[a] & probe[b]) == 0) & (np.bitwise_count((sign[a] ^ sign[b]).view(np.uint64)) <= 2 * edits)
-            left.append(line[a[good]])
-            right.append(line[b[good]])
+            good = (line[at] != line[at + shift]) & (np.bitwise_count((sign[at] ^ sign[at + shift]).view(np.uint64)) <= 2 * edits)
+            left.append(line[at[good]])
+            right.append(line[at[good] + shift])
             shift += 1
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     for batch in batches:
-        if not batch.num_rows:
+        key, line, sign = (batch.column(i).to_numpy() for i in range(3))
+        if passing is not None and len(key):
+            stop = int(np.searchsorted(key >> 1, passing, "right"))
+            if stop:
+                yield alone(line[:stop])
+            if stop < len(key):
+                passing = None
+            key, line, sign = key[stop:], line[stop:], sign[stop:]
+        if not len(key):
             continue
-        held.append(tuple(batch.column(i).to_numpy() for i in range(3)))
-        if sum(len(x[0]) for x in held) < 1 << 17:
+        held.append((key, line, sign))
+        if sum(len(x[0]) for x in held) < ROWS_HELD:
             continue
         key, line, sign = (np.concatenate(c) for c in zip(*held, strict=True))
         stop = int(np.searchsorted(key >> 1, key[-1] >> 1))
         if stop:
-            yield paired(key[:stop], line[:stop], sign[:stop])
-        held = [(key[stop:], line[stop:], sign[stop:])]
+            yield from paired(key[:stop], line[:stop], sign[:stop])
+        key, line, sign = key[stop:], line[stop:], sign[stop:]
+        if len(key) >= ROWS_HELD // 2:  # one key
+            last = key[-1] >> 1
+            key, line, sign = once(key, line, sign)
+            own = key & 1 == 0
+            if int(own.sum()) * len(key) > hot * hot:
+                yield alone(line)
+                passing = last
+                key, line, sign = key[:0], line[:0], sign[:0]
+            elif not own[-1:].all():  # no further own lines: the few there are meet the probes as they come
+                yield from paired(key, line, sign)
+                key, line, sign = key[own], line[own], sign[own]
+        held = [(key, line, sign)]
     if held:
-        yield paired(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        yield from paired(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
+def _places(n: int, k: int, start: int = 0) -> Iterator[list[np.ndarray]]:
+    """The choices of k increasing places below n, as k columns."""
+    if k == 0:
+        yield []
+    elif k == 1:
+        yield [np.arange(start, n)]
+    elif k == 2 and n - start <= 1024:
+        a, b = np.triu_indices(n - start, 1)
+        yield [a + start, b + start]
+    else:
+        for p in range(start, n - k + 1):
+            for rest in _places(n, k - 1, p + 1):
+                yield [np.full(len(rest[0]), p), *rest]
+
+
+def _hashed(line: str, edits: int) -> Iterator[tuple[np.ndarray, int, int]]:
+    """(hashes, d, w): the line with d characters left out and w blotted out, for every choice of up to ``edits`` places."""
+    with np.errstate(over="ignore"):
+        codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+        for step in (30, 27):
+            codes = (codes ^ codes >> np.uint64(step)) * np.uint64(0xBF58476D1CE4E5B9)
+        codes ^= codes >> np.uint64(31)
+        n = len(codes)
+        power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, BASE, np.uint64)]), dtype=np.uint64)
+        back = [np.uint64(pow(INVERSE, t, 1 << 64)) for t in range(edits + 1)]
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * power[:n], dtype=np.uint64)])
+        for k in range(edits + 1):
+            for ops in product((0, 1), repeat=k):  # 1: left out
+                for places in _places(n, k):
+                    out, gone, at = np.zeros(len(places[0]) if k else 1, np.uint64), 0, 0
+                    for p, op in zip(places, ops, strict=True):
+                        out = out + (sums[p] - sums[at]) * back[gone]
+                        if op:
+                            gone += 1
+                        else:
+                            out = out + power[p - gone] * np.uint64(0xD6E8FEB86659FD93)
+                        at = p + 1
+                    yield out + (sums[n] - sums[at]) * back[gone], gone, k - gone
+
+
+def _variants(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """(key, d, room, line) for the variants of rows (short, line): ``room`` is how many characters two lines may leave out together."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        n = [len(h) for h, *_ in rows]
+        column = lambda i, kind: pa.array(np.repeat(np.array([r[i] for r in rows], kind), n))
+        return pa.record_batch([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), column(1, np.int8), column(2, np.int8), column(3, np.int64)], names=["key", "d", "room", "line"])
+
+    for b in batches:
+        rows, total = [], 0
+        for short, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for hashes, d, w in _hashed(line, edits):
+                rows.append((hashes, d, edits - w, short))
+                total += len(hashes)
+                if total > ROWS_HELD:
+                    yield made(rows)
+                    rows, total = [], 0
+        if rows:
+            yield made(rows)
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the lines of each key to the one that leaves out least, where both leave out no more than ``room``. Rows come sorted by key and d.
+
+    Who leaves out no more than room together with another does so with that one, so all that are near get connected.
+    """
+    key, least, first = None, 0, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k, d, room, line = (b.column(i).to_numpy() for i in range(4))
+        new = np.concatenate([[key is None or k[0] != key], k[1:] != k[:-1]])
+        at = np.maximum.accumulate(np.where(new, np.arange(len(k)), -1))
+        own_d, own = np.where(at >= 0, d[at], least), np.where(at >= 0, line[at], first)
+        near = (own != line) & (d + own_d <= room)
+        key, least, first = k[-1], own_d[-1], own[-1]
+        pairs = np.unique(np.stack([np.minimum(own, line)[near], np.maximum(own, line)[near]], 1), axis=0)
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
@@ -186,13 +317,18 @@ def line_id(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """(id, first): for each repeated or linked line, by md5, the (nulls last, doc_id, line number) that its class is first met at."""
     rows = id_and_text(docs, id_col, text_col)
     keyed = rows.select("text").mapInArrow(partial(_keys, edits=edits, least=min_chars), "key long, line long, sign long")
-    pairs = cut(keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(partial(_candidates, edits=edits), "a long, b long").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    found = cut(keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long").distinct())
     lines = _lines(rows, min_chars)
+    pairs, many = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("short"))
+    if not many.isEmpty():
+        common = lines.select(F.xxhash64("line").alias("short"), "line").join(many, "short", "left_semi").distinct()
+        dealt = common.repartition("short").mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
+        pairs = cut(pairs.unionByName(dealt.mapInArrow(_stars, "a long, b long")).distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
     few = wanted.count() <= BROADCAST_LINES
     texts = cut(lines.select(F.xxhash64("line").alias("short"), "line").join(F.broadcast(wanted) if few else wanted, "short", "left_semi").distinct())
     both = pairs.join(texts.select(F.col("short").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("short").alias("b"), F.col("line").alias("y")), "b")
@@ -205,9 +341,9 @@ def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS
     return known.select("id", "root").join(firsts, "root").select("id", "first")
 
 
-def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
+def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
     """(k, text_key, removed): the line numbers that go from each document that loses any; k is the doc_id, NO_ID where null."""
-    classes = line_classes(docs, edits, min_chars, id_col, text_col)
+    classes = line_classes(docs, edits, min_chars, id_col, text_col, hot)
     place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc"), F.col("at"))
     met = _lines(id_and_text(docs, id_col, text_col), min_chars).select("doc_id", "text_key", "at", line_id(F.col("line")).alias("id"), place.alias("place"))
     gone = met.join(classes, "id").filter(F.col("place") != F.col("first"))
@@ -219,20 +355,22 @@ def _kept(lines: str, removed: str) -> Column:
     return F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0), kept (the text without them).
 
     Lines end in line feeds; those of ``min_chars`` characters and more, blanks at both ends aside, are compared. Lines of
     at most ``edits`` edits are linked, links chain, and of each class only the line met first stays (smallest doc_id, then
     line number). Each line is cut into edits + 1 segments, one of which survives any ``edits`` edits: it is looked for in
     lines up to ``edits`` longer at the places it can have moved to. What shares a segment and nearly the parities of its
-    characters is verified by the edit distance of the texts.
+    characters is verified by the edit distance of the texts. Lines of a segment that more than some ``hot`` lines have are
+    not compared in pairs: of each of them all variants with up to ``edits`` characters left or blotted out are made, and
+    those of one variant are linked to one line, which takes work in proportion to the lines and the square of their length.
 
     Null texts are empty; an empty text is one empty line. Null ids come last; rows that repeat an id and text are judged
     alike, and a line at the first place stays in each. An empty table gives no rows; other columns are ignored.
     """
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("text_key"), "text")
-    judged = rows.join(_removed(docs, edits, min_chars, id_col, text_col).hint("shuffle_hash"), ["k", "text_key"], "left")
+    judged = rows.join(_removed(docs, edits, min_chars, id_col, text_col, hot).hint("shuffle_hash"), ["k", "text_key"], "left")
     parts = judged.select("doc_id", F.split("text", "\n").alias("ls"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     return parts.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", _kept("ls", "removed").alias("kept"))
 

@@ -229,6 +229,27 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
+def test_common_segments_against_brute_force(spark):
+    rng = random.Random(5)
+    base = "entry number {} of the book {}"
+    rows = [(i, "\n".join(base.format(rng.randrange(40), rng.choice(["a", "bc", "xyz", "wxyz", "vwxyz"])) for _ in range(3))) for i in range(60)]
+    rows += [(100 + i, "".join(rng.choice("ab") for _ in range(rng.randrange(8, 12)))) for i in range(60)]
+    for hot in (0, 3):
+        got = line_dedup.line_dedup(docs(spark, rows), edits=2, min_chars=8, hot=hot).collect()
+        assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got) == brute_lines(rows, 2, 8)
+
+
+def test_pairs_of_a_common_segment_stay_in_proportion():
+    import numpy as np
+    import pyarrow as pa
+
+    n = 6000
+    key, line = np.repeat(np.array([2, 3, 8]), n), np.tile(np.arange(n), 3)
+    batches = [pa.record_batch([pa.array(x[i : i + 1000]) for x in (key, line, np.zeros(3 * n, np.int64))], names=["key", "line", "sign"]) for i in range(0, 3 * n, 1000)]
+    out = [b for b in line_dedup._candidates(iter(batches), 2)]
+    assert sum(b.num_rows for b in out) <= 4 * n and {x for b in out for x in b.column(0).to_pylist()} == set(range(n))
+
+
 def test_rewrite_keeps_rows_and_columns(spark):
     same = "a line that is long enough to compare"
     df = spark.createDataFrame([(2, same + "\nshort", 9, "s"), (1, same, 9, None), (None, None, 9, "t"), (3, "own text of another document", 9, "u")], "doc_id long, text string, n_chars long, `row` string")
