@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -15,7 +16,7 @@ from .automaton import SuffixAutomaton
 from .common import cut, id_and_text
 
 WINDOW_WORDS, GRAM_WORDS = 13, 4
-#: Tokens that a task's automaton takes before it is begun anew, where a group of passages ends.
+#: Tokens that a task's automaton takes before it is begun anew, where a group of passages ends, or takes no more of one group.
 SHARD_TOKENS = 100_000
 WORDS_KEPT = 400_000
 #: Stands for a null doc_id, which comes after all others.
@@ -119,24 +120,28 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
     """Spans (doc, text_key, start, length) that a smaller doc has; pieces come sorted by key and doc.
 
     The automaton holds what the key's smaller docs say. Pieces of one doc are matched first and then added, unless the
-    automaton has all of their windows already. It is begun anew where a key ends, once it is large.
+    automaton has all of their windows already. It is begun anew where a key ends, once it is large. A key that brings
+    more than ``shard`` tokens adds no more: its later pieces are matched and also given with their words, to be compared
+    with each other by ``_windows``.
     """
-    automaton, size = SuffixAutomaton(), 0
+    automaton, size, began, full = SuffixAutomaton(), 0, 0, False
     key = doc = None
     waiting: list[list[bytes]] = []
     for b in batches:
-        out: list[tuple[int, int, int, int]] = []
+        out: list[tuple] = []
         for k, d, tk, start, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
             if k != key:
                 waiting = []
                 key, doc = k, d
                 if size:
                     automaton, size = (SuffixAutomaton(), 0) if size > shard else (automaton, size)
+                began, full = size, False
             elif d != doc:
                 for tokens in waiting:
                     automaton.add(tokens)
                     size += len(tokens)
                 waiting, doc = [], d
+                full = full or size - began > shard
             tokens = text.split(b" ")
             long = [i for i, n in enumerate(automaton.statistics(tokens)) if n >= window] if size else []
             at = 0
@@ -145,12 +150,35 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
                 while to + 1 < len(long) and long[to + 1] - long[to] <= window:
                     to += 1
                 first = long[at] - window + 1
-                out.append((d, tk, start + first, long[to] + 1 - first))
+                out.append((d, tk, start + first, long[to] + 1 - first, None))
                 at = to + 1
             if len(long) < len(tokens) - window + 1:
-                waiting.append(tokens)
+                if full:
+                    out.append((d, tk, start, len(tokens), text))
+                else:
+                    waiting.append(tokens)
         if out:
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "text_key", "start", "length"])
+            *spans, words = zip(*out, strict=True)
+            yield pa.record_batch([*(pa.array(c, pa.int64()) for c in spans), pa.array(words, pa.binary())], names=["doc", "text_key", "start", "length", "words"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """(w, doc, text_key, start): a digest of each window of pieces (doc, text_key, start, words)."""
+    for b in batches:
+        rows: list[tuple] = []
+        for doc, tk, start, text in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            ws = text.split(b" ")
+            rows += [(hashlib.md5(b" ".join(ws[i : i + window])).digest(), doc, tk, start + i) for i in range(len(ws) - window + 1)]
+        if rows:
+            w, *rest = zip(*rows, strict=True)
+            yield pa.record_batch([pa.array(w, pa.binary()), *(pa.array(c, pa.int64()) for c in rest)], names=["w", "doc", "text_key", "start"])
+
+
+def _later(pieces: DataFrame, window: int) -> DataFrame:
+    """Spans (doc, text_key, start, length) of the windows of pieces (doc, text_key, start, words) that a smaller doc of them has."""
+    each = pieces.mapInArrow(partial(_windows, window=window), "w binary, doc long, text_key long, start long")
+    least = each.groupBy("w").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("most > least").select("w", "least")
+    return each.join(least, "w").filter("doc > least").select("doc", "text_key", "start", F.lit(window).cast("long").alias("length"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -177,7 +205,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, shard_tokens: i
     equal have one reference, the one with the smallest id, and the others go whole. Each window's minimizer is a key that
     windows of the same words share; keys that several references have tell the passages that can repeat. Those are dealt
     by key, so the reference passages of a key and all passages to match meet in one task, in order of id: an automaton
-    of the passages of smaller ids gives their matching statistics, and spans of ``window`` and more go.
+    of the passages of smaller ids gives their matching statistics, and spans of ``window`` and more go. Of a key with more
+    than ``shard_tokens`` of them, the rest are compared with each other by digests of their windows.
 
     Null and empty texts have no words. A null id comes after all others, and null ids don't remove each other's words.
     Rows that repeat an id aren't smaller than each other; each gives a row. An empty table gives no rows; other columns
@@ -196,7 +225,11 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, shard_tokens: i
     wanted = owned.join(shared.groupBy("doc").agg(F.collect_list("key").alias("keys")), "doc")
     sources = rows.join(wanted.hint("shuffle_hash"), by).select("doc", "text_key", "text", "keys")
     pieces = sources.mapInArrow(partial(_pieces, window=window), "key long, doc long, text_key long, start int, words binary")
-    spans = pieces.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(partial(_match, window=window, shard=shard_tokens), "doc long, text_key long, start long, length long")
+    spans = pieces.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(partial(_match, window=window, shard=shard_tokens), "doc long, text_key long, start long, length long, words binary")
+    spans = cut(spans)
+    many, spans = spans.filter("words is not null").select("doc", "text_key", "start", "words"), spans.filter("words is null").drop("words")
+    if not many.isEmpty():
+        spans = spans.unionByName(_later(many, window))
     found = status.join(spans.groupBy(*by).agg(F.collect_list(F.struct("start", "length")).alias("spans")), by, "left")
     doc_id = F.when(F.col("doc") != LAST, F.col("doc")).alias("doc_id")
     verdict = rows.join(found.hint("shuffle_hash"), by).select(doc_id, "text", "copy", "spans")

@@ -144,6 +144,23 @@ def test_substring_dedup_against_brute_force(spark, shard):
         assert substring_dedup.substring_dedup(docs(spark, [])).count() == 0
 
 
+def test_automaton_of_one_key_is_bounded(monkeypatch):
+    import pyarrow as pa
+
+    made = []
+
+    class Counted(automaton.SuffixAutomaton):
+        def __init__(self):
+            super().__init__()
+            made.append(self)
+
+    monkeypatch.setattr(substring_dedup, "SuffixAutomaton", Counted)
+    rows = [(7, i, i, 0, " ".join(f"w{i}.{k}" for k in range(22)).encode()) for i in range(2000)]
+    out = list(substring_dedup._match(iter([substring_dedup._piece_batch(rows[i : i + 100]) for i in range(0, 2000, 100)]), 13, 1000))
+    assert max(len(a.link) for a in made) < 3000
+    assert sum(b.num_rows for b in out) > 1900 and isinstance(out[0], pa.RecordBatch)
+
+
 def test_shared_keys_over_batches():
     import numpy as np
     import pyarrow as pa
