@@ -18,6 +18,22 @@ def elements(s, d):
     return V.site_elements(with_bases(s, d).filter("cigar = '36M'"))
 
 
+def all_elements(s, d):
+    return V.site_elements(with_bases(s, d))
+
+
+#: Aligned stretches (place on the reference, place in the read, length) of the five CIGARs.
+STRETCHES = {
+    "st": "SELECT * FROM (VALUES ('36M', 0, 0, 36), ('20M1D16M', 0, 0, 20), ('20M1D16M', 21, 20, 16), ('18M2I16M', 0, 0, 18), ('18M2I16M', 18, 20, 16), ('10M100N26M', 0, 0, 10), ('10M100N26M', 110, 10, 26), ('4S32M', 0, 4, 32)) t(cigar, r, q, n)",
+    "el": "SELECT rname AS chrom, pos0 + r + i AS pos0, ordinal, substr('ACGT', CAST((ordinal % 4 + q + i) % 4 + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, n)) AS i FROM fx_aln JOIN st USING (cigar) WHERE flag & 1796 = 0)",
+}
+
+
+@query("c03_first_base_all", "SELECT chrom, pos0, arg_min(base, ordinal) AS cons FROM el GROUP BY ALL", STRETCHES)
+def _(s, d):
+    return V.cheap_consensus(all_elements(s, d), "first")
+
+
 @query("c03_first_base", "SELECT chrom, pos0, arg_min(base, ordinal) AS cons FROM el GROUP BY ALL", PLAIN)
 def _(s, d):
     return V.cheap_consensus(elements(s, d), "first")
@@ -31,6 +47,11 @@ def _(s, d):
     return V.cheap_consensus(elements(s, d), "union")
 
 
+@query("c03_union_bases_all", f"SELECT chrom, pos0, CASE string_agg(DISTINCT base, '' ORDER BY base) {CODES} END AS cons FROM el GROUP BY ALL", STRETCHES)
+def _(s, d):
+    return V.cheap_consensus(all_elements(s, d), "union")
+
+
 @query("c06_indel_sites", "SELECT rname, pos0 FROM (SELECT rname, pos0 + CASE cigar WHEN '20M1D16M' THEN 19 ELSE 17 END AS pos0 FROM fx_aln WHERE flag & 1796 = 0 AND cigar IN ('20M1D16M', '18M2I16M')) GROUP BY ALL")
 def _(s, d):
     from ..operators.alignments import pileup
@@ -40,17 +61,17 @@ def _(s, d):
 
 @query("c01_genotype_likelihoods")
 def _(s, d):
-    return V.genotype_likelihoods(elements(s, d))
+    return V.genotype_likelihoods(all_elements(s, d))
 
 
 @query("c01_genotype_likelihoods_maq")
 def _(s, d):
-    return V.genotype_likelihoods(elements(s, d), model="maq")
+    return V.genotype_likelihoods(all_elements(s, d), model="maq")
 
 
 @query("c02_consensus")
 def _(s, d):
-    return V.consensus(V.genotype_likelihoods(elements(s, d)))
+    return V.consensus(V.genotype_likelihoods(all_elements(s, d)))
 
 
 CNS = {
