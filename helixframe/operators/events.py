@@ -273,12 +273,13 @@ def tag_blocks(tags: DataFrame, read_length: int, min_span: int) -> DataFrame:
     return segs.withColumn("n_spanned", spanned).filter("n_spanned >= 2").select("tag_id", F.col("s").alias("block_start0"), F.col("e").alias("block_end1"), "n_spanned")
 
 
-def recombined_junctions(locus_exon: DataFrame, dist: int = 5, max_exons: int = 1000) -> DataFrame:
-    """Every left with every later right exon of a locus at least ``dist`` apart; loci of more than ``max_exons`` exons are passed over."""
-    n = locus_exon.groupBy("locus").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") <= max_exons).select("locus")
-    e = locus_exon.join(n, "locus", "left_semi")
-    b = e.select("locus", F.col("start0").alias("next_start0"), F.col("end1").alias("next_end1"))
-    return e.join(b, "locus").filter(F.col("next_start0") - F.col("end1") >= dist).select(*LOCUS, "start0", "end1", "next_start0", "next_end1").distinct()
+def recombined_junctions(locus_exon: DataFrame, dist: int = 5, block: int = 1000) -> DataFrame:
+    """Every left with every later right exon of a locus at least ``dist`` apart; left exons of large loci are dealt into blocks of some ``block``."""
+    n = locus_exon.groupBy("locus").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks"))
+    sized = locus_exon.join(n, "locus")
+    e = sized.withColumn("block", F.pmod(F.xxhash64("start0", "end1"), F.col("n_blocks"))).drop("n_blocks")
+    b = sized.select("locus", F.col("start0").alias("next_start0"), F.col("end1").alias("next_end1"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    return e.join(b, ["locus", "block"]).filter(F.col("next_start0") - F.col("end1") >= dist).select(*LOCUS, "start0", "end1", "next_start0", "next_end1").distinct()
 
 
 def splice_graph_edges(blocks: DataFrame, junctions: DataFrame) -> DataFrame:

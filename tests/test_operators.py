@@ -161,3 +161,9 @@ def test_collapse_linear_runs(spark):
     got = {r.start0: r.run0 for r in E.collapse_linear(df).collect()}
     assert got == {0: 0, 10: 0, 20: 0, 30: 30, 40: 40, 50: 50, 60: 50}
     assert {(r.start0, r.end1, r.score) for r in E.graph_bed(E.collapse_linear(df)).collect()} == {(0, 30, 3), (30, 40, 1), (40, 50, 1), (50, 70, 2)}
+
+
+def test_recombined_junctions_of_a_large_locus(spark):
+    rows = [(1, "c", "+", 10 * i, 10 * i + 5) for i in range(1200)]
+    out = E.recombined_junctions(spark.createDataFrame(rows, "locus long, chrom string, strand string, start0 long, end1 long"))
+    assert out.count() == 1200 * 1199 // 2
