@@ -121,8 +121,8 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
 
     The automaton holds what the key's smaller docs say. Pieces of one doc are matched first and then added, unless the
     automaton has all of their windows already. It is begun anew where a key ends, once it is large. A key that brings
-    more than ``shard`` tokens adds no more: its later pieces are matched and also given with their words, to be compared
-    with each other by ``_windows``.
+    more than ``shard`` tokens adds no more: its later pieces are matched, and what of them isn't found is given with its
+    words, to be compared with each other by ``_windows``.
     """
     automaton, size, began, full = SuffixAutomaton(), 0, 0, False
     key = doc = None
@@ -154,7 +154,11 @@ def _match(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterat
                 at = to + 1
             if len(long) < len(tokens) - window + 1:
                 if full:
-                    out.append((d, tk, start, len(tokens), text))
+                    at = window - 1
+                    for end in [*long, len(tokens)]:  # stretches of the windows that the automaton hasn't
+                        if end > at:
+                            out.append((d, tk, start + at - window + 1, end - at, b" ".join(tokens[at - window + 1 : end])))
+                        at = end + 1
                 else:
                     waiting.append(tokens)
         if out:
