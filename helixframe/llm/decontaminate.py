@@ -55,7 +55,7 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WORDS, share: int = SHARE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, hits, items, contaminated.
+    """One row per document: doc_id, n_words, n_hit, hits, items, contaminated, text_key (the text's 64-bit hash).
 
     ``hits`` are (start, length) of the windows that occur, in words; ``n_hit`` counts the words in any of them, ``items``
     are the ids, as strings, whose windows occur. A document is contaminated if at least one word in ``share`` is hit.
@@ -95,4 +95,4 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW_WOR
     end = lambda h: h["start"] + h["length"]
     n_hit = F.aggregate("hits", zero, lambda a, h: F.struct(F.greatest(a["end"], end(h)).alias("end"), (a["n"] + F.greatest(end(h) - F.greatest(a["end"], h["start"]), F.lit(0).cast("long"))).alias("n")), lambda a: a["n"])
     each = one.withColumn("n_hit", n_hit).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    return each.select("doc_id", "n_words", "n_hit", "hits", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"))
+    return each.select("doc_id", "n_words", "n_hit", "hits", "items", ((F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words"))).alias("contaminated"), "text_key")

@@ -12,25 +12,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, id_and_text
+from .common import Crowds, cut, id_and_text, mixed, spread_join, stored
 from .components import connected_components
 
-#: Most edits between lines that count as the same; shorter lines are left alone.
-EDITS, MIN_CHARS = 2, 20
+#: Most edits between longer lines that count as the same.
+EDITS = 2
+#: Shortest line that is compared at all, and shortest that is compared by edits; those between are compared exactly.
+MIN_CHARS, NEAR_CHARS = 1, 20
 #: A segment's lines are compared in pairs up to the square of this number; those of commoner segments are linked by their variants.
 HOT = 1024
+#: Lines of one segment that a task sends to be compared; what goes beyond is linked by variants.
+CROWD = 128
 #: Rows that a task takes at once.
 ROWS_HELD = 1 << 17
 #: Base of the variants' polynomial hashes, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Lines that a task remembers, to send the segments of a line that it meets again but once.
-LINES_KEPT = 200_000
-#: Up to so many line hashes are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
+#: Up to so many line ids are broadcast (8 bytes each) to fetch their texts; more are joined by a shuffle.
 BROADCAST_LINES = 1_000_000
 BLANKS = " \t\r\x0b\x0c"
-#: Stands for a null doc_id in keys.
-NO_ID = -(1 << 63)
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -100,9 +100,14 @@ def signature(line: str) -> int:
     return int(np.packbits((np.bincount(codes & 63, minlength=64) & 1).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterator[pa.RecordBatch]:
-    """(key, line, sign): segments of each line, and its probes for others. line: its hash, with the last bit of key set for a probe."""
-    digest, plans, seen = xxhash.xxh64_intdigest, {}, set()
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """(key, line, sign) of rows (id, line): a line's own segments, and its probes for others with the last bit of key set.
+
+    A key that more than ``crowd`` lines of this task have is told once by a row with line -1; further lines of it are
+    given alone, as -2 - id under keys of their own, so that they don't meet in one task.
+    """
+    digest, plans = xxhash.xxh64_intdigest, {}
+    crowds = Crowds(crowd)
 
     def plan(n: int) -> list[tuple[int, int, int, int]]:
         if n not in plans:
@@ -110,67 +115,55 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int) -> Iterator
             plans[n] = [(k[0] * 8 + k[1], k[2], k[2] + k[3], 0) for k in own] + [(k[0] * 8 + k[1], k[2], k[2] + k[3], 1) for k in probes(n, edits) if k not in own]
         return plans[n]
 
+    def made(keys: list[int], lines: list[int], signs: list[int], times: list[int]) -> pa.RecordBatch:
+        key, n = np.array(keys, np.uint64).view(np.int64), np.array(times)
+        line, sign = np.repeat(np.array(lines, np.int64), n), np.repeat(np.array(signs, np.int64), n)
+        many, marks = crowds.beyond(key >> 1)
+        if many.any():
+            alone, marks = np.unique(line[many]), marks << 1
+            own = mixed(alone) >> 1 << 1
+            key = np.concatenate([key[~many], marks, own])
+            line = np.concatenate([line[~many], np.full(len(marks), -1), -2 - alone])
+            sign = np.concatenate([sign[~many], np.zeros(len(marks) + len(alone), np.int64)])
+        return pa.record_batch([pa.array(key), pa.array(line), pa.array(sign)], names=["key", "line", "sign"])
+
     for b in batches:
         keys: list[int] = []
         lines: list[int] = []
         signs: list[int] = []
         times: list[int] = []
-        for text in b.column(0):
-            for line in text.as_py().split("\n"):
-                line = line.strip(BLANKS)
-                if len(line) < least:
-                    continue
-                h = digest(line, 42)
-                if h in seen:
-                    continue
-                if len(seen) >= LINES_KEPT:
-                    seen.clear()
-                seen.add(h)
-                own = plan(len(line))
-                keys += [digest(line[a:e], seed) >> 1 << 1 | probe for seed, a, e, probe in own]
-                lines.append(h)
-                signs.append(signature(line))
-                times.append(len(own))
+        for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            own = dict.fromkeys(digest(line[a:e], seed) >> 1 << 1 | probe for seed, a, e, probe in plan(len(line)))
+            keys += own
+            lines.append(i)
+            signs.append(signature(line))
+            times.append(len(own))
             if len(keys) > 100_000:
-                yield _key_batch(keys, lines, signs, times)
+                yield made(keys, lines, signs, times)
                 keys, lines, signs, times = [], [], [], []
         if keys:
-            yield _key_batch(keys, lines, signs, times)
-
-
-def _key_batch(keys, lines, signs, times) -> pa.RecordBatch:
-    n = np.array(times)
-    return pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(np.repeat(np.array(lines, np.uint64).view(np.int64), n)), pa.array(np.repeat(np.array(signs, np.int64), n))], names=["key", "line", "sign"])
+            yield made(keys, lines, signs, times)
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of different lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key.
+    """Pairs (a, b) of lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key and line.
 
-    Lines whose own segment comes with too many others to compare all pairs are given alone, with a null b.
+    Lines of a crowded key, or whose own segment comes with too many others to compare all pairs, are given alone, with a null b.
     """
     held: list[tuple[np.ndarray, ...]] = []
     passing = None  # a key whose lines are all given alone
 
-    def once(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
-        same = key[1:] >> 1 == key[:-1] >> 1
-        some = np.flatnonzero(np.concatenate([same, [False]]) | np.concatenate([[False], same]))
-        some = some[np.lexsort((line[some], key[some]))]
-        new = np.ones(len(some), bool)
-        new[1:] = (key[some[1:]] != key[some[:-1]]) | (line[some[1:]] != line[some[:-1]])
-        return key[some[new]], line[some[new]], sign[some[new]]
-
     def alone(line: np.ndarray) -> pa.RecordBatch:
-        line = np.unique(line)
+        line = np.unique(line[line >= 0])
         return pa.record_batch([pa.array(line), pa.nulls(len(line), pa.int64())], names=["a", "b"])
 
     def paired(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, line, sign = once(key, line, sign)
         if not len(key):
             return
         own, key = key & 1 == 0, key >> 1  # a key's own lines come before its probes
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        many = np.repeat(np.add.reduceat(own.astype(np.int64), starts) * sizes > hot * hot, sizes)
+        many = np.repeat((sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) * sizes > hot * hot) | (np.minimum.reduceat(line, starts) == -1), sizes)
         if many.any():
             yield alone(line[many])
         left, right = [], []
@@ -188,6 +181,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
 
     for batch in batches:
         key, line, sign = (batch.column(i).to_numpy() for i in range(3))
+        if (lone := line < -1).any():
+            yield alone(-2 - line[lone])
+            key, line, sign = key[~lone], line[~lone], sign[~lone]
         if passing is not None and len(key):
             stop = int(np.searchsorted(key >> 1, passing, "right"))
             if stop:
@@ -206,12 +202,10 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
             yield from paired(key[:stop], line[:stop], sign[:stop])
         key, line, sign = key[stop:], line[stop:], sign[stop:]
         if len(key) >= ROWS_HELD // 2:  # one key
-            last = key[-1] >> 1
-            key, line, sign = once(key, line, sign)
             own = key & 1 == 0
-            if int(own.sum()) * len(key) > hot * hot:
+            if line[0] == -1 or int(own.sum()) * len(key) > hot * hot:
                 yield alone(line)
-                passing = last
+                passing = key[-1] >> 1
                 key, line, sign = key[:0], line[:0], sign[:0]
             elif not own[-1:].all():  # no further own lines: the few there are meet the probes as they come
                 yield from paired(key, line, sign)
@@ -262,7 +256,7 @@ def _hashed(line: str, edits: int) -> Iterator[tuple[np.ndarray, int, int]]:
 
 
 def _variants(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
-    """(key, d, room, line) for the variants of rows (short, line): ``room`` is how many characters two lines may leave out together."""
+    """(key, d, room, line) for the variants of rows (id, line): ``room`` is how many characters two lines may leave out together."""
 
     def made(rows: list[tuple]) -> pa.RecordBatch:
         n = [len(h) for h, *_ in rows]
@@ -271,9 +265,9 @@ def _variants(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Reco
 
     for b in batches:
         rows, total = [], 0
-        for short, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for own, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             for hashes, d, w in _hashed(line, edits):
-                rows.append((hashes, d, edits - w, short))
+                rows.append((hashes, d, edits - w, own))
                 total += len(hashes)
                 if total > ROWS_HELD:
                     yield made(rows)
@@ -313,41 +307,63 @@ def _lines(rows: DataFrame, least: int) -> DataFrame:
     return each.withColumn("line", F.trim("line", F.lit(BLANKS))).filter(F.char_length("line") >= least)
 
 
-def line_id(line: Column) -> Column:
-    return F.unhex(F.md5(line))
+def _digests(line: str) -> list[Column]:
+    """128 bits of a line, by which its places find it."""
+    return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
-    """(id, first): for each repeated or linked line, by md5, the (nulls last, doc_id, line number) that its class is first met at."""
-    rows = id_and_text(docs, id_col, text_col)
-    keyed = rows.select("text").mapInArrow(partial(_keys, edits=edits, least=min_chars), "key long, line long, sign long")
-    found = cut(keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key").mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long").distinct())
-    lines = _lines(rows, min_chars)
-    pairs, many = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("short"))
+def distinct_lines(rows: DataFrame, min_chars: int) -> DataFrame:
+    """A table (id, line, n, first): each different line once, its number of places and the smallest doc_id that has it."""
+    each = _lines(rows, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    return stored(each.select(F.monotonically_increasing_id().alias("id"), "line", "n", "first"))
+
+
+def near_lines(lines: DataFrame, edits: int, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
+    """Links (a, b) between the ids of ``lines`` (id, line, all different) that connect those within ``edits`` of each other."""
+    keyed = lines.mapInArrow(partial(_keys, edits=edits, crowd=crowd), "key long, line long, sign long")
+    dealt = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line")
+    found = cut(dealt.mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long").distinct())
+    pairs, many = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("id"))
     if not many.isEmpty():
-        common = lines.select(F.xxhash64("line").alias("short"), "line").join(many, "short", "left_semi").distinct()
-        dealt = common.repartition("short").mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
+        common = lines.join(many, "id", "left_semi").select("id", "line").repartition("id")
+        dealt = common.mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
         pairs = cut(pairs.unionByName(dealt.mapInArrow(_stars, "a long, b long")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("short")).distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     few = wanted.count() <= BROADCAST_LINES
-    texts = cut(lines.select(F.xxhash64("line").alias("short"), "line").join(F.broadcast(wanted) if few else wanted, "short", "left_semi").distinct())
-    both = pairs.join(texts.select(F.col("short").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("short").alias("b"), F.col("line").alias("y")), "b")
-    links = both.select(line_id(F.col("x")).alias("a"), line_id(F.col("y")).alias("b"), "x", "y").mapInArrow(partial(_verified, edits=edits), "a binary, b binary")
+    texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "line"))
+    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(partial(_verified, edits=edits), "a long, b long")
+
+
+def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
+    """(h, h2, n, root, first) of each line of ``rows`` (doc_id, text) that is met n > 1 times or linked.
+
+    ``root`` names the class and ``first`` is the smallest doc_id that has one of its lines.
+    """
+    lines = distinct_lines(rows, min_chars)
+    links = near_lines(lines.filter(F.char_length("line") >= max(near_chars, edits + 1)).select("id", "line"), edits, hot, crowd)
     roots = connected_components(links).withColumnRenamed("node", "id")
-    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc"), F.col("at"))
-    exact = lines.select(line_id(F.col("line")).alias("id"), place.alias("place")).groupBy("id").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
-    known = cut(exact.join(roots, "id", "left").filter("n > 1 or root is not null").select("id", "first", F.coalesce("root", "id").alias("root")))
-    firsts = known.groupBy("root").agg(F.min("first").alias("first"))
-    return known.select("id", "root").join(firsts, "root").select("id", "first")
+    known = cut(lines.join(roots, "id", "left").filter("n > 1 or root is not null").select(*_digests("line"), "n", "first", F.coalesce("root", "id").alias("root")))
+    firsts = cut(known.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("m")))
+    return spread_join(known.drop("first"), firsts, ["root"], "m").select("h", "h2", "n", "root", "first")
 
 
-def _removed(docs: DataFrame, edits: int, min_chars: int, id_col: str, text_col: str, hot: int = HOT) -> DataFrame:
-    """(k, text_key, removed): the line numbers that go from each document that loses any; k is the doc_id, NO_ID where null."""
-    classes = line_classes(docs, edits, min_chars, id_col, text_col, hot)
-    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("doc"), F.col("at"))
-    met = _lines(id_and_text(docs, id_col, text_col), min_chars).select("doc_id", "text_key", "at", line_id(F.col("line")).alias("id"), place.alias("place"))
-    gone = met.join(classes, "id").filter(F.col("place") != F.col("first"))
-    return gone.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), "text_key").agg(F.array_sort(F.collect_set("at")).alias("removed"))
+def _removed(docs: DataFrame, edits: int, min_chars: int, near_chars: int, id_col: str, text_col: str, hot: int, crowd: int) -> DataFrame:
+    """(doc_id, text_key, removed): the line numbers that go from each document that loses any."""
+    rows = id_and_text(docs, id_col, text_col)
+    known = cut(line_classes(rows, edits, min_chars, near_chars, hot, crowd))
+    places = _lines(rows, min_chars).select("doc_id", "text_key", "at", *_digests("line"))
+    earlier = F.coalesce(F.col("first") < F.col("doc_id"), F.col("first").isNotNull())
+    met = spread_join(places, known, ["h", "h2"], "n").select("doc_id", "text_key", "root", "at", earlier.alias("earlier"))
+    own = met.repartition("doc_id", "text_key").groupBy("doc_id", "text_key", "root").agg(F.min("at").alias("own"), F.collect_set("at").alias("ats"), F.bool_or("earlier").alias("earlier"))
+    gone = own.select("doc_id", "text_key", F.when(F.col("earlier"), F.col("ats")).otherwise(F.array_remove("ats", F.col("own"))).alias("ats")).filter("size(ats) > 0")
+    return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("removed"))
+
+
+def _judged(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text_key, ...) with the line numbers that each loses, null where none."""
+    gone = gone.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "removed").hint("shuffle_hash")
+    return rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left").drop("_doc", "_key")
 
 
 def _kept(lines: str, removed: str) -> Column:
@@ -355,34 +371,38 @@ def _kept(lines: str, removed: str) -> Column:
     return F.array_join(F.transform(stays, lambda i: F.get(lines, i)), "\n")
 
 
-def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT, crowd: int = CROWD) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, removed (line numbers from 0), kept (the text without them).
 
-    Lines end in line feeds; those of ``min_chars`` characters and more, blanks at both ends aside, are compared. Lines of
-    at most ``edits`` edits are linked, links chain, and of each class only the line met first stays (smallest doc_id, then
-    line number). Each line is cut into edits + 1 segments, one of which survives any ``edits`` edits: it is looked for in
-    lines up to ``edits`` longer at the places it can have moved to. What shares a segment and nearly the parities of its
-    characters is verified by the edit distance of the texts. Lines of a segment that more than some ``hot`` lines have are
-    not compared in pairs: of each of them all variants with up to ``edits`` characters left or blotted out are made, and
-    those of one variant are linked to one line, which takes work in proportion to the lines and the square of their length.
+    Lines end in line feeds, and blanks at both ends are not compared. Lines of ``min_chars`` characters and more are: those
+    under ``near_chars`` are linked if they are equal, longer ones if they are at most ``edits`` edits apart. Links chain, and
+    of each class only the lines of the smallest doc_id stay, of those the first. (With 1 for ``min_chars`` blank lines stay.)
+
+    Each different line is told once. A longer one is cut into edits + 1 segments, one of which survives any ``edits``
+    edits: it is looked for in lines up to ``edits`` longer at the places it can have moved to. What shares a segment and
+    nearly the parities of its characters is verified by the edit distance of the texts. Lines of a segment that more than
+    some ``hot`` lines, or more than ``crowd`` of one task, have are not compared in pairs: of each of them all variants
+    with up to ``edits`` characters left or blotted out are made, and those of one variant are linked to one line, which
+    takes work in proportion to the lines and the square of their length.
 
-    Null texts are empty; an empty text is one empty line. Null ids come last; rows that repeat an id and text are judged
-    alike, and a line at the first place stays in each. An empty table gives no rows; other columns are ignored.
+    Null texts are empty; an empty text is one empty line; a very long text or line is compared whole. A null id comes after
+    all others. Rows that repeat an id aren't earlier than each other: each keeps its own first line of a class. Rows that
+    are equal are judged alike. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
-    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.coalesce("doc_id", F.lit(NO_ID)).alias("k"), F.xxhash64("text").alias("text_key"), "text")
-    judged = rows.join(_removed(docs, edits, min_chars, id_col, text_col, hot).hint("shuffle_hash"), ["k", "text_key"], "left")
+    rows = id_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    judged = _judged(rows, _removed(docs, edits, min_chars, near_chars, id_col, text_col, hot, crowd))
     parts = judged.select("doc_id", F.split("text", "\n").alias("ls"), F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
     return parts.select("doc_id", F.size("ls").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), "removed", _kept("ls", "removed").alias("kept"))
 
 
-def rewrite(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
+def rewrite(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """``documents`` rows with the lines that line_dedup removes taken out of ``text`` and ``n_chars`` counted anew.
 
     All rows and columns stay, null texts as nulls; a text that loses nothing is unchanged.
     """
-    names, gone = docs.columns, _removed(docs, edits, min_chars, "doc_id", "text")
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("k"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
-    both = held.join(gone.hint("shuffle_hash"), ["k", "text_key"], "left").select("row", "removed", F.split("row.text", "\n").alias("ls"))
+    names, gone = docs.columns, _removed(docs, edits, min_chars, near_chars, "doc_id", "text", HOT, CROWD)
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
+    both = _judged(held, gone).select("row", "removed", F.split("row.text", "\n").alias("ls"))
     text = F.when(F.col("removed").isNull(), F.col("row.text")).otherwise(_kept("ls", "removed"))
     new = {"text": text, "n_chars": F.when(F.col("removed").isNull(), F.col("row.n_chars")).otherwise(F.char_length(text).cast("long"))} if "n_chars" in names else {"text": text}
     return both.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in names))

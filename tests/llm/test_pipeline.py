@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helixframe.llm import decontaminate, packing, simhash
@@ -59,3 +60,25 @@ def test_empty_table(spark, tables, tmp_path):
     spark.read.parquet(f"{tables}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert decontaminate.contamination and packing.best_fit_pack
+
+
+def test_rows_are_judged_and_not_ids(spark, tables):
+    item = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    a, b, c = ("the river and the stone walk under the old light of garden " + w for w in ("one two three", "and other words that differ from it by far more", "which is a third text about something else again"))
+    schema = "doc_id long, text string, lang string, `row` long, best string, fp long, n_chars long"
+    row = lambda i, t, x=0: (i, t, None, x, None, x, 1)
+    rows = [row(3, a), row(7, a), row(7, b), row(9, c), row(9, c), row(9, c), row(None, a), row(11, None), row(None, ""), row(5, item), row(5, "clean words of the same id"), row(5, item)]
+    df = spark.createDataFrame(rows, schema)
+    near = corpus_pipeline.near_dedup(spark, df, tables)
+    assert near.columns == df.columns
+    want = [row(3, a), row(7, b), row(9, c), row(11, None), row(5, item), row(5, "clean words of the same id")]
+    assert sorted(map(str, near.collect())) == sorted(map(str, spark.createDataFrame(want, schema).collect()))
+    clean = corpus_pipeline.decontaminated(spark, df, tables)
+    assert sorted(map(str, clean.collect())) == sorted(map(str, spark.createDataFrame([r for r in rows if r[1] != item], schema).collect()))
+    other = [row(2, a, 1), row(2, a, 2)]
+    left = corpus_pipeline.near_dedup(spark, spark.createDataFrame(other, schema), tables).collect()
+    assert len(left) == 1 and left[0].doc_id == 2
+    lines = corpus_pipeline.dedup_lines(spark, df, tables)
+    assert lines.columns == df.columns and lines.count() == len(rows)
+    told = corpus_pipeline.language_id(spark, df.withColumn("lang", F.lit("en")), tables)
+    assert told.columns == df.columns and told.filter("text is null or text = ''").count() == 0

@@ -200,8 +200,7 @@ def test_banded_edit_distance():
             assert line_dedup.edit_distance(a, b, most) == min(plain_distance(a, b), most + 1), (a, b, most)
 
 
-def brute_lines(rows, edits, least):
-    place = lambda i, n: (i is None, i or 0, n)
+def brute_lines(rows, edits, least, near):
     each = [(i, n, x.strip(line_dedup.BLANKS)) for i, t in rows for n, x in enumerate((t or "").split("\n"))]
     texts = sorted({x for _, _, x in each if len(x) >= least})
     group = {x: x for x in texts}
@@ -213,24 +212,33 @@ def brute_lines(rows, edits, least):
 
     for k, x in enumerate(texts):
         for y in texts[:k]:
-            if abs(len(x) - len(y)) <= edits and plain_distance(x, y) <= edits:
+            if min(len(x), len(y)) >= near and abs(len(x) - len(y)) <= edits and plain_distance(x, y) <= edits:
                 group[find(x)] = find(y)
+    order = lambda i: (i is None, i or 0)
     first = {}
-    for i, n, x in each:
+    for i, _, x in each:
         if len(x) >= least:
-            first[find(x)] = min(first.get(find(x), (True, 1 << 60, 0)), place(i, n))
+            first[find(x)] = min(first.get(find(x), (True, 1 << 60)), order(i))
     out = []
     for i, t in rows:
-        lines = (t or "").split("\n")
-        keep = [x for n, x in enumerate(lines) if len(s := x.strip(line_dedup.BLANKS)) < least or first[find(s)] == place(i, n)]
+        lines, met, keep = (t or "").split("\n"), set(), []
+        for x in lines:
+            s = x.strip(line_dedup.BLANKS)
+            if len(s) >= least:
+                root = find(s)
+                if first[root] != order(i) and first[root] < order(i) or root in met:
+                    continue
+                met.add(root)
+            keep.append(x)
         out.append((str(i), len(lines), len(lines) - len(keep), "\n".join(keep)))
     return sorted(out)
 
 
-def test_line_dedup_against_brute_force(spark):
+@pytest.mark.parametrize("least", [0, 1])
+def test_line_dedup_against_brute_force(spark, least):
     rng = random.Random(11)
-    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([8, 9, 10, 11, 12, 30]))) for _ in range(25)]
-    rows = [(500, None), (501, ""), (502, "\n\n"), (503, "x" * 3000), (504, "x" * 3001), (505, "x" * 3003)]
+    base = ["".join(rng.choice("abcdé ") for _ in range(rng.choice([1, 3, 7, 8, 9, 10, 11, 12, 30]))) for _ in range(25)]
+    rows = [(500, None), (501, ""), (502, "\n\n"), (503, "x" * 3000), (504, "x" * 3001), (505, "x" * 3003), (-(1 << 63), "Read more\nShare"), ((1 << 63) - 1, "Read more\nShare")]
     for i in range(70):
         lines = []
         for _ in range(rng.randrange(6)):
@@ -241,19 +249,27 @@ def test_line_dedup_against_brute_force(spark):
             lines.append(rng.choice(["", " ", "\t"]) + "".join(x) + rng.choice(["", "\r"]))
         rows.append((i, "\n".join(lines)))
     rows += [(None, rows[20][1]), (None, base[0] + "\n" + base[0]), rows[30], (rows[31][0], rows[32][1])]
-    got = line_dedup.line_dedup(docs(spark, rows), edits=2, min_chars=8).collect()
-    assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got) == brute_lines(rows, 2, 8)
+    got = line_dedup.line_dedup(docs(spark, rows), edits=2, min_chars=least, near_chars=8).collect()
+    assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got) == brute_lines(rows, 2, least, 8)
     assert line_dedup.line_dedup(docs(spark, [])).count() == 0
 
 
-def test_common_segments_against_brute_force(spark):
+def test_common_segments_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     base = "entry number {} of the book {}"
     rows = [(i, "\n".join(base.format(rng.randrange(40), rng.choice(["a", "bc", "xyz", "wxyz", "vwxyz"])) for _ in range(3))) for i in range(60)]
     rows += [(100 + i, "".join(rng.choice("ab") for _ in range(rng.randrange(8, 12)))) for i in range(60)]
-    for hot in (0, 3):
-        got = line_dedup.line_dedup(docs(spark, rows), edits=2, min_chars=8, hot=hot).collect()
-        assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got) == brute_lines(rows, 2, 8)
+    for hot, crowd in ((3, 128), (1024, 2), (1024, 128)):
+        monkeypatch.setattr(line_dedup, "BROADCAST_LINES", 0 if crowd == 2 else 1_000_000)
+        got = line_dedup.line_dedup(docs(spark, rows), edits=2, near_chars=8, hot=hot, crowd=crowd).collect()
+        assert sorted((str(r.doc_id), r.n_lines, r.n_removed, r.kept) for r in got) == brute_lines(rows, 2, 1, 8)
+
+
+def test_one_line_in_thousands_of_documents(spark):
+    same = "a very common line that stands in each of them"
+    rows = spark.range(3000, numPartitions=300).select(F.col("id").alias("doc_id"), F.concat(F.lit(same + "\nown "), F.md5(F.col("id").cast("string"))).alias("text"))
+    got = line_dedup.line_dedup(rows).groupBy("n_removed").count().collect()
+    assert {r.n_removed: r["count"] for r in got} == {0: 1, 1: 2999}
 
 
 def test_pairs_of_a_common_segment_stay_in_proportion():
@@ -261,7 +277,7 @@ def test_pairs_of_a_common_segment_stay_in_proportion():
     import pyarrow as pa
 
     n = 6000
-    key, line = np.repeat(np.array([2, 3, 8]), n), np.tile(np.arange(n), 3)
+    key, line = np.repeat(np.array([2, 3, 8]), n), np.tile(np.arange(n), 3)  # a key's own lines, its probes, and another key's
     batches = [pa.record_batch([pa.array(x[i : i + 1000]) for x in (key, line, np.zeros(3 * n, np.int64))], names=["key", "line", "sign"]) for i in range(0, 3 * n, 1000)]
     out = [b for b in line_dedup._candidates(iter(batches), 2)]
     assert sum(b.num_rows for b in out) <= 4 * n and {x for b in out for x in b.column(0).to_pylist()} == set(range(n))
