@@ -7,7 +7,7 @@ cons_q, snp_q, rms_mapq, depth, ...).
 from __future__ import annotations
 
 import math
-from functools import lru_cache, partial
+from functools import lru_cache
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -153,77 +153,6 @@ def variants_only(calls: DataFrame) -> DataFrame:
     return calls.filter((F.col("ref") == "*") | ((F.col("cons") != F.upper("ref")) & (F.col("cons") != "N") & (F.col("ref") != "N")))
 
 
-#: Letters of filter reasons: fixed values (quality, depth, great depth, dense SNPs, near a gap, near a better gap, SNP and indel quality).
-REASONS = {"quality": "Q", "shallow": "d", "deep": "D", "dense": "W", "near_gap": "G", "worse_gap": "g", "snp_quality": "s", "indel_quality": "i"}
-
-
-def _deletion(cons: Column) -> Column:
-    """The length of an indel genotype's longer deletion, 0 without one."""
-    alleles = F.split(cons, "/")
-    gone = F.transform(alleles, lambda a: F.when(a.startswith("-"), F.length(a) - 1).otherwise(0))
-    long = F.transform(alleles, lambda a: F.length(a) - 1)
-    return F.when((F.get(long, F.lit(0)) > F.get(long, F.lit(1))), F.get(gone, F.lit(0))).otherwise(F.get(gone, F.lit(1)))
-
-
-def _filtered(rows: pd.DataFrame, p: dict) -> pd.DataFrame:
-    """One cluster in order: what a site is told by those before it, and what it tells them."""
-    rows = rows.sort_values(["pos1", "is_indel"], kind="stable").reset_index(drop=True)
-    reason: list[str] = []
-    seen: list[dict] = []
-    for r in rows.itertuples():
-        why, score, gone = "", -1, 0
-        if r.depth < p["d"]:
-            why = "d"
-        elif r.depth > p["D"]:
-            why = "D"
-        if r.is_indel and p["i"] and r.snp_q < p["i"]:
-            why = "i"
-        elif not r.is_indel and p["S"] and r.snp_q < p["S"]:
-            why = "s"
-        within = lambda x, w: x["pos"] + x["gone"] + w >= r.pos1  # noqa: B023, E731
-        if not why and r.is_indel:
-            gone = r.gone
-            why = "Q" if r.rms_mapq < p["q"] else ""
-            if r.snp_q >= p["G"]:
-                for x in seen:
-                    if x["score"] < 0 and within(x, p["w"]) and not reason[x["i"]]:
-                        reason[x["i"]] = "G"
-            score = r.snp_q + sum(p["s"] * n for a, n in ((r.a1, r.cnt1), (r.a2, r.cnt2)) if a != "*")
-            for x in seen:
-                if x["score"] >= 0 and within(x, p["l"]):
-                    if x["score"] >= score:
-                        why = "g"
-                        break
-                    reason[x["i"]] = "g"
-        elif not why:
-            why = "Q" if r.rms_mapq < p["Q"] else ""
-            near = [x for x in seen if x["score"] < 0 and within(x, p["W"])]
-            if 1 + sum(reason[x["i"]] in ("", "W", "G") for x in near) > p["N"]:
-                why = "W"
-                for x in near:
-                    reason[x["i"]] = reason[x["i"]] or "W"
-            elif any(x["score"] >= p["G"] and within(x, p["w"]) for x in seen):
-                why = "G"
-        seen.append({"i": len(reason), "pos": r.pos1, "gone": gone, "score": score})
-        reason.append(why)
-    return rows.assign(reason=reason)
-
-
-def variant_filter(cns: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int = 25, q: int = 10, G: int = 25, s: int = 100, w: int = 10, W: int = 10, N: int = 2, S: int = 0, i: int = 0) -> DataFrame:
-    """Variant rows of a consensus pileup with ``reason``, empty for those that pass.
-
-    Sites act on each other only within the widest window and a deletion's length, so a contig falls into clusters that
-    are judged apart; a task holds one cluster at a time.
-    """
-    var = cns.filter((F.upper("ref") != F.upper("cons")) & (F.col("cons") != "*/*"))
-    rows = var.withColumn("is_indel", F.col("ref") == "*").withColumn("gone", F.when(F.col("is_indel"), _deletion(F.col("cons"))).otherwise(0).cast("long"))
-    rows = rows.withColumns({"_s": F.col("pos1").cast("long"), "_e": F.col("pos1") + F.col("gone") + max(l, w, W) + 1})
-    known = I.number_islands(rows, ["chrom"], "_s", "_e", out="cluster").drop("_s", "_e")
-    params = {"d": d, "D": D, "l": l, "Q": Q, "q": q, "G": G, "s": s, "w": w, "W": W, "N": N, "S": S, "i": i}
-    schema = known.withColumn("reason", F.lit("")).schema
-    return known.groupBy("chrom", "cluster").applyInPandas(partial(_filtered, p=params), schema).drop("cluster", "gone", "is_indel")
-
-
 def genotype_of(ref: Column, cons: Column) -> Column:
     """struct<alt, gt> of a SNP consensus."""
     b = bases_of(cons)

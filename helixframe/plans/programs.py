@@ -13,6 +13,7 @@ from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import quantify as Q
 from ..operators import variants as V
+from ..operators.variant_filter import variant_filter
 
 PROGRAMS: dict[str, Callable] = {}
 
@@ -64,7 +65,7 @@ def call_variants(aln: DataFrame, sequences: DataFrame, model: str = "soap", **f
     none = {"a1": F.lit("*"), "a2": F.lit("*"), "cnt1": F.lit(0).cast("long"), "cnt2": F.lit(0).cast("long")}
     cols = ["chrom", "pos1", "ref", "cons", "cons_q", "snp_q", "rms_mapq", "depth", *none]
     both = snps.withColumns(none).select(*cols).unionByName(V.indel_calls(aln, sequences).select(*cols))
-    passed = V.variant_filter(V.variants_only(both), **filters).filter("reason = ''")
+    passed = variant_filter(V.variants_only(both), **filters).filter("reason = ''")
     return V.to_vcf(passed, sequences)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import variants as V
+from ..operators.variant_filter import variant_filter
 from .fixtures import view, whole_chunks
 from .queries_alignments import with_bases
 from .registry import query
@@ -110,9 +111,35 @@ def _(s, d):
     return one.select("CHROM", "POS", "REF", "ALT", "QUAL", "INFO", "SAMPLE")
 
 
-@query("w06_variant_filter")
+#: The filter's rules read in order of the sites: SNPs of a cluster that no window crosses are taken one after another.
+FILTERED = CNS | {
+    "vs": "SELECT *, row_number() OVER () AS id, ref = '*' AS gap FROM cn WHERE upper(ref) <> upper(cons) AND cons <> '*/*'",
+    "va": """SELECT *, row_number() OVER (PARTITION BY chrom, pos1, gap ORDER BY cons, ref, snp_q, depth, rms_mapq, id) AS seq, CASE WHEN depth < 3 THEN 'd' WHEN depth > 100 THEN 'D' END AS poor, rms_mapq < CASE WHEN gap THEN 10 ELSE 25 END AS low,
+CASE cons WHEN '*/-AC' THEN 2 WHEN '-GG/-G' THEN 2 ELSE 0 END AS gone, snp_q + 100 * (CASE WHEN a1 <> '*' THEN cnt1 ELSE 0 END + CASE WHEN a2 <> '*' THEN cnt2 ELSE 0 END) AS score FROM vs""",
+    "vg": "SELECT * FROM va WHERE gap AND poor IS NULL",
+    "vn": "SELECT a.*, EXISTS (SELECT 1 FROM vg g WHERE g.chrom = a.chrom AND g.score >= 25 AND g.pos1 < a.pos1 AND a.pos1 <= g.pos1 + g.gone + 10) AS after_gap FROM va a WHERE NOT gap AND poor IS NULL",
+    "vc": "SELECT *, sum(new) OVER (PARTITION BY chrom ORDER BY pos1, seq) AS cl FROM (SELECT *, CASE WHEN pos1 - lag(pos1) OVER (PARTITION BY chrom ORDER BY pos1, seq) <= 10 THEN 0 ELSE 1 END AS new FROM vn)",
+    "vk": "SELECT *, row_number() OVER (PARTITION BY chrom, cl ORDER BY pos1, seq) AS k FROM vc",
+    "vd": """WITH RECURSIVE r AS (SELECT DISTINCT chrom, cl, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS seen, CAST(NULL AS BIGINT) AS id, false AS dense FROM vk
+UNION ALL SELECT chrom, cl, k, CASE WHEN NOT low OR after_gap OR dense THEN list_append(seen, pos1) ELSE seen END, id, dense FROM (
+  SELECT v.chrom, v.cl, v.k, v.low, v.after_gap, v.pos1, v.id, r.seen, 1 + len(list_filter(r.seen, lambda p: p >= v.pos1 - 10)) > 2 AS dense FROM r JOIN vk v ON v.chrom = r.chrom AND v.cl = r.cl AND v.k = r.k + 1))
+SELECT id FROM r WHERE dense""",
+    "vl": """SELECT v.id, (SELECT min(x.pos1) FROM vk x JOIN vd USING (id) WHERE x.chrom = v.chrom AND x.pos1 <= v.pos1 + 10 AND (x.pos1 > v.pos1 OR (x.pos1 = v.pos1 AND x.seq > v.seq))) AS lw,
+  (SELECT min(g.pos1) FROM vg g WHERE g.chrom = v.chrom AND g.snp_q >= 25 AND g.pos1 BETWEEN v.pos1 AND v.pos1 + 10) AS lg FROM vk v""",
+    "vp": "SELECT r.id AS rid, r.score AS own, x.id AS xid, x.score, x.pos1, x.seq FROM vg r JOIN vg x ON x.chrom = r.chrom AND x.pos1 + x.gone + 30 >= r.pos1 AND (x.pos1 < r.pos1 OR (x.pos1 = r.pos1 AND x.seq < r.seq))",
+    "vo": "SELECT *, max(CASE WHEN score >= own THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos1, seq) AS stopped FROM vp",
+    "vw": "SELECT rid AS id FROM vo WHERE score >= own UNION SELECT xid FROM vo WHERE stopped = 0",
+}
+
+
+@query(
+    "w06_variant_filter",
+    """SELECT chrom, pos1, ref, cons, CASE WHEN poor IS NOT NULL THEN poor WHEN id IN (SELECT id FROM vw) THEN 'g' WHEN id IN (SELECT id FROM vd) THEN 'W' WHEN after_gap THEN 'G' WHEN low THEN 'Q'
+WHEN lw IS NOT NULL AND (lg IS NULL OR lw <= lg) THEN 'W' WHEN lg IS NOT NULL THEN 'G' ELSE '' END AS reason FROM va LEFT JOIN (SELECT id, after_gap FROM vn) USING (id) LEFT JOIN vl USING (id)""",
+    FILTERED,
+)
 def _(s, d):
-    return V.variant_filter(calls(s, d)).select("chrom", "pos1", "ref", "cons", "reason")
+    return variant_filter(calls(s, d)).select("chrom", "pos1", "ref", "cons", "reason")
 
 
 @query("c08_consensus_fastq")
