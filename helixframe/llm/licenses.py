@@ -15,8 +15,53 @@ from .common import id_and_text
 
 #: Phrases whose every place counts, and their labels: fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: Wording of common licences, and the labels that a span of it gives: fixed values.
+#: Whole licence texts and the notices that stand for longer ones, with the labels that a span of them gives: fixed values.
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the
+Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to
+permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY,
+WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this
+permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE,
+DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
+BSD_HEAD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of
+source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice,
+this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
+BSD_NAMES = """3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior
+written permission."""
+BSD_TAIL = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL,
+EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED
+AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF
+THE POSSIBILITY OF SUCH DAMAGE."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following
+restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an
+acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being
+the original software. 3. This notice may not be removed or altered from any source distribution."""
+UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
+source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
+software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs
+and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the
+"Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
+disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either
+version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with
+this program. If not, see <https://www.gnu.org/licenses/>."""
 TEMPLATES = (
+    ("mit", MIT), ("isc", ISC), ("bsd-2", f"{BSD_HEAD} {BSD_TAIL}"), ("bsd-3", f"{BSD_HEAD} {BSD_NAMES} {BSD_TAIL}"), ("zlib", ZLIB), ("unlicense", UNLICENSE), ("bsl", BOOST), ("apache", APACHE), ("gpl", GPL),
+    ("lgpl", GPL.replace("This program is", "This library is").replace("General", "Lesser General").replace("this program", "this library")),
+    ("agpl", GPL.replace("General", "Affero General")),
+    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
     ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
@@ -57,29 +102,39 @@ class LicenceScanner:
         self.number = {w: i for i, w in enumerate(vocabulary)}
         coded = [[self.number[w] for w in t] for _, t in self.templates]
         self.automaton = SuffixAutomaton()
-        prefixes = [self.automaton.add(t) for t in coded]
-        phrase_states = [self.automaton.add(self.number[w] for w in p) for p in own]
-        #: places (template, end) of each state's strings, and the phrases that they end in, gathered along suffix links
-        self.places: list[list[tuple[int, int]]] = [[] for _ in self.automaton.link]
-        for k, t in enumerate(coded):  # prefix states may have been split since
-            state = matched = 0
-            for end, w in enumerate(t, 1):
-                state, matched = self.automaton.step(state, matched, w)
-                self.places[state].append((k, end))
-        ends: list[list[tuple[int, str]]] = [[] for _ in self.automaton.link]
+        for t in (*coded, *([self.number[w] for w in p] for p in own)):
+            self.automaton.add(t)
+        link, length = self.automaton.link, self.automaton.length
+        #: each state's templates with the places (ends) of its strings in them, and the phrases that its strings end in
+        self.places: list[dict[int, list[int]]] = [{} for _ in link]
+        for k, t in enumerate(coded):
+            for state, end in zip(self._prefixes(t), range(1, len(t) + 1), strict=True):
+                self.places[state].setdefault(k, []).append(end)
+        self.ends: list[list[tuple[int, str]]] = [[] for _ in link]
         for p, label in zip(own, self.phrases.values(), strict=True):
-            state = matched = 0
-            for w in p:
-                state, matched = self.automaton.step(state, matched, self.number[w])
-            ends[state].append((len(p), label))
-        del prefixes, phrase_states
-        by_length = sorted(range(1, len(ends)), key=self.automaton.length.__getitem__)
-        for v in by_length:
-            ends[v] = ends[v] + ends[self.automaton.link[v]]
+            if p:
+                self.ends[self._prefixes([self.number[w] for w in p])[-1]].append((len(p), label))
+        by_length = sorted(range(1, len(link)), key=length.__getitem__)
         for v in reversed(by_length):
-            if self.automaton.link[v] > 0:
-                self.places[self.automaton.link[v]] = sorted({*self.places[self.automaton.link[v]], *self.places[v]})
-        self.ends = ends
+            for k, at in self.places[v].items():
+                self.places[link[v]][k] = sorted({*self.places[link[v]].get(k, ()), *at})
+        #: for each state the (template, state) whose strings are its longest suffixes that the template has
+        self.longest: list[dict[int, int]] = [{} for _ in link]
+        for v in by_length:
+            self.ends[v] = self.ends[v] + self.ends[link[v]]
+            above = self.longest[link[v]] if length[link[v]] >= MATCH_WORDS else {}
+            self.longest[v] = above | dict.fromkeys(self.places[v], v)
+        #: runs of fewer known words hold nothing
+        self.least = min([MATCH_WORDS, *(len(p) for p in own if p)])
+
+    def _prefixes(self, tokens: list[int]) -> list[int]:
+        """The states of the prefixes of an added sequence."""
+        state = matched = 0
+        out = []
+        for t in tokens:
+            state, matched = self.automaton.step(state, matched, t)
+            out.append(state)
+        return out
 
     def scan(self, ws: list[bytes]) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str, float]]]:
         """Phrase places (start, length, label) and template spans (start, end, label, share covered)."""
@@ -89,46 +144,57 @@ class LicenceScanner:
         matches: dict[int, list[tuple[int, int, int]]] = {}
         if len(known):
             for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
-                if len(run) > 1:
+                if len(run) >= self.least:
                     self._stream(ids[run].tolist(), int(run[0]), found, matches)
-        spans = [s for k, own in matches.items() for s in self._chains(k, own)]
-        return found, spans
+        spans = [(n, s) for k, own in matches.items() for n, s in self._spans(k, own)]
+        return found, [s for n, s in spans if not any((m, t[3]) > (n, s[3]) and t[0] <= s[0] and s[1] <= t[1] for m, t in spans)]
 
     def _stream(self, tokens: list[int], base: int, found: list, matches: dict) -> None:
-        step, ends = self.automaton.step, self.ends
+        """Phrases and, for each template, the matches (start, end, end in the template) that can't be made longer."""
+        step, ends, length = self.automaton.step, self.ends, self.automaton.length
         state = matched = 0
+        open_: dict[int, tuple[int, int]] = {}  # per template the length of its match that ends here, and the match's state
         for i, t in enumerate(tokens):
-            before = (state, matched)
             state, matched = step(state, matched, t)
-            if before[1] >= MATCH_WORDS and matched <= before[1]:
-                self._keep(*before, base + i, matches)
+            now = {k: (matched if v == state else length[v], v) for k, v in self.longest[state].items()} if matched >= MATCH_WORDS else {}
+            if open_:
+                self._close({k: x for k, x in open_.items() if k not in now or now[k][0] != x[0] + 1}, base + i, matches)
+            open_ = now
             for n, label in ends[state]:
                 if matched >= n:
                     found.append((base + i + 1 - n, n, label))
-        if matched >= MATCH_WORDS:
-            self._keep(state, matched, base + len(tokens), matches)
+        self._close(open_, base + len(tokens), matches)
 
-    def _keep(self, state: int, matched: int, end: int, matches: dict) -> None:
-        for k, at in self.places[state]:
-            matches.setdefault(k, []).append((end - matched, end, at))
+    def _close(self, over: dict[int, tuple[int, int]], end: int, matches: dict) -> None:
+        for k, (n, state) in over.items():
+            matches.setdefault(k, []).extend((end - n, end, at) for at in self.places[state][k])
 
-    def _chains(self, k: int, own: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str, float]]:
-        """Matches of one template, joined while both document and template go forwards and gaps are short."""
-        label, template = self.templates[k]
-        chain: list[int] = []  # start, end, end in the template, words covered
+    def _spans(self, k: int, own: list[tuple[int, int, int]]) -> Iterator[tuple[int, tuple[int, int, str, float]]]:
+        """The chains of one template's matches that cover enough of it, with the words covered, the best first and others where they don't overlap it.
 
-        def told() -> Iterator[tuple[int, int, str, float]]:
-            if chain and chain[3] >= COVERED * len(template):
-                yield chain[0], chain[1], label, chain[3] / len(template)
-
-        for start, end, at in own:
-            skip = max(0, chain[1] - start, chain[2] - (at - (end - start))) if chain else 0
-            if chain and start - chain[1] <= GAP_WORDS and at > chain[2] and end - start > skip:
-                chain = [chain[0], end, at, chain[3] + end - start - skip]
-            else:
-                yield from told()
-                chain = [start, end, at, end - start]
-        yield from told()
+        In a chain document and template both go forwards and gaps in the document are short; what two matches share counts
+        once. ``best`` is the most words that a chain up to each match covers.
+        """
+        label, template = self.templates[k]
+        own = sorted(set(own), key=lambda m: (m[1], m[0], m[2]))
+        best: list[tuple[int, int]] = []  # words covered, start of the chain
+        for j, (start, end, at) in enumerate(own):
+            top = (end - start, start)
+            i = j - 1
+            while i >= 0 and own[i][1] >= start - GAP_WORDS:
+                _, before, passed = own[i]
+                new = end - start - max(0, before - start, passed - (at - (end - start)))
+                if before < end and passed < at and new > 0:
+                    top = max(top, (best[i][0] + new, best[i][1]))
+                i -= 1
+            best.append(top)
+        taken: list[tuple[int, int]] = []
+        for (n, start), (_, end, _) in sorted(zip(best, own, strict=True), key=lambda x: (-x[0][0], x[1][1] - x[0][1], x[0][1])):
+            if n < COVERED * len(template):
+                break
+            if all(end <= s or e <= start for s, e in taken):
+                taken.append((start, end))
+                yield n, (start, end, label, n / len(template))
 
 
 @lru_cache(4)
@@ -160,10 +226,15 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: tuple, phrases: tuple) -
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, phrases=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, phrases (start, length, label), spans (start, end, label, covered).
 
-    ``phrases`` are all places of the fixed phrases, in words from 0. ``spans`` are chains of matches of MATCH_WORDS or
-    more words with one template's wording that cover COVERED of it; words may be added or left out between matches.
-    Null and empty texts have no words and nothing found; repeated rows give a row each; an empty table gives no rows;
-    other columns are ignored. The automaton is made from the templates where tasks run and doesn't grow with the data.
+    ``phrases`` are all places of the fixed phrases, in words from 0; one word may be a phrase. ``spans`` are the chains of
+    matches of MATCH_WORDS or more words with one template's wording that cover most of it, COVERED at least; words may be
+    added, repeated or left out between matches, up to GAP_WORDS in the document. Of chains of one template that overlap
+    the one that covers most is told, then the shortest, then the first. A document may hold spans of several templates; one
+    inside a span that covers more words, or as many and more of its template, is left out, as wording that differs in a few words stands in several licences.
+
+    Null and empty texts have no words and nothing found; very long texts are streamed through the automaton whole; repeated
+    rows give a row each; an empty table gives no rows; other columns, whatever their names, are ignored. The automaton is
+    made from the templates where tasks run and doesn't grow with the data.
     """
     rows = id_and_text(docs, id_col, text_col).select("doc_id", F.encode("text", "UTF-8"))
     return rows.mapInArrow(partial(_scan, templates=tuple(map(tuple, templates)), phrases=tuple((PHRASES if phrases is None else phrases).items())), _OUT)

@@ -1,3 +1,4 @@
+import functools
 import hashlib
 import random
 import re
@@ -99,12 +100,66 @@ def test_license_scan_against_brute_force(spark):
 
 
 def test_license_templates_chain_over_changes(spark):
-    mit = licenses.TEMPLATES[3][1].split()
-    rows = [(1, "Foo. " + " ".join(mit).upper() + " bar"), (2, " ".join(mit[:12] + ["also", "very"] + mit[12:20] + mit[21:])), (3, " ".join(mit[:10])), (4, "permission is granted to deal in the software"), (5, "Licensed under the Apache License, Version 2.0."), (6, "Licensed under CC BY-NC 4.0.")]
-    got = {r.doc_id: {s["label"] for s in r.spans} for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert got == {1: {"mit"}, 2: {"mit"}, 3: set(), 4: set(), 5: {"apache"}, 6: {"cc-by-nc"}}
-    span = licenses.scan_licenses(docs(spark, rows[:1])).first().spans[0]
-    assert (span["start"], span["end"], span["covered"]) == (1, 1 + len(mit), 1.0)
+    mit = [w.decode() for w in licenses.words(licenses.MIT.encode())]
+    rows = [
+        (1, "Foo. " + licenses.MIT.upper() + " bar"), (2, " ".join(mit[:60] + ["also", "very"] + mit[60:90] + mit[91:])), (3, " ".join(mit[:10])), (4, "permission is granted to deal in the software"),
+        (5, "Licensed under the Apache License, Version 2.0."), (6, "Licensed under CC BY-NC 4.0."), (7, " ".join(mit[:80] + mit[20:24] + mit[80:])), (8, f"{licenses.MIT}\n{licenses.MIT}"), (9, licenses.GPL), (10, "x " * 30_000 + licenses.ISC + " y" * 30_000),
+    ]
+    got = {r.doc_id: r.spans for r in licenses.scan_licenses(docs(spark, rows)).collect()}
+    labels = {i: {s["label"] for s in spans} for i, spans in got.items()}
+    assert labels == {1: {"mit"}, 2: {"mit"}, 3: set(), 4: set(), 5: {"apache"}, 6: {"cc-by-nc"}, 7: {"mit"}, 8: {"mit"}, 9: {"gpl"}, 10: {"isc"}}
+    whole = lambda i, n: [s for s in got[i] if s["end"] - s["start"] >= n]
+    assert [(s["start"], s["end"], s["covered"]) for s in whole(1, len(mit))] == [(1, 1 + len(mit), 1.0)]
+    assert [s["covered"] for s in whole(7, len(mit))] == [1.0] and len(whole(8, len(mit))) == 2 and whole(10, 50)[0]["start"] == 30_000
+    assert licenses.LicenceScanner((), {"gpl": "x", "a b": "y"}).scan([b"foo", b"gpl", b"bar", b"a", b"b"])[0] == [(1, 1, "x"), (3, 2, "y")]
+
+
+def brute_spans(ws, templates):
+    """Spans from a table of common runs and all chains of maximal matches."""
+    out = []
+    for label, template in templates:
+        n, m = len(ws), len(template)
+        run = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n):
+            for j in range(m):
+                if ws[i] == template[j]:
+                    run[i + 1][j + 1] = run[i][j] + 1
+        longest = [max(r) for r in run]
+        own = [(i - longest[i], i, j) for i in range(n + 1) if longest[i] >= licenses.MATCH_WORDS and (i == n or longest[i + 1] != longest[i] + 1) for j in range(m + 1) if run[i][j] == longest[i]]
+
+        @functools.cache
+        def best(x):
+            tops = [(x[1] - x[0], x[0])]
+            for y in own:
+                new = x[1] - x[0] - max(0, y[1] - x[0], y[2] - (x[2] - (x[1] - x[0])))
+                if y[1] < x[1] and y[2] < x[2] and x[0] - y[1] <= licenses.GAP_WORDS and new > 0:
+                    tops.append((best(y)[0] + new, best(y)[1]))
+            return max(tops)
+
+        taken = []
+        for c, s, e in sorted(((*best(x), x[1]) for x in own), key=lambda c: (-c[0], c[2] - c[1], c[1])):
+            if c >= licenses.COVERED * m and all(e <= a or b <= s for a, b in taken):
+                taken.append((s, e))
+                out.append((c, s, e, label, c / m))
+    return sorted(x[1:] for x in out if not any((y[0], y[4]) > (x[0], x[4]) and y[1] <= x[1] and x[2] <= y[2] for y in out))
+
+
+def test_license_spans_against_brute_force():
+    rng = random.Random(12)
+    for _ in range(60):
+        vocab = [f"w{i}".encode() for i in range(rng.choice([3, 6, 20]))]
+        templates = [(f"t{k}", b" ".join(rng.choice(vocab) for _ in range(rng.randrange(4, 16))).decode()) for k in range(4)]
+        templates.append(("inner", " ".join(templates[0][1].split()[1:-1])))
+        scanner = licenses.LicenceScanner(templates, {"w1": "one", "w1 w2": "two"})
+        ws = []
+        for _ in range(5):
+            t = rng.choice(templates)[1].encode().split()
+            at = rng.randrange(len(t))
+            ws += rng.choice([t, t[:at] + [b"zz"] + t[at:], t[:at] + t[at + 1 :], t[:at] + t[max(0, at - 3) :], [rng.choice(vocab) for _ in range(6)], [b"y"] * 13])
+        phrases, spans = scanner.scan(ws)
+        assert sorted(spans) == brute_spans(ws, [(label, t.encode().split()) for label, t in templates])
+        want = [(i, 1, "one") for i, w in enumerate(ws) if w == b"w1"] + [(i, 2, "two") for i in range(len(ws) - 1) if ws[i : i + 2] == [b"w1", b"w2"]]
+        assert sorted(phrases) == sorted(want)
 
 
 def brute_substrings(rows, window):
