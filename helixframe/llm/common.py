@@ -68,8 +68,8 @@ def without(docs: DataFrame, gone: DataFrame, key: list[Column], names: list[str
     return docs.join(side, same, "left_anti")
 
 
-def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], places: str) -> DataFrame:
-    """Inner join of ``rows`` to ``found``, which has one row a key and in ``places`` how many rows have it; read ``found`` from files.
+def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], places: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) to ``found``, which has one row a key and in ``places`` how many rows have it; read ``found`` from files.
 
     Keys of more than SUPPORT of the rows are salted: those rows are dealt over SALTS tasks, and their one row of ``found``
     goes to each.
@@ -79,13 +79,27 @@ def spread_join(rows: DataFrame, found: DataFrame, keys: list[str], places: str)
     names = found.filter(often).select(*keys, F.lit(True).alias("_often"))
     dealt = rows.join(F.broadcast(names), keys, "left").withColumn("_salt", F.when(F.col("_often"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_often")
     copies = F.explode(F.when(often, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))
-    return dealt.join(found.withColumn("_salt", copies), [*keys, "_salt"]).drop("_salt")
+    return dealt.join(found.withColumn("_salt", copies), [*keys, "_salt"], how).drop("_salt")
 
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+_held: dict = {}
+
+
+def held(owner: str, key, make):
+    """What a Python worker keeps for later tasks of one operator: ``make()``, once a key. Another operator's goes."""
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held.update(owner=owner, made={})
+    made = _held["made"]
+    if key not in made:
+        made[key] = make()
+    return made[key]
+
+
 def mixed(values: np.ndarray) -> np.ndarray:
     """Longs scattered over all longs, one to one."""
     v = values.astype(np.int64).view(np.uint64)

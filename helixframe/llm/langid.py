@@ -11,6 +11,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import held
+
 DIMENSIONS = 4096
 #: Bounds of the sample that the centroids are fitted on: documents a language, and in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 600, 6000
@@ -126,6 +128,7 @@ def language_of(text: Column, model: LanguageModel) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
+        held("langid", None, dict)
         names, scores, rejected = model.predict(texts.to_pylist())
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 

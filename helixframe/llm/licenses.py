@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import id_and_text
+from .common import held, id_and_text
 
 #: Phrases whose every place counts, and their labels: fixed values.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -197,11 +197,6 @@ class LicenceScanner:
                 yield n, (start, end, label, n / len(template))
 
 
-@lru_cache(4)
-def _scanner(templates: tuple, phrases: tuple) -> LicenceScanner:
-    return LicenceScanner(templates, dict(phrases))
-
-
 _OUT = "doc_id long, n_words long, phrases array<struct<start:long,length:long,label:string>>, spans array<struct<start:long,end:long,label:string,covered:double>>"
 _FIELDS = (
     ("doc_id", pa.int64()), ("n_words", pa.int64()),
@@ -211,7 +206,7 @@ _FIELDS = (
 
 
 def _scan(batches: Iterator[pa.RecordBatch], templates: tuple, phrases: tuple) -> Iterator[pa.RecordBatch]:
-    scanner = _scanner(templates, phrases)
+    scanner = held("licenses", (templates, phrases), lambda: LicenceScanner(templates, dict(phrases)))
     for b in batches:
         counts, found, spans = [], [], []
         for x in b.column(1):

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Crowds, cut, id_and_text, mixed, spread_join, stored
+from .common import Crowds, cut, held, id_and_text, mixed, spread_join, stored
 from .components import connected_components
 
 #: Most edits between longer lines that count as the same.
@@ -25,6 +25,8 @@ HOT = 1024
 CROWD = 128
 #: Rows that a task takes at once.
 ROWS_HELD = 1 << 17
+#: Lines that a task remembers, to send the segments of a line that it meets again but once.
+LINES_KEPT = 200_000
 #: Base of the variants' polynomial hashes, modulo 2^64, and its inverse.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -100,30 +102,33 @@ def signature(line: str) -> int:
     return int(np.packbits((np.bincount(codes & 63, minlength=64) & 1).astype(np.uint8), bitorder="little").view(np.int64)[0])
 
 
-def _keys(batches: Iterator[pa.RecordBatch], edits: int, crowd: int) -> Iterator[pa.RecordBatch]:
-    """(key, line, sign) of rows (id, line): a line's own segments, and its probes for others with the last bit of key set.
+#: The last two bits of a key: a mark that the key is crowded, a line's own segment, a probe, a line given alone.
+MARK, OWN, PROBE, LONE = 0, 1, 2, 3
 
-    A key that more than ``crowd`` lines of this task have is told once by a row with line -1; further lines of it are
-    given alone, as -2 - id under keys of their own, so that they don't meet in one task.
+
+def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int, crowd: int) -> Iterator[pa.RecordBatch]:
+    """(key, line, sign) of texts: each line's own segments, and its probes for others; line is its 64-bit hash.
+
+    A task sends a line that it meets again but once, as far as it remembers. Of a key that more than ``crowd`` of its lines
+    have it sends a mark; further lines of it are given alone, under keys of their own, so that they don't meet in one task.
     """
-    digest, plans = xxhash.xxh64_intdigest, {}
+    digest, plans, seen = xxhash.xxh64_intdigest, held("line_dedup", edits, dict), set()
     crowds = Crowds(crowd)
 
     def plan(n: int) -> list[tuple[int, int, int, int]]:
         if n not in plans:
             own = [(n, i, at, size) for i, (at, size) in enumerate(segments(n, edits))]
-            plans[n] = [(k[0] * 8 + k[1], k[2], k[2] + k[3], 0) for k in own] + [(k[0] * 8 + k[1], k[2], k[2] + k[3], 1) for k in probes(n, edits) if k not in own]
+            plans[n] = [(k[0] * 8 + k[1], k[2], k[2] + k[3], OWN) for k in own] + [(k[0] * 8 + k[1], k[2], k[2] + k[3], PROBE) for k in probes(n, edits) if k not in own]
         return plans[n]
 
     def made(keys: list[int], lines: list[int], signs: list[int], times: list[int]) -> pa.RecordBatch:
         key, n = np.array(keys, np.uint64).view(np.int64), np.array(times)
-        line, sign = np.repeat(np.array(lines, np.int64), n), np.repeat(np.array(signs, np.int64), n)
-        many, marks = crowds.beyond(key >> 1)
+        line, sign = np.repeat(np.array(lines, np.uint64).view(np.int64), n), np.repeat(np.array(signs, np.int64), n)
+        many, marks = crowds.beyond(key >> 2)
         if many.any():
-            alone, marks = np.unique(line[many]), marks << 1
-            own = mixed(alone) >> 1 << 1
-            key = np.concatenate([key[~many], marks, own])
-            line = np.concatenate([line[~many], np.full(len(marks), -1), -2 - alone])
+            alone = np.unique(line[many])
+            key = np.concatenate([key[~many], marks << 2, mixed(alone) | LONE])
+            line = np.concatenate([line[~many], np.zeros(len(marks), np.int64), alone])
             sign = np.concatenate([sign[~many], np.zeros(len(marks) + len(alone), np.int64)])
         return pa.record_batch([pa.array(key), pa.array(line), pa.array(sign)], names=["key", "line", "sign"])
 
@@ -132,12 +137,22 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, crowd: int) -> Iterator
         lines: list[int] = []
         signs: list[int] = []
         times: list[int] = []
-        for i, line in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            own = dict.fromkeys(digest(line[a:e], seed) >> 1 << 1 | probe for seed, a, e, probe in plan(len(line)))
-            keys += own
-            lines.append(i)
-            signs.append(signature(line))
-            times.append(len(own))
+        for text in b.column(0):
+            for line in text.as_py().split("\n"):
+                line = line.strip(BLANKS)
+                if len(line) < least:
+                    continue
+                h = digest(line, 42)
+                if h in seen:
+                    continue
+                if len(seen) >= LINES_KEPT:
+                    seen.clear()
+                seen.add(h)
+                own = dict.fromkeys(digest(line[a:e], seed) >> 2 << 2 | kind for seed, a, e, kind in plan(len(line)))
+                keys += own
+                lines.append(h)
+                signs.append(signature(line))
+                times.append(len(own))
             if len(keys) > 100_000:
                 yield made(keys, lines, signs, times)
                 keys, lines, signs, times = [], [], [], []
@@ -150,22 +165,27 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
 
     Lines of a crowded key, or whose own segment comes with too many others to compare all pairs, are given alone, with a null b.
     """
-    held: list[tuple[np.ndarray, ...]] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
     passing = None  # a key whose lines are all given alone
 
+    def once(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> tuple[np.ndarray, ...]:
+        """A line that several tasks sent comes in a row of its own for each."""
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (line[1:] != line[:-1])
+        return key[new], line[new], sign[new]
+
     def alone(line: np.ndarray) -> pa.RecordBatch:
-        line = np.unique(line[line >= 0])
+        line = np.unique(line)
         return pa.record_batch([pa.array(line), pa.nulls(len(line), pa.int64())], names=["a", "b"])
 
     def paired(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if not len(key):
-            return
-        own, key = key & 1 == 0, key >> 1  # a key's own lines come before its probes
+        kind, key = key & 3, key >> 2
+        own = kind == OWN  # a key's mark comes first, then its own lines, then the probes
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         sizes = np.diff(np.append(starts, len(key)))
-        many = np.repeat((sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) * sizes > hot * hot) | (np.minimum.reduceat(line, starts) == -1), sizes)
+        many = np.repeat((sizes > 1) & (np.add.reduceat(own.astype(np.int64), starts) * sizes > hot * hot) | (kind[starts] == MARK), sizes)
         if many.any():
-            yield alone(line[many])
+            yield alone(line[many & (kind != MARK)])
         left, right = [], []
         shift, at = 1, np.flatnonzero(own & ~many)
         while len(at):
@@ -181,38 +201,38 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
 
     for batch in batches:
         key, line, sign = (batch.column(i).to_numpy() for i in range(3))
-        if (lone := line < -1).any():
-            yield alone(-2 - line[lone])
+        if (lone := key & 3 == LONE).any():
+            yield alone(line[lone])
             key, line, sign = key[~lone], line[~lone], sign[~lone]
         if passing is not None and len(key):
-            stop = int(np.searchsorted(key >> 1, passing, "right"))
+            stop = int(np.searchsorted(key >> 2, passing, "right"))
             if stop:
-                yield alone(line[:stop])
+                yield alone(line[:stop][key[:stop] & 3 != MARK])
             if stop < len(key):
                 passing = None
             key, line, sign = key[stop:], line[stop:], sign[stop:]
         if not len(key):
             continue
-        held.append((key, line, sign))
-        if sum(len(x[0]) for x in held) < ROWS_HELD:
+        waiting.append((key, line, sign))
+        if sum(len(x[0]) for x in waiting) < ROWS_HELD:
             continue
-        key, line, sign = (np.concatenate(c) for c in zip(*held, strict=True))
-        stop = int(np.searchsorted(key >> 1, key[-1] >> 1))
+        key, line, sign = once(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
+        stop = int(np.searchsorted(key >> 2, key[-1] >> 2))
         if stop:
             yield from paired(key[:stop], line[:stop], sign[:stop])
         key, line, sign = key[stop:], line[stop:], sign[stop:]
         if len(key) >= ROWS_HELD // 2:  # one key
-            own = key & 1 == 0
-            if line[0] == -1 or int(own.sum()) * len(key) > hot * hot:
-                yield alone(line)
-                passing = key[-1] >> 1
+            own = key & 3 == OWN
+            if key[0] & 3 == MARK or int(own.sum()) * len(key) > hot * hot:
+                yield alone(line[key & 3 != MARK])
+                passing = key[-1] >> 2
                 key, line, sign = key[:0], line[:0], sign[:0]
             elif not own[-1:].all():  # no further own lines: the few there are meet the probes as they come
                 yield from paired(key, line, sign)
                 key, line, sign = key[own], line[own], sign[own]
-        held = [(key, line, sign)]
-    if held:
-        yield from paired(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        waiting = [(key, line, sign)]
+    if waiting and sum(len(x[0]) for x in waiting):
+        yield from paired(*once(*(np.concatenate(c) for c in zip(*waiting, strict=True))))
 
 
 def _places(n: int, k: int, start: int = 0) -> Iterator[list[np.ndarray]]:
@@ -312,40 +332,41 @@ def _digests(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), F.col(line)).alias("h2")]
 
 
-def distinct_lines(rows: DataFrame, min_chars: int) -> DataFrame:
-    """A table (id, line, n, first): each different line once, its number of places and the smallest doc_id that has it."""
-    each = _lines(rows, min_chars).groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    return stored(each.select(F.monotonically_increasing_id().alias("id"), "line", "n", "first"))
-
-
-def near_lines(lines: DataFrame, edits: int, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
-    """Links (a, b) between the ids of ``lines`` (id, line, all different) that connect those within ``edits`` of each other."""
-    keyed = lines.mapInArrow(partial(_keys, edits=edits, crowd=crowd), "key long, line long, sign long")
-    dealt = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "line")
+def near_lines(rows: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS, hot: int = HOT, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Different lines (id, line) of ``rows`` (doc_id, text), and links (a, b) of ids that connect all lines within ``edits`` of each other."""
+    least = max(near_chars, edits + 1)
+    keyed = rows.select("text").mapInArrow(partial(_keys, edits=edits, least=least, crowd=crowd), "key long, line long, sign long")
+    dealt = keyed.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "line")
     found = cut(dealt.mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long").distinct())
-    pairs, many = found.filter("b is not null"), found.filter("b is null").select(F.col("a").alias("id"))
-    if not many.isEmpty():
-        common = lines.join(many, "id", "left_semi").select("id", "line").repartition("id")
-        dealt = common.mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
-        pairs = cut(pairs.unionByName(dealt.mapInArrow(_stars, "a long, b long")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = found.select(F.explode(F.array("a", "b")).alias("short")).filter("short is not null").distinct()
     few = wanted.count() <= BROADCAST_LINES
-    texts = cut(lines.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").select("id", "line"))
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(partial(_verified, edits=edits), "a long, b long")
+    lines = _lines(rows, least).select(F.xxhash64("line").alias("short"), "line").join(F.broadcast(wanted) if few else wanted, "short", "left_semi").distinct()
+    texts = stored(lines.select(F.monotonically_increasing_id().alias("id"), "short", "line"))  # a hash may stand for several lines
+    ends = lambda name: texts.select(F.col("short").alias(name), F.col("id").alias(f"{name}_id"))
+    pairs = found.filter("b is not null").join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    many = found.filter("b is null").select(F.col("a").alias("short"))
+    if not many.isEmpty():
+        common = texts.join(many, "short", "left_semi").select("id", "line").repartition("id")
+        spread = common.mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
+        pairs = pairs.unionByName(spread.mapInArrow(_stars, "a long, b long"))
+    both = cut(pairs.distinct()).join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
+    return texts, both.select("a", "b", "x", "y").mapInArrow(partial(_verified, edits=edits), "a long, b long")
 
 
 def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
-    """(h, h2, n, root, first) of each line of ``rows`` (doc_id, text) that is met n > 1 times or linked.
+    """(h, h2, n, class, first) of each line of ``rows`` (doc_id, text) that is met n > 1 times or linked.
 
-    ``root`` names the class and ``first`` is the smallest doc_id that has one of its lines.
+    ``class`` is a (h, h2) of the linked lines or the line's own, and ``first`` is the smallest doc_id that has one of them.
     """
-    lines = distinct_lines(rows, min_chars)
-    links = near_lines(lines.filter(F.char_length("line") >= max(near_chars, edits + 1)).select("id", "line"), edits, hot, crowd)
-    roots = connected_components(links).withColumnRenamed("node", "id")
-    known = cut(lines.join(roots, "id", "left").filter("n > 1 or root is not null").select(*_digests("line"), "n", "first", F.coalesce("root", "id").alias("root")))
-    firsts = cut(known.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("m")))
-    return spread_join(known.drop("first"), firsts, ["root"], "m").select("h", "h2", "n", "root", "first")
+    texts, links = near_lines(rows, edits, near_chars, hot, crowd)
+    named = texts.select("id", *_digests("line"))
+    roots = connected_components(links)
+    named_roots = named.join(roots.select(F.col("node").alias("id"), "root"), "id").select("h", "h2", "root")
+    named_roots = cut(named_roots.join(named.select(F.col("id").alias("root"), F.struct("h", "h2").alias("class")), "root").select("h", "h2", "class"))
+    exact = _lines(rows, min_chars).select("doc_id", *_digests("line")).groupBy("h", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    known = cut(exact.join(named_roots, ["h", "h2"], "left").filter("n > 1 or class is not null").withColumn("class", F.coalesce("class", F.struct("h", "h2"))))
+    firsts = cut(known.groupBy("class").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("m")))
+    return spread_join(known.drop("first"), firsts, ["class"], "m").select("h", "h2", "n", "class", "first")
 
 
 def _removed(docs: DataFrame, edits: int, min_chars: int, near_chars: int, id_col: str, text_col: str, hot: int, crowd: int) -> DataFrame:
@@ -354,8 +375,8 @@ def _removed(docs: DataFrame, edits: int, min_chars: int, near_chars: int, id_co
     known = cut(line_classes(rows, edits, min_chars, near_chars, hot, crowd))
     places = _lines(rows, min_chars).select("doc_id", "text_key", "at", *_digests("line"))
     earlier = F.coalesce(F.col("first") < F.col("doc_id"), F.col("first").isNotNull())
-    met = spread_join(places, known, ["h", "h2"], "n").select("doc_id", "text_key", "root", "at", earlier.alias("earlier"))
-    own = met.repartition("doc_id", "text_key").groupBy("doc_id", "text_key", "root").agg(F.min("at").alias("own"), F.collect_set("at").alias("ats"), F.bool_or("earlier").alias("earlier"))
+    met = spread_join(places, known, ["h", "h2"], "n").select("doc_id", "text_key", "class", "at", earlier.alias("earlier"))
+    own = met.repartition("doc_id", "text_key").groupBy("doc_id", "text_key", "class").agg(F.min("at").alias("own"), F.collect_set("at").alias("ats"), F.bool_or("earlier").alias("earlier"))
     gone = own.select("doc_id", "text_key", F.when(F.col("earlier"), F.col("ats")).otherwise(F.array_remove("ats", F.col("own"))).alias("ats")).filter("size(ats) > 0")
     return gone.groupBy("doc_id", "text_key").agg(F.array_sort(F.flatten(F.collect_list("ats"))).alias("removed"))
 
@@ -378,7 +399,7 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     under ``near_chars`` are linked if they are equal, longer ones if they are at most ``edits`` edits apart. Links chain, and
     of each class only the lines of the smallest doc_id stay, of those the first. (With 1 for ``min_chars`` blank lines stay.)
 
-    Each different line is told once. A longer one is cut into edits + 1 segments, one of which survives any ``edits``
+    A longer line is cut into edits + 1 segments, one of which survives any ``edits``
     edits: it is looked for in lines up to ``edits`` longer at the places it can have moved to. What shares a segment and
     nearly the parities of its characters is verified by the edit distance of the texts. Lines of a segment that more than
     some ``hot`` lines, or more than ``crowd`` of one task, have are not compared in pairs: of each of them all variants

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Crowds, cut, mixed, row_key, spread_join, without
+from .common import Crowds, cut, held, mixed, row_key, spread_join, without
 from .components import connected_components
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
@@ -50,6 +50,7 @@ def fingerprint_of(text: Column, width: int = SHINGLE_WORDS) -> Column:
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
+        held("simhash", None, dict)
         return pa.array(np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts)).view(np.int64))
 
     return prints(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
@@ -197,7 +198,7 @@ def _buckets(batches: Iterator[pa.RecordBatch], masks: list[int], crowd: int) ->
 
 def _links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) of rows (bucket, kind, fp), sorted; values of a crowded bucket or of one beyond ``dense`` have a null b."""
-    held: list[tuple[np.ndarray, ...]] = []
+    waiting: list[tuple[np.ndarray, ...]] = []
     passing = None  # a bucket whose values are all given alone
 
     def told(a: np.ndarray, b: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
@@ -224,10 +225,10 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterat
             bucket, kind, fp = bucket[stop:], kind[stop:], fp[stop:]
         if not len(bucket):
             continue
-        held.append((bucket, kind, fp))
-        if sum(len(x[0]) for x in held) < ROWS_HELD:
+        waiting.append((bucket, kind, fp))
+        if sum(len(x[0]) for x in waiting) < ROWS_HELD:
             continue
-        bucket, kind, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+        bucket, kind, fp = (np.concatenate(c) for c in zip(*waiting, strict=True))
         stop = int(np.searchsorted(bucket, bucket[-1]))
         if stop:
             yield linked(bucket[:stop], kind[:stop], fp[:stop])
@@ -236,9 +237,9 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int, dense: int) -> Iterat
             yield told(none, none, fp[kind == VALUE])
             passing = bucket[-1]
             bucket, kind, fp = bucket[:0], kind[:0], fp[:0]
-        held = [(bucket, kind, fp)]
-    if held and len(held[-1][0]):
-        yield linked(*(np.concatenate(c) for c in zip(*held, strict=True)))
+        waiting = [(bucket, kind, fp)]
+    if waiting and sum(len(x[0]) for x in waiting):
+        yield linked(*(np.concatenate(c) for c in zip(*waiting, strict=True)))
 
 
 def _around(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:

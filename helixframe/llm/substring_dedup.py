@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import cut, id_and_text
+from .common import cut, held, id_and_text
 
 WINDOW_WORDS, GRAM_WORDS = 13, 4
 #: Tokens that a task's automaton takes before it is begun anew, where a group of passages ends, or takes no more of one group.
@@ -31,15 +31,12 @@ class _WordHashes(dict):
         return h
 
 
-_hashes = _WordHashes()
-
-
 def minimizers(ws: list[bytes], window: int = WINDOW_WORDS, gram: int = GRAM_WORDS) -> np.ndarray:
     """For each window of words the least hash of the grams in it: windows of the same words have the same."""
     n = len(ws)
     if n < window:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, ws), np.uint64, n)
+    h = np.fromiter(map(held("substring_dedup", "words", _WordHashes).__getitem__, ws), np.uint64, n)
     g = h[: n - gram + 1].copy()
     for j in range(1, gram):
         g *= np.uint64(0x9E3779B97F4A7C15)
