@@ -60,10 +60,10 @@ def test_contamination_against_brute_force(spark):
     assert run(docs(spark, rows), bench) == want
     assert run(docs(spark, rows[:9]), bench.limit(0)) == brute_contamination(rows[:9], [])
     assert run(docs(spark, []), bench) == []
-    import unittest.mock as m
-
-    with m.patch.object(decontaminate, "BROADCAST_WINDOWS", 0), m.patch.object(decontaminate, "EXACT_PREFIXES", 0), m.patch.object(decontaminate, "BUCKETS", 4):
-        assert run(docs(spark, rows), bench) == want
+    blocks = decontaminate.contamination(docs(spark, rows), bench, block_windows=20).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r["items"]), r.contaminated) for r in blocks) == want
+    long = [(1, "of " * 60_000 + items[2][1] + " é" * 60_000)]
+    assert run(docs(spark, long), bench.filter("item_id = 2")) == brute_contamination(long, items[2:3])
 
 
 def test_contamination_runs_no_python(spark):
