@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +13,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import cut, held, id_and_text
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
-#: Chunks up to this length are remembered; so many chunks, and so many words of them, per Python worker.
-CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 150_000, 400_000
+#: Blocks of pieces that a task packs.
+BLOCKS_A_TASK = 4
+#: Chunks up to this length are remembered: twice so many chunks, and twice so many words of them, per Python worker.
+CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 75_000, 200_000
 #: ASCII marks that are tokens apart from the letters before them when they end a chunk.
 _TAIL = ".,!?;:$*&#%)"
 #: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.
@@ -42,7 +44,9 @@ class ChunkTokenizer(dict):
             path = public_tokenizers.path("word_bpe_49k.json")
         super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
+        self._older: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
+        self._older_words: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {"": b""}
         # the vocabulary writes bytes as characters: printable ones as themselves, the others from 256 on
         plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -52,25 +56,41 @@ class ChunkTokenizer(dict):
     def encode(self, chunk: str) -> bytes:
         return np.asarray(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        stem = chunk.rstrip(_TAIL)
-        word = stem.lower()
+    def _word(self, word: str) -> tuple[bytes, bool]:
+        """A plain word's ids, and whether they were known. What wasn't asked for while the newer half filled up goes."""
         ids = self._words.get(word)
+        if ids is not None:
+            return ids, True
+        if len(self._words) >= WORDS_KEPT:
+            self._older_words, self._words = self._words, {}
+        ids = self._older_words.get(word)
+        fresh = ids is None
+        if fresh:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+            ids = array("I", [t.id for t in self._tokenizer.model.tokenize(shown)]).tobytes()
+        self._words[word] = ids
+        return ids, not fresh
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self._older.get(chunk)
         if ids is None:
+            stem = chunk.rstrip(_TAIL)
+            word = stem.lower()
             if len(chunk) > CHUNK_CHARS or not _PLAIN.fullmatch(word):
                 return self.encode(chunk)
-            if len(self._words) >= WORDS_KEPT:
-                self._words.clear()
-            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
-            ids = self._words[word] = array("I", [t.id for t in self._tokenizer.model.tokenize(shown)]).tobytes()
-        tail = chunk[len(stem) :]
-        if tail not in self._tails:
-            if len(self._tails) >= CHUNKS_KEPT:
-                self._tails.clear()
-            self._tails[tail] = self.encode(tail)
+            ids, known = self._word(word)
+            tail = chunk[len(stem) :]
+            if tail not in self._tails:
+                if len(self._tails) >= CHUNKS_KEPT:
+                    self._tails.clear()
+                self._tails[tail] = self.encode(tail)
+            ids = ids + self._tails[tail]
+            if not known:  # most words are met but once
+                return ids
         if len(self) >= CHUNKS_KEPT:
+            self._older = dict(self)
             self.clear()
-        self[chunk] = ids = ids + self._tails[tail]
+        self[chunk] = ids
         return ids
 
     def text(self, text: str) -> bytes:
@@ -79,16 +99,11 @@ class ChunkTokenizer(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
-@lru_cache(1)
-def _tokenizer(path: str | None) -> ChunkTokenizer:
-    return ChunkTokenizer(path)
-
-
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str | None, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    tokenizer, end = _tokenizer(path), np.asarray([end_id], "<u4").tobytes()
+    tokenizer, end = held("packing", path, partial(ChunkTokenizer, path)), np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
         rows, size = [], 0
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -160,17 +175,17 @@ def _pack(batches: Iterator[pa.RecordBatch], capacities, weights, rule: str, blo
         base += int(bins.max(initial=-1)) + 1
         yield from out.to_batches()
 
-    held, rows = [], 0
+    waiting, rows = [], 0
     for batch in batches:
-        held.append(batch)
+        waiting.append(batch)
         rows += batch.num_rows
         while rows >= block_rows:
-            table = pa.Table.from_batches(held)
+            table = pa.Table.from_batches(waiting)
             yield from packed(table.slice(0, block_rows))
             rest = table.slice(block_rows)
-            held, rows = rest.to_batches(), rest.num_rows
+            waiting, rows = rest.to_batches(), rest.num_rows
     if rows:
-        yield from packed(pa.Table.from_batches(held))
+        yield from packed(pa.Table.from_batches(waiting))
 
 
 def best_fit_pack(
@@ -185,15 +200,18 @@ def best_fit_pack(
     """``pieces`` (doc_id, piece, length and any others) with ``sequence_id`` and ``offset``.
 
     A sequence holds at most ``max_tokens`` tokens, ``max_documents`` pieces and ``max_attention`` summed squared lengths;
-    None leaves the last two as wide as the tokens alone allow. Pieces are spread by hash and packed in blocks of
-    ``block_rows``, so a task's memory is bounded and at most one or two sequences a block stay poorly filled. The order
-    within a task is fixed by hash and key, so a task run again packs alike. A piece over a capacity raises an error. An
-    empty table gives no rows; pieces that repeat are packed each.
+    None leaves the last two as wide as the tokens alone allow. Pieces are written once and counted, dealt in turn to
+    tasks of BLOCKS_A_TASK times ``block_rows`` of them, and packed in such blocks: a task's memory is bounded,
+    at most one or two sequences a block stay poorly filled, and the fill doesn't depend on the session's partitions. The
+    order within a task is fixed by hash and key, so a task run again packs alike; pieces of equal length go in that order.
+    A piece over a capacity raises an error. An empty table gives no rows; pieces that repeat are packed each; a very long
+    document comes as pieces already, and columns of other names, but for the two added ones, stay as they are.
     """
     if rule not in ("norm", "dot"):
         raise ValueError(rule)
     capacities = (max_tokens, max_documents or max_tokens, max_attention or float(max_tokens) ** 2)
-    pieces, key = pieces.drop("sequence_id", "offset"), ["doc_id", "piece", "length"]
-    dealt = pieces.repartition(*key).sortWithinPartitions(F.xxhash64(*key), *key)
+    pieces, key = cut(pieces.drop("sequence_id", "offset")), ["doc_id", "piece", "length"]
+    parts = max(1, -(-pieces.count() // (BLOCKS_A_TASK * block_rows)))
+    dealt = pieces.repartition(parts).sortWithinPartitions(F.xxhash64(*key), *key)
     schema = pieces.limit(0).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")}).schema
     return dealt.mapInArrow(partial(_pack, capacities=capacities, weights=weights, rule=rule, block_rows=block_rows), schema)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,17 +112,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as compressed archives, read back by type: responses with their payloads against the digests, revisits by their headers."""
     warc.register(spark)
-    path = f"{common.checkpoint_root(spark)}/helix-warc-{uuid.uuid4().hex}"
+    path = common.scratch(spark, "warc")
     warc.page_records(_table(spark, sf_dir, "pages")).write.format("warc").mode("append").option("path", path).option("compress", "true").save()
-    back = spark.read.format("warc").option("verify", "true").option("payload", "false").load(path)
-    return back.select(
+    read = lambda kind, verify: spark.read.format("warc").option("verify", verify).option("payload", "false").load(path).filter(F.col("warc_type") == kind)
+    back = read("response", "true").unionByName(read("revisit", "false"))
+    told = back.select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         F.col("payload_length").alias("payload_bytes"),
         "payload_digest",
         F.col("warc_type").alias("record_type"),
         warc.page_number(F.col("refers_to")).alias("refers_to"),
     )
+    told = common.cut(told)
+    warc.remove(path)
+    return told
 
 
 OP8_SQL = """
@@ -179,6 +182,12 @@ FROM f GROUP BY conv_id
 """
 
 
+def packing_under_all_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing where each capacity binds: 4096 tokens, 12 pieces and the attention of 3072 tokens in one piece."""
+    pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), max_tokens=3072).drop("ids")
+    return packing.best_fit_pack(pieces, 4096, max_documents=12, max_attention=3072.0**2, weights=(1.0, 0.3, 0.3), rule="dot")
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scans": op2_license_scans,
@@ -190,6 +199,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "packing_under_all_capacities": packing_under_all_capacities,
     "pipeline": corpus_pipeline.run,
 }
 

@@ -117,3 +117,71 @@ def test_chunked_ids_on_random_text():
     for _ in range(3000):
         text = "".join(rng.choice(letters) for _ in range(30))
         assert np.frombuffer(own.text(text), "<u4").tolist() == own._tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def brute_pack(lengths, capacities, weights, rule):
+    """Best-fit decreasing by trying every open bin for every item."""
+    bins, out = [], {}
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+        d = (lengths[i], 1, lengths[i] ** 2)
+        fits = [b for b in range(len(bins)) if all(u + x <= c for u, x, c in zip(bins[b], d, capacities, strict=True))]
+        if rule == "dot":
+            value = lambda b: -sum((c - u) * x * w / c**2 for u, x, c, w in zip(bins[b], d, capacities, weights, strict=True))  # noqa: B023, E731
+        else:
+            value = lambda b: sum((c - u - x) ** 2 * w / c**2 for u, x, c, w in zip(bins[b], d, capacities, weights, strict=True))  # noqa: B023, E731
+        if not fits:
+            bins.append((0, 0, 0))
+            fits = [len(bins) - 1]
+        b = min(fits, key=value)
+        out[i] = b
+        bins[b] = tuple(u + x for u, x in zip(bins[b], d, strict=True))
+    return out, bins
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_bins_against_brute_force(rule):
+    rng = np.random.default_rng(4)
+    cap, weights = (100.0, 6.0, 4900.0), (1.0, 0.2, 0.4)
+    for _ in range(20):
+        length = rng.integers(1, 70, 60).astype(float)
+        got, _ = packing.pack_block(np.stack([length, np.ones(60), length**2], 1), np.array(cap), np.array(weights), rule)
+        want, bins = brute_pack(length.tolist(), cap, weights, rule)
+        assert len(set(got.tolist())) == len(bins)
+        used = np.zeros((len(set(got.tolist())), 3))
+        for b, x in zip(got, length, strict=True):
+            used[b] += (x, 1, x * x)
+        assert (used <= np.array(cap)).all() and sorted(map(tuple, used.tolist())) == sorted(bins)
+
+
+def test_ties_and_fill_whatever_the_partitions(spark):
+    rows = [(i, k, n, f"x{i}") for i, (k, n) in enumerate([(0, 50), (0, 50), (1, 50), (0, 25)] * 500)] + [(None, 0, 50, None)] * 600
+    made = []
+    for parts in (1, 40):
+        df = spark.createDataFrame(rows, "doc_id long, piece int, length long, sequence_id string").repartition(parts)
+        out = packing.best_fit_pack(df, 100, max_documents=3)
+        assert out.columns == ["doc_id", "piece", "length", "sequence_id", "offset"]
+        r = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("length").alias("k")).agg(F.count("n"), F.max("n"), F.max("k")).first()
+        made.append(r[0])
+        assert r[1] <= 100 and r[2] <= 3
+    least = -(-sum(r[2] for r in rows) // 100)
+    assert made[0] <= least * 1.06 and made[1] <= least * 1.06
+
+
+def test_older_words_stay_known(monkeypatch):
+    monkeypatch.setattr(packing, "CHUNKS_KEPT", 5)
+    monkeypatch.setattr(packing, "WORDS_KEPT", 7)
+    own, rng = packing.ChunkTokenizer(None), random.Random(6)
+    vocab = ["stone", "Stone,", "river", "é", "garden.", "a1", "x" * 60, "the", "OF", "and;", "under", "light"]
+    for _ in range(200):
+        text = " ".join(rng.choice(vocab) for _ in range(12))
+        assert np.frombuffer(own.text(text), "<u4").tolist() == own._tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(own) <= 5 and len(own._older) <= 5 and len(own._words) <= 7 and len(own._older_words) <= 7
+
+
+def test_capacities_bind_over_all_documents(spark):
+    from helixframe.llm import queries
+
+    out = queries.packing_under_all_capacities(spark, "/root/testdata/sf0.001")
+    r = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("length").alias("k"), F.sum(F.col("length") * F.col("length")).alias("a"))
+    top = r.agg(F.max("n"), F.max("k"), F.max("a")).first()
+    assert top[0] <= 4096 and top[1] == 12 and 3072**2 * 0.9 < top[2] <= 3072**2

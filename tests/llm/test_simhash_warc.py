@@ -109,6 +109,44 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.page_records(pages(spark).limit(0)).count() == 0
 
 
+def test_frequent_payloads_shuffled_and_broadcast_alike(spark):
+    rows = [(i, f"u{i}", "same" if i % 3 == 0 else "x" * (i % 50), "digest", i) for i in range(400)] + [(None, None, None, "first", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, n long")
+    both = [sorted(map(str, warc.page_records(df, broadcast_digests=k).collect())) for k in (0, 10**6)]
+    assert both[0] == both[1] and len(both[0]) == 401
+
+
+def test_unwanted_members_are_not_read(spark, tmp_path):
+    warc.register(spark)
+    for n, compress in enumerate(["false", "true"]):
+        path = f"file:{tmp_path}/i{n}"
+        noise = "".join(chr(33 + i * i % 90) for i in range(200_000))
+        df = spark.createDataFrame([(1, "u", noise), (2, "u", noise), (3, "u", "own")], "page_id long, url string, html string").coalesce(1)
+        warc.page_records(df).coalesce(1).write.format("warc").mode("append").option("path", path).option("compress", compress).save()
+        folder = tmp_path / f"i{n}"
+        (index,) = folder.glob("*.index")
+        at = np.frombuffer(index.read_bytes(), "<i8").reshape(-1, 3)
+        archive = index.with_suffix("")
+        data = bytearray(archive.read_bytes())
+        assert at[-1][0] + at[-1][1] == len(data)
+        for offset, size, kind in at.tolist():
+            if warc.TYPES[kind] == "response":
+                data[offset + 600 : offset + size] = bytes(size - 600) if size > 600 else b""  # payloads ruined
+        archive.write_bytes(bytes(data))
+        read = spark.read.format("warc").option("payload", "false").load(path)
+        assert {r.record_id for r in read.filter("warc_type = 'revisit'").collect()} == {"<urn:page:2>"}
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        assert "Filter (" not in plan(read.filter("warc_type = 'revisit'")) and "Filter (" in plan(read.filter("payload_length = 3"))  # settled by the source
+        index.unlink()
+
+
+def test_paths_name_their_file_system(spark, tmp_path):
+    with __import__("pytest").raises(ValueError):
+        warc._filesystem("/some/where")
+    assert warc.qualified(spark, str(tmp_path)).startswith("file:/")
+    assert warc._filesystem(f"file:{tmp_path}")[1] == warc._filesystem(f"file://{tmp_path}")[1] == str(tmp_path)
+
+
 def test_pushed_predicates_skip_records():
     reader = warc.WarcReader("x", True, False)
     from pyspark.sql.datasource import EqualTo, GreaterThan, In
