@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fixtures import duckdb_sql
 
 FLAGSHIP = "e03_skipped_exons"
-MODULES = ("annotation", "alignments", "events", "variants")
+MODULES = ("annotation", "alignments", "events", "variants", "sources")
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}

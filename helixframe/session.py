@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,3 +24,29 @@ def local_session(cpus: int | None = None, partitions: int | None = None) -> Spa
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+
+
+def shared_folder(spark) -> str:
+    """The folder for checkpoints and written tables: the one that the session names.
+
+    Local runs that name none get a temporary one; a cluster has to name a folder that driver and executors share.
+    """
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="helix-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def scratch(spark, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/helix-{name}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark) -> None:
+    """Gives this package to the session's Python workers, for sessions whose workers can't import it by themselves."""
+    target = os.path.join(tempfile.mkdtemp(prefix="helix-package-"), "helixframe")
+    sources = os.path.dirname(os.path.abspath(__file__))
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(sources), os.path.basename(sources)))
