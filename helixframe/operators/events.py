@@ -158,10 +158,12 @@ def retained_introns(junctions: DataFrame, locus_exon: DataFrame, parent: str =
         if free:
             hits = hits.join(inside.select(*key).distinct(), key, "left_anti")
         if unambiguous:
-            whole = introns.select("locus", F.col("end1").alias("start0"), F.col("next_start0").alias("end1"))
-            left = I.subtract(whole, inside.select("locus", F.col("e0").alias("start0"), F.col("e1").alias("end1")), ["locus"])
-            kept = introns.join(left.select("locus", F.col("start0").alias("k0"), F.col("end1").alias("k1")), "locus").filter("k0 >= end1 and k1 <= next_start0")
-            hits = hits.join(kept.groupBy(*key).agg(F.array_sort(F.collect_list(exon_struct("k0", "k1"))).alias("kept")), key)
+            # each intron is cut by its own exons alone: a parent of one may lie inside another
+            own = [F.col("locus"), F.col("end1").alias("donor"), F.col("next_start0").alias("acceptor")]
+            whole = introns.select(*own, F.col("end1").alias("start0"), F.col("next_start0").alias("end1"))
+            left = I.subtract(whole, inside.select(*own, F.col("e0").alias("start0"), F.col("e1").alias("end1")), ["locus", "donor", "acceptor"])
+            kept = left.groupBy("locus", F.col("donor").alias("end1"), F.col("acceptor").alias("next_start0")).agg(F.array_sort(F.collect_list(exon_struct())).alias("kept"))
+            hits = hits.join(kept, key)
     base = [*LOCUS, exon_struct().alias("a"), exon_struct("next_start0", "next_end1").alias("b"), exon_struct("p0", "p1").alias("parent")]
     return hits.select(*base, *(["kept"] if unambiguous else [])).distinct()
 

