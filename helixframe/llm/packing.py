@@ -9,6 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,18 +20,19 @@ SEQUENCE_TOKENS = 4096
 END_ID = 1
 #: Blocks of pieces that a task packs.
 BLOCKS_A_TASK = 4
-#: Chunks up to this length are remembered: twice so many chunks, and twice so many words of them, per Python worker.
-CHUNK_CHARS, CHUNKS_KEPT, WORDS_KEPT = 48, 75_000, 200_000
+#: Words up to this length are remembered: twice so many, and so many ends of chunks, per Python worker.
+CHUNK_CHARS, WORDS_KEPT, TAILS_KEPT = 48, 150_000, 10_000
+#: Text that a worker splits at once, in bytes.
+SLICE_BYTES = 16 << 20
 #: ASCII marks that are tokens apart from the letters before them when they end a chunk.
 _TAIL = ".,!?;:$*&#%)"
 #: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
-#: Control characters that str.split() takes for white space and the tokenizer doesn't.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_BLANKS = re.compile("[ \t\n\x0b\x0c\r]+")
 
 
-class ChunkTokenizer(dict):
-    """Little-endian 32-bit ids of white-space-free chunks.
+class ChunkTokenizer:
+    """Little-endian 32-bit ids of chunks between ASCII white space.
 
     The vocabulary drops white space and never merges across it, so a text's ids are those of its chunks in order.
     """
@@ -42,9 +44,7 @@ class ChunkTokenizer(dict):
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        super().__init__()
         self._tokenizer = Tokenizer.from_file(path)
-        self._older: dict[str, bytes] = {}
         self._words: dict[str, bytes] = {}
         self._older_words: dict[str, bytes] = {}
         self._tails: dict[str, bytes] = {"": b""}
@@ -56,67 +56,86 @@ class ChunkTokenizer(dict):
     def encode(self, chunk: str) -> bytes:
         return np.asarray(self._tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _word(self, word: str) -> tuple[bytes, bool]:
-        """A plain word's ids, and whether they were known. What wasn't asked for while the newer half filled up goes."""
-        ids = self._words.get(word)
-        if ids is not None:
-            return ids, True
+    def _word(self, word: str) -> bytes:
+        """A plain word's ids. Words that weren't asked for while the newer half filled up go."""
         if len(self._words) >= WORDS_KEPT:
             self._older_words, self._words = self._words, {}
         ids = self._older_words.get(word)
-        fresh = ids is None
-        if fresh:
+        if ids is None:
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
             ids = array("I", [t.id for t in self._tokenizer.model.tokenize(shown)]).tobytes()
         self._words[word] = ids
-        return ids, not fresh
+        return ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self._older.get(chunk)
+    def chunk(self, chunk: str) -> bytes:
+        stem = chunk.rstrip(_TAIL)
+        word = stem.lower()
+        ids = self._words.get(word)
         if ids is None:
-            stem = chunk.rstrip(_TAIL)
-            word = stem.lower()
             if len(chunk) > CHUNK_CHARS or not _PLAIN.fullmatch(word):
-                return self.encode(chunk)
-            ids, known = self._word(word)
-            tail = chunk[len(stem) :]
-            if tail not in self._tails:
-                if len(self._tails) >= CHUNKS_KEPT:
-                    self._tails.clear()
-                self._tails[tail] = self.encode(tail)
-            ids = ids + self._tails[tail]
-            if not known:  # most words are met but once
-                return ids
-        if len(self) >= CHUNKS_KEPT:
-            self._older = dict(self)
-            self.clear()
-        self[chunk] = ids
-        return ids
+                return self.encode(chunk) if chunk else b""
+            ids = self._word(word)
+        if len(stem) == len(chunk):
+            return ids
+        tail = chunk[len(stem) :]
+        end = self._tails.get(tail)
+        if end is None:
+            if len(self._tails) >= TAILS_KEPT:
+                self._tails.clear()
+            end = self._tails[tail] = self.encode(tail)
+        return ids + end
 
     def text(self, text: str) -> bytes:
-        if _SEPARATORS.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.chunk, _BLANKS.split(text)))
+
+    def texts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin and the last ends.
+
+        Each different chunk is looked up once.
+        """
+        chunks = pc.ascii_split_whitespace(texts)
+        ends = np.asarray(chunks.offsets, np.int64)
+        coded = chunks.values.slice(int(ends[0]), int(ends[-1] - ends[0])).dictionary_encode()
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        known = [self.chunk(c) for c in coded.dictionary.to_pylist()]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        table, starts = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[at]
+        done = np.concatenate([[0], np.cumsum(n)])
+        places = np.repeat(starts[at] - done[:-1], n)
+        places += np.arange(done[-1])
+        return table[places], done[ends - ends[0]]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE_BYTES of text, or one longer text."""
+    sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str | None, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tokenizer, end = held("packing", path, partial(ChunkTokenizer, path)), np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
-        rows, size = [], 0
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            ids = tokenizer.text(text.as_py()) + end
-            for k, at in enumerate(range(0, len(ids), 4 * most)):
-                own = ids[at : at + 4 * most]
-                rows.append((doc_id, k, at // 4, len(own) // 4, own))
-                size += len(own)
-            if size > 8 << 20:
+        for part in _slices(batch):
+            ids, ends = tokenizer.texts(part.column(1))
+            rows, size = [], 0
+            for doc_id, a, b in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                own = ids[a:b].tobytes() + end
+                for k, at in enumerate(range(0, len(own), 4 * most)):
+                    piece = own[at : at + 4 * most]
+                    rows.append((doc_id, k, at // 4, len(piece) // 4, piece))
+                    size += len(piece)
+                if size > 8 << 20:
+                    yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_PIECES)
+                    rows, size = [], 0
+            if rows:
                 yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_PIECES)
-                rows, size = [], 0
-        if rows:
-            yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_PIECES)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str | None = None, max_tokens: int = SEQUENCE_TOKENS, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

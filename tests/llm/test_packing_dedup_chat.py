@@ -111,6 +111,22 @@ def test_typed_parts(spark):
     assert [r.formatted[s["start"] : s["start"] + s["length"]] for s in r.loss_spans] == ["ok"]
 
 
+def test_chunked_ids_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "SLICE_BYTES", 200)
+    own, rng = packing.ChunkTokenizer(None), random.Random(2)
+    texts = ["", " ", "a", "\tThe  end.\n", "x" * 500, "\x1c\x85 \u2003b\xa0c"] + [" ".join(rng.choice(["stone", "River,", "é1", "", "\n", "###"]) for _ in range(rng.randrange(30))) for _ in range(80)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    got = {}
+    for b in packing._tokenize(iter([batch, batch.slice(0, 0)]), None, 7, 1):
+        for r in b.to_pylist():
+            got.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids"]))
+    for i, t in list(enumerate(texts))[1:]:
+        want = np.asarray([*own._tokenizer.encode(t, add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(x[3] for x in sorted(got[i])) == want and all(x[0] * 7 == x[1] and x[2] == len(x[3]) // 4 <= 7 for x in got[i])
+
+
 def test_chunked_ids_on_random_text():
     own, rng = packing.ChunkTokenizer(None), random.Random(1)
     letters = "aZ's.,!?<|>é́İΣ1漢 \t#)$-_̸=ßŉ"
@@ -168,14 +184,14 @@ def test_ties_and_fill_whatever_the_partitions(spark):
 
 
 def test_older_words_stay_known(monkeypatch):
-    monkeypatch.setattr(packing, "CHUNKS_KEPT", 5)
+    monkeypatch.setattr(packing, "TAILS_KEPT", 2)
     monkeypatch.setattr(packing, "WORDS_KEPT", 7)
     own, rng = packing.ChunkTokenizer(None), random.Random(6)
     vocab = ["stone", "Stone,", "river", "é", "garden.", "a1", "x" * 60, "the", "OF", "and;", "under", "light"]
     for _ in range(200):
         text = " ".join(rng.choice(vocab) for _ in range(12))
         assert np.frombuffer(own.text(text), "<u4").tolist() == own._tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(own) <= 5 and len(own._older) <= 5 and len(own._words) <= 7 and len(own._older_words) <= 7
+        assert len(own._tails) <= 3 and len(own._words) <= 7 and len(own._older_words) <= 7
 
 
 def test_capacities_bind_over_all_documents(spark):
