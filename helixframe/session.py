@@ -45,8 +45,15 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/helix-{name}-{uuid.uuid4().hex}"
 
 
+_shipped: set[str] = set()
+
+
 def ship_package(spark) -> None:
-    """Gives this package to the session's Python workers, for sessions whose workers can't import it by themselves."""
-    target = os.path.join(tempfile.mkdtemp(prefix="helix-package-"), "helixframe")
+    """Gives this package to the session's Python workers, once, where their path doesn't name its folder."""
     sources = os.path.dirname(os.path.abspath(__file__))
-    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(sources), os.path.basename(sources)))
+    root, app = os.path.dirname(sources), spark.sparkContext.applicationId
+    if app in _shipped or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    _shipped.add(app)
+    target = os.path.join(tempfile.mkdtemp(prefix="helix-package-"), "helixframe")
+    spark.sparkContext.addPyFile(shutil.make_archive(target, "zip", root, os.path.basename(sources)))

@@ -39,3 +39,21 @@ def test_query(spark, duck, name):
     assert sorted(r.columns) == cols
     want = collections.Counter(str(tuple(map(plain, x))) for x in r.select(*(f'"{c}"' for c in cols)).fetchall())
     assert rows == want
+
+
+def test_workers_get_the_package(tmp_path):
+    """Python functions run in a session whose workers don't know the package's folder."""
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    code = f"""
+import sys; sys.path.insert(0, {str(root)!r})
+import __spark_entry__ as e
+from helixframe.session import local_session
+s = local_session(2, 2)
+assert e.queries()["w05_collapse_wig"](s, {DIR!r}).count() > 0
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=240)
