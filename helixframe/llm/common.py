@@ -2,41 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch, shared_folder
+
 #: Up to so many keys (some tens of bytes each) are broadcast.
 BROADCAST_ROWS = 500_000
 #: A key of more than this share of the rows is dealt over so many tasks in a join; its inverse bounds how many there are.
 SUPPORT, SALTS = 1e-3, 64
 
 
-def checkpoint_root(spark) -> str:
-    """The folder for checkpoints and written tables: the one that the session names.
-
-    Local runs that name none get a temporary one; a cluster has to name a folder that driver and executors share.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="helix-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def scratch(spark, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_root(spark)}/helix-{name}-{uuid.uuid4().hex}"
-
-
 def cut(df: DataFrame) -> DataFrame:
     """``df`` as files in the shared checkpoint folder: its lineage ends there and survives lost executors."""
-    checkpoint_root(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

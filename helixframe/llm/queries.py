@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
-
 from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, simhash, substring_dedup, warc
 
 
@@ -15,11 +13,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its sequence and place; digests of the ids."""
     pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents")).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.best_fit_pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's base phrases, labels of phrases and template spans, and the highest share covered."""
     found = licenses.scan_licenses(_table(spark, sf_dir, "documents"))
     starts, base = F.transform("phrases", lambda p: p["start"]), F.array_distinct(F.transform("phrases", lambda p: p["label"]))
     own = F.transform("spans", lambda s: s["label"])
@@ -36,6 +36,7 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with the one that stays of its equals."""
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
@@ -54,6 +55,7 @@ FROM n WINDOW w AS (PARTITION BY text_sha256 ORDER BY n_chars DESC, doc_id ROWS
 
 
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words in windows of benchmark items; digest of the items."""
     found = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
@@ -80,6 +82,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's words in windows of earlier documents; digest of the words that stay."""
     found = substring_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
@@ -102,11 +105,13 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint and the smallest id that links reach."""
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from those not held out, with the model's own rejection."""
     found = langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", F.col("in_held_out").alias("held_out"), F.col("lang_id.lang").alias("lang_pred"), F.col("lang_id.score").alias("score"), F.col("lang_id.rejected").alias("rejected"))
 
@@ -145,11 +150,13 @@ FROM d
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's lines that an earlier one has; digest of the text that stays."""
     found = line_dedup.line_dedup(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation, and one of control strings, formatted and read back; digests of turns and loss text."""
     probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("\\### Assistant: </turn> ok").alias("text"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
     formatted = chat.format_chat(turns)
@@ -188,6 +195,13 @@ def packing_under_all_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(pieces, 4096, max_documents=12, max_attention=3072.0**2, weights=(1.0, 0.3, 0.3), rule="dot")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of the pipeline over all documents."""
+    import corpus_pipeline  # the script at the top of the repository reads this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_license_scans": op2_license_scans,
@@ -200,7 +214,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "packing_under_all_capacities": packing_under_all_capacities,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL = {
