@@ -99,13 +99,14 @@ def depth(aln: DataFrame, mask: int = L.DEFAULT_MASK) -> DataFrame:
     return held.select("rname", "n", F.explode(F.sequence("s0", F.col("e1") - 1)).alias("pos0")).groupBy("rname", "pos0").agg(F.sum("n").alias("depth"))
 
 
-def pileup(aln: DataFrame, sequences: DataFrame | None = None, mask: int = L.DEFAULT_MASK) -> DataFrame:
+def pileup(aln: DataFrame, sequences: DataFrame | None = None, mask: int = L.DEFAULT_MASK, second_call: bool = False) -> DataFrame:
     """(rname, pos0, ref, depth, bases, quals, mapqs, indels): reads over each position in input order.
 
     A base is ``.`` or ``,`` where it equals the reference and else its letter, upper case on the forward strand; ``*`` is
     a deletion; ``^q`` marks a read's first base and ``$`` its last; ``+n`` and ``-n`` with bases mark indels after it.
+    ``second_call`` adds ``bases2`` and ``quals2`` from the tags E2 and U2, N and ! where a read has none.
     """
-    kept = mask_reads(aln, mask).select("ordinal", "rname", "pos0", "cigar", "flag", "mapq", "seq", "qual")
+    kept = mask_reads(aln, mask).select("ordinal", "rname", "pos0", "cigar", "flag", "mapq", "seq", "qual", *([L.tag_text(F.col("aux"), "E2").alias("e2"), L.tag_text(F.col("aux"), "U2").alias("u2")] if second_call else []))
     ends = with_end(kept).withColumnRenamed("end0", "read_end").withColumnRenamed("pos0", "read_start").withColumn("pos0", F.col("read_start"))
     parts = aligned_stretches(ends).drop("pos0")
     nxt = F.lead(F.struct("s0", "qpos", "kind")).over(Window.partitionBy("ordinal").orderBy("s0", "e1"))
@@ -124,6 +125,7 @@ def pileup(aln: DataFrame, sequences: DataFrame | None = None, mask: int = L.DEF
         (F.col("pos0") == F.col("read_start")).alias("head"), (F.col("pos0") == F.col("read_end") - 1).alias("tail"),
         F.coalesce(q, F.col("qpos").cast("int")).alias("read_pos"),
         F.when(ins.isNotNull(), F.concat(F.lit("+"), ins, F.substr("seq", (used + 1).cast("int"), ins))).alias("ins"), dele.alias("del"),
+        *([F.coalesce(F.substr("e2", F.coalesce(q, F.col("qpos").cast("int")) + 1, F.lit(1)), F.lit("N")).alias("b2"), F.coalesce(F.substr("u2", F.coalesce(q, F.col("qpos").cast("int")) + 1, F.lit(1)), F.lit("!")).alias("q2")] if second_call else []),
     )
     if sequences is not None:
         from .sequences import with_ref_base
@@ -133,9 +135,9 @@ def pileup(aln: DataFrame, sequences: DataFrame | None = None, mask: int = L.DEF
         rows = rows.withColumn("ref", F.lit("N"))
     shown = F.when(F.col("kind") == "D", F.lit("*")).when(F.col("base") == F.col("ref"), F.when(F.col("minus"), ",").otherwise(".")).otherwise(F.when(F.col("minus"), F.lower("base")).otherwise(F.col("base")))
     text = F.concat(F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise(""), shown, F.coalesce("ins", F.lit("")), F.when(F.col("tail"), "$").otherwise(""))
-    held = rows.groupBy("rname", "pos0", "ref").agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(F.struct("ordinal", text.alias("t"), F.col("q"), F.char(F.least("mapq", F.lit(93)) + 33).alias("m"), F.col("read_pos").alias("p"), (F.col("ins").isNotNull() | F.coalesce("del", F.lit(False))).alias("indel")))).alias("e"))
+    held = rows.groupBy("rname", "pos0", "ref").agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(F.struct("ordinal", text.alias("t"), F.col("q"), F.char(F.least("mapq", F.lit(93)) + 33).alias("m"), F.col("read_pos").alias("p"), (F.col("ins").isNotNull() | F.coalesce("del", F.lit(False))).alias("indel"), *(["b2", "q2"] if second_call else [])))).alias("e"))
     joined = lambda k: F.array_join(F.transform("e", lambda x: x[k]), "")
-    return held.select("rname", "pos0", "ref", "depth", joined("t").alias("bases"), joined("q").alias("quals"), joined("m").alias("mapqs"), F.transform("e", lambda x: x["p"]).alias("read_pos"), F.size(F.filter("e", lambda x: x["indel"])).alias("indels"))
+    return held.select("rname", "pos0", "ref", "depth", joined("t").alias("bases"), joined("q").alias("quals"), joined("m").alias("mapqs"), F.transform("e", lambda x: x["p"]).alias("read_pos"), F.size(F.filter("e", lambda x: x["indel"])).alias("indels"), *([joined("b2").alias("bases2"), joined("q2").alias("quals2")] if second_call else []))
 
 
 def pileup_marks(aln: DataFrame, mask: int = L.DEFAULT_MASK) -> DataFrame:

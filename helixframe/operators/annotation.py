@@ -165,11 +165,42 @@ def nonexonic_gaps(exon_rows: DataFrame, occ: DataFrame | None = None) -> DataFr
     return out.select(*EXON, F.coalesce("intron", F.when(kind == 2, "Promoter").when(kind == 1, "3'UTR").otherwise("Intergenic")).alias("label"))
 
 
-def denovo_pairs(exon_rows: DataFrame, dist: int, min_intron: int = 50) -> DataFrame:
-    """Exon pairs of one strand whose gap is from ``min_intron`` to ``dist`` bases."""
-    a = exon_rows.select("chrom", "strand", "start0", "end1", (F.col("end1") + min_intron).alias("from0"), (F.col("end1") + dist + 1).alias("to1"))
-    b = exon_rows.select("chrom", "strand", F.col("start0").alias("next_start0"), F.col("end1").alias("next_end1"))
-    return I.point_join(b, a, "next_start0", ("from0", "to1"), ["chrom", "strand"]).select("chrom", "strand", "start0", "end1", "next_start0", "next_end1")
+#: What the reading-frame test of an exon pair reads: -1 for a non-coding exon, else the bases of a codon begun before it.
+CODING = ["frame", "cds_start0", "cds_end1"]
+
+
+def keeps_frame(up: Column, down: Column, strand: Column) -> Column:
+    """Whether translation goes on from one exon into another that follows it in transcript direction.
+
+    ``up`` and ``down`` are structs of bounds and CODING. A coding exon hands on the bases since its coding region began
+    (frame 0), or since the codon that it was entered in did; the next exon has to begin with as many. From a non-coding one
+    the next is non-coding too, or has the place where the first one's transcript starts to code.
+    """
+    plus = strand != "-"
+    begin = F.when(plus, up["cds_start0"]).otherwise(up["cds_end1"])
+    run = F.when(plus, up["end1"] - begin).otherwise(begin - up["start0"])
+    handed = F.when(up["frame"] == 0, run).otherwise(up["end1"] - up["start0"] + up["frame"])
+    return F.when(up["frame"] == -1, (down["frame"] == -1) | begin.between(down["start0"], down["end1"])).otherwise(down["frame"] == F.pmod(handed, F.lit(3)))
+
+
+def denovo_pairs(exon_rows: DataFrame, dist: int, min_intron: int = 50, in_frame: bool | None = None) -> DataFrame:
+    """Exon pairs of one strand whose gap is from ``min_intron`` to ``dist`` bases.
+
+    With exons that have the columns CODING, ``in_frame`` False adds whether a pair keeps the reading frame and True keeps
+    those that do.
+    """
+    more = [] if in_frame is None else CODING
+    exon = F.struct("start0", "end1", *more)
+    a = exon_rows.select("chrom", "strand", exon.alias("_a"), (F.col("end1") + min_intron).alias("from0"), (F.col("end1") + dist + 1).alias("to1"))
+    b = exon_rows.select("chrom", "strand", F.col("start0").alias("next_start0"), exon.alias("_b"))
+    pairs = I.point_join(b, a, "next_start0", ("from0", "to1"), ["chrom", "strand"])
+    out = ["chrom", "strand", F.col("_a.start0").alias("start0"), F.col("_a.end1").alias("end1"), "next_start0", F.col("_b.end1").alias("next_end1")]
+    if in_frame is None:
+        return pairs.select(*out)
+    minus = F.col("strand") == "-"
+    kept = keeps_frame(F.when(minus, F.col("_b")).otherwise(F.col("_a")), F.when(minus, F.col("_a")).otherwise(F.col("_b")), F.col("strand"))
+    told = pairs.select(*out, kept.alias("in_frame"))
+    return told.filter("in_frame") if in_frame else told
 
 
 def utr_runs(blocks: DataFrame, min_blocks: int = 2) -> DataFrame:

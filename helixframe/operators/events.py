@@ -135,16 +135,21 @@ def terminal_exon_events(occ: DataFrame, groups: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def retained_introns(junctions: DataFrame, locus_exon: DataFrame, parent: str = "any", free: bool = False, unambiguous: bool = False) -> DataFrame:
+def retained_introns(junctions: DataFrame, locus_exon: DataFrame, parent: str = "any", free: bool = False, unambiguous: bool = False, occ: DataFrame | None = None) -> DataFrame:
     """Junctions whose two exons overlap one parent exon of the locus: (…, a, b, parent[, kept]).
 
-    ``parent``: any, either (spliced on a side at least) or both. ``free`` wants no exon but parents over the intron;
+    ``parent``: any, either (spliced on a side at least), both, or same_tx (spliced on both sides in one transcript of
+    ``occ``, which has locus and tx_id). ``free`` wants no exon but parents over the intron;
     ``unambiguous`` adds what of the intron no exon but parents covers.
     """
     p = locus_exon.select("locus", F.col("start0").alias("p0"), F.col("end1").alias("p1"))
     j = junctions.select(*LOCUS, "start0", "end1", "next_start0", "next_end1").distinct()
     hits = j.join(p, "locus").filter((F.col("p0") < F.col("end1")) & (F.col("p1") > F.col("next_start0")))
-    if parent != "any":
+    if parent == "same_tx":
+        w = Window.partitionBy("locus", "tx_id").orderBy("start0", "end1")
+        inner = occ.withColumns({"_b": F.lag("start0").over(w), "_a": F.lead("start0").over(w)}).filter("_b is not null and _a is not null")
+        hits = hits.join(inner.select("locus", F.col("start0").alias("p0"), F.col("end1").alias("p1")).distinct(), ["locus", "p0", "p1"], "left_semi")
+    elif parent != "any":
         ins = junctions.select("locus", F.col("next_start0").alias("p0"), F.col("next_end1").alias("p1"), F.lit(True).alias("_in")).distinct()
         outs = junctions.select("locus", F.col("start0").alias("p0"), F.col("end1").alias("p1"), F.lit(True).alias("_out")).distinct()
         hits = hits.join(ins, ["locus", "p0", "p1"], "left").join(outs, ["locus", "p0", "p1"], "left")
@@ -225,14 +230,19 @@ def quantify(events: DataFrame, exon_counts: DataFrame, jnx_counts: DataFrame) -
     parts = events.select("event_id", "locus", F.explode(F.array(F.struct(F.lit("exc").alias("side"), F.col("exc").alias("p")), F.struct(F.lit("inc").alias("side"), F.col("inc").alias("p")))).alias("s")).select("event_id", "locus", "s.side", "s.p")
     mids = parts.select("event_id", "locus", "side", F.posexplode("p").alias("i", "x"), F.size("p").alias("k")).withColumn("flank", (F.col("i") == 0) | (F.col("i") == F.col("k") - 1))
     e = mids.join(exon_counts.select("locus", exon_struct().alias("x"), "n_reads", "n_positions"), ["locus", "x"], "left")
-    j = parts.select("event_id", "locus", "side", F.explode(F.expr("transform(sequence(1, size(p) - 1), i -> struct(p[i - 1].end1 AS d, p[i].start0 AS a))")).alias("j"))
+    j = parts.select("event_id", "locus", "side", F.posexplode(F.expr("transform(sequence(1, size(p) - 1), i -> struct(p[i - 1].end1 AS d, p[i].start0 AS a))")).alias("i", "j"))
     j = j.join(jnx_counts.select("locus", F.struct(F.col("end1").alias("d"), F.col("next_start0").alias("a")).alias("j"), "n_reads", "n_positions"), ["locus", "j"], "left")
-    rows = e.select("event_id", "side", "n_reads", "n_positions", "flank", F.lit(False).alias("jnx")).unionByName(j.select("event_id", "side", "n_reads", "n_positions", F.lit(False).alias("flank"), F.lit(True).alias("jnx")))
+    rows = e.select("event_id", "side", "i", "n_reads", "n_positions", "flank", F.lit(False).alias("jnx")).unionByName(j.select("event_id", "side", "i", "n_reads", "n_positions", F.lit(False).alias("flank"), F.lit(True).alias("jnx")))
     n = lambda side, c, cond: F.coalesce(F.sum(F.when((F.col("side") == side) & cond, F.col(c))), F.lit(0))
     own = ~F.col("flank")
+    parts = {"flank": F.col("flank"), "jnx": F.col("jnx"), "mid": own & ~F.col("jnx")}
+    each = [n(side, f"n_{what}", cond).alias(f"{side}_{part}_{what}") for side in ("inc", "exc") for part, cond in parts.items() for what in ("reads", "positions")]
+    seen = lambda side, c: F.min(F.when(F.col("jnx") & (F.col("side") == side), (F.coalesce(c, F.lit(0)) > 0).cast("int")))
+    told = lambda side, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("jnx") & (F.col("side") == side), F.struct("i", F.coalesce(c, F.lit(0)).alias("n"))))), lambda x: x["n"].cast("string")), ",")
+    checks = [f(side, f"n_{what}").alias(f"{side}_{name}") for side in ("inc", "exc") for name, f, what in (("jr", told, "reads"), ("jp", told, "positions"), ("jrf", seen, "reads"), ("jpf", seen, "positions"))]
     g = rows.groupBy("event_id").agg(
         n("inc", "n_reads", own).alias("inc_reads"), n("inc", "n_positions", own).alias("inc_positions"), n("exc", "n_reads", own).alias("exc_reads"), n("exc", "n_positions", own).alias("exc_positions"),
-        n("exc", "n_reads", F.col("flank")).alias("flank_reads"), n("inc", "n_reads", F.col("jnx")).alias("inc_jnx_reads"), n("exc", "n_reads", F.col("jnx")).alias("exc_jnx_reads"),
+        n("exc", "n_reads", F.col("flank")).alias("flank_reads"), *each, *checks,
         F.min(F.when(F.col("jnx"), (F.coalesce("n_reads", F.lit(0)) > 0).cast("int"))).alias("jrf"), F.min(F.when(F.col("jnx"), (F.coalesce("n_positions", F.lit(0)) > 0).cast("int"))).alias("jpf"),
     )
     out = events.join(g, "event_id").withColumn("exc_plus", F.col("exc_reads") + F.when(F.size("exc") == 2, F.col("flank_reads")).otherwise(0))
@@ -284,6 +294,12 @@ def recombined_junctions(locus_exon: DataFrame, dist: int = 5, block: int = 1000
     return e.join(b, ["locus", "block"]).filter(F.col("next_start0") - F.col("end1") >= dist).select(*LOCUS, "start0", "end1", "next_start0", "next_end1").distinct()
 
 
+def reversed_graph(edges: DataFrame) -> DataFrame:
+    """The edges of a splice graph in transcript direction of the reverse strand: each leads from its right segment to its left one."""
+    back = {"start0": "next_start0", "end1": "next_end1", "next_start0": "start0", "next_end1": "end1"}
+    return edges.select("chrom", "kind", *(F.col(a).alias(b) for b, a in back.items()))
+
+
 def splice_graph_edges(blocks: DataFrame, junctions: DataFrame) -> DataFrame:
     """Edges (chrom, kind, start0, end1, next_start0, next_end1) between exonic segments: touching ones, and those a junction joins."""
     b = blocks.filter("n_exons > 0").select("chrom", "start0", "end1")
@@ -307,6 +323,90 @@ def shared_windows(tags: DataFrame, read_length: int) -> DataFrame:
     return rows.groupBy("chrom", "window").agg(F.countDistinct("tag_id").alias("n_tags"), F.min("tag_id").alias("tag_id"))
 
 
+def is_cobound(exc: Column, inc: Column) -> Column:
+    """Whether both paths have the same first and the same last exon, bounds and all; events can be filtered by it."""
+    return (F.element_at(exc, 1) == F.element_at(inc, 1)) & (F.element_at(exc, -1) == F.element_at(inc, -1))
+
+
+def _identity(events: DataFrame, event_type: Column, locus_name: Column, link_prefix: str, link_suffix: str) -> list:
+    """The twelve columns that both event tables begin with; paths are given inclusion before exclusion."""
+    path = lambda p: F.array_join(F.transform(p, lambda x: F.concat_ws("-", x["start0"] + 1, x["end1"])), ",")
+    mids = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+    jnx = lambda p: F.array_join(F.transform(F.slice(p, F.lit(1), F.size(p) - 1), lambda x, i: F.concat_ws(">", x["end1"], F.get(p, i + 1)["start0"] + 1)), ",")
+    both = lambda f: F.concat_ws("/", f(F.col("inc")), f(F.col("exc")))
+    group = F.concat_ws("_", "src", "dst") if {"src", "dst"} <= set(events.columns) else F.lit("")
+    bounds = F.concat("inc", "exc")
+    low, high = F.array_min(F.transform(bounds, lambda x: x["start0"])), F.array_max(F.transform(bounds, lambda x: x["end1"]))
+    return [
+        event_type.alias("event_type"), locus_name.alias("locus_name"), F.concat_ws("/", group, group).alias("groups"), both(jnx).alias("junctions"), "chrom", "strand", both(path).alias("coordinates"),
+        is_cobound(F.col("exc"), F.col("inc")).cast("int").alias("cobound"), both(lambda p: path(mids(p))).alias("exonic"), path(mids(F.col("inc"))).alias("inc_specific"), path(mids(F.col("exc"))).alias("exc_specific"),
+        F.concat(F.lit(link_prefix), "chrom", F.lit(":"), low, F.lit("-"), high, F.lit(link_suffix)).alias("link"),
+    ]
+
+
+def count_table(events: DataFrame, event_type: Column, locus_name: Column, link_prefix: str = "", link_suffix: str = "") -> DataFrame:
+    """Quantified events as the 43 columns of the text table: identity, places, link, counts of each path and ratios.
+
+    ``groups`` are the boundary groups that the paths share (columns src and dst, empty without them). Coordinates are
+    1-based starts and ends; ratios without a denominator are null.
+    """
+    parts = [f"{part}_{what}" for part in ("flank", "jnx", "mid") for what in ("reads", "positions")]
+    sides = [f"{side}_{c}" for side in ("inc", "exc") for c in (*parts, "jr", "jp", "jrf", "jpf")]
+    last = ["inc_reads", "inc_positions", "exc_reads", "exc_positions", (F.col("inc_reads") + F.col("exc_reads")).alias("all_reads"), F.col("inc_reads").alias("ni"), F.col("exc_plus").alias("ne_plus"), "ir", "inc_density", "exc_density", "psi"]
+    return events.select(*_identity(events, event_type, locus_name, link_prefix, link_suffix), *sides, *last)
+
+
+#: Kinds of the snippets around splice sites, by where they lie: bases of an exon or intron at its 5' or 3' end.
+SNIPPETS = ("E3", "I5", "I3", "E5")
+
+
+def splice_snippets(events: DataFrame, sequences: DataFrame, i5: int, i3: int, e5: int, e3: int) -> DataFrame:
+    """(event_id, side, at, kind, seq): bases around each splice site of both paths, in transcript direction.
+
+    At each donor (at counts them from 0) the last ``e3`` bases of the exon (E3) and the first ``i5`` of the intron (I5), at
+    each acceptor the last ``i3`` of the intron (I3) and the first ``e5`` of the exon (E5); never more than half of either.
+    """
+    from ..functions.sequence import reverse_complement
+    from .sequences import fetch_sequence
+
+    minus = F.col("strand") == "-"
+    paths = F.array(F.struct(F.lit("exc").alias("side"), F.col("exc").alias("p")), F.struct(F.lit("inc").alias("side"), F.col("inc").alias("p")))
+    sites = events.select("event_id", "chrom", "strand", F.explode(paths).alias("s")).select("event_id", "chrom", "strand", "s.side", F.size("s.p").alias("k"), F.posexplode(F.expr("transform(sequence(1, size(s.p) - 1), i -> struct(s.p[i - 1] AS a, s.p[i] AS b))")).alias("i", "x"))
+    half = lambda n, size: F.least(n.cast("long"), F.floor(size / 2))
+    a0, a1, b0, b1 = F.col("x.a.start0"), F.col("x.a.end1"), F.col("x.b.start0"), F.col("x.b.end1")
+    by = lambda plus, other: F.when(minus, other).otherwise(plus)
+    # from left to right: end of the left exon, both ends of the intron, start of the right exon
+    cuts = [
+        (by(F.lit("E3"), F.lit("E5")), a1 - half(by(F.lit(e3), F.lit(e5)), a1 - a0), a1),
+        (by(F.lit("I5"), F.lit("I3")), a1, a1 + half(by(F.lit(i5), F.lit(i3)), b0 - a1)),
+        (by(F.lit("I3"), F.lit("I5")), b0 - half(by(F.lit(i3), F.lit(i5)), b0 - a1), b0),
+        (by(F.lit("E5"), F.lit("E3")), b0, b0 + half(by(F.lit(e5), F.lit(e3)), b1 - b0)),
+    ]
+    at = by(F.col("i"), F.col("k") - 2 - F.col("i"))
+    want = sites.select("event_id", "chrom", "strand", "side", at.alias("at"), F.explode(F.array(*(F.struct(k.alias("kind"), s.alias("start0"), e.alias("end1")) for k, s, e in cuts))).alias("c")).select("event_id", "chrom", "strand", "side", "at", "c.*")
+    got = fetch_sequence(sequences, want.select(F.col("chrom").alias("contig"), "start0", "end1").distinct()).withColumnRenamed("contig", "chrom")
+    rows = want.join(got, ["chrom", "start0", "end1"])
+    return rows.select("event_id", "side", "at", "kind", by(F.col("seq"), reverse_complement(F.col("seq"))).alias("seq"))
+
+
+def sequence_table(events: DataFrame, sequences: DataFrame, event_type: Column, locus_name: Column, i5: int = 0, i3: int = 0, e5: int = 0, e3: int = 0, link_prefix: str = "", link_suffix: str = "") -> DataFrame:
+    """Events (event_id, chrom, strand, exc, inc) as the 20 columns of the sequence table.
+
+    The first twelve are those of ``count_table``. Then come the exons of each path, joined by ``|``, and its snippets
+    upstream (at the first donor), downstream (at the last acceptor) and in the middle, each as ``kind:bases`` joined by ``|``.
+    """
+    own = event_sequences(events, sequences).drop("inc_up", "inc_down")
+    order = F.array_position(F.array(*(F.lit(k) for k in SNIPPETS)), F.col("kind"))
+    s = splice_snippets(events, sequences, i5, i3, e5, e3).filter("seq <> ''")
+    s = s.withColumns({"last": F.max("at").over(Window.partitionBy("event_id", "side")), "donor": F.col("kind").isin("E3", "I5")})
+    where = F.when(F.col("donor") & (F.col("at") == 0), "up").when(~F.col("donor") & (F.col("at") == F.col("last")), "down").otherwise("mid")
+    held = s.groupBy("event_id", F.concat_ws("_", "side", where).alias("w")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", order.alias("o"), F.concat_ws(":", "kind", "seq").alias("t")))), lambda x: x["t"]), "|").alias("t"))
+    names = [f"{side}_{w}" for side in ("inc", "exc") for w in ("up", "mid", "down")]
+    wide = held.groupBy("event_id").pivot("w", names).agg(F.first("t"))
+    full = own.join(wide, "event_id", "left")
+    return full.select(*_identity(full, event_type, locus_name, link_prefix, link_suffix), "inc_seq", "exc_seq", *names)
+
+
 def event_sequences(events: DataFrame, sequences: DataFrame, i5: int = 0, i3: int = 0) -> DataFrame:
     """``events`` (event_id, chrom, strand, exc, inc) with the exon sequences of both paths, joined by ``|`` in transcript direction.
 

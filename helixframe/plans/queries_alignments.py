@@ -126,6 +126,17 @@ def _(s, d):
     return R.pileup(with_bases(s, d)).select("rname", "pos0", "depth", "bases", "quals", "indels")
 
 
+SECOND = {"sr": SHOWN["sr"], "sp": SHOWN["sp"]} | {"sc": "SELECT rname, pos0 + r + i AS pos0, ordinal, CASE WHEN mapq % 3 = 0 THEN 'N' ELSE substr(translate(sq, 'ACGT', 'CGTA'), CAST(q + i + 1 AS INT), 1) END AS b, CASE WHEN mapq % 3 = 0 THEN '!' ELSE chr(mapq % 30 + 40) END AS qc FROM sp WHERE cigar <> '20M1D16M'"}
+
+
+@query("a12_second_calls", "SELECT rname, pos0, string_agg(b, '' ORDER BY ordinal, b, qc) AS bases2, string_agg(qc, '' ORDER BY ordinal, b, qc) AS quals2 FROM sc GROUP BY rname, pos0", SECOND)
+def _(s, d):
+    tag = lambda value: F.struct(F.lit("Z").alias("type"), value.alias("value"))
+    aux = F.when(F.col("mapq") % 3 != 0, F.create_map(F.lit("E2"), tag(F.translate("seq", "ACGT", "CGTA")), F.lit("U2"), tag(F.repeat(F.char(F.col("mapq") % 30 + 40), 36))))
+    rows = with_bases(s, d).filter("cigar <> '20M1D16M'").withColumn("aux", aux)
+    return R.pileup(rows, second_call=True).select("rname", "pos0", "bases2", "quals2")
+
+
 @query("j09_mpileup", "SELECT rname, pos0, coalesce(a.n, 0) AS depth_a, coalesce(b.n, 0) AS depth_b FROM (SELECT rname, pos0, count(*) AS n FROM px WHERE ordinal % 2 = 0 GROUP BY ALL) a FULL JOIN (SELECT rname, pos0, count(*) AS n FROM px WHERE ordinal % 2 = 1 GROUP BY ALL) b USING (rname, pos0)", PARTS)
 def _(s, d):
     a = with_bases(s, d)

@@ -262,6 +262,32 @@ def _(s, d):
     return A.denovo_pairs(exon_rows(s, d), 2000, 50)
 
 
+#: Coding columns of exons, made of their places.
+FRAMED = {
+    "ex": EXON_SQL,
+    "fe": "SELECT chrom, strand, start0, end1, (start0 // 100 + end1 // 50) % 4 - 1 AS frame, start0 + 1300 * (start0 // 100 % 3) AS cds_start0, end1 - 1300 * (end1 // 100 % 3) AS cds_end1 FROM ex",
+    "fp": """SELECT a.chrom, a.strand, a.start0, a.end1, b.start0 AS next_start0, b.end1 AS next_end1, CASE WHEN a.strand <> '-' THEN CASE a.frame WHEN -1 THEN b.frame = -1 OR (a.cds_start0 >= b.start0 AND a.cds_start0 <= b.end1) WHEN 0 THEN b.frame = (((a.end1 - a.cds_start0) % 3) + 3) % 3 ELSE b.frame = (a.end1 - a.start0 + a.frame) % 3 END
+ELSE CASE b.frame WHEN -1 THEN a.frame = -1 OR (b.cds_end1 >= a.start0 AND b.cds_end1 <= a.end1) WHEN 0 THEN a.frame = (((b.cds_end1 - b.start0) % 3) + 3) % 3 ELSE a.frame = (b.end1 - b.start0 + b.frame) % 3 END END AS in_frame
+FROM fe a JOIN fe b ON a.chrom = b.chrom AND a.strand = b.strand AND b.start0 <= a.end1 + 2000 AND a.end1 <= b.start0 - 50""",
+}
+
+
+def framed(s, d):
+    tens = lambda c, n: F.floor(F.col(c) / n)
+    return exon_rows(s, d).withColumns({"frame": (tens("start0", 100) + tens("end1", 50)) % 4 - 1, "cds_start0": F.col("start0") + 1300 * (tens("start0", 100) % 3), "cds_end1": F.col("end1") - 1300 * (tens("end1", 100) % 3)})
+
+
+@query("j13_denovo_frames", "SELECT * FROM fp", FRAMED)
+def _(s, d):
+    return A.denovo_pairs(framed(s, d), 2000, 50, in_frame=False)
+
+
+@query("e17_denovo_in_frame", "SELECT chrom, strand, start0, end1, next_start0, next_end1 FROM fp p WHERE in_frame AND NOT EXISTS (SELECT 1 FROM fx_jnx k WHERE k.chrom = p.chrom AND k.end1 = p.end1 AND k.next_start0 = p.next_start0)", FRAMED)
+def _(s, d):
+    known = A.gene_junctions(occ(s, d)).select("chrom", "end1", "next_start0").distinct()
+    return A.denovo_pairs(framed(s, d), 2000, 50, in_frame=True).join(known, ["chrom", "end1", "next_start0"], "left_anti").select("chrom", "strand", "start0", "end1", "next_start0", "next_end1")
+
+
 @query("e17_denovo_junctions", "SELECT chrom, strand, start0, end1, next_start0, next_end1 FROM (SELECT a.chrom, a.strand, a.start0, a.end1, b.start0 AS next_start0, b.end1 AS next_end1 FROM ex a JOIN ex b ON a.chrom = b.chrom AND a.strand = b.strand AND b.start0 <= a.end1 + 1500 AND a.end1 <= b.start0 - 50) p WHERE NOT EXISTS (SELECT 1 FROM fx_jnx k WHERE k.chrom = p.chrom AND k.end1 = p.end1 AND k.next_start0 = p.next_start0)", {"ex": EXON_SQL})
 def _(s, d):
     known = A.gene_junctions(occ(s, d)).select("chrom", "end1", "next_start0").distinct()

@@ -131,6 +131,16 @@ def _(s, d):
     return r.select("locus", "a.start0", "a.end1", F.col("b.start0").alias("next_start0"), F.col("b.end1").alias("next_end1"), F.col("parent.start0").alias("p0"), F.col("parent.end1").alias("p1"))
 
 
+@query("e07_retained_introns_internal", "SELECT locus, start0, end1, next_start0, next_end1, p0, p1 FROM ri WHERE p0 // 100 % 2 = 0", RI)
+def _(s, d):
+    # transcripts of the long exons, with an exon before each, and one after where their place is even
+    long = with_retained(s, d).join(locus_exon(s, d), ["locus", "start0", "end1"], "left_anti").withColumn("even", F.floor(F.col("start0") / 100) % 2 == 0)
+    moved = lambda by: F.struct((F.col("start0") + by).alias("start0"), (F.col("end1") + by).alias("end1"))
+    own = long.select("locus", F.xxhash64("locus", "start0", "end1").alias("tx_id"), F.explode(F.when(F.col("even"), F.array(moved(-9000), moved(0), moved(9000))).otherwise(F.array(moved(-9000), moved(0)))).alias("x")).select("locus", "tx_id", "x.*")
+    r = E.retained_introns(jnx(s, d), with_retained(s, d), parent="same_tx", occ=own)
+    return r.select("locus", "a.start0", "a.end1", F.col("b.start0").alias("next_start0"), F.col("b.end1").alias("next_end1"), F.col("parent.start0").alias("p0"), F.col("parent.end1").alias("p1"))
+
+
 UNCLEAR = RI | {
     "ki": "SELECT DISTINCT locus, end1, next_start0 FROM ri",
     "ie": "SELECT k.locus, k.end1, k.next_start0, e.start0 AS e0, e.end1 AS e1 FROM ki k JOIN lx e ON e.locus = k.locus AND e.start0 < k.next_start0 AND e.end1 > k.end1 AND NOT (e.start0 < k.end1 AND e.end1 > k.next_start0)",
@@ -216,11 +226,7 @@ JOIN jc j0 ON j0.locus = sd.locus AND j0.end1 = a_end AND j0.next_start0 = c_sta
     QUANT,
 )
 def _(s, d):
-    ev = skipped(s, d).withColumn("event_id", F.xxhash64("locus", "exc", "inc"))
-    lx, j = locus_exon(s, d), jnx(s, d)
-    xc = lx.join(_overlapping_counts(s, d), ["chrom", "start0", "end1"]).withColumn("n_positions", F.col("end1") - F.col("start0")).select("locus", "start0", "end1", "n_reads", "n_positions").distinct()
-    jc = j.select("locus", "end1", "next_start0").distinct().withColumns({"n_reads": (F.col("end1") * 3 + F.col("next_start0")) % 17, "n_positions": F.lit(32).cast("long")})
-    q = E.quantify(ev, xc, jc)
+    q = quantified(s, d)
     at = lambda c, i, k: F.element_at(c, i)[k]
     return q.select(
         "locus", at("exc", 1, "end1").alias("a_end"), at("inc", 2, "start0").alias("b_start"), at("inc", 2, "end1").alias("b_end"), at("exc", 2, "start0").alias("c_start"), at("inc", 1, "start0").alias("na_start"), at("inc", 1, "end1").alias("na_end"),
@@ -228,6 +234,67 @@ def _(s, d):
     )
 
 
+def quantified(s, d):
+    """Skipped-exon events with the reads of their exons and junctions."""
+    ev = skipped(s, d).withColumn("event_id", F.xxhash64("locus", "exc", "inc"))
+    lx, j = locus_exon(s, d), jnx(s, d)
+    xc = lx.join(_overlapping_counts(s, d), ["chrom", "start0", "end1"]).withColumn("n_positions", F.col("end1") - F.col("start0")).select("locus", "start0", "end1", "n_reads", "n_positions").distinct()
+    jc = j.select("locus", "end1", "next_start0").distinct().withColumns({"n_reads": (F.col("end1") * 3 + F.col("next_start0")) % 17, "n_positions": F.lit(32).cast("long")})
+    return E.quantify(ev, xc, jc)
+
+
+@query(
+    "s19_event_counts",
+    """SELECT 'SE' AS event_type, 'g' || sd.locus AS locus_name, na_end || '>' || (b_start + 1) || ',' || b_end || '>' || (nc_start + 1) || '/' || a_end || '>' || (c_start + 1) AS junctions, sd.chrom, sd.strand,
+(na_start + 1) || '-' || na_end || ',' || (b_start + 1) || '-' || b_end || ',' || (nc_start + 1) || '-' || nc_end || '/' || (a_start + 1) || '-' || a_end || ',' || (c_start + 1) || '-' || c_end AS coordinates, CAST(a_start = na_start AND a_end = na_end AND c_start = nc_start AND c_end = nc_end AS INT) AS cobound,
+(b_start + 1) || '-' || b_end AS inc_specific, 'x' || sd.chrom || ':' || least(a_start, na_start) || '-' || greatest(c_end, nc_end) || 'y' AS link, b.n AS inc_mid_reads, j1.n + j2.n AS inc_jnx_reads, j1.n || ',' || j2.n AS inc_jr, CAST(CASE WHEN j1.n > 0 AND j2.n > 0 THEN 1 ELSE 0 END AS INT) AS inc_jrf, fa.n + fc.n AS exc_flank_reads, j0.n AS exc_jnx_reads, '32' AS exc_jp, b.n + j1.n + j2.n + j0.n AS all_reads, CAST(43 AS INT) AS n_columns
+FROM sd JOIN xc b ON b.chrom = sd.chrom AND b.start0 = b_start AND b.end1 = b_end JOIN jc j1 ON j1.locus = sd.locus AND j1.end1 = na_end AND j1.next_start0 = b_start JOIN jc j2 ON j2.locus = sd.locus AND j2.end1 = b_end AND j2.next_start0 = nc_start
+JOIN jc j0 ON j0.locus = sd.locus AND j0.end1 = a_end AND j0.next_start0 = c_start JOIN xc fa ON fa.chrom = sd.chrom AND fa.start0 = a_start AND fa.end1 = a_end JOIN xc fc ON fc.chrom = sd.chrom AND fc.start0 = c_start AND fc.end1 = c_end""",
+    QUANT,
+)
+def _(s, d):
+    t = E.count_table(quantified(s, d), F.lit("SE"), F.concat(F.lit("g"), "locus"), "x", "y")
+    shown = "event_type locus_name junctions chrom strand coordinates cobound inc_specific link inc_mid_reads inc_jnx_reads inc_jr inc_jrf exc_flank_reads exc_jnx_reads exc_jp all_reads".split()
+    return t.select(*shown, F.lit(len(t.columns)).alias("n_columns"))
+
+
+#: Three exons around a place of a sequence, on both strands, and what lies around their splice sites.
+_TRIO = [(100, 160), (300, 350), (500, 580)]
+
+
+def _bases(a: int, b: int, minus: bool) -> str:
+    text = f"substr(seq, CAST(b + {a + 1} AS INT), {b - a})"
+    return f"reverse(translate({text}, 'ACGT', 'TGCA'))" if minus else text
+
+
+def _around(minus: bool) -> tuple[str, str, str, str]:
+    """SQL of the inclusion path's exons and of its snippets upstream, between and downstream, with E3 of 4, I5 of 6, I3 of 7 and E5 of 3 bases."""
+    exons = [(b, a) for a, b in reversed(_TRIO)] if minus else _TRIO
+    cut = lambda at, n: _bases(*sorted((at, at - n if minus else at + n)), minus)
+    named = lambda kind, at, n: f"'{kind}:' || {cut(at, n)}"
+    donor = lambda x: f"{named('E3', x[1], -4)} || '|' || {named('I5', x[1], 6)}"
+    acceptor = lambda x: f"{named('I3', x[0], -7)} || '|' || {named('E5', x[0], 3)}"
+    whole = " || '|' || ".join(_bases(*sorted(x), minus) for x in exons)
+    return whole, donor(exons[0]), f"{acceptor(exons[1])} || '|' || {donor(exons[1])}", acceptor(exons[2])
+
+
+_EVENTS = "SELECT doc_id * 10000 + i AS event_id, contig, seq, b, i % 2 = 1 AS minus FROM pl WHERE b + 600 <= length(seq)"
+_SIDES = ", ".join(f"CASE WHEN minus THEN {x} ELSE {y} END AS {name}" for name, x, y in zip(("inc_seq", "inc_up", "inc_mid", "inc_down"), _around(True), _around(False), strict=True))
+
+
+@query("e11_sequence_table", f"SELECT event_id, {_SIDES}, CAST(20 AS INT) AS n_columns FROM ev", {"pl": "SELECT doc_id, contig, seq, i, greatest(i * 4096 - 12, 0) AS b FROM (SELECT doc_id, contig, seq, unnest(range(0, (length(seq) + 4095) // 4096)) AS i FROM fx_whole)", "ev": _EVENTS})
+def _(s, d):
+    from .fixtures import whole_chunks
+    from .queries_variants import places
+
+    exon = lambda a, b: F.struct((F.col("b") + a).alias("start0"), (F.col("b") + b).alias("end1"))
+    one, two, three = (exon(*x) for x in _TRIO)
+    at = places(s, d).filter("b + 600 <= length(seq)")
+    events = at.select((F.col("doc_id") * 10000 + F.col("i")).alias("event_id"), F.col("contig").alias("chrom"), F.when(F.col("i") % 2 == 1, "-").otherwise("+").alias("strand"), F.array(one, three).alias("exc"), F.array(one, two, three).alias("inc"))
+    t = E.sequence_table(events, whole_chunks(s, d), F.lit("SE"), F.col("event_id").cast("string"), i5=6, i3=7, e5=3, e3=4)
+    return t.select(F.col("locus_name").cast("long").alias("event_id"), "inc_seq", "inc_up", "inc_mid", "inc_down", F.lit(len(t.columns)).alias("n_columns"))
+
+
 def _overlapping_counts(s, d):
     """Read starts in each distinct exon; exons may overlap, so a start can count for several."""
     from ..operators import intervals as I
@@ -275,6 +342,11 @@ def _(s, d):
     return E.splice_graph_edges(A.gblocks(exon_rows(s, d)), jnx(s, d))
 
 
+@query("e18_reversed_graph", "SELECT 'touch' AS kind, b.chrom, b.start0, b.end1, a.start0 AS next_start0, a.end1 AS next_end1 FROM bb a JOIN bb b ON a.chrom = b.chrom AND a.end1 = b.start0 UNION ALL SELECT 'junction', a.chrom, b.start0, b.end1, a.start0, a.end1 FROM (SELECT DISTINCT chrom, end1, next_start0 FROM fx_jnx WHERE strand = '-') j JOIN bb a ON a.chrom = j.chrom AND a.end1 = j.end1 JOIN bb b ON b.chrom = j.chrom AND b.start0 = j.next_start0", {"bb": "SELECT chrom, start0, end1 FROM fx_gblock WHERE n_exons > 0"})
+def _(s, d):
+    return E.reversed_graph(E.splice_graph_edges(A.gblocks(exon_rows(s, d)), jnx(s, d).filter("strand = '-'")))
+
+
 @query("e19_same_locus", "SELECT chrom, left_locus, right_locus, end1, next_start0 FROM (SELECT chrom, gene_id AS left_locus, CASE WHEN start0 % 3 = 0 THEN gene_id + 1 ELSE gene_id END AS right_locus, end1, next_start0 FROM fx_jnx) WHERE left_locus = right_locus")
 def _(s, d):
     j = A.gene_junctions(occ(s, d)).select("chrom", F.col("gene_id").alias("left_locus"), F.when(F.col("start0") % 3 == 0, F.col("gene_id") + 1).otherwise(F.col("gene_id")).alias("right_locus"), "end1", "next_start0")
