@@ -23,7 +23,7 @@ BLOCKS_A_TASK = 4
 #: Words up to this length are remembered: twice so many, and so many ends of chunks, per Python worker.
 CHUNK_CHARS, WORDS_KEPT, TAILS_KEPT = 48, 150_000, 10_000
 #: Text that a worker splits at once, in bytes.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 #: ASCII marks that are tokens apart from the letters before them when they end a chunk.
 _TAIL = ".,!?;:$*&#%)"
 #: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.

@@ -211,12 +211,12 @@ def bayes_psi(ext_len: Column, ext_n: Column, core_len: Column, core_n: Column,
     rate = F.try_divide(ext_len * core_n, core_len)
     log_p = lambda i: F.when(i == 0, F.when(ext_n == 0, 0.0)).otherwise(ext_n * F.log(rate * i / steps) - rate * i / steps)
     terms = F.transform(F.sequence(F.lit(0), F.lit(steps)), log_p)
-    top = F.array_max(terms)
-    sums = F.aggregate(
-        F.sequence(F.lit(0), F.lit(steps)), F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("x")),
-        lambda a, i: F.struct((a["p"] + F.coalesce(F.exp(log_p(i) - top), F.lit(0.0))).alias("p"), (a["x"] + F.coalesce(F.exp(log_p(i) - top), F.lit(0.0)) * i / steps).alias("x")),
-        lambda a: a["x"] / a["p"],
-    )
+    total = lambda t, of: F.aggregate(F.transform(t["x"], of), F.lit(0.0), lambda a, x: a + x)
+    weight = lambda t, x: F.coalesce(F.exp(x - t["top"]), F.lit(0.0))
+    # the one-element arrays name what the next step reads, so it is computed but once
+    named = F.transform(F.array(terms), lambda x: F.struct(x.alias("x"), F.array_max(x).alias("top")))
+    means = F.transform(named, lambda t: total(t, lambda x, i: weight(t, x) * i / steps) / total(t, lambda x: weight(t, x)))
+    sums = F.get(means, F.lit(0))
     return F.when((ext_len > 0) & (core_len > 0) & (core_n > 0), sums)
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import partial
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -110,16 +112,16 @@ def subtract(a: DataFrame, b: DataFrame, keys=None) -> DataFrame:
     return parts.select(*keys, F.col("g.s").alias("start0"), F.col("g.e").alias("end1")).distinct()
 
 
-def _collapse(rows: pd.DataFrame, seed: tuple[float, float], tiers: list[tuple[int, float, float]], passes: int) -> pd.DataFrame:
-    """Greedy islands of one cluster: elements go left to right, and those left over try again in the next pass."""
-    islands: list[list[float]] = []  # start, end, score, in order
-    waiting = list(rows.sort_values(["start0", "end1"])[["start0", "end1", "score"]].itertuples(index=False))
+def _collapse(elements: list[tuple], seed: tuple[float, float], tiers: list[tuple[int, float, float]], passes: int) -> list[list]:
+    """Greedy islands (start, end, score) of one cluster: elements go left to right, and those left over try again in the next pass."""
+    islands: list[list] = []  # in order
+    waiting = elements
     for _ in range(passes):
         rest = []
         for s, e, score in waiting:
             dense = score / max(e - s, 1)
             reach = max((d for d, least, thick in tiers if score >= least and dense >= thick), default=-1)
-            at = next((i for i, x in enumerate(islands) if x[0] > s), len(islands))
+            at = bisect_right(islands, s, key=lambda x: x[0])
             near = [i for i in (at - 1, at) if 0 <= i < len(islands) and max(s - islands[i][1], islands[i][0] - e) <= reach]
             if near:
                 own = islands[near[0]]
@@ -134,7 +136,29 @@ def _collapse(rows: pd.DataFrame, seed: tuple[float, float], tiers: list[tuple[i
         if len(rest) == len(waiting):
             break
         waiting = rest
-    return pd.DataFrame({"chrom": pd.Series([rows["chrom"].iloc[0]] * len(islands), dtype=object), "start0": [int(x[0]) for x in islands], "end1": [int(x[1]) for x in islands], "score": [float(x[2]) for x in islands]})
+    return islands
+
+
+def _clusters(batches: Iterator[pa.RecordBatch], seed: tuple[float, float], tiers: list[tuple[int, float, float]], passes: int) -> Iterator[pa.RecordBatch]:
+    """Islands of rows (chrom, cluster, start0, end1, score) sorted by cluster and place; one cluster is held at a time."""
+    known, held = None, []
+    names = ["chrom", "start0", "end1", "score"]
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        c, s, e, x = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.record_batch([pa.array(c, pa.string()), pa.array(s, pa.int64()), pa.array(e, pa.int64()), pa.array(x, pa.float64())], names=names)
+
+    for b in batches:
+        out: list[tuple] = []
+        for chrom, cluster, *element in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+            if (chrom, cluster) != known:
+                if held:
+                    out += [(known[0], *x) for x in _collapse(held, seed, tiers, passes)]
+                known, held = (chrom, cluster), []
+            held.append(tuple(element))
+        yield made(out)
+    if held:
+        yield made([(known[0], *x) for x in _collapse(held, seed, tiers, passes)])
 
 
 def collapse_wig(scored: DataFrame, seed: tuple[float, float], tiers: list[tuple[int, float, float]], min_length: int = 0, passes: int = 2) -> DataFrame:
@@ -147,5 +171,6 @@ def collapse_wig(scored: DataFrame, seed: tuple[float, float], tiers: list[tuple
     """
     wide = max(d for d, _, _ in tiers) if tiers else 0
     known = number_islands(scored.select("chrom", "start0", "end1", "score"), ["chrom"], max_gap=wide, out="cluster")
-    out = known.groupBy("chrom", "cluster").applyInPandas(partial(_collapse, seed=seed, tiers=tiers, passes=passes), "chrom string, start0 long, end1 long, score double")
+    sorted_ = known.select("chrom", "cluster", F.col("start0").cast("long").alias("start0"), F.col("end1").cast("long").alias("end1"), F.col("score").cast("double").alias("score")).repartition("chrom", "cluster").sortWithinPartitions("chrom", "cluster", "start0", "end1")
+    out = sorted_.mapInArrow(partial(_clusters, seed=seed, tiers=tiers, passes=passes), "chrom string, start0 long, end1 long, score double")
     return out.filter(F.col("end1") - F.col("start0") >= min_length)
