@@ -17,8 +17,8 @@ DIMENSIONS = 4096
 #: Bounds of the sample that the centroids are fitted on: documents a language, and in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_IN_ALL = 600, 6000
 CLUSTERS, ROUNDS = 4, 12
-#: A document is rejected below this share of the cosine that all but one in a thousand fitted documents reach.
-MARGIN = 0.5
+#: A document is rejected below this share of the cosine that all but this part of the fitted documents reach.
+MARGIN, ODD = 0.5, 0.02
 #: Texts of fewer n-grams are measured by a cosine that shrinks with the root of their number, as short texts' cosines do.
 FULL_NGRAMS = 400
 UNKNOWN = "und"
@@ -90,10 +90,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col: str = "doc_id", per_language: int = SAMPLE_PER_LANGUAGE, in_all: int = SAMPLE_IN_ALL, clusters: int = CLUSTERS) -> LanguageModel:
     """A model of the languages named in ``docs``; rows with a null or letterless text, or a null language, teach nothing.
 
-    Texts are whole; at most ``per_language`` documents a language and ``in_all`` in all, those whose keys hash lowest,
-    are vectorised on the executors and clustered here. Without usable rows the model knows no language.
+    Texts are whole; at most ``per_language`` documents a language and ``in_all`` in all, those whose keys and texts hash
+    lowest, are vectorised on the executors and clustered here; rows that repeat key and text are one of them, and an n-gram
+    counts 65,535 times at most in a fitted text. Ties and their order don't matter. Without usable rows the model knows no
+    language.
     """
-    rows = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col)).alias("rank"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("rank"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     most = max(1, min(per_language, in_all // max(1, len(sizes))))
     if not sizes:
@@ -103,7 +105,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
         share = min(1.0, (most + 4 * most**0.5 + 10) / n)
         drawn = drawn | ((F.col("lang") == F.lit(lang)) & (F.pmod("rank", F.lit(1_000_003)) < int(share * 1_000_003) + 1))
     taken: dict[str, list] = {}
-    for r in rows.filter(drawn).mapInArrow(_counted, "lang string, rank long, counts binary").collect():
+    for r in rows.filter(drawn).dropDuplicates(["lang", "rank"]).mapInArrow(_counted, "lang string, rank long, counts binary").collect():
         taken.setdefault(r["lang"], []).append((r["rank"] % 1_000_003, bytes(r["counts"])))
     counts = {lang: np.stack([np.frombuffer(c, "<u2") for _, c in sorted(own)[:most]]) for lang, own in sorted(taken.items())}
     n = sum(map(len, counts.values()))
@@ -115,13 +117,14 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
         own = spherical_means(v, clusters)
         names += [lang] * len(own)
         centroids.append(own)
-        reject += [MARGIN * float(np.quantile((v @ own.T).max(axis=1) / expected(c), 0.001))] * len(own)
+        reject += [MARGIN * float(np.quantile((v @ own.T).max(axis=1) / expected(c), ODD))] * len(own)
     return LanguageModel(names, np.concatenate(centroids), idf, np.array(reject))
 
 
 def language_of(text: Column, model: LanguageModel) -> Column:
     """struct<lang, score, rejected> of each text, by the model's nearest centroid.
 
+    Texts are read whole, however long; of centroids that tie the first, by language name, tells.
     ``lang`` is ``und`` where the text is null or has no letter, or nothing was learned. ``rejected`` marks those and texts
     farther from every centroid than fitted documents are.
     """

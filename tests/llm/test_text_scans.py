@@ -1,5 +1,6 @@
 import functools
 import hashlib
+import math
 import random
 import re
 
@@ -360,3 +361,36 @@ def test_language_id_held_out_accuracy(spark):
     assert sum(r[5] for r in got) <= 8 and all(0 <= r[4] <= 1 for r in got)
     assert langid.identify(df.limit(0)).count() == 0
     assert {r[0] for r in langid.identify(df.limit(3).withColumn("lang", F.lit(None).cast("string"))).select("lang_id.lang").collect()} == {"und"}
+
+
+def brute_prediction(model, text):
+    """The nearest centroid by plain loops."""
+    if text is None or not any(c.isalpha() for c in text):
+        return "und"
+    counts = langid.ngram_counts(text)
+    v = [math.log1p(int(c)) * float(i) for c, i in zip(counts, model.idf, strict=True)]
+    size = math.sqrt(sum(x * x for x in v))
+    cosines = [sum(x * float(y) for x, y in zip(v, row, strict=True)) / size for row in model.centroids]
+    return model.languages[max(range(len(cosines)), key=cosines.__getitem__)]
+
+
+def test_language_id_rejects_what_it_has_not_learned(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fit(df)
+    rng = random.Random(4)
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 2,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa. " * 2,
+        *("".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(20)),
+    ]
+    assert all(model.predict(other)[2])
+    clean = [r.text for r in df.filter("lang is not null and text is not null").limit(40).collect()]
+    names, scores, rejected = model.predict([*clean, None, "12", "x " * 50_000])
+    assert names[:40] == [brute_prediction(model, t) for t in clean] and sum(rejected[:40]) == 0 and names[40:42] == ["und", "und"] and all(0 <= x <= 1 for x in scores)
+    odd = df.select("doc_id", "text", "lang", F.lit(1).alias("lang_id"), F.lit(2).alias("rank"), F.lit(3).alias("counts"))
+    same = odd.filter("doc_id = 3")
+    many = odd.unionByName(same).unionByName(same)
+    out = langid.identify(many)
+    assert out.count() == many.count() and {"rank", "counts", "lang_id", "in_held_out"} <= set(out.columns)
+    tied = langid.fit(spark.createDataFrame([(1, "de", "ein wort"), (1, "en", "ein wort"), (1, "en", "ein wort")], "doc_id long, lang string, text string"))
+    assert tied.predict(["ein wort"])[0] == ["de"]
