@@ -53,7 +53,7 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     the order of the placeholders) and its units times UNIT_TOKENS to ``attachment_tokens``. Other types count as text.
     ``loss_spans`` are (start, length) of the contents of ``loss_roles`` in code points of ``formatted``.
 
-    Null texts, roles and parts are empty. Turns that tie are ordered by role, then content. Null turns come first; rows
+    Very long texts and conversations are formatted whole. Null texts, roles and parts are empty. Turns that tie are ordered by role, then content. Null turns come first; rows
     with a null conv_id are one conversation; repeated rows are turns each; an empty table gives no rows. A conversation
     is one row of the result, so it has to fit in one task. Other columns are ignored.
     """
@@ -93,15 +93,27 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
 
 def parse_chat(formatted: Column) -> Column:
     """The turns of a formatted conversation as array<struct<role,text>>; placeholders stay as they are."""
+    return _turns(formatted, lambda body: unescape(body).alias("text"))
+
+
+def _turns(formatted: Column, of_body) -> Column:
     pieces = F.filter(F.split(formatted, TURN_END, -1), lambda p: p != "")
     at = lambda p: F.instr(p, ROLE_END)
-    return F.transform(
-        pieces,
-        lambda p: F.struct(
-            unescape(F.substr(p, F.lit(len(TURN) + 1), at(p) - F.lit(len(TURN) + 1)), ROLE_ESCAPES).alias("role"),
-            unescape(F.substr(p, at(p) + 1)).alias("text"),
-        ),
-    )
+    role = lambda p: unescape(F.substr(p, F.lit(len(TURN) + 1), at(p) - F.lit(len(TURN) + 1)), ROLE_ESCAPES)
+    return F.transform(pieces, lambda p: F.struct(role(p).alias("role"), of_body(F.substr(p, at(p) + 1))))
+
+
+def parse_parts(formatted: Column) -> Column:
+    """The turns as array<struct<role, parts: array<struct<type, text>>>>: a placeholder is a part of its kind, told from equal text by the escapes.
+
+    Texts of parts that stood side by side are one part; attachments have no text, their references are in ``attachments``,
+    in the same order.
+    """
+    marks = [rf"<\|{kind}\|>" for kind in UNIT_TOKENS]
+    cuts = "|".join([*(f"(?={m})" for m in marks), *(f"(?<={m})" for m in marks)])
+    kind = lambda x: F.regexp_extract(x, rf"^<\|({'|'.join(UNIT_TOKENS)})\|>$", 1)
+    part = lambda x: F.struct(F.when(kind(x) != "", kind(x)).otherwise("text").alias("type"), F.when(kind(x) == "", unescape(x)).alias("text"))
+    return _turns(formatted, lambda body: F.transform(F.filter(F.split(body, cuts), lambda x: x != ""), part).alias("parts"))
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

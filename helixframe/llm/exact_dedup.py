@@ -25,12 +25,14 @@ def exact_dedup(docs: DataFrame, support: float = SUPPORT, id_col: str = "doc_id
     broadcast, so a text that a third of the rows share is never shuffled. All other digests are grouped by a shuffle.
 
     A null text counts as empty. Rows that repeat a doc_id with an equal text share one verdict and each count in
-    ``group_size``. An empty table gives no rows; other columns are ignored.
+    ``group_size``. Of texts of equal length and id either may be told, as the verdict is the same. Very long texts are
+    read whole and leave the row as a digest. An empty table gives no rows; other columns, whatever their names, are ignored.
     """
     text = F.col("text")
     rows = cut(id_and_text(docs, id_col, text_col).select("doc_id", F.char_length(text).alias("n_chars"), sha256_hex(F.regexp_replace(text, r"[\x20\x09-\x0D]", "")).alias("digest")))
     frequent = rows.freqItems(["digest"], support).select(F.explode("digest_freqItems").alias("digest"))
-    hot = cut(_winners(rows.join(F.broadcast(frequent), "digest", "left_semi")).filter("group_size > 1"))
+    least = F.greatest(F.lit(1), F.floor(F.lit(rows.count() * support)))
+    hot = cut(_winners(rows.join(F.broadcast(frequent), "digest", "left_semi")).filter(F.col("group_size") > least))
     head = rows.join(F.broadcast(hot), "digest")
     rest = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     tail = rest.join(_winners(rest), "digest")

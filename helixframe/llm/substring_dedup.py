@@ -209,9 +209,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, shard_tokens: i
     of the passages of smaller ids gives their matching statistics, and spans of ``window`` and more go. Of a key with more
     than ``shard_tokens`` of them, the rest are compared with each other by digests of their windows.
 
-    Null and empty texts have no words. A null id comes after all others, and null ids don't remove each other's words.
-    Rows that repeat an id aren't smaller than each other; each gives a row. An empty table gives no rows; other columns
-    are ignored.
+    Null and empty texts have no words; very long texts are read whole. A null id comes after all others, and null ids don't
+    remove each other's words; the id 2^63 - 1 stands for null and comes back as null.
+    Rows that repeat an id aren't smaller than each other; each gives a row. An empty table gives no rows; other columns,
+    whatever their names, are ignored.
     """
     base = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
     # the texts are dealt by row key once; the three joins below reuse that exchange

@@ -201,3 +201,38 @@ def test_capacities_bind_over_all_documents(spark):
     r = out.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.count("length").alias("k"), F.sum(F.col("length") * F.col("length")).alias("a"))
     top = r.agg(F.max("n"), F.max("k"), F.max("a")).first()
     assert top[0] <= 4096 and top[1] == 12 and 3072**2 * 0.9 < top[2] <= 3072**2
+
+
+def test_typed_parts_are_reversible(spark):
+    parts = [[("text", "see <|image|> |> </turn>", None, None), ("image", None, "u1", 2), ("image", None, "u2", 1), ("text", "\\3image|>", None, None)], [("audio", None, "u3", 3)], None, [("text", "plain", None, None)]]
+    df = spark.createDataFrame([(1, i, "user", p) for i, p in enumerate(parts)], f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    f = chat.format_chat(df, parts_col="content")
+    back = f.select(chat.parse_parts(F.col("formatted")).alias("t")).first().t
+    want = [[("text", "see <|image|> |> </turn>"), ("image", None), ("image", None), ("text", "\\3image|>")], [("audio", None)], [], [("text", "plain")]]
+    assert [[tuple(p) for p in t.parts] for t in back] == want and [a.ref for a in f.first().attachments] == ["u1", "u2", "u3"]
+
+
+def test_chat_runs_no_python(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    f = chat.format_chat(df)
+    plan = f.select(chat.parse_parts(F.col("formatted")), chat.parse_chat(F.col("formatted")), chat.loss_text(F.col("formatted"), F.col("loss_spans")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_very_long_texts(spark):
+    from helixframe.llm import simhash, substring_dedup, warc
+
+    long = "stone and river under the garden wall " * 30_000
+    rows = [(1, long), (2, long + "end"), (3, " " + long), (4, None)]
+    df = spark.createDataFrame([(i, t, "x", 5) for i, t in rows], "doc_id long, text string, kept string, digest int")
+    exact = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_dedup(df).collect()}
+    assert exact == {1: (3, 2), 2: (2, 1), 3: (3, 2), 4: (4, 1)}
+    own = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup.substring_dedup(df).collect()}
+    assert own[1][1] == 0 and own[2] == (210_001, 210_000, b"end") and own[3][1] == 210_000 and own[4] == (0, 0, b"")
+    groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(df).collect()}
+    assert groups == {1: 1, 2: 1, 3: 1, 4: 4}
+    pages = df.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), F.lit(1).alias("payload"))
+    assert warc.page_records(pages).filter("warc_type = 'response'").count() == 4
+    turns = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text", F.lit(2).alias("formatted"))
+    f = chat.format_chat(turns).select("n_turns", F.char_length(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("n")).first()
+    assert f.n_turns == 4 and f.n == sum(len(t or "") for _, t in rows)

@@ -77,6 +77,33 @@ def test_close_pairs_spread_over_buckets(spark):
     assert got == {frozenset(values[:2]), frozenset(values[3:])}
 
 
+def brute_parts(values, radius=3):
+    values, root = list(map(int, values)), {}
+    find = lambda i: i if root.setdefault(i, i) == i else find(root[i])
+    for i, x in enumerate(values):
+        find(x)
+        for y in values[:i]:
+            if ((x ^ y) & (2**64 - 1)).bit_count() <= radius:
+                root[find(x)] = find(y)
+    return {frozenset(j for j in values if find(j) == r) for r in {find(i) for i in values}}
+
+
+def test_dense_buckets_meet_between_their_values(spark):
+    rng = np.random.default_rng(3)
+    centres = [int(c) for c in rng.integers(0, 2**62, 3)]
+    values = sorted({c ^ sum(1 << int(b) for b in rng.choice(24, rng.integers(0, 6), False)) for c in centres for _ in range(60)})
+    df = spark.createDataFrame([(v,) for v in values], "fp long").repartition(3)
+    want = brute_parts(values)
+    for crowd, dense in ((256, 4096), (256, 8), (2, 4096)):
+        links = [(r.a, r.b) for r in simhash.close_pairs(df, crowd=crowd, dense=dense).collect()]
+        assert all((a ^ b).bit_count() <= 3 for a, b in links)
+        root = {v: v for v in values}
+        find = lambda i: i if root[i] == i else find(root[i])  # noqa: E731, B023
+        for a, b in links:
+            root[find(a)] = find(b)
+        assert {frozenset(j for j in values if find(j) == r) for r in {find(i) for i in values}} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 150)] + [(5, 5), (None, 3), (30, 20), (30, 20)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
