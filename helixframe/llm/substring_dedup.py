@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import SuffixAutomaton
-from .common import cut, held, id_and_text
+from .common import cut, held, id_and_text, release
 
 WINDOW_WORDS, GRAM_WORDS = 13, 4
 #: Tokens that a task's automaton takes before it is begun anew, where a group of passages ends, or takes no more of one group.
@@ -215,7 +215,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, shard_tokens: i
     whatever their names, are ignored.
     """
     base = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_key"), "text")
-    # the texts are dealt by row key once; the three joins below reuse that exchange
+    # the texts are dealt by row key; the two joins before the spans reuse that exchange
     rows, by = base.select("doc", "text_key", F.encode("text", "UTF-8").alias("text")), ["doc", "text_key"]
     marks = base.select("doc", "text_key", F.xxhash64(F.lit(1), "text").alias("text_key2"))
     owners = marks.groupBy("text_key", "text_key2").agg(F.min("doc").alias("owner"))
@@ -229,6 +229,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW_WORDS, shard_tokens: i
     pieces = sources.mapInArrow(partial(_pieces, window=window), "key long, doc long, text_key long, start int, words binary")
     spans = pieces.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(partial(_match, window=window, shard=shard_tokens), "doc long, text_key long, start long, length long, words binary")
     spans = cut(spans)
+    del pieces, sources, wanted, shared, keyed, references
+    release(docs.sparkSession)  # the texts are dealt once more below
     many, spans = spans.filter("words is not null").select("doc", "text_key", "start", "words"), spans.filter("words is null").drop("words")
     if not many.isEmpty():
         spans = spans.unionByName(_later(many, window))
