@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,12 +20,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark) -> None:
-    """Lets Spark delete the shuffle files of plans that nothing refers to any more, as it does by itself every half hour."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, for tables that are read more than once and by columns."""
     path = scratch(df.sparkSession, "table")
