@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, simhash, substring_dedup, warc
+from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, periodic_runs, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -189,6 +189,54 @@ FROM f GROUP BY conv_id
 """
 
 
+def sql_crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text."""
+    return f"""xor(list_reduce(list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda crc, c:
+    list_reduce(range(0, 8), lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END, xor(crc, c)), 4294967295), 4294967295)"""
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's periodic runs, one in ten documents with a planted one; the longest run, digests of all and of the collapsed text."""
+    found = periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True)
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("early"), (-r["period"]).alias("short"))))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    told = found.withColumn("top", top)
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("top.early")).alias("start"),
+        F.col("top.length").alias("length"),
+        (-F.col("top.short")).alias("period"),
+        F.expr("(1000 * top.length) div -top.short").alias("exponent_milli"),
+        common.sha256_hex(F.array_join(F.transform("runs", line), "")).alias("runs_sha256"),
+        common.sha256_hex(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+OP11_SQL = (
+    r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, """ + sql_crc32("CAST(doc_id AS VARCHAR)") + r""" AS h FROM documents),
+a AS (SELECT doc_id, ws, len(ws) AS n, h, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN ws ELSE list_transform(range(0, n), lambda i: ws[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END + 1 AS BIGINT)]) END AS ws FROM a),
+w AS (SELECT doc_id, n, unnest(ws) AS w, unnest(range(0, n)) AS i FROM p),
+m AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND y.i <= x.i + x.n // 4),
+g AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m) GROUP BY doc_id, q, island),
+c AS (SELECT * FROM g WHERE e - s >= greatest(6, 4 * q)),
+r AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.doc_id = c.doc_id AND b.q < c.q AND b.s <= c.s AND b.e >= c.e)),
+t AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min({'start': s, 'length': e - s, 'period': q}, {'l': s - e, 's': s, 'p': q}) AS top,
+    string_agg(concat(s, ',', e - s, ',', q, chr(10)), '' ORDER BY s, q) AS told
+  FROM r GROUP BY doc_id),
+o AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r),
+k AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN o ON o.doc_id = w.doc_id AND o.i = w.i WHERE o.i IS NULL GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start AS start, top.length AS length, top.period AS period, 1000 * top.length // top.period AS exponent_milli,
+  sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
+)
+
+
 def packing_under_all_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing where each capacity binds: 4096 tokens, 12 pieces and the attention of 3072 tokens in one piece."""
     pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), max_tokens=3072).drop("ids")
@@ -213,6 +261,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
     "packing_under_all_capacities": packing_under_all_capacities,
     "pipeline": pipeline,
 }
@@ -223,4 +272,5 @@ ORACLE_SQL = {
     "op5_substring_dedup": OP5_SQL,
     "op8_warc": OP8_SQL,
     "op10_chat_formatting": OP10_SQL,
+    "op11_periodic_runs": OP11_SQL,
 }
