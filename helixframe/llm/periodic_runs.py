@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held, id_and_text
+from .common import held, id_and_text, mixed
 
 #: A run has so many words at least, and so many periods.
 LEAST_WORDS, LEAST_PERIODS = 6, 4
@@ -61,13 +61,16 @@ class _Places:
 
 
 def _replaced(sym: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The places of pairs that one round replaces, and each one's key: repeated pairs that are more frequent than those they overlap with."""
+    """The places of pairs that one round replaces, and each one's key: repeated pairs that are more frequent than those they overlap with.
+
+    Pairs of equal frequency are ranked by a hash, so that a long stretch of them is replaced in many places at once.
+    """
     inside = doc[:-1] == doc[1:]
     key = np.where(inside, sym[:-1] << 32 | sym[1:], -1)
     kinds, which, n = np.unique(key, return_inverse=True, return_counts=True)
     n[kinds < 0] = 0
     rank = np.empty(len(kinds), np.int64)
-    rank[np.lexsort((kinds, n))] = np.arange(1, len(kinds) + 1)
+    rank[np.lexsort((mixed(kinds), n))] = np.arange(1, len(kinds) + 1)
     rank[n < 2] = 0
     first = np.concatenate(([True], key[1:] != key[:-1]))
     at = np.arange(len(key))
@@ -162,17 +165,24 @@ def _crossing(w: np.ndarray, places: _Places, at: np.ndarray, side: int) -> np.n
 
 def _primitive(places: _Places, found: np.ndarray) -> np.ndarray:
     """The stretches whose period is their smallest: none of its parts by a prime is a period."""
+    found = found[:, np.lexsort(found[[3, 2, 1, 0]])]
+    found = found[:, np.concatenate(([True], (found[:3, 1:] != found[:3, :-1]).any(axis=0)))]  # of one stretch's periods the smallest
     _, s, e, q = found
     own, rest, p = np.ones(len(q), bool), q.copy(), 2
-    while (rest > 1).any():
+
+    def drop(by: np.ndarray, part: np.ndarray) -> None:
+        own[by] &= ~places.same(s[by], part, e[by] - s[by] - part)
+
+    while p * p <= rest.max():
         by = np.flatnonzero(rest % p == 0)
         if len(by):
-            part = q[by] // p
-            own[by] &= ~places.same(s[by], part, e[by] - s[by] - part)
+            drop(by, q[by] // p)
             while len(by):
                 rest[by] //= p
                 by = by[rest[by] % p == 0]
-        p = p + 1 if p * p <= rest.max() else int(rest[rest > 1].min(initial=p + 1))
+        p += 1
+    by = np.flatnonzero(rest > 1)
+    drop(by, q[by] // rest[by])
     return found[:, own]
 
 
