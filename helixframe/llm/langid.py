@@ -138,8 +138,8 @@ def language_of(text: Column, model: LanguageModel) -> Column:
     return predict(text)
 
 
-def held_out(doc_id: Column, folds: int = 5) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+def held_out(doc_id: Column, folds: int = 5, fold: int = 0) -> Column:
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
 def identify(docs: DataFrame, folds: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

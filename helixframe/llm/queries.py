@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, periodic_runs, simhash, substring_dedup, warc
+from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, periodic_runs, quality, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -237,6 +237,12 @@ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 )
 
 
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality score, learned from the labels of documents not held out, and whether it reaches 0.7."""
+    found = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select("doc_id", F.col("in_held_out").alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def packing_under_all_capacities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packing where each capacity binds: 4096 tokens, 12 pieces and the attention of 3072 tokens in one piece."""
     pieces = packing.tokenize_pieces(_table(spark, sf_dir, "documents"), max_tokens=3072).drop("ids")
@@ -262,6 +268,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_quality_classifier": op13_quality_classifier,
     "packing_under_all_capacities": packing_under_all_capacities,
     "pipeline": pipeline,
 }
