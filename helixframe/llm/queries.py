@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, periodic_runs, quality, simhash, substring_dedup, warc
+from . import chat, common, conversation_repair, decontaminate, exact_dedup, langid, licenses, line_dedup, packing, periodic_runs, quality, simhash, substring_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -237,6 +237,61 @@ FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
 )
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each damaged conversation's faults, the cost and audit of its cheapest repair, and a digest of the repaired turns."""
+    return conversation_repair.repaired_report(_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+OP12_SQL = (
+    r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    """ + sql_crc32("concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' '))") + r""" % 20 AS h
+  FROM conversations),
+x AS (
+  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+    CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(0, CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM o WHERE h <> 0),
+y AS (
+  SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth FROM x),
+r AS (
+  SELECT conv_id, turn, role, text, i, left(role, 1) AS c, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+    nth > 1 AND NOT blank AS dup, NOT blank AND NOT dup AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut FROM y),
+n AS (SELECT conv_id, max(i) AS n FROM r GROUP BY conv_id),
+m AS (  -- inserts (k) before a row that is kept or gets a role: state before, state it goes to, roles inserted
+  SELECT * FROM (VALUES ('-', 's', 0, ''), ('-', 'u', 0, ''), ('-', 'a', 1, 'user:' || chr(10)), ('-', 'u', 2, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    ('s', 'u', 0, ''), ('s', 'a', 1, 'user:' || chr(10)), ('s', 'u', 2, 'user:' || chr(10) || 'assistant:' || chr(10)),
+    ('u', 'a', 0, ''), ('u', 'u', 1, 'assistant:' || chr(10)),
+    ('a', 'u', 0, ''), ('a', 'a', 1, 'user:' || chr(10))) AS m(s, t, k, added)),
+e AS (  -- each row's edits
+  SELECT r.conv_id, r.i, m.s, m.t, 3 * m.k + CASE WHEN r.c = m.t THEN 0 ELSE 3 END + CASE WHEN cut THEN 3 ELSE 0 END AS cost,
+    repeat('I', m.k) || CASE WHEN r.c = m.t THEN 'K' ELSE 'R' END AS audit,
+    m.added || CASE WHEN r.c = m.t THEN r.role WHEN m.t = 'u' THEN 'user' ELSE 'assistant' END || ':' || r.text || chr(10) AS told
+  FROM r JOIN m ON r.c = m.t OR m.t <> 's' WHERE NOT blank AND NOT dup
+  UNION ALL SELECT r.conv_id, r.i, s, s, 4, 'D', '' FROM r CROSS JOIN (VALUES ('-'), ('s'), ('u'), ('a')) AS v(s)),
+dp AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '-' AS s, {'cost': CAST(0 AS BIGINT), 'audit': '', 'told': ''} AS best FROM n
+  UNION ALL
+  SELECT conv_id, i, s, min(best) FROM (
+    SELECT dp.conv_id, e.i, e.t AS s, {'cost': dp.best.cost + e.cost, 'audit': dp.best.audit || e.audit, 'told': dp.best.told || e.told} AS best
+    FROM dp JOIN e ON e.conv_id IS NOT DISTINCT FROM dp.conv_id AND e.i = dp.i + 1 AND e.s = dp.s) GROUP BY conv_id, i, s),
+f AS (
+  SELECT dp.conv_id, min({'cost': best.cost + 3 * k, 'audit': best.audit || repeat('I', k), 'told': best.told || added}) AS best
+  FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i
+  JOIN (VALUES ('-', 0, ''), ('s', 2, 'user:' || chr(10) || 'assistant:' || chr(10)), ('u', 1, 'assistant:' || chr(10)), ('a', 0, '')) AS z(s, k, added) ON z.s = dp.s
+  GROUP BY dp.conv_id),
+q AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (dup) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM r) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.cost, 0) AS BIGINT) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(left(best.told, length(best.told) - 1), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+)
+
+
 def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's quality score, learned from the labels of documents not held out, and whether it reaches 0.7."""
     found = quality.classify(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels").select("doc_id", "quality"))
@@ -268,6 +323,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_chat_formatting": op10_chat_formatting,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_quality_classifier": op13_quality_classifier,
     "packing_under_all_capacities": packing_under_all_capacities,
     "pipeline": pipeline,
@@ -280,4 +336,5 @@ ORACLE_SQL = {
     "op8_warc": OP8_SQL,
     "op10_chat_formatting": OP10_SQL,
     "op11_periodic_runs": OP11_SQL,
+    "op12_conversation_repair": OP12_SQL,
 }
