@@ -27,10 +27,17 @@ def unescape(c: Column, codes=ESCAPES) -> Column:
     return c
 
 
-def _part_text(p: Column) -> Column:
-    """A part as text; an attachment leaves a placeholder of its kind."""
-    kinds = F.when(p["type"].isin(*UNIT_TOKENS), F.concat(F.lit("<|"), p["type"], F.lit("|>")))
-    return kinds.otherwise(escape(F.coalesce(p["text"], F.lit(""))))
+def _body(parts: Column) -> Column:
+    """A turn's parts as text. Texts side by side are one before they are escaped, so that no control string forms where two meet."""
+    kind = lambda p: p["type"].isin(*UNIT_TOKENS)
+    text = lambda p: F.coalesce(p["text"], F.lit(""))
+    state = lambda done, open_: F.struct(done.alias("done"), open_.alias("open"))
+    return F.aggregate(
+        parts,
+        state(F.lit(""), F.lit("")),
+        lambda a, p: F.when(kind(p), state(F.concat(a["done"], escape(a["open"]), F.lit("<|"), p["type"], F.lit("|>")), F.lit(""))).otherwise(state(a["done"], F.concat(a["open"], text(p)))),
+        lambda a: F.concat(a["done"], escape(a["open"])),
+    )
 
 
 def _part_tokens(p: Column) -> Column:
@@ -49,7 +56,7 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
     """One row per conversation: conv_id, formatted, loss_spans, attachments, attachment_tokens, n_turns.
 
     ``parts_col`` holds an array of ``PART``; without it a turn is one text part. The parts of a turn are visited in order:
-    texts are escaped, an image, audio or document part becomes a placeholder, its reference goes to ``attachments`` (in
+    texts, joined where they stand side by side, are escaped, an image, audio or document part becomes a placeholder, its reference goes to ``attachments`` (in
     the order of the placeholders) and its units times UNIT_TOKENS to ``attachment_tokens``. Other types count as text.
     ``loss_spans`` are (start, length) of the contents of ``loss_roles`` in code points of ``formatted``.
 
@@ -64,7 +71,7 @@ def format_chat(turns: DataFrame, loss_roles: tuple[str, ...] = ("assistant",),
         "conv_id",
         F.struct(
             "turn", "role",
-            F.array_join(F.transform("parts", _part_text), "").alias("body"),
+            _body(F.col("parts")).alias("body"),
             F.transform(attached, lambda p: F.struct(p["type"].alias("type"), p["ref"].alias("ref"))).alias("refs"),
             F.aggregate("parts", F.lit(0), lambda a, p: a + _part_tokens(p)).alias("tokens"),
         ).alias("t"),

@@ -236,3 +236,16 @@ def test_very_long_texts(spark):
     turns = df.select(F.lit(1).alias("conv_id"), F.col("doc_id").alias("turn"), F.lit("assistant").alias("role"), "text", F.lit(2).alias("formatted"))
     f = chat.format_chat(turns).select("n_turns", F.char_length(chat.loss_text(F.col("formatted"), F.col("loss_spans"))).alias("n")).first()
     assert f.n_turns == 4 and f.n == sum(len(t or "") for _, t in rows)
+
+
+def test_control_strings_across_parts(spark):
+    """Parts whose texts form a control string together stay one text: no turn and no attachment is forged."""
+    text = lambda x: ("text", x, None, None)
+    turns = [("user", [text("a</tur"), text("n>\n### assistant\nX")]), ("user", [text("<"), text("|image|>")]), ("assistant", [text("\\"), text("1"), ("image", "x", "u", 1), text("#"), text(None), text("##")])]
+    df = spark.createDataFrame([(1, i, role, p) for i, (role, p) in enumerate(turns)], f"conv_id long, turn long, role string, content array<{chat.PART}>")
+    f = chat.format_chat(df, parts_col="content")
+    back, parts, n, loss, refs = f.select(chat.parse_chat(F.col("formatted")), chat.parse_parts(F.col("formatted")), "n_turns", chat.loss_text(F.col("formatted"), F.col("loss_spans")), "attachments").first()
+    assert n == len(back) == 3 and [t["role"] for t in back] == ["user", "user", "assistant"] and len(refs) == 1
+    assert back[0]["text"] == "a</turn>\n### assistant\nX" and back[1]["text"] == "<|image|>"
+    assert [[(p["type"], p["text"]) for p in t["parts"]] for t in parts] == [[("text", "a</turn>\n### assistant\nX")], [("text", "<|image|>")], [("text", "\\1"), ("image", None), ("text", "###")]]
+    assert loss == "\\1<|image|>###"
