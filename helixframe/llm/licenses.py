@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,12 +46,17 @@ the original software. 3. This notice may not be removed or altered from any sou
 UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in
 source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this
 software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs
-and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY
+OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE
+LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>"""
 BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the
 "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
 furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following
 disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
-machine-executable object code generated by a source language processor."""
+machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO
+THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR
+ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
 http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
@@ -146,8 +153,7 @@ class LicenceScanner:
             for run in np.split(known, np.flatnonzero(np.diff(known) > 1) + 1):
                 if len(run) >= self.least:
                     self._stream(ids[run].tolist(), int(run[0]), found, matches)
-        spans = [(n, s) for k, own in matches.items() for n, s in self._spans(k, own)]
-        return found, [s for n, s in spans if not any((m, t[3]) > (n, s[3]) and t[0] <= s[0] and s[1] <= t[1] for m, t in spans)]
+        return found, _outermost([(n, *s) for k, own in matches.items() for n, s in self._spans(k, own)])
 
     def _stream(self, tokens: list[int], base: int, found: list, matches: dict) -> None:
         """Phrases and, for each template, the matches (start, end, end in the template) that can't be made longer."""
@@ -188,15 +194,38 @@ class LicenceScanner:
                     top = max(top, (best[i][0] + new, best[i][1]))
                 i -= 1
             best.append(top)
-        taken: list[tuple[int, int]] = []
+        taken: list[int] = []  # the edges of the spans taken, in order: an even number lies before a free place
         for (n, start), (_, end, _) in sorted(zip(best, own, strict=True), key=lambda x: (-x[0][0], x[1][1] - x[0][1], x[0][1])):
             if n < COVERED * len(template):
                 break
-            if all(end <= s or e <= start for s, e in taken):
-                taken.append((start, end))
+            at = bisect_right(taken, start)
+            if at % 2 == 0 and bisect_left(taken, end) == at:
+                taken[at:at] = (start, end)
                 yield n, (start, end, label, n / len(template))
 
 
+def _outermost(spans: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """Spans (words covered, start, end, label, share) without those inside one that covers more words, or as many and more of its template.
+
+    Spans are met by start, longer ones first, so those that hold one are among the earlier. Of the earlier ones a stack
+    keeps what can still hold a later span: one that ends no later than another and weighs no more is never needed.
+    """
+    best: list[tuple[int, tuple[int, float]]] = []  # ends fall, weights rise from the front
+    out = []
+    for start, group in groupby(sorted(spans, key=lambda s: (s[1], -s[2])), key=lambda s: s[1:3]):
+        own = list(group)
+        end, weight = start[1], max((s[0], s[4]) for s in own)
+        at = bisect_right(best, -end, key=lambda x: -x[0])  # those before end no earlier
+        above = max(weight, best[at - 1][1]) if at else weight
+        out += [s[1:] for s in own if (s[0], s[4]) == above]
+        if not at or best[at - 1][1] < weight:
+            rest = at
+            while rest < len(best) and best[rest][1] <= weight:
+                rest += 1
+            best[at:rest] = [(end, weight)]
+    return out
+
+
 _OUT = "doc_id long, n_words long, phrases array<struct<start:long,length:long,label:string>>, spans array<struct<start:long,end:long,label:string,covered:double>>"
 _FIELDS = (
     ("doc_id", pa.int64()), ("n_words", pa.int64()),

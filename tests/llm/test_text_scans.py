@@ -394,3 +394,29 @@ def test_language_id_rejects_what_it_has_not_learned(spark):
     assert out.count() == many.count() and {"rank", "counts", "lang_id", "in_held_out"} <= set(out.columns)
     tied = langid.fit(spark.createDataFrame([(1, "de", "ein wort"), (1, "en", "ein wort"), (1, "en", "ein wort")], "doc_id long, lang string, text string"))
     assert tied.predict(["ein wort"])[0] == ["de"]
+
+
+def test_license_spans_inside_others():
+    """Of random spans those stay that no span of more words, or as many and more of its template, holds."""
+    rng = random.Random(11)
+    for _ in range(300):
+        spans = []
+        for _ in range(rng.randint(0, 12)):
+            start = rng.randint(0, 12)
+            spans.append((rng.randint(1, 4), start, start + rng.randint(1, 8), rng.choice("ab"), rng.choice([0.8, 0.9, 1.0])))
+        want = sorted(s[1:] for s in spans if not any((t[0], t[4]) > (s[0], s[4]) and t[1] <= s[1] and s[2] <= t[2] for t in spans))
+        assert sorted(licenses._outermost(spans)) == want
+
+
+def test_license_scan_takes_time_in_proportion():
+    import time
+
+    scanner = licenses.LicenceScanner()
+    notice = licenses.words(b"licensed under the mit license and so on ")
+    spent = []
+    for n in (4_000, 16_000, 64_000):
+        began = time.perf_counter()
+        found = scanner.scan(notice * n)
+        spent.append(time.perf_counter() - began)
+        assert len(found[1]) == n
+    assert spent[2] < 8 * spent[1] + 0.5 and spent[1] < 8 * spent[0] + 0.5
