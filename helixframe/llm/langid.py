@@ -83,7 +83,7 @@ def spherical_means(vectors: np.ndarray, k: int, rounds: int = ROUNDS) -> np.nda
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        counts = [np.minimum(ngram_counts(x.as_py()), 65535).astype("<u2").tobytes() for x in b.column(2)]
+        counts = [ngram_counts(x.as_py()).astype("<u4").tobytes() for x in b.column(2)]
         yield pa.record_batch([b.column(0), b.column(1), pa.array(counts, pa.binary())], names=["lang", "rank", "counts"])
 
 
@@ -91,9 +91,8 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
     """A model of the languages named in ``docs``; rows with a null or letterless text, or a null language, teach nothing.
 
     Texts are whole; at most ``per_language`` documents a language and ``in_all`` in all, those whose keys and texts hash
-    lowest, are vectorised on the executors and clustered here; rows that repeat key and text are one of them, and an n-gram
-    counts 65,535 times at most in a fitted text. Ties and their order don't matter. Without usable rows the model knows no
-    language.
+    lowest, are vectorised on the executors and clustered here; rows that repeat key and text are one of them. Ties and
+    their order don't matter. Without usable rows the model knows no language.
     """
     rows = docs.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col), F.col(text_col)).alias("rank"), F.col(text_col).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -107,7 +106,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", key_col
     taken: dict[str, list] = {}
     for r in rows.filter(drawn).dropDuplicates(["lang", "rank"]).mapInArrow(_counted, "lang string, rank long, counts binary").collect():
         taken.setdefault(r["lang"], []).append((r["rank"] % 1_000_003, bytes(r["counts"])))
-    counts = {lang: np.stack([np.frombuffer(c, "<u2") for _, c in sorted(own)[:most]]) for lang, own in sorted(taken.items())}
+    counts = {lang: np.stack([np.frombuffer(c, "<u4") for _, c in sorted(own)[:most]]) for lang, own in sorted(taken.items())}
     n = sum(map(len, counts.values()))
     idf = (np.log((1 + n) / (1 + sum((c > 0).sum(axis=0) for c in counts.values()))) + 0.1).astype(np.float32)
     model = LanguageModel([], np.zeros((0, DIMENSIONS), np.float32), idf, np.zeros(0))
