@@ -238,6 +238,34 @@ def _(s, d):
     return V.recompute_md(reads_over(s, d), whole_chunks(s, d)).select("ordinal", "md", "nm")
 
 
+#: Reads of 60 bases over a site 60 bases behind each place: every second one deletes one to three bases, or inserts two, the second of which one read shows otherwise.
+INDEL_READS = """
+SELECT doc_id, contig, seq, i, b, r, CAST(b + 30 + r AS BIGINT) AS pos0, CAST(31 - r AS INT) AS m, (doc_id + i) % 2 = 0 AS gone, CAST(1 + doc_id % 3 AS INT) AS n
+FROM (SELECT *, {explode} AS r FROM pl WHERE b + 200 <= length(seq)) t"""
+INDEL_SQL = """
+SELECT chrom, pos1, count(*) AS depth, '*' AS shorter, max(allele) AS longer, count(*) FILTER (r % 2 = 0) AS cnt_none, count(*) FILTER (r % 2 = 1) AS cnt_indel
+FROM (SELECT contig AS chrom, b + 61 AS pos1, r, CASE WHEN gone THEN '-' || substr(seq, CAST(b + 62 AS INT), n) ELSE '+AC' END AS allele FROM ir) GROUP BY chrom, pos1"""
+
+
+def indel_reads(s, d):
+    at = places(s, d).filter("b + 200 <= length(seq)").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(8))))
+    gone, n, m = (F.col("doc_id") + F.col("i")) % 2 == 0, (1 + F.col("doc_id") % 3).cast("int"), 31 - F.col("r")
+    part = lambda start, size: F.substr("seq", (start + 1).cast("int"), size.cast("int"))
+    start, site = F.col("b") + 30 + F.col("r"), F.col("b") + 61
+    shown = F.when(F.col("r") % 2 == 0, part(start, F.lit(60))).when(gone, F.concat(part(start, m), part(site + n, 60 - m))).otherwise(F.concat(part(start, m), F.when(F.col("r") == 1, "AG").otherwise("AC"), part(site, 58 - m)))
+    cigar = F.when(F.col("r") % 2 == 0, "60M").when(gone, F.format_string("%dM%dD%dM", m, n, 60 - m)).otherwise(F.format_string("%dM2I%dM", m, 58 - m))
+    return at.select(((F.col("doc_id") * 10000 + F.col("i")) * 16 + F.col("r")).alias("ordinal"), F.col("contig").alias("rname"), start.alias("pos0"), cigar.alias("cigar"), F.lit(0).alias("flag"), F.lit(60).alias("mapq"), shown.alias("seq"), F.repeat(F.lit("I"), 60).alias("qual"))
+
+
+@query("c05_realigned_indels", INDEL_SQL, WHOLE | {"ir": INDEL_READS.format(explode="unnest(range(0, 9))")})
+def _(s, d):
+    from ..operators.indels import realigned_indels
+
+    r = realigned_indels(indel_reads(s, d), whole_chunks(s, d))
+    of = lambda none: F.when((F.col("a1") == "*") == none, F.col("cnt1")).otherwise(F.col("cnt2"))
+    return r.select("chrom", "pos1", "depth", F.least("a1", "a2").alias("shorter"), F.greatest("a1", "a2").alias("longer"), of(F.lit(True)).alias("cnt_none"), of(F.lit(False)).alias("cnt_indel"))
+
+
 @query("c05_indel_calls")
 def _(s, d):
     return V.indel_calls(with_bases(s, d)).select("chrom", "pos1", "cons", "cons_q", "snp_q", "depth", "cnt1", "cnt2")
