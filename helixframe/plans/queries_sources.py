@@ -174,8 +174,10 @@ def _(s, d):
 
 @query("s10_read_fasta", "SELECT contig, CAST(i AS INT) AS chunk, substr(seq, CAST(i * 16384 + 1 AS INT), 16384) AS seq FROM (SELECT contig, seq, unnest(range(0, greatest((length(seq) + 16383) // 16384, 1))) AS i FROM fx_whole)")
 def _(s, d):
-    whole = view(s, d, "fx_whole").select(F.concat(F.lit(">"), "contig", F.lit(" a document\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")).alias("value"))
-    return S.read_fasta(s, text_of(s, d, whole))
+    from ..sources.fasta import read_fasta
+
+    whole = view(s, d, "fx_whole").select(F.concat(F.lit(">"), "contig", F.lit(" c.76A>T of a document > other\n"), F.regexp_replace(F.lower("seq"), "(.{60})", "$1\n")).alias("value"))
+    return read_fasta(s, text_of(s, d, whole), range_bytes=1 << 18)
 
 
 WIG = {"wg": "SELECT chrom, CAST(floor(pos0 / 30) AS BIGINT) * 30 AS start0, CAST(floor(pos0 / 30) AS BIGINT) * 30 + 30 AS end1, CAST(count(*) AS DOUBLE) AS score FROM fx_read GROUP BY ALL"}

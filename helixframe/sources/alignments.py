@@ -68,14 +68,6 @@ def read_mapview(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(f(0).alias("qname"), f(1).alias("chrom"), (f(2).try_cast("bigint") - 1).alias("pos0"), f(3).alias("strand"), f(6).try_cast("int").alias("mapq"), f(9).try_cast("int").alias("nm"))
 
 
-def read_fasta(spark: SparkSession, path: str, chunk: int = 16384) -> DataFrame:
-    """(contig, chunk, seq): upper-case sequences in pieces of ``chunk`` bases."""
-    rec = spark.read.option("lineSep", ">").text(path).filter(F.trim("value") != "")
-    parts = rec.select(F.regexp_extract("value", r"^\s*(\S+)", 1).alias("contig"), F.upper(F.regexp_replace(F.regexp_replace("value", r"^[^\n]*\n?", ""), r"\s", "")).alias("seq"))
-    at = parts.select("contig", "seq", F.explode(F.sequence(F.lit(0), F.floor((F.greatest(F.length("seq"), F.lit(1)) - 1) / chunk).cast("int"))).alias("chunk"))
-    return at.select("contig", "chunk", F.substr("seq", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("seq"))
-
-
 def read_cns_pileup(spark: SparkSession, path: str) -> DataFrame:
     """Consensus pileup lines; indel lines (``*``) have alleles and their counts."""
     f = lambda i: F.get("f", F.lit(i))

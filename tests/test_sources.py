@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from helixframe.sources.fasta import read_fasta
 from helixframe.operators import alignments as R
 from helixframe.operators import annotation as A
 from helixframe.operators import kmers as M
@@ -71,7 +72,7 @@ def test_toy_pileup_and_depth(spark, tmp_path):
 
 def test_fasta_and_sequences(spark, tmp_path):
     path = write(tmp_path, "a.fa", ">one first\nacgtn\nACGTAC\n>two\nGG\n>none\n")
-    seqs = S.read_fasta(spark, path, chunk=4)
+    seqs = read_fasta(spark, path, chunk=4)
     assert {(r.contig, r.chunk): r.seq for r in seqs.collect()} == {("one", 0): "ACGT", ("one", 1): "NACG", ("one", 2): "TAC", ("two", 0): "GG", ("none", 0): ""}
     regions = spark.createDataFrame([("one", 2, 9), ("one", 9, 99), ("two", 0, 1), ("zzz", 0, 5)], "contig string, start0 long, end1 long")
     assert {(r.contig, r.start0): r.seq for r in fetch_sequence(seqs, regions, 4).collect()} == {("one", 2): "GTNACGT", ("one", 9): "AC", ("two", 0): "G", ("zzz", 0): ""}
