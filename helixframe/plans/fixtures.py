@@ -95,10 +95,11 @@ def with_views(body: str, extra: dict[str, str] | None = None, how: str = "") ->
     """A query with the views that it reads as common table expressions; ``extra`` adds further ones, ``how`` qualifies each."""
     extra = extra or {}
     names = _needed(" ".join([body, *extra.values()]))
-    parts = [f"{n} AS {how}({b})" for n, b in {**{n: VIEWS[n] for n in names}, **extra}.items()]
+    recursive = any(re.search(rf"\b{n}\b", b) for n, b in extra.items())
+    parts = [f"{n} AS {'' if re.search(rf'\b{n}\b', b) else how}({b})" for n, b in {**{n: VIEWS[n] for n in names}, **extra}.items()]
     if not parts:
         return body
-    return f"WITH {', '.join(parts)}\n{body}"
+    return f"WITH RECURSIVE {', '.join(parts)}\n{body}" if recursive else f"WITH {', '.join(parts)}\n{body}"
 
 
 def duckdb_sql(body: str, extra: dict[str, str] | None = None) -> str:

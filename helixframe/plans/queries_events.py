@@ -358,3 +358,97 @@ def _(s, d):
     t = E.known_junctions(occ(s, d), 36, 4).withColumn("tag_id", F.xxhash64("chrom", "strand", "blocks"))
     w = E.shared_windows(t, 36)
     return w.groupBy("chrom").agg(F.count(F.lit(1)).alias("n_windows"), F.sum("n_tags").cast("long").alias("n_total"))
+
+
+def text_of_blocks(blocks):
+    """Blocks as ``start-end`` with commas."""
+    return F.array_join(F.transform(blocks, lambda x: F.concat_ws("-", x["start0"], x["end1"])), ",")
+
+
+def text_of_paths(paths):
+    """All pairs of paths of a tag, sorted."""
+    return F.array_join(F.array_sort(F.transform(paths, lambda p: F.concat_ws(":", text_of_blocks(p["left_path"]), text_of_blocks(p["right_path"])))), " ")
+
+
+KNOWN_TAGS = KJ | {
+    "kt": """SELECT chrom, strand, concat(greatest(start0, end1 - 332), '-', end1) AS "left", CASE WHEN one THEN concat(s2, '-', s2 + 332) ELSE concat(s2, '-', e2, ',', s3, '-', s3 + 332 - e2 + s2) END AS "right",
+concat(start0, '-', end1, ':', s2, '-', e2, CASE WHEN one THEN '' ELSE concat(',', s3, '-', e3) END) AS p FROM (SELECT *, e2 - s2 >= 332 OR s3 IS NULL AS one FROM ld WHERE s2 IS NOT NULL) t""",
+}
+
+
+@query("e14_junction_paths", """SELECT chrom, strand, "left", "right", string_agg(p, ' ' ORDER BY p) AS exon_paths, CAST(sum(n) AS BIGINT) AS n_tx FROM (SELECT chrom, strand, "left", "right", p, count(*) AS n FROM kt GROUP BY ALL) GROUP BY ALL""", KNOWN_TAGS)
+def _(s, d):
+    from ..operators import junction_tags as J
+
+    return J.known_tags(occ(s, d), 336, 4).select("chrom", "strand", text_of_blocks("left").alias("left"), text_of_blocks("right").alias("right"), text_of_paths("exon_paths").alias("exon_paths"), "n_tx")
+
+
+#: Transcripts of three exons on each long enough document; the second exon's start depends on its id.
+DOC_TX = {"dt": "SELECT doc_id, contig, seq, 100 + 10 * (doc_id % 3) AS b FROM fx_whole WHERE length(seq) >= 400"}
+
+
+@query("e14_junction_sequences", """SELECT contig AS chrom, CAST(60 AS BIGINT) AS donor, substr(seq, 21, 40) AS left_seq, concat(substr(seq, CAST(b + 1 AS INT), CAST(least(150 - b, 40) AS INT)), substr(seq, 201, CAST(40 - least(150 - b, 40) AS INT))) AS right_seq FROM dt
+UNION ALL SELECT contig, CAST(150 AS BIGINT), substr(seq, CAST(greatest(b, 110) + 1 AS INT), CAST(150 - greatest(b, 110) AS INT)), substr(seq, 201, 40) FROM dt""", DOC_TX)
+def _(s, d):
+    from ..operators import junction_tags as J
+    from .fixtures import whole_chunks
+
+    ends = F.array(*(F.struct(a.alias("start0"), F.lit(z).cast("long").alias("end1")) for a, z in ((F.lit(20).cast("long"), 60), (F.col("b"), 150), (F.lit(200).cast("long"), 260))))
+    own = view(s, d, "fx_whole").filter("length(seq) >= 400").select(F.col("doc_id").alias("tx_id"), F.col("contig").alias("chrom"), F.lit("+").alias("strand"), (100 + 10 * (F.col("doc_id") % 3)).cast("long").alias("b"))
+    tags = J.known_tags(own.select("tx_id", "chrom", "strand", F.inline(ends)), 50, 10)
+    return J.tag_sequences(tags, whole_chunks(s, d)).select("chrom", F.element_at("left", -1)["end1"].alias("donor"), "left_seq", "right_seq")
+
+
+DENOVO_TAGS = {
+    "ex": "SELECT chrom, start0, end1, CASE WHEN min(strand) = max(strand) THEN min(strand) ELSE '=' END AS strand FROM fx_exon_occ GROUP BY ALL",
+    "pr": "SELECT a.chrom, a.strand, a.start0, a.end1, b.start0 AS next_start0, b.end1 AS next_end1 FROM ex a JOIN ex b ON a.chrom = b.chrom AND a.strand = b.strand AND b.start0 <= a.end1 + 1500 AND a.end1 <= b.start0 - 50 WHERE NOT EXISTS (SELECT 1 FROM fx_jnx k WHERE k.chrom = a.chrom AND k.end1 = a.end1 AND k.next_start0 = b.start0)",
+    "nb": "SELECT *, lag(start0) OVER w AS ps, lag(end1) OVER w AS pe, lead(start0) OVER w AS s2, lead(end1) OVER w AS e2 FROM fx_exon_occ WINDOW w AS (PARTITION BY tx_id ORDER BY start0, end1)",
+    "fl": """SELECT DISTINCT chrom, strand, start0, end1, CASE WHEN one THEN concat(end1 - 220, '-', end1) ELSE concat(pe - 220 + end1 - start0, '-', pe, ',', start0, '-', end1) END AS "left", concat(start0, '-', end1, CASE WHEN one THEN '' ELSE concat(',', ps, '-', pe) END) AS lp FROM (SELECT *, end1 - start0 >= 220 OR ps IS NULL AS one FROM nb) t""",
+    "fr": """SELECT DISTINCT chrom, strand, start0, end1, CASE WHEN one THEN concat(start0, '-', start0 + 220) ELSE concat(start0, '-', end1, ',', s2, '-', s2 + 220 - end1 + start0) END AS "right", concat(start0, '-', end1, CASE WHEN one THEN '' ELSE concat(',', s2, '-', e2) END) AS rp FROM (SELECT *, end1 - start0 >= 220 OR s2 IS NULL AS one FROM nb) t""",
+}
+
+
+@query("e17_denovo_tags", """SELECT p.chrom, p.strand, "left", "right", string_agg(lp || ':' || rp, ' ' ORDER BY lp || ':' || rp) AS exon_paths FROM pr p JOIN fl ON fl.chrom = p.chrom AND fl.strand = p.strand AND fl.start0 = p.start0 AND fl.end1 = p.end1 JOIN fr ON fr.chrom = p.chrom AND fr.strand = p.strand AND fr.start0 = p.next_start0 AND fr.end1 = p.next_end1 GROUP BY ALL""", DENOVO_TAGS)
+def _(s, d):
+    from ..operators import junction_tags as J
+
+    known = A.gene_junctions(occ(s, d)).select("chrom", "end1", "next_start0").distinct()
+    pairs = A.denovo_pairs(A.exons(occ(s, d)).select("chrom", "start0", "end1", "strand"), 1500, 50).join(known, ["chrom", "end1", "next_start0"], "left_anti")
+    return J.denovo_tags(pairs, occ(s, d), 220).select("chrom", "strand", text_of_blocks("left").alias("left"), text_of_blocks("right").alias("right"), text_of_paths("exon_paths").alias("exon_paths"))
+
+
+#: Exons of two transcripts as a locus; every path of exons 5 bases apart or more that fills a flank of 250.
+RECOMBINED = {
+    "l2": "SELECT DISTINCT tx_id // 2 AS locus, chrom, strand, start0, end1 FROM fx_exon_occ",
+    "lw": """SELECT locus, chrom, strand, end1 AS bound, start0 AS edge, 250 - least(250, end1 - start0) AS missing, concat(end1 - least(250, end1 - start0), '-', end1) AS "left", concat(start0, '-', end1) AS lp FROM l2
+UNION ALL SELECT w.locus, w.chrom, w.strand, bound, v.start0, missing - least(missing, v.end1 - v.start0), concat(v.end1 - least(missing, v.end1 - v.start0), '-', v.end1, ',', "left"), concat(lp, ',', v.start0, '-', v.end1) FROM lw w JOIN l2 v ON v.locus = w.locus AND v.end1 + 5 <= edge WHERE missing > 0""",
+    "rw": """SELECT locus, start0 AS bound, end1 AS edge, 250 - least(250, end1 - start0) AS missing, concat(start0, '-', start0 + least(250, end1 - start0)) AS "right", concat(start0, '-', end1) AS rp FROM l2
+UNION ALL SELECT w.locus, bound, v.end1, missing - least(missing, v.end1 - v.start0), concat("right", ',', v.start0, '-', v.start0 + least(missing, v.end1 - v.start0)), concat(rp, ',', v.start0, '-', v.end1) FROM rw w JOIN l2 v ON v.locus = w.locus AND edge + 5 <= v.start0 WHERE missing > 0""",
+    "lf": "SELECT * FROM lw WHERE missing <= 0 OR NOT EXISTS (SELECT 1 FROM l2 v WHERE v.locus = lw.locus AND v.end1 + 5 <= edge)",
+    "rf": "SELECT * FROM rw WHERE missing <= 0 OR NOT EXISTS (SELECT 1 FROM l2 v WHERE v.locus = rw.locus AND edge + 5 <= v.start0)",
+}
+
+
+@query("e16_recombined_tags", """SELECT a.locus, a.chrom, a.strand, "left", "right", string_agg(lp || ':' || rp, ' ' ORDER BY lp || ':' || rp) AS exon_paths FROM lf a JOIN rf b ON a.locus = b.locus AND a.bound + 5 <= b.bound GROUP BY ALL""", RECOMBINED)
+def _(s, d):
+    from ..operators import junction_tags as J
+
+    two = occ(s, d).select(F.floor(F.col("tx_id") / 2).cast("long").alias("locus"), "chrom", "strand", "start0", "end1").distinct()
+    return J.recombined_tags(two, 250).select("locus", "chrom", "strand", text_of_blocks("left").alias("left"), text_of_blocks("right").alias("right"), text_of_paths("exon_paths").alias("exon_paths"))
+
+
+#: Windows of 400 bases over junctions with flanks of 220, by the bases left of the junction and the third exon that they reach.
+LAYOUT = KJ | {
+    "tg": "SELECT DISTINCT chrom, strand, end1 AS donor, s2 AS acceptor, CASE WHEN end1 - start0 >= 220 THEN end1 - 220 ELSE start0 END AS l, CASE WHEN e2 - s2 < 220 THEN s3 END AS third FROM ld WHERE s2 IS NOT NULL",
+    "wn": "SELECT *, CASE WHEN 400 - lb > 200 THEN third END AS reached FROM (SELECT *, unnest(range(180, donor - l + 1)) AS lb FROM tg)",
+    "cl": "SELECT chrom, strand, donor, acceptor, lb, reached, count(*) AS n_tags, string_agg(concat(l, '/', coalesce(third, -1)), ' ' ORDER BY l, third) AS tags FROM wn GROUP BY ALL",
+    "st": "SELECT *, lb + row_number() OVER (PARTITION BY chrom, strand, donor, acceptor, tags ORDER BY lb DESC) AS run FROM cl",
+}
+
+
+@query("e20_shared_layout", "SELECT chrom, strand, donor, acceptor, donor - max(lb) AS first_base, CAST(count(*) + 399 AS BIGINT) AS n_bases, n_tags, count(*) AS n_windows FROM st GROUP BY chrom, strand, donor, acceptor, tags, n_tags, run", LAYOUT)
+def _(s, d):
+    from ..operators import junction_tags as J
+
+    r = J.resolve_shared(J.known_tags(occ(s, d), 400, 180), 400)
+    return r.select("chrom", "strand", "donor", "acceptor", F.get("blocks", F.lit(0))["start0"].alias("first_base"), J._length(F.col("blocks")).alias("n_bases"), F.col("n_tags").cast("long").alias("n_tags"), "n_windows")
