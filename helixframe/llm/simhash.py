@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .common import Crowds, cut, held, mixed, row_key, spread_join, without
 from .components import connected_components
+from .near_copies import SIMILARITY, near_copy_links
 
 SHINGLE_WORDS, RADIUS, SEED = 3, 3, 42
 #: A fingerprint's bits in blocks; fingerprints within RADIUS agree on BLOCKS - RADIUS of them.
@@ -295,10 +296,11 @@ def close_pairs(values: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, c
     return links.unionByName(between.mapInArrow(partial(_stars, radius=radius), "a long, b long"))
 
 
-def _grouped(own: DataFrame, best: Column, radius: int) -> DataFrame:
-    """Rows ``own`` (fp, ...) with ``best``: the least of that column over all rows that links reach."""
+def _grouped(own: DataFrame, best: Column, radius: int, more: DataFrame | None = None) -> DataFrame:
+    """Rows ``own`` (fp, ...) with ``best``: the least of that column over all rows that links reach, those of ``more`` (a, b) included."""
     distinct = cut(own.groupBy("fp").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("n")))
-    roots = connected_components(close_pairs(distinct, radius)).withColumnRenamed("node", "fp")
+    links = close_pairs(distinct, radius)
+    roots = connected_components(links if more is None else links.unionByName(more)).withColumnRenamed("node", "fp")
     placed = cut(distinct.join(roots, "fp", "left").select("fp", "best", "n", F.coalesce("root", "fp").alias("root")))
     groups = cut(placed.groupBy("root").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("m")))
     names = cut(spread_join(placed.select("fp", "n", "root"), groups, ["root"], "m").select("fp", "n", "best"))
@@ -317,16 +319,23 @@ def simhash_groups(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RA
     return _grouped(own, F.col("doc_id"), radius).select("doc_id", "fp", F.col("best").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without near-duplicates: of each group of ``simhash_groups`` one row stays, whole.
+def one_of_each(docs: DataFrame, width: int = SHINGLE_WORDS, radius: int = RADIUS, similarity: float | None = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group one row stays, whole.
 
-    It is the one with the smallest id (nulls last); among rows with that id the one whose columns hash lowest; of rows
-    that are equal in all columns one. Null texts count as empty here and stay null in the result.
+    A group is what ``simhash_groups`` links and, with a ``similarity``, what ``near_copy_links`` verifies: texts whose sets of
+    five-word shingles are alike to that degree, which fingerprints of one radius don't reach. Links chain. The row that
+    stays is the one with the smallest id (nulls last); among rows with that id the one whose columns hash lowest; of rows
+    that are equal in all columns one. Null texts count as empty here and stay null in the result; very long texts are read
+    whole; an empty table gives no rows.
     """
     key, text_key = row_key(docs.columns), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     own = cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint_of(F.col(text_col), width).alias("fp"), key.alias("row"), text_key.alias("text_key")))
+    more = None
+    if similarity is not None:
+        links = near_copy_links(docs.select(text_key.alias("node"), F.col(text_col).alias("text")), similarity=similarity)
+        more = links.unionByName(own.select(F.col("text_key").alias("a"), F.col("fp").alias("b")).distinct().join(links.select("a").distinct(), "a", "left_semi"))
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))
-    lost = _grouped(own, me, radius).filter(F.col("best") != me).select("row", "text_key").distinct()
+    lost = _grouped(own, me, radius, more).filter(F.col("best") != me).select("row", "text_key").distinct()
     left = without(docs, lost, [key, text_key], ["row", "text_key"])
     repeated = not own.groupBy("row", "text_key").count().filter("count > 1").isEmpty()
     return left.dropDuplicates() if repeated else left

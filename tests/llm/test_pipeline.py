@@ -38,7 +38,8 @@ def test_stages(spark, tables):
     assert text[100] == "" and text[102] == "other last words in this one end"
     groups = {r.doc_id: r.component_id for r in simhash.simhash_groups(kept).collect()}
     near = corpus_pipeline.near_dedup(spark, kept, tables)
-    assert ids(near) == {i for i in ids(kept) if i is None or groups[i] == i} and 100 not in ids(near) and 3 in ids(near)
+    assert ids(near) <= {i for i in ids(kept) if i is None or groups[i] == i} and 100 not in ids(near) and 3 in ids(near)
+    assert ids(kept) - ids(near) == {100, 102}  # 102 is 101 but for one line
     clean = corpus_pipeline.decontaminated(spark, kept, tables)
     assert ids(kept) - ids(clean) == {103} and None in ids(clean)
     packed = corpus_pipeline.pack(spark, kept, tables)
