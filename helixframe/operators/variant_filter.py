@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import reliable
-from .intervals import point_join
+from .intervals import number_islands, point_join
 
 #: Letters of filter reasons: fixed values (quality, depth, great depth, dense SNPs, near a gap, near a better gap, SNP and indel quality).
 REASONS = {"quality": "Q", "shallow": "d", "deep": "D", "dense": "W", "near_gap": "G", "worse_gap": "g", "snp_quality": "s", "indel_quality": "i"}
@@ -34,27 +39,38 @@ def _worse_gaps(gaps: DataFrame, reach: int) -> DataFrame:
     return told.filter("stop is not null").select(F.col("later").alias("id")).unionByName(told.filter(F.col("stop").isNull() | (place < F.col("stop"))).select("id")).distinct()
 
 
+def _counted(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[pa.RecordBatch]:
+    """(id) of dense SNPs among rows (chrom, island, pos1, id, counts) in order; what is held are the counted places of the last ``width`` bases."""
+    island, near = None, deque()
+    for b in batches:
+        out = []
+        for chrom, n, pos, row, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if island != (chrom, n):
+                island, near = (chrom, n), deque()
+            while near and near[0] < pos - width:
+                near.popleft()
+            if len(near) >= most:
+                out.append(row)
+                counts = True
+            if counts:
+                near.append(pos)
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["id"])
+
+
 def _dense(snps: DataFrame, width: int, most: int) -> tuple[DataFrame, DataFrame]:
     """(id) of SNPs with ``most`` or more counted ones in the ``width`` bases before them, and the pairs (id, later, at) that close.
 
-    Rows (chrom, pos1, seq, id, counts): one that doesn't count of its own does once it is dense itself. That can only make
-    more of them dense, so rounds go on until none is added.
+    Rows (chrom, pos1, seq, id, counts): one that doesn't count of its own does once it is dense itself. SNPs further apart
+    than ``width`` don't act on each other, so islands of closer ones are dealt over tasks and streamed in order, each with
+    the last ``width`` bases as its only state. However long a chain of SNPs is, it takes no further job.
     """
+    rows = number_islands(snps.select("chrom", "pos1", "seq", "id", "counts", F.col("pos1").alias("end1")), ["chrom"], "pos1", "end1", max_gap=width)
+    dealt = rows.repartition("chrom", "island").sortWithinPartitions("chrom", "island", "pos1", "seq").select("chrom", "island", "pos1", "id", "counts")
+    dense = reliable(dealt.mapInArrow(partial(_counted, width=width, most=most), "id long"))
     later = snps.select("chrom", "pos1", "seq", F.col("id").alias("later"))
-    earlier = snps.select("chrom", F.col("pos1").alias("start0"), (F.col("pos1") + width + 1).alias("end1"), F.col("seq").alias("x_seq"), "id", "counts")
+    earlier = snps.select("chrom", F.col("pos1").alias("start0"), (F.col("pos1") + width + 1).alias("end1"), F.col("seq").alias("x_seq"), "id")
     met = point_join(later, earlier, "pos1").filter((F.col("start0") < F.col("pos1")) | (F.col("x_seq") < F.col("seq")))
-    pairs = reliable(met.select("id", "later", F.col("pos1").alias("at"), "counts"))
-    base = pairs.filter("counts").groupBy("later").agg(F.count(F.lit(1)).alias("n"))
-    weak = reliable(pairs.filter("not counts").select("id", "later"))
-    turned, known = None, 0
-    while True:
-        n = base if turned is None else base.unionByName(weak.join(turned, "id").groupBy("later").agg(F.count(F.lit(1)).alias("n"))).groupBy("later").agg(F.sum("n").alias("n"))
-        dense = reliable(n.filter(F.col("n") >= most).select(F.col("later").alias("id")))
-        turned = dense.join(weak.select("id").distinct(), "id")
-        now = turned.count()
-        if now == known:
-            return dense, pairs.select("id", "later", "at")
-        known = now
+    return dense, met.select("id", "later", F.col("pos1").alias("at"))
 
 
 def variant_filter(cns: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int = 25, q: int = 10, G: int = 25, s: int = 100, w: int = 10, W: int = 10, N: int = 2, S: int = 0, i: int = 0) -> DataFrame:
@@ -71,7 +87,8 @@ def variant_filter(cns: DataFrame, d: int = 3, D: int = 100, l: int = 30, Q: int
       quality of ``G``. Where W and G both come from later sites, the first of them tells.
     * What is left fails (Q) by its mapping quality, under ``Q`` or, for indels, ``q``.
 
-    Neighbours meet by joins on bins of positions, so no contig or cluster is gathered in one task.
+    Neighbours meet by joins on bins of positions, and dense SNPs are told by an ordered scan of each chain of close ones, so no
+    contig is gathered in one task and the jobs don't depend on the data.
     """
     up = F.upper("ref") != F.upper("cons")
     gap = F.col("ref") == "*"
