@@ -166,6 +166,17 @@ def _(s, d):
     return s.read.parquet(path).groupBy("rname", "bin14").agg(F.count(F.lit(1)).alias("n"))
 
 
+REGIONS = ("chr1:1-20,000", "chr1:15001-30000", "chr2:100001", "chr3:40000-40001", "chr9:1-10")
+
+
+@query("f03_fetch_regions", """SELECT qname, flag, rname, CAST(pos0 AS BIGINT) AS pos0, cigar, r_start0, r_end1 FROM (SELECT *, pos0 + CASE cigar WHEN '36M' THEN 36 WHEN '20M1D16M' THEN 37 WHEN '18M2I16M' THEN 34 WHEN '10M100N26M' THEN 136 ELSE 32 END AS e1 FROM fx_aln)
+JOIN (VALUES ('chr1', CAST(0 AS BIGINT), CAST(20000 AS BIGINT)), ('chr1', 15000, 30000), ('chr2', 100000, 536870912), ('chr3', 39999, 40001), ('chr9', 0, 10)) r(chrom, r_start0, r_end1) ON rname = chrom AND pos0 < r_end1 AND e1 > r_start0""")
+def _(s, d):
+    path = scratch(s, "columns")
+    S.convert_alignments(s, text_of(s, d, S.sam_lines(tagged(s, d)), HEADER), path)
+    return S.fetch_regions(s, path, list(REGIONS)).select("qname", "flag", "rname", "pos0", "cigar", "r_start0", "r_end1")
+
+
 @query("s09_read_mapview", "SELECT qname, chrom, pos0, strand, mapq, CAST(mapq % 4 AS INT) AS nm FROM fx_read")
 def _(s, d):
     fields = "qname, chrom, pos0 + 1, strand, 0, 0, mapq, 0, 0, mapq % 4, 0, 0, 0, 0, 'ACGT', 'IIII'"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import alignment as L
+from ..functions.bounds import parse_region
 from ..functions.sequence import reverse_complement
 
 FIELDS = "qname flag rname pos1 mapq cigar mrnm mpos1 isize seq qual".split()
@@ -49,10 +50,59 @@ def write_sam(aln: DataFrame, path: str, flag_style: str = "dec") -> None:
     sam_lines(aln, flag_style).write.mode("overwrite").text(path)
 
 
-def convert_alignments(spark: SparkSession, src: str, dst: str) -> None:
-    """SAM text to columnar files with the fine bin of each start, sorted by place, so that regions prune row groups."""
+#: Bases of a fine bin, as a power of two, and classes of how many bins a read reaches beyond that of its start.
+BIN_BITS, REACHES = 14, (0, *(1 << k for k in range(16)))
+#: Regions that are given to the scan one by one; of more, the scan gets each contig's least and greatest place.
+PUSHED_REGIONS = 256
+
+
+def convert_alignments(spark: SparkSession, src: str, dst: str, row_group_bytes: int | None = None) -> None:
+    """SAM text to columnar files that ``fetch_regions`` reads by region.
+
+    ``bin14`` is the fine bin of a read's start and ``reach`` the least of REACHES that is no less than the bins it reaches
+    beyond that; reads of one reach are in one folder, sorted by place, so row groups have narrow bounds of bins.
+    """
     aln, _, _ = read_sam(spark, src)
-    aln.withColumn("bin14", F.shiftright("pos0", 14)).repartitionByRange("rname", "bin14").sortWithinPartitions("rname", "pos0").write.mode("overwrite").parquet(dst)
+    end = F.greatest(L.reference_end(F.col("pos0"), L.parse_cigar(F.col("cigar"))), F.col("pos0") + 1)
+    bins = F.shiftright(end - 1, BIN_BITS) - F.shiftright("pos0", BIN_BITS)
+    reach = F.get(F.filter(F.array(*map(F.lit, REACHES)), lambda r: r >= bins), F.lit(0))
+    rows = aln.withColumns({"bin14": F.shiftright("pos0", BIN_BITS), "reach": F.coalesce(reach, F.lit(REACHES[-1]))})
+    order = ["reach", "rname", "bin14", "pos0", "ordinal"]
+    writer = rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("reach")
+    (writer.option("parquet.block.size", row_group_bytes) if row_group_bytes else writer).parquet(dst)
+
+
+def _pushed(regions: list[tuple[str, int, int]]) -> Column:
+    """A predicate on the stored columns that all reads over the regions fulfil, in terms that a scan checks against its row groups' bounds."""
+    if len(regions) > PUSHED_REGIONS:
+        most: dict[str, tuple[int, int]] = {}
+        for c, a, z in regions:
+            most[c] = (min(a, most.get(c, (a, z))[0]), max(z, most.get(c, (a, z))[1]))
+        regions = [(c, a, z) for c, (a, z) in most.items()]
+    terms = F.lit(False)
+    for reach in REACHES:
+        near = F.lit(False)
+        for c, a, z in regions:
+            near = near | ((F.col("rname") == c) & (F.col("bin14") >= (a >> BIN_BITS) - reach) & (F.col("bin14") <= (z - 1) >> BIN_BITS))
+        terms = terms | ((F.col("reach") == reach) & near)
+    return terms
+
+
+def fetch_regions(spark: SparkSession, path: str, regions: list[str] | list[tuple[str, int, int | None]]) -> DataFrame:
+    """Alignments of ``convert_alignments``' files that overlap regions (texts or chrom, start0, end1), once for each region, with r_start0 and r_end1.
+
+    Regions are turned to bins for each reach, and these bounds go to the scan, which skips folders and row groups outside
+    them; the reads that are left are compared with the regions' bounds.
+    """
+    from ..operators.alignments import view_regions
+
+    top = 1 << 29
+    if regions and isinstance(regions[0], str):
+        told = spark.createDataFrame([(r,) for r in regions], "r string").select(parse_region(F.col("r")).alias("p")).select("p.*").collect()
+        regions = [(r.chrom, r.start0, r.end1) for r in told]
+    bounds = [(c, a, top if z is None else z) for c, a, z in regions]
+    asked = spark.createDataFrame(bounds, "chrom string, start0 long, end1 long")
+    return view_regions(spark.read.parquet(path).filter(_pushed([b for b in bounds if b[1] < b[2]])), asked)
 
 
 def read_contigs(spark: SparkSession, path: str) -> DataFrame:
