@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,10 +75,29 @@ def sort_kmers(rows: DataFrame) -> DataFrame:
     return rows.orderBy("kmer", "contig", "pos1", "strand")
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(contig, md5) of rows (contig, seq) in order; the state of one digest is held."""
+    contig, state = None, None
+    for b in batches:
+        done = []
+        for own, seq in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            if state is None or own != contig:
+                if state is not None:
+                    done.append((contig, state.hexdigest()))
+                contig, state = own, hashlib.md5(usedforsecurity=False)
+            state.update(seq.as_buffer())
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], pa.string()) for k in (0, 1)], names=["contig", "md5"])
+    if state is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([contig]), pa.array([state.hexdigest()])], names=["contig", "md5"])
+
+
 def sequence_digests(chunks: DataFrame) -> DataFrame:
-    """(contig, md5) of each upper-cased sequence; a contig's text is put together in its own group."""
-    whole = chunks.groupBy("contig").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "seq"))), lambda x: x["seq"]), "").alias("seq"))
-    return whole.select("contig", F.md5(F.upper("seq")).alias("md5"))
+    """(contig, md5) of each upper-cased sequence.
+
+    A digest is sequential: a contig's chunks, sorted, stream through one task, and no row holds more than a chunk.
+    """
+    rows = chunks.select("contig", "chunk", F.upper("seq").alias("seq")).repartition("contig").sortWithinPartitions("contig", "chunk")
+    return rows.select("contig", "seq").mapInArrow(_digested, "contig string, md5 string")
 
 
 def digest_xor(digests: DataFrame) -> DataFrame:

@@ -70,10 +70,6 @@ SELECT (l_orderkey*8 + l_linenumber)*1000000
   concat('lib', CAST(l_suppkey % 3 AS STRING)) AS library,
   CAST(floor(l_extendedprice) AS BIGINT) AS qsum
 FROM lineitem""",
-    "fx_seq": """
-SELECT doc_id, concat('d', CAST(doc_id AS STRING)) AS contig,
-  regexp_replace(translate(lower(substring(text,1,400)), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG'),
-    '[^ACGT]', 'N') AS seq FROM documents""",
     "fx_whole": """
 SELECT doc_id, concat('d', CAST(doc_id AS STRING)) AS contig,
   regexp_replace(translate(lower(text), 'abcdefghijklmnopqrstuvwxyz ', 'ACGTACGTACGTACGTACGTACGTACG'),

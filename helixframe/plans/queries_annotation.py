@@ -9,10 +9,11 @@ from ..functions import sequence as X
 from ..operators import annotation as A
 from ..operators import intervals as I
 from ..operators import kmers as M
+from ..operators import packed_kmers as P
 from ..operators import quantify as N
 from ..operators import scans
 from .fixtures import view, whole_chunks
-from .registry import query
+from .registry import alias, query
 
 OCC, READ, EXON, GBLOCK = "fx_exon_occ", "fx_read", "fx_exon", "fx_gblock"
 
@@ -190,11 +191,11 @@ def tags(s, d):
     return t, t.filter(lo <= hi).select("tag_id", lo.alias("block_start0"), (hi + 1).alias("block_end1"))
 
 
-JR = {k: v for k, v in TAGS.items() if k != "jr"} | {"rd": "SELECT tag_id, (up * 7 + len * x) % 400 AS pos0 FROM tg, (SELECT CAST(unnest(range(1, 40)) AS BIGINT) AS x)"}
+JR = {k: v for k, v in TAGS.items() if k != "jr"} | {"rd": "SELECT tag_id, (up * 7 + len * x + 13 * x) % 400 AS pos0 FROM tg, (SELECT CAST(unnest(range(1, 40)) AS BIGINT) AS x)"}
 
 
 def jnx_reads(t):
-    return t.select("tag_id", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("x"), "up", "len").select("tag_id", ((F.col("up") * 7 + F.col("len") * F.col("x")) % 400).alias("pos0"))
+    return t.select("tag_id", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("x"), "up", "len").select("tag_id", ((F.col("up") * 7 + F.col("len") * F.col("x") + 13 * F.col("x")) % 400).alias("pos0"))
 
 
 @query("j02_reads_to_tag_blocks", "SELECT tag_id, block_start0, block_end1, count(*) AS n_reads FROM rd JOIN tb USING (tag_id) WHERE pos0 >= block_start0 AND pos0 < block_end1 GROUP BY ALL", JR)
@@ -454,13 +455,7 @@ def _(s, d):
     return view(s, d, EXON).select("chrom", a, b, B.length(a, b).alias("len"), B.overlap_length(a, b, lo, hi).alias("olen"), s11.alias("s11"), e11.alias("e11"), B.contained_in(a, b, lo, hi).alias("inside"), B.is_left_of(b, lo).alias("left_of"))
 
 
-@query("x01_reverse_complement", "SELECT contig, reverse(translate(seq, 'ACGTU', 'TGCAA')) AS rc FROM fx_seq")
-def _(s, d):
-    return view(s, d, "fx_seq").select("contig", X.reverse_complement(F.col("seq")).alias("rc"))
-
-
-KM = {"km": "SELECT contig, i AS pos1, substr(seq, CAST(i AS INT), 12) AS kmer, '+' AS strand FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_seq WHERE length(seq) >= 12) UNION ALL SELECT contig, i, reverse(translate(substr(seq, CAST(i AS INT), 12), 'ACGT', 'TGCA')), '-' FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_seq WHERE length(seq) >= 12)"}
-WHOLE_KM = {"km": KM["km"].replace("fx_seq", "fx_whole")}
+WHOLE_KM = {"km": "SELECT contig, i AS pos1, substr(seq, CAST(i AS INT), 12) AS kmer, '+' AS strand FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_whole WHERE length(seq) >= 12) UNION ALL SELECT contig, i, reverse(translate(substr(seq, CAST(i AS INT), 12), 'ACGT', 'TGCA')), '-' FROM (SELECT contig, seq, unnest(range(1, length(seq) - 10)) AS i FROM fx_whole WHERE length(seq) >= 12)"}
 
 
 @query("x01_reverse_complement_whole", "SELECT contig, reverse(translate(seq, 'ACGTU', 'TGCAA')) AS rc FROM fx_whole")
@@ -468,12 +463,6 @@ def _(s, d):
     return view(s, d, "fx_whole").select("contig", X.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query("m01_kmers", "SELECT strand, count(*) AS n, count(DISTINCT kmer) AS n_distinct, CAST(sum(pos1) AS BIGINT) AS pos_sum FROM km GROUP BY strand", KM)
-def _(s, d):
-    k = M.kmers(view(s, d, "fx_seq").select("contig", "seq"), 12)
-    return k.groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("n_distinct"), F.sum("pos1").cast("long").alias("pos_sum"))
-
-
 def whole_kmers(s, d):
     return M.kmers_of_chunks(whole_chunks(s, d), 12)
 
@@ -483,24 +472,19 @@ def _(s, d):
     return whole_kmers(s, d).groupBy("strand").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("kmer").alias("n_distinct"), F.sum("pos1").cast("long").alias("pos_sum"))
 
 
-@query("a13_kmer_fold", "SELECT kmer, count(*) AS n, min((contig, pos1, strand)).contig AS contig, min((contig, pos1, strand)).pos1 AS pos1, min((contig, pos1, strand)).strand AS strand FROM kk GROUP BY kmer HAVING count(*) <= 2".replace("min((contig, pos1, strand))", "min({'contig': contig, 'pos1': pos1, 'strand': strand})"), KM | {"kk": "SELECT * FROM km"})
+@query("m01_kmer_rows", "SELECT contig, pos1, kmer, strand FROM km", WHOLE_KM)
 def _(s, d):
-    return M.kmer_fold(M.kmers(view(s, d, "fx_seq").select("contig", "seq"), 12), 2)
+    return P.kmer_rows(whole_chunks(s, d), 12)
 
 
 @query("a13_kmer_fold_whole", "SELECT kmer, count(*) AS n, min((contig, pos1, strand)).contig AS contig, min((contig, pos1, strand)).pos1 AS pos1, min((contig, pos1, strand)).strand AS strand FROM kk GROUP BY kmer HAVING count(*) <= 2".replace("min((contig, pos1, strand))", "min({'contig': contig, 'pos1': pos1, 'strand': strand})"), WHOLE_KM | {"kk": "SELECT * FROM km"})
 def _(s, d):
-    return M.kmer_fold(whole_kmers(s, d), 2)
-
-
-@query("m02_mappable_runs", "SELECT contig, min(p) AS start1, max(p) AS end1 FROM (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS g FROM (SELECT contig, pos1 AS p FROM km WHERE strand = '+' AND kmer IN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) = 1))) GROUP BY contig, g", KM)
-def _(s, d):
-    return M.mappable_runs(view(s, d, "fx_seq").select("contig", "seq"), 12)
+    return P.fold_kmers(whole_chunks(s, d), 12, 2)
 
 
 @query("m02_mappable_runs_whole", "SELECT contig, min(p) AS start1, max(p) AS end1 FROM (SELECT contig, p, p - row_number() OVER (PARTITION BY contig ORDER BY p) AS g FROM (SELECT contig, pos1 AS p FROM km WHERE strand = '+' AND kmer IN (SELECT kmer FROM km GROUP BY kmer HAVING count(*) = 1))) GROUP BY contig, g", WHOLE_KM)
 def _(s, d):
-    return M.rare_runs(whole_kmers(s, d))
+    return P.unique_runs(whole_chunks(s, d), 12)
 
 
 @query("m03_parse_contig_id", "SELECT tag_id, split_part(tag_id, '|', 1) AS chrom, split_part(split_part(tag_id, '|', 2), ':', 1) AS tag_set, CAST(split_part(split_part(tag_id, '|', 2), ':', 2) AS BIGINT) AS number FROM tg", {"tg": TAGS["tg"]})
@@ -509,21 +493,11 @@ def _(s, d):
     return t.select("tag_id", M.parse_contig_id(F.col("tag_id")).alias("p")).select("tag_id", "p.chrom", "p.tag_set", "p.number")
 
 
-@query("t04_sort_kmers", "SELECT kmer, contig, pos1, strand FROM km WHERE kmer LIKE 'AC%'", KM)
-def _(s, d):
-    return M.sort_kmers(M.kmers(view(s, d, "fx_seq").select("contig", "seq"), 12, prefix="AC")).select("kmer", "contig", "pos1", "strand")
-
-
 @query("t04_sort_kmers_whole", "SELECT kmer, contig, pos1, strand FROM km WHERE kmer LIKE 'AC%'", WHOLE_KM)
 def _(s, d):
     return M.sort_kmers(whole_kmers(s, d).filter(F.col("kmer").startswith("AC"))).select("kmer", "contig", "pos1", "strand")
 
 
-@query("a18_sequence_digests", "SELECT contig, md5(upper(seq)) AS md5 FROM fx_seq")
-def _(s, d):
-    return M.sequence_digests(view(s, d, "fx_seq").select("contig", F.lit(0).alias("chunk"), "seq"))
-
-
 @query("a18_sequence_digests_whole", "SELECT contig, md5(upper(seq)) AS md5 FROM fx_whole")
 def _(s, d):
     return M.sequence_digests(whole_chunks(s, d))
@@ -542,3 +516,7 @@ def _(s, d):
 @query("scan_next_position", "SELECT chrom, start0, lead(start0) OVER (PARTITION BY chrom ORDER BY start0) AS nx FROM (SELECT DISTINCT chrom, start0 FROM fx_exon)")
 def _(s, d):
     return scans.next_position(view(s, d, EXON).select("chrom", "start0").distinct(), ["chrom"], "start0", "nx", 1 << 14)
+
+
+for _name in ("x01_reverse_complement", "m01_kmers", "a13_kmer_fold", "m02_mappable_runs", "t04_sort_kmers", "a18_sequence_digests"):
+    alias(_name, f"{_name}_whole")

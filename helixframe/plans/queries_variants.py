@@ -8,7 +8,7 @@ from ..operators import variants as V
 from ..operators.variant_filter import variant_filter
 from .fixtures import view, whole_chunks
 from .queries_alignments import with_bases
-from .registry import query
+from .registry import alias, query
 
 PLAIN = {
     "el": "SELECT rname AS chrom, pos0 + i AS pos0, ordinal, substr('ACGT', CAST((ordinal % 4 + i) % 4 + 1 AS INT), 1) AS base FROM (SELECT *, unnest(range(0, 36)) AS i FROM fx_aln WHERE cigar = '36M' AND flag & 1796 = 0)",
@@ -35,19 +35,9 @@ def _(s, d):
     return V.cheap_consensus(all_elements(s, d), "first")
 
 
-@query("c03_first_base", "SELECT chrom, pos0, arg_min(base, ordinal) AS cons FROM el GROUP BY ALL", PLAIN)
-def _(s, d):
-    return V.cheap_consensus(elements(s, d), "first")
-
-
 CODES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.bases_of.__globals__["IUPAC"].items())
 
 
-@query("c03_union_bases", f"SELECT chrom, pos0, CASE string_agg(DISTINCT base, '' ORDER BY base) {CODES} END AS cons FROM el GROUP BY ALL", PLAIN)
-def _(s, d):
-    return V.cheap_consensus(elements(s, d), "union")
-
-
 @query("c03_union_bases_all", f"SELECT chrom, pos0, CASE string_agg(DISTINCT base, '' ORDER BY base) {CODES} END AS cons FROM el GROUP BY ALL", STRETCHES)
 def _(s, d):
     return V.cheap_consensus(all_elements(s, d), "union")
@@ -172,18 +162,6 @@ def _(s, d):
     return V.consensus_fastq(calls(s, d))
 
 
-def reference(s, d):
-    return view(s, d, "fx_seq").select("contig", F.lit(0).alias("chunk"), "seq")
-
-
-@query("s11_fetch_sequence", "SELECT contig, b AS start0, b + 25 AS end1, substr(seq, CAST(b + 1 AS INT), 25) AS seq FROM (SELECT contig, seq, doc_id % 60 AS b FROM fx_seq)")
-def _(s, d):
-    from ..operators.sequences import fetch_sequence
-
-    v = view(s, d, "fx_seq")
-    return fetch_sequence(whole_chunks(s, d), v.select("contig", (F.col("doc_id") % 60).alias("start0"), (F.col("doc_id") % 60 + 25).alias("end1")))
-
-
 #: Every 4,096 bases of a sequence a place just before, so that some windows cross the border of two chunks.
 WHOLE = {"pl": "SELECT doc_id, contig, seq, i, greatest(i * 4096 - 12, 0) AS b FROM (SELECT doc_id, contig, seq, unnest(range(0, (length(seq) + 4095) // 4096)) AS i FROM fx_whole)"}
 
@@ -201,20 +179,6 @@ def _(s, d):
     return fetch_sequence(whole_chunks(s, d), places(s, d).select("contig", F.col("b").alias("start0"), (F.col("b") + 25).alias("end1")))
 
 
-@query("j14_reference_base", "SELECT contig, b AS pos0, CASE WHEN b < length(seq) THEN substr(seq, CAST(b + 1 AS INT), 1) ELSE 'N' END AS ref FROM (SELECT contig, seq, doc_id % 450 AS b FROM fx_seq)")
-def _(s, d):
-    from ..operators.sequences import with_ref_base
-
-    v = view(s, d, "fx_seq")
-    return with_ref_base(v.select("contig", (F.col("doc_id") % 450).alias("pos0")), reference(s, d))
-
-
-def reads_on(s, d):
-    v = view(s, d, "fx_seq").filter("length(seq) >= 60")
-    flip = F.translate(F.substr("seq", F.lit(12), F.lit(1)), "ACGT", "CGTA")
-    return v.select("doc_id", F.concat(F.substr("seq", F.lit(2), F.lit(10)), flip, F.substr("seq", F.lit(13), F.lit(19))).alias("r"), "contig").select(F.col("doc_id").alias("ordinal"), F.col("contig").alias("rname"), F.lit(1).alias("pos0"), F.lit("30M").alias("cigar"), F.col("r").alias("seq"))
-
-
 @query("j14_reference_base_whole", "SELECT contig, b + doc_id % 450 AS pos0, CASE WHEN b + doc_id % 450 < length(seq) THEN substr(seq, CAST(b + doc_id % 450 + 1 AS INT), 1) ELSE 'N' END AS ref FROM pl", WHOLE)
 def _(s, d):
     from ..operators.sequences import with_ref_base
@@ -222,11 +186,6 @@ def _(s, d):
     return with_ref_base(places(s, d).select("contig", (F.col("b") + F.col("doc_id") % 450).alias("pos0")), whole_chunks(s, d))
 
 
-@query("c07_recompute_md", "SELECT doc_id AS ordinal, CASE WHEN substr(seq, 12, 1) = 'N' THEN '30' ELSE '10' || substr(seq, 12, 1) || '19' END AS md, CAST(CASE WHEN substr(seq, 12, 1) = 'N' THEN 0 ELSE 1 END AS INT) AS nm FROM fx_seq WHERE length(seq) >= 60")
-def _(s, d):
-    return V.recompute_md(reads_on(s, d), whole_chunks(s, d)).select("ordinal", "md", "nm")
-
-
 def reads_over(s, d):
     part = lambda at, n: F.substr("seq", (F.col("b") + at).cast("int"), F.lit(n))
     r = F.concat(part(1, 10), F.translate(part(11, 1), "ACGT", "CGTA"), part(12, 19))
@@ -269,3 +228,7 @@ def _(s, d):
 @query("c05_indel_calls")
 def _(s, d):
     return V.indel_calls(with_bases(s, d)).select("chrom", "pos1", "cons", "cons_q", "snp_q", "depth", "cnt1", "cnt2")
+
+
+for _name, _of in (("c03_first_base", "all"), ("c03_union_bases", "all"), ("s11_fetch_sequence", "whole"), ("j14_reference_base", "whole"), ("c07_recompute_md", "whole")):
+    alias(_name, f"{_name}_{_of}")

@@ -28,6 +28,13 @@ def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None)
     return add
 
 
+def alias(name: str, of: str) -> None:
+    """Registers a query and its SQL under one more name."""
+    _QUERIES[name] = _QUERIES[of]
+    if of in _SQL:
+        _SQL[name] = _SQL[of]
+
+
 def _load() -> None:
     for m in MODULES:
         importlib.import_module(f".queries_{m}", __package__)
