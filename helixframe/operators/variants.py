@@ -67,7 +67,6 @@ def _log_choose(n: Column, k: Column) -> Column:
     return fact(n) - fact(k) - fact(n - k)
 
 
-@lru_cache(4096)
 def error_costs(q: int, n: int, theta: float, eta: float) -> np.ndarray:
     """For k = 0..n errors of quality q among n dependent reads: the scaled cost of k or more beyond what their qualities say."""
     e = 10 ** (-q / 10)
@@ -83,47 +82,87 @@ def error_costs(q: int, n: int, theta: float, eta: float) -> np.ndarray:
     return np.concatenate([[0.0], np.cumsum(steps[:-1])]) + last
 
 
+def _damped(m: Column, theta: float, eta: float) -> Column:
+    """What the first ``m`` equal bases of a strand count together: the n-th from 0 counts theta^n (1 - eta) + eta, those from the 256th on as the 256th."""
+    first = F.least(m, F.lit(256))
+    last = theta**255 * (1 - eta) + eta
+    return (1 - eta) / (1 - theta) * (1 - F.pow(F.lit(theta), first)) + eta * first + last * (m - first)
+
+
+def _sums(base: str, theta: float, eta: float) -> Column:
+    """struct<n, f, e> of a base in a site's histogram ``h``: bases, their damped number and their damped qualities, the best of each strand first."""
+    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("f"), F.lit(0.0).alias("e"))
+
+    def step(a: Column, x: Column) -> Column:
+        d = _damped(a["n"] + x["c"], theta, eta) - _damped(a["n"], theta, eta)
+        return F.struct((a["n"] + x["c"]).alias("n"), (a["f"] + d).alias("f"), (a["e"] - x["down"] * d).alias("e"))
+
+    def strand(minus: bool) -> Column:
+        return F.aggregate(F.array_sort(F.filter("h", lambda x: (x["base"] == base) & (x["minus"] == minus))), zero, step)
+
+    parts = [strand(False), strand(True)]
+    return F.struct(*((parts[0][k] + parts[1][k]).alias(k) for k in ("n", "f", "e")))
+
+
 def genotype_likelihoods(elements: DataFrame, model: str = "soap", theta: float = 0.85, n_hap: int = 2, eta: float = 0.03, cap: int = 60) -> DataFrame:
     """(chrom, pos0, depth, rms_mapq, lk): scaled -log likelihoods of the ten genotypes, in GENOTYPES' order, less the least.
 
     Bases count with the lesser of base and mapping quality (4 at least where both are known); of equal bases on a strand
     the n-th best is damped by theta^n (1 - eta) + eta. ``soap`` takes errors as independent after that, ``maq`` adds the
     cost of dependent ones.
+
+    A site is a histogram of its bases by strand and quality, counted before rows are dealt, so its size doesn't follow the
+    depth; sums over a run of equal qualities are prefix sums of the damping.
     """
     q = F.least("base_q", "mapq")
     q = F.when((q < 4) & (F.col("base_q") > 0), 4).otherwise(q)
-    rows = elements.withColumn("q", F.when(F.col("base").isin(*BASES), q).otherwise(0))
-    n = F.least(F.row_number().over(Window.partitionBy(*SITE, "minus", "base").orderBy(F.desc("q"), F.desc("base_q"), "ordinal")) - 1, F.lit(255))
-    damp = F.when(n == 0, 1.0).otherwise(F.pow(F.lit(theta), n) * (1 - eta) + eta)
-    rows = rows.withColumn("f", F.when(F.col("q") > 0, damp).otherwise(0.0))
-    mq = F.least("mapq", F.lit(cap))
-    per = lambda b, c: F.sum(F.when((F.col("base") == b) & (F.col("q") > 0), c).otherwise(0))
-    aggs = [a for b in BASES for a in (per(b, F.col("f") * F.col("q")).cast("double").alias(f"e{b}"), per(b, F.col("f")).cast("double").alias(f"f{b}"), per(b, F.lit(1)).alias(f"n{b}"))]
-    g = rows.groupBy(*SITE).agg(F.count(F.lit(1)).alias("depth"), F.floor(F.sqrt(F.avg(mq * mq)) + 0.499).cast("int").alias("rms_mapq"), *aggs)
+    mq = F.least("mapq", F.lit(cap)).cast("long")
+    rows = elements.select(*SITE, "minus", "base", F.when(F.col("base").isin(*BASES), F.coalesce(q, F.lit(0))).otherwise(0).cast("int").alias("q"), (mq * mq).alias("sq"))
+    hist = rows.groupBy(*SITE, "minus", "base", "q").agg(F.count(F.lit(1)).alias("c"), F.sum("sq").alias("sq"), F.count("sq").alias("known"))
+    bar = F.when(F.col("q") > 0, F.struct((-F.col("q")).alias("down"), "minus", "base", "c"))
+    g = hist.groupBy(*SITE).agg(F.sum("c").alias("depth"), F.floor(F.sqrt(F.try_divide(F.sum("sq"), F.sum("known"))) + 0.499).cast("int").alias("rms_mapq"), F.collect_list(bar).alias("h"))
+    g = g.withColumns({f"s{b}": _sums(b, theta, eta) for b in BASES})
+    g = g.withColumns({f"{k}{b}": F.col(f"s{b}.{k}") for b in BASES for k in ("n", "f", "e")})
     total = sum((F.col(f"n{b}") for b in BASES), F.lit(0))
     g = g.withColumn("c", total).withColumns({f"n{b}": F.when(F.col("c") > 255, F.floor(F.col(f"n{b}") * 254.0 / F.col("c") + 0.5)).otherwise(F.col(f"n{b}")).cast("int") for b in BASES})
     g = g.withColumn("c", sum((F.col(f"n{b}") for b in BASES), F.lit(0)))
-    cost = _maq_cost(theta, eta) if model == "maq" else None
+    others = [[b for b in BASES if b not in xy] for xy in GENOTYPES]
+    errors = [sum((F.col(f"e{b}") for b in o), F.lit(0.0)) for o in others]
+    if model == "maq":
+        k = F.array(*(sum((F.col(f"n{b}") for b in o), F.lit(0)).cast("int") for o in others))
+        means = F.array(*(F.coalesce(F.least(F.greatest(F.floor(F.try_divide(e, sum((F.col(f"f{b}") for b in o), F.lit(0.0))) + 0.5), F.lit(4)), F.lit(63)), F.lit(4)).cast("int") for o, e in zip(others, errors, strict=True)))
+        g = g.withColumn("more", _maq_costs(theta, eta)(means, F.col("c").cast("int"), k))
+        errors = [e + F.get("more", F.lit(i)) for i, e in enumerate(errors)]
     values = []
-    for x, y in GENOTYPES:
-        others = [b for b in BASES if b not in (x, y)]
-        err = sum((F.col(f"e{b}") for b in others), F.lit(0.0))
-        if cost is not None:
-            k, f = sum((F.col(f"n{b}") for b in others), F.lit(0)), sum((F.col(f"f{b}") for b in others), F.lit(0.0))
-            mean = F.least(F.greatest(F.floor(F.try_divide(err, f) + 0.5), F.lit(4)), F.lit(63)).cast("int")
-            err = err + F.when(k > 0, cost(F.coalesce(mean, F.lit(4)), F.col("c").cast("int"), k.cast("int"))).otherwise(0.0)
+    for (x, y), err in zip(GENOTYPES, errors, strict=True):
         v = err if x == y else err - SCALE * _log_het(F.col(f"n{x}"), F.col(f"n{y}"), n_hap, model == "maq")
-        values.append(F.greatest(v, F.lit(0.0)) if cost is not None else v)
+        values.append(F.greatest(v, F.lit(0.0)) if model == "maq" else v)
     out = g.withColumn("p", F.array(*values)).withColumn("least", F.array_min("p"))
     return out.select(*SITE, "depth", "rms_mapq", F.transform("p", lambda v: F.least(F.floor(v - F.col("least") + 0.5), F.lit(255)).cast("int")).alias("lk"))
 
 
-def _maq_cost(theta: float, eta: float):
-    @F.pandas_udf("double")
-    def cost(q: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([float(error_costs(int(a), int(b), theta, eta)[int(c)]) if b else 0.0 for a, b, c in zip(q, n, k, strict=True)])
+@lru_cache(2)
+def cost_table(theta: float, eta: float) -> np.ndarray:
+    """error_costs of all qualities (4 to 63), depths and numbers of errors up to 255."""
+    out = np.zeros((64, 256, 256))
+    for q in range(4, 64):
+        for n in range(1, 256):
+            out[q, n, : n + 1] = error_costs(q, n, theta, eta)
+    out[:, :, 0] = 0.0
+    return out
+
+
+def _maq_costs(theta: float, eta: float):
+    """The costs of a site's ten genotypes, looked up for all rows of a batch at once."""
+
+    @F.pandas_udf("array<double>")
+    def costs(q: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        if not len(q):
+            return pd.Series([], dtype=object)
+        qs, ks = np.stack(q.to_numpy()), np.stack(k.to_numpy())
+        return pd.Series(list(cost_table(theta, eta)[qs, n.to_numpy()[:, None], ks]))
 
-    return cost
+    return costs
 
 
 def heterozygote_prior(het: float = 0.001, n_hap: int = 2) -> int:
