@@ -127,17 +127,22 @@ def pileup(aln: DataFrame, sequences: DataFrame | None = None, mask: int = L.DEF
         F.when(ins.isNotNull(), F.concat(F.lit("+"), ins, F.substr("seq", (used + 1).cast("int"), ins))).alias("ins"), dele.alias("del"),
         *([F.coalesce(F.substr("e2", F.coalesce(q, F.col("qpos").cast("int")) + 1, F.lit(1)), F.lit("N")).alias("b2"), F.coalesce(F.substr("u2", F.coalesce(q, F.col("qpos").cast("int")) + 1, F.lit(1)), F.lit("!")).alias("q2")] if second_call else []),
     )
+    own = F.when(F.col("kind") == "D", F.lit("*")).otherwise(F.col("base"))
+    fields = {
+        "own": own, "minus": F.col("minus"), "before": F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise(""), "after": F.concat(F.coalesce("ins", F.lit("")), F.when(F.col("tail"), "$").otherwise("")),
+        "q": F.col("q"), "m": F.char(F.least("mapq", F.lit(93)) + 33), "p": F.col("read_pos"), "indel": F.col("ins").isNotNull() | F.coalesce("del", F.lit(False)), **({k: F.col(k) for k in ("b2", "q2")} if second_call else {}),
+    }
+    held = rows.groupBy("rname", "pos0").agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(F.struct("ordinal", *(c.alias(k) for k, c in fields.items())))).alias("e"))
     if sequences is not None:
         from .sequences import with_ref_base
 
-        rows = with_ref_base(rows.withColumnRenamed("rname", "contig"), sequences).withColumnRenamed("contig", "rname")
+        held = with_ref_base(held.withColumnRenamed("rname", "contig"), sequences).withColumnRenamed("contig", "rname")  # once a site
     else:
-        rows = rows.withColumn("ref", F.lit("N"))
-    shown = F.when(F.col("kind") == "D", F.lit("*")).when(F.col("base") == F.col("ref"), F.when(F.col("minus"), ",").otherwise(".")).otherwise(F.when(F.col("minus"), F.lower("base")).otherwise(F.col("base")))
-    text = F.concat(F.when(F.col("head"), F.concat(F.lit("^"), F.char(F.least("mapq", F.lit(93)) + 33))).otherwise(""), shown, F.coalesce("ins", F.lit("")), F.when(F.col("tail"), "$").otherwise(""))
-    held = rows.groupBy("rname", "pos0", "ref").agg(F.count(F.lit(1)).alias("depth"), F.array_sort(F.collect_list(F.struct("ordinal", text.alias("t"), F.col("q"), F.char(F.least("mapq", F.lit(93)) + 33).alias("m"), F.col("read_pos").alias("p"), (F.col("ins").isNotNull() | F.coalesce("del", F.lit(False))).alias("indel"), *(["b2", "q2"] if second_call else [])))).alias("e"))
+        held = held.withColumn("ref", F.lit("N"))
     joined = lambda k: F.array_join(F.transform("e", lambda x: x[k]), "")
-    return held.select("rname", "pos0", "ref", "depth", joined("t").alias("bases"), joined("q").alias("quals"), joined("m").alias("mapqs"), F.transform("e", lambda x: x["p"]).alias("read_pos"), F.size(F.filter("e", lambda x: x["indel"])).alias("indels"), *([joined("b2").alias("bases2"), joined("q2").alias("quals2")] if second_call else []))
+    letter = lambda x: F.when(x["own"] == "*", "*").when(x["own"] == F.col("ref"), F.when(x["minus"], ",").otherwise(".")).otherwise(F.when(x["minus"], F.lower(x["own"])).otherwise(x["own"]))
+    bases = F.array_join(F.transform("e", lambda x: F.concat(x["before"], letter(x), x["after"])), "")
+    return held.select("rname", "pos0", "ref", "depth", bases.alias("bases"), joined("q").alias("quals"), joined("m").alias("mapqs"), F.transform("e", lambda x: x["p"]).alias("read_pos"), F.size(F.filter("e", lambda x: x["indel"])).alias("indels"), *([joined("b2").alias("bases2"), joined("q2").alias("quals2")] if second_call else []))
 
 
 def pileup_marks(aln: DataFrame, mask: int = L.DEFAULT_MASK) -> DataFrame:

@@ -7,6 +7,7 @@ cons_q, snp_q, rms_mapq, depth, ...).
 from __future__ import annotations
 
 import math
+import re
 from functools import lru_cache
 from itertools import combinations_with_replacement
 
@@ -26,6 +27,7 @@ GENOTYPES = ["".join(g) for g in combinations_with_replacement(BASES, 2)]
 #: Decibels of a natural logarithm, as the likelihoods are scaled: a fixed value.
 SCALE = 4.343
 SITE = ["chrom", "pos0"]
+_UPPER = np.frombuffer(bytes(range(256)).upper(), np.uint8)
 
 
 def site_elements(aln: DataFrame, mask: int = L.DEFAULT_MASK) -> DataFrame:
@@ -227,34 +229,40 @@ def to_vcf(cns: DataFrame, sequences: DataFrame | None = None, snps: bool = True
     return row(s).unionByName(row(i))
 
 
-def _mark_differences(cigar: str, seq: str, ref: str, equal: bool) -> tuple[str, int, str]:
-    """The MD text, the NM count and the sequence, with ``=`` for equal bases where asked, of one read."""
-    md, same, nm, out, q, r = [], 0, 0, [], 0, 0
-    number = ""
-    for c in cigar:
-        if c.isdigit():
-            number += c
-            continue
-        n, number = int(number), ""
-        if c in "M=X":
-            for a, b in zip(seq[q : q + n], ref[r : r + n], strict=False):
-                if a.upper() == b.upper() or a == "=":
-                    same += 1
-                    out.append("=" if equal else a)
-                else:
-                    md += [str(same), b.upper()]
-                    same, nm = 0, nm + 1
-                    out.append(a)
-            q, r = q + n, r + n
-        elif c == "D":
-            md += [str(same), "^" + ref[r : r + n].upper()]
-            same, nm, r = 0, nm + n, r + n
-        elif c == "N":
+def _runs(cigar: str) -> list[tuple[int, str]]:
+    """The operations of a CIGAR text."""
+    return [(int(n), op) for n, op in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+
+
+def differences(cigar: str, seq: np.ndarray, ref: np.ndarray, equal: bool) -> tuple[str, int, bytes]:
+    """MD, NM and the sequence (``=`` for equal bases where asked) of a read, from arrays of its and the reference's characters.
+
+    Stretches of bases are compared at once; what the text tells are the places that differ and the deletions between them.
+    """
+    upper, own, shown = _UPPER[seq], _UPPER[ref], seq.copy()
+    marks: list[tuple[int, str]] = []  # aligned bases before each mark, and the mark
+    nm = q = r = aligned = 0
+    for n, op in _runs(cigar):
+        if op in "M=X":
+            n = min(n, len(seq) - q, len(ref) - r)
+            same = (upper[q : q + n] == own[r : r + n]) | (upper[q : q + n] == ord("="))
+            if equal:
+                shown[q : q + n][same] = ord("=")
+            off = np.flatnonzero(~same)
+            marks += zip((aligned + off).tolist(), own[r + off].tobytes().decode(), strict=True)
+            nm, aligned, q, r = nm + len(off), aligned + n, q + n, r + n
+        elif op == "D":
+            marks.append((aligned, "^" + own[r : r + n].tobytes().decode()))
+            nm, r = nm + n, r + n
+        elif op == "N":
             r += n
-        elif c in "IS":
-            out.append(seq[q : q + n])
-            nm, q = nm + (n if c == "I" else 0), q + n
-    return "".join([*md, str(same)]), nm, "".join(out)
+        elif op in "IS":
+            nm, q = nm + (n if op == "I" else 0), q + n
+    told, before = [], 0
+    for at, mark in marks:
+        told += [str(at - before), mark]
+        before = at + (mark[0] != "^")
+    return "".join([*told, str(aligned - before)]), nm, shown[:q].tobytes()
 
 
 def recompute_md(aln: DataFrame, sequences: DataFrame, equal: bool = False, max_nm: int = 0) -> DataFrame:
@@ -265,7 +273,9 @@ def recompute_md(aln: DataFrame, sequences: DataFrame, equal: bool = False, max_
 
     @F.pandas_udf("struct<md:string,nm:int,seq:string>")
     def marked(cigar: pd.Series, seq: pd.Series, own: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_mark_differences(c, s, r, equal) for c, s, r in zip(cigar, seq, own, strict=True)], columns=["md", "nm", "seq"])
+        chars = lambda x: np.frombuffer(x.encode("latin-1", "replace"), np.uint8)
+        told = [differences(c, chars(s), chars(r), equal) for c, s, r in zip(cigar, seq, own, strict=True)]
+        return pd.DataFrame([(md, nm, s.decode("latin-1")) for md, nm, s in told], columns=["md", "nm", "seq"])
 
     found = aln.withColumns({"end1": end, "pos0": F.col("pos0").cast("long")}).join(ref, ["rname", "pos0", "end1"], "left")
     done = found.withColumn("_m", marked("cigar", "seq", F.coalesce("_ref", F.lit("")))).withColumns({"md": F.col("_m.md"), "nm": F.col("_m.nm")})
@@ -284,11 +294,15 @@ def consensus_fastq(cns: DataFrame, d: int = 3, D: int = 255, Q: int = 25, G: in
     weak = (F.col("rms_mapq") < Q) | (F.col("depth") < d) | (F.col("depth") > D) | F.coalesce("near", F.lit(False))
     own = rows.select("chrom", "pos1", F.floor((F.col("pos1") - 1) / chunk).alias("chunk"), F.when(weak, F.lower("cons")).otherwise(F.upper("cons")).alias("b"), F.char(F.least("cons_q", F.lit(93)) + 33).alias("q"))
     own = own.groupBy("chrom", "chunk", "pos1").agg(F.min(F.struct("b", "q")).alias("m")).select("chrom", "chunk", "pos1", "m.b", "m.q")
-    held = own.groupBy("chrom", "chunk").agg(F.map_from_entries(F.collect_list(F.struct(F.col("pos1").cast("long"), F.struct("b", "q")))).alias("m"))
-    top = own.groupBy("chrom").agg(F.max("pos1").alias("top"))
+    held = own.groupBy("chrom", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.col("pos1").cast("long").alias("pos1"), "b", "q"))).alias("e"))
+    top = own.groupBy("chrom").agg(F.max("pos1").cast("long").alias("top"))
     chunks = top.select("chrom", "top", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("top") - 1) / chunk))).alias("chunk"))
-    full = chunks.join(held, ["chrom", "chunk"], "left").withColumn("at", F.sequence(F.col("chunk") * chunk + 1, F.least((F.col("chunk") + 1) * chunk, F.col("top").cast("long"))))
-    pick = lambda k, none: F.array_join(F.transform("at", lambda p: F.coalesce(F.element_at("m", p)[k], F.lit(none))), "")
+    none = F.array().cast("array<struct<pos1:bigint,b:string,q:string>>")
+    first, last = F.col("chunk") * chunk, F.least((F.col("chunk") + 1) * chunk, F.col("top"))
+    full = chunks.join(held, ["chrom", "chunk"], "left").withColumn("e", F.concat(F.coalesce("e", none), F.array(F.struct((last + 1).alias("pos1"), F.lit("").alias("b"), F.lit("").alias("q")))))
+    # before each called base as many fillers as places lie behind the one before it
+    gap = lambda x, i: x["pos1"] - 1 - F.when(i == 0, first).otherwise(F.get("e", i - 1)["pos1"])
+    pick = lambda k, fill: F.array_join(F.transform("e", lambda x, i: F.concat(F.repeat(F.lit(fill), gap(x, i).cast("int")), x[k])), "")
     return full.select("chrom", "chunk", pick("b", "n").alias("seq"), pick("q", "!").alias("qual"))
 
 
