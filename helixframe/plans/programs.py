@@ -13,6 +13,7 @@ from ..operators import events as E
 from ..operators import intervals as I
 from ..operators import quantify as Q
 from ..operators import variants as V
+from ..operators.indels import realigned_indels
 from ..operators.variant_filter import variant_filter
 
 PROGRAMS: dict[str, Callable] = {}
@@ -59,12 +60,12 @@ def expression(occ: DataFrame, reads: DataFrame, ratio: float = 0.5, read_length
 
 @program
 def call_variants(aln: DataFrame, sequences: DataFrame, model: str = "soap", **filters) -> DataFrame:
-    """VCF columns of the SNPs and indels of alignments that pass the variant filter."""
+    """VCF columns of the SNPs and the realigned indels of alignments that pass the variant filter."""
     el = V.site_elements(aln)
     snps = V.call_snps(V.consensus(V.genotype_likelihoods(el, model)), sequences)
     none = {"a1": F.lit("*"), "a2": F.lit("*"), "cnt1": F.lit(0).cast("long"), "cnt2": F.lit(0).cast("long")}
     cols = ["chrom", "pos1", "ref", "cons", "cons_q", "snp_q", "rms_mapq", "depth", *none]
-    both = snps.withColumns(none).select(*cols).unionByName(V.indel_calls(aln, sequences).select(*cols))
+    both = snps.withColumns(none).select(*cols).unionByName(realigned_indels(aln, sequences).select(*cols))
     passed = variant_filter(V.variants_only(both), **filters).filter("reason = ''")
     return V.to_vcf(passed, sequences)
 

@@ -200,12 +200,20 @@ def _(s, d):
     return R.best_hit(aln(s, d).withColumn("score", F.col("qsum") + 1)).select("qname", "ordinal", "mapq")
 
 
-@query("w08_physical_coverage", "SELECT rname, CAST(sum(depth * (end1 - start0)) AS BIGINT) AS bases, CAST(max(depth) AS BIGINT) AS top FROM (SELECT rname, pos AS start0, lead(pos) OVER (PARTITION BY rname ORDER BY pos) AS end1, sum(dl) OVER (PARTITION BY rname ORDER BY pos) AS depth FROM dd) WHERE end1 IS NOT NULL GROUP BY rname", {"al": PARTS["al"], "sp": "SELECT rname, pos0 AS s, CASE WHEN flag & 2 <> 0 THEN pos0 + isize ELSE end0 END AS e FROM al WHERE flag & 4 = 0 AND (flag & 2 = 0 OR isize > 0)", "dd": "SELECT rname, pos, sum(dl) AS dl FROM (SELECT rname, s AS pos, 1 AS dl FROM sp UNION ALL SELECT rname, e, -1 FROM sp) GROUP BY ALL"})
+COVERED = {"al": PARTS["al"], "sp": "SELECT rname, pos0 AS s, CASE WHEN flag & 2 <> 0 THEN pos0 + isize ELSE end0 END AS e FROM al WHERE flag & 4 = 0 AND (flag & 2 = 0 OR isize > 0)", "dd": "SELECT rname, pos, sum(dl) AS dl FROM (SELECT rname, s AS pos, 1 AS dl FROM sp UNION ALL SELECT rname, e, -1 FROM sp) GROUP BY ALL"}
+
+
+@query("w08_physical_coverage", "SELECT rname, CAST(sum(depth * (end1 - start0)) AS BIGINT) AS bases, CAST(max(depth) AS BIGINT) AS top FROM (SELECT rname, pos AS start0, lead(pos) OVER (PARTITION BY rname ORDER BY pos) AS end1, sum(dl) OVER (PARTITION BY rname ORDER BY pos) AS depth FROM dd) WHERE end1 IS NOT NULL GROUP BY rname", COVERED)
 def _(s, d):
     c = R.physical_coverage(aln(s, d))
     return c.groupBy("rname").agg(F.sum(F.col("depth") * (F.col("end1") - F.col("start0"))).cast("long").alias("bases"), F.max("depth").cast("long").alias("top"))
 
 
+@query("w08_coverage_runs", "SELECT rname, start0, end1, CAST(depth AS BIGINT) AS depth FROM (SELECT rname, pos AS start0, lead(pos) OVER (PARTITION BY rname ORDER BY pos) AS end1, sum(dl) OVER (PARTITION BY rname ORDER BY pos) AS depth FROM dd) WHERE end1 IS NOT NULL AND depth > 0", COVERED)
+def _(s, d):
+    return R.physical_coverage(aln(s, d))
+
+
 @query("j12_with_library", "SELECT ordinal, CASE WHEN mapq % 4 < 3 THEN 'L' || (mapq % 4) END AS lib FROM fx_aln")
 def _(s, d):
     groups = s.createDataFrame([(f"g{i}", f"L{i}") for i in range(3)], "rg_id string, library string")

@@ -520,3 +520,4 @@ def _(s, d):
 
 for _name in ("x01_reverse_complement", "m01_kmers", "a13_kmer_fold", "m02_mappable_runs", "t04_sort_kmers", "a18_sequence_digests"):
     alias(_name, f"{_name}_whole")
+alias("m04_mappable_positions", "j03_mappable_on_segments")

@@ -452,3 +452,21 @@ def _(s, d):
 
     r = J.resolve_shared(J.known_tags(occ(s, d), 400, 180), 400)
     return r.select("chrom", "strand", "donor", "acceptor", F.get("blocks", F.lit(0))["start0"].alias("first_base"), J._length(F.col("blocks")).alias("n_bases"), F.col("n_tags").cast("long").alias("n_tags"), "n_windows")
+
+
+#: Skipped-exon events under the options that event operators share: all, those whose flanks have the same bounds, and one of each iso-bound pair.
+OPTIONS = PATHS | {
+    "so": """SELECT DISTINCT locus, chrom, (na_start + 1) || '-' || na_end || ',' || (b_start + 1) || '-' || b_end || ',' || (nc_start + 1) || '-' || nc_end || '/' || (a_start + 1) || '-' || a_end || ',' || (c_start + 1) || '-' || c_end AS coordinates,
+'http://x/' || chrom || ':' || least(a_start, na_start) || '-' || greatest(c_end, nc_end) || '?z' AS link, a_start = na_start AND a_end = na_end AND c_start = nc_start AND c_end = nc_end AS same,
+concat_ws(',', na_end, b_start || '-' || b_end, nc_start) AS x, concat_ws(',', a_end, c_start) AS y FROM se""",
+}
+
+
+@query("e00_event_options", """SELECT 'all' AS option, 'g' || locus AS locus_name, coordinates, link FROM so UNION ALL SELECT 'cobound', 'g' || locus, coordinates, link FROM so WHERE same
+UNION ALL SELECT 'iso', 'g' || locus, CAST(count(*) AS STRING), '' FROM (SELECT DISTINCT locus, x, y FROM so) GROUP BY locus""", OPTIONS)
+def _(s, d):
+    events = skipped(s, d)
+    told = lambda option, rows: E.count_table(rows, F.lit("SE"), F.concat(F.lit("g"), "locus"), "http://x/", "?z").select(F.lit(option).alias("option"), "locus_name", "coordinates", "link")
+    counted = quantified(s, d)
+    iso = E.drop_iso_bound(events).groupBy("locus").agg(F.count(F.lit(1)).cast("string").alias("coordinates")).select(F.lit("iso").alias("option"), F.concat(F.lit("g"), "locus").alias("locus_name"), "coordinates", F.lit("").alias("link"))
+    return told("all", counted).unionByName(told("cobound", counted.filter(E.is_cobound(F.col("exc"), F.col("inc"))))).unionByName(iso)

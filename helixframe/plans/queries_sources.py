@@ -166,6 +166,13 @@ def _(s, d):
     return s.read.parquet(path).groupBy("rname", "bin14").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("s24_converted_rows", """SELECT qname, flag, rname, CAST(pos0 AS BIGINT) AS pos0, mapq, cigar, CAST(pos0 >> 14 AS BIGINT) AS bin14, CAST(((e1 - 1) >> 14) - (pos0 >> 14) AS INT) AS reach FROM (SELECT *, pos0 + CASE cigar WHEN '36M' THEN 36 WHEN '20M1D16M' THEN 37 WHEN '18M2I16M' THEN 34 WHEN '10M100N26M' THEN 136 ELSE 32 END AS e1 FROM fx_aln)""")
+def _(s, d):
+    path = scratch(s, "columns")
+    S.convert_alignments(s, text_of(s, d, S.sam_lines(tagged(s, d)), HEADER), path)
+    return s.read.parquet(path).select("qname", "flag", "rname", "pos0", "mapq", "cigar", "bin14", "reach")
+
+
 REGIONS = ("chr1:1-20,000", "chr1:15001-30000", "chr2:100001", "chr3:40000-40001", "chr9:1-10")
 
 
