@@ -123,24 +123,41 @@ def genotype_likelihoods(elements: DataFrame, model: str = "soap", theta: float
     hist = rows.groupBy(*SITE, "minus", "base", "q").agg(F.count(F.lit(1)).alias("c"), F.sum("sq").alias("sq"), F.count("sq").alias("known"))
     bar = F.when(F.col("q") > 0, F.struct((-F.col("q")).alias("down"), "minus", "base", "c"))
     g = hist.groupBy(*SITE).agg(F.sum("c").alias("depth"), F.floor(F.sqrt(F.try_divide(F.sum("sq"), F.sum("known"))) + 0.499).cast("int").alias("rms_mapq"), F.collect_list(bar).alias("h"))
-    g = g.withColumns({f"s{b}": _sums(b, theta, eta) for b in BASES})
-    g = g.withColumns({f"{k}{b}": F.col(f"s{b}.{k}") for b in BASES for k in ("n", "f", "e")})
-    total = sum((F.col(f"n{b}") for b in BASES), F.lit(0))
-    g = g.withColumn("c", total).withColumns({f"n{b}": F.when(F.col("c") > 255, F.floor(F.col(f"n{b}") * 254.0 / F.col("c") + 0.5)).otherwise(F.col(f"n{b}")).cast("int") for b in BASES})
-    g = g.withColumn("c", sum((F.col(f"n{b}") for b in BASES), F.lit(0)))
+    told = F.struct(*(_sums(b, theta, eta).alias(b) for b in BASES))
     others = [[b for b in BASES if b not in xy] for xy in GENOTYPES]
-    errors = [sum((F.col(f"e{b}") for b in o), F.lit(0.0)) for o in others]
-    if model == "maq":
-        k = F.array(*(sum((F.col(f"n{b}") for b in o), F.lit(0)).cast("int") for o in others))
-        means = F.array(*(F.coalesce(F.least(F.greatest(F.floor(F.try_divide(e, sum((F.col(f"f{b}") for b in o), F.lit(0.0))) + 0.5), F.lit(4)), F.lit(63)), F.lit(4)).cast("int") for o, e in zip(others, errors, strict=True)))
-        g = g.withColumn("more", _maq_costs(theta, eta)(means, F.col("c").cast("int"), k))
-        errors = [e + F.get("more", F.lit(i)) for i, e in enumerate(errors)]
-    values = []
-    for (x, y), err in zip(GENOTYPES, errors, strict=True):
-        v = err if x == y else err - SCALE * _log_het(F.col(f"n{x}"), F.col(f"n{y}"), n_hap, model == "maq")
-        values.append(F.greatest(v, F.lit(0.0)) if model == "maq" else v)
-    out = g.withColumn("p", F.array(*values)).withColumn("least", F.array_min("p"))
-    return out.select(*SITE, "depth", "rms_mapq", F.transform("p", lambda v: F.least(F.floor(v - F.col("least") + 0.5), F.lit(255)).cast("int")).alias("lk"))
+
+    def scaled(s: Column) -> Column:
+        """A site's sums with its counts brought to 255 at most."""
+        c = sum((s[b]["n"] for b in BASES), F.lit(0))
+        n = {b: F.when(c > 255, F.floor(s[b]["n"] * 254.0 / c + 0.5)).otherwise(s[b]["n"]).cast("int") for b in BASES}
+        return F.struct(*(n[b].alias(f"n{b}") for b in BASES), *(s[b][k].alias(f"{k}{b}") for b in BASES for k in ("f", "e")))
+
+    def values(s: Column, more: Column | None = None) -> Column:
+        out = []
+        for i, (x, y) in enumerate(GENOTYPES):
+            v = sum((s[f"e{b}"] for b in others[i]), F.lit(0.0))
+            if more is not None:
+                v = v + F.get(more, F.lit(i))
+            if x != y:
+                v = v - SCALE * _log_het(s[f"n{x}"], s[f"n{y}"], n_hap, model == "maq")
+            out.append(v if more is None else F.greatest(v, F.lit(0.0)))
+        return F.array(*out)
+
+    rounded = lambda p: F.transform(p, lambda v: F.least(F.floor(v - F.array_min(p) + 0.5), F.lit(255)).cast("int"))
+    if model != "maq":
+        return g.select(*SITE, "depth", "rms_mapq", _once(told, lambda s: _once(scaled(s), lambda t: _once(values(t), rounded))).alias("lk"))
+    g = g.withColumn("s", _once(told, scaled))
+    s = F.col("s")
+    k = F.array(*(sum((s[f"n{b}"] for b in o), F.lit(0)).cast("int") for o in others))
+    mean = lambda o: F.floor(F.try_divide(sum((s[f"e{b}"] for b in o), F.lit(0.0)), sum((s[f"f{b}"] for b in o), F.lit(0.0))) + 0.5)
+    means = F.array(*(F.coalesce(F.least(F.greatest(mean(o), F.lit(4)), F.lit(63)), F.lit(4)).cast("int") for o in others))
+    g = g.withColumn("more", _maq_costs(theta, eta)(means, sum((s[f"n{b}"] for b in BASES), F.lit(0)).cast("int"), k))
+    return g.select(*SITE, "depth", "rms_mapq", _once(values(s, F.col("more")), rounded).alias("lk"))
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with the value computed but once: a one-element array names it, so that plans don't repeat it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 @lru_cache(2)
