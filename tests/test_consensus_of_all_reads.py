@@ -58,3 +58,21 @@ def test_likelihoods_and_consensus_against_brute_force(spark):
         k = (r.chrom, r.pos0)
         ranked = sorted((x + (prior if g[0] != g[1] else 0), i, g) for i, (x, g) in enumerate(zip(got[k].lk, V.GENOTYPES, strict=True)))
         assert r.depth == want[k][0] and r.cons == V.bases_of.__globals__["IUPAC"].get("".join(sorted(set(ranked[0][2]))), "N")
+
+
+def test_likelihoods_are_dealt_as_stretches_and_told_in_batches(spark):
+    """Behind one shuffle of stretches; depths beyond 255 and 256 equal bases; qualities of either strand apart."""
+    plan = V.genotype_likelihoods(V.site_elements(with_bases(spark, DIR)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "MapInArrow" in plan
+    rows = [("c", 5, i, "A" if i % 3 else "C", i % 2 == 0, 5 + i % 40, 30) for i in range(2000)] + [("c", 6, 0, None, True, 0, 9)]
+    e = spark.createDataFrame(rows, "chrom string, pos0 long, ordinal long, base string, minus boolean, base_q int, mapq int")
+    err = {}
+    for b in "AC":
+        for m in (True, False):
+            qs = sorted((min(x[5], 30) for x in rows if x[3] == b and x[4] == m), reverse=True)
+            err[b] = err.get(b, 0) + sum(q * (0.85 ** min(k, 255) * 0.97 + 0.03) for k, q in enumerate(qs))
+    got = {r.pos0: r for r in V.genotype_likelihoods(e).collect()}
+    want = {"AA": err["C"], "CC": err["A"], "AC": 4.343 * math.log(2) * 255, "GG": err["A"] + err["C"]}
+    for g, v in want.items():
+        assert abs(got[5].lk[V.GENOTYPES.index(g)] - min(255, v - min(want.values()))) <= 4, (g, v, got[5])
+    assert got[6].depth == 1 and got[6].lk == [0] * 10
