@@ -23,6 +23,8 @@ MIN_CHARS, NEAR_CHARS = 1, 20
 HOT = 1024
 #: Lines of one segment that a task sends to be compared; what goes beyond is linked by variants.
 CROWD = 128
+#: Pairs a line that a segment's lines may give, on average; the lines of one with more are laid side by side instead.
+FEW = 4
 #: Rows that a task takes at once.
 ROWS_HELD = 1 << 17
 #: Lines that a task remembers, to send the segments of a line that it meets again but once.
@@ -163,7 +165,8 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int, crowd: int)
 def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key and line.
 
-    Lines of a crowded key, or whose own segment comes with too many others to compare all pairs, are given alone, with a null b.
+    A key of more than FEW pairs a line gives those lines instead, as (a, null, pack, own), which are compared side by side. Lines of a
+    crowded key, or whose own segment comes with too many others to compare all pairs, are given alone, with a null b and pack.
     """
     waiting: list[tuple[np.ndarray, ...]] = []
     passing = None  # a key whose lines are all given alone
@@ -176,7 +179,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
 
     def alone(line: np.ndarray) -> pa.RecordBatch:
         line = np.unique(line)
-        return pa.record_batch([pa.array(line), pa.nulls(len(line), pa.int64())], names=["a", "b"])
+        none = pa.nulls(len(line), pa.int64())
+        return pa.record_batch([pa.array(line), none, none, none.cast(pa.bool_())], names=["a", "b", "pack", "own"])
 
     def paired(key: np.ndarray, line: np.ndarray, sign: np.ndarray) -> Iterator[pa.RecordBatch]:
         kind, key = key & 3, key >> 2
@@ -192,12 +196,18 @@ def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -
             at = at[at + shift < len(key)]
             at = at[key[at] == key[at + shift]]
             good = (line[at] != line[at + shift]) & (np.bitwise_count((sign[at] ^ sign[at + shift]).view(np.uint64)) <= 2 * edits)
-            left.append(line[at[good]])
-            right.append(line[at[good] + shift])
+            left.append(at[good])
+            right.append(at[good] + shift)
             shift += 1
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (left, right))
+        x, y = (np.concatenate(i) if i else np.empty(0, np.int64) for i in (left, right))
+        group = np.repeat(np.arange(len(starts)), sizes)
+        packed = (np.bincount(group[x], minlength=len(starts)) > FEW * sizes)[group[x]]
+        members = np.unique(np.concatenate([x[packed], y[packed]]))
+        yield pa.record_batch([pa.array(line[members]), pa.nulls(len(members), pa.int64()), pa.array(key[members]), pa.array(own[members])], names=["a", "b", "pack", "own"])
+        a, b = line[x[~packed]], line[y[~packed]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        none = pa.nulls(len(pairs), pa.int64())
+        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none.cast(pa.bool_())], names=["a", "b", "pack", "own"])
 
     for batch in batches:
         key, line, sign = (batch.column(i).to_numpy() for i in range(3))
@@ -321,6 +331,41 @@ def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.Reco
         yield b.select([0, 1]).take(pa.array(near, pa.int64()))
 
 
+def _linked(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that connect all lines (pack, own, id, line) of each pack that are near. Rows come sorted by pack, own ones first.
+
+    Only lines that aren't connected yet are compared, so a pack of lines that are near each other costs about a comparison a
+    line, and n lines give n - 1 links at most. The own lines, HOT at most, are held; the others pass by.
+    """
+    known, ids, lines = None, [], []
+    signs, roots = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for b in batches:
+        out = []
+        for pack, own, me, line in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if pack != known:
+                known, ids, lines = pack, [], []
+                signs, roots = np.empty(16, np.uint64), np.empty(16, np.int64)
+            n, sign, mine = len(ids), np.int64(signature(line)).view(np.uint64), len(ids)
+            near = np.bitwise_count(signs[:n] ^ sign) <= 2 * edits
+            while near.any():
+                k = int(near.argmax())
+                near[k] = False
+                if ids[k] != me and edit_distance(lines[k], line, edits) <= edits:
+                    out.append((min(me, ids[k]), max(me, ids[k])))
+                    if mine < n:
+                        roots[:n][roots[:n] == roots[k]] = mine
+                    else:
+                        mine = int(roots[k])
+                    near &= roots[:n] != mine
+            if own:
+                if n == len(signs):
+                    signs, roots = np.resize(signs, 2 * n), np.resize(roots, 2 * n)
+                ids.append(me)
+                lines.append(line)
+                signs[n], roots[n] = sign, mine
+        yield pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def _lines(rows: DataFrame, least: int) -> DataFrame:
     """(doc_id, text_key, at, line) for the trimmed lines of ``least`` characters and more."""
     each = rows.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
@@ -337,20 +382,25 @@ def near_lines(rows: DataFrame, edits: int = EDITS, near_chars: int = NEAR_CHARS
     least = max(near_chars, edits + 1)
     keyed = rows.select("text").mapInArrow(partial(_keys, edits=edits, least=least, crowd=crowd), "key long, line long, sign long")
     dealt = keyed.repartition(F.shiftright("key", 2)).sortWithinPartitions("key", "line")
-    found = cut(dealt.mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long").distinct())
+    found = cut(dealt.mapInArrow(partial(_candidates, edits=edits, hot=hot), "a long, b long, pack long, own boolean").distinct())
     wanted = found.select(F.explode(F.array("a", "b")).alias("short")).filter("short is not null").distinct()
     few = wanted.count() <= BROADCAST_LINES
     lines = _lines(rows, least).select(F.xxhash64("line").alias("short"), "line").join(F.broadcast(wanted) if few else wanted, "short", "left_semi").distinct()
     texts = stored(lines.select(F.monotonically_increasing_id().alias("id"), "short", "line"))  # a hash may stand for several lines
     ends = lambda name: texts.select(F.col("short").alias(name), F.col("id").alias(f"{name}_id"))
     pairs = found.filter("b is not null").join(ends("a"), "a").join(ends("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
-    many = found.filter("b is null").select(F.col("a").alias("short"))
+    many = found.filter("b is null and pack is null").select(F.col("a").alias("short"))
     if not many.isEmpty():
         common = texts.join(many, "short", "left_semi").select("id", "line").repartition("id")
         spread = common.mapInArrow(partial(_variants, edits=edits), "key long, d byte, room byte, line long").repartition("key").sortWithinPartitions("key", "d")
         pairs = pairs.unionByName(spread.mapInArrow(_stars, "a long, b long"))
     both = cut(pairs.distinct()).join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")), "b")
-    return texts, both.select("a", "b", "x", "y").mapInArrow(partial(_verified, edits=edits), "a long, b long")
+    near = both.select("a", "b", "x", "y").mapInArrow(partial(_verified, edits=edits), "a long, b long")
+    packs = found.filter("pack is not null").select("pack", "own", F.col("a").alias("short"))
+    if not packs.isEmpty():
+        side_by_side = packs.join(texts, "short").select("pack", "own", "id", "line").repartition("pack").sortWithinPartitions("pack", F.desc("own"))
+        near = near.unionByName(side_by_side.mapInArrow(partial(_linked, edits=edits), "a long, b long"))
+    return texts, near
 
 
 def line_classes(rows: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS, hot: int = HOT, crowd: int = CROWD) -> DataFrame:
@@ -401,7 +451,8 @@ def line_dedup(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
     A longer line is cut into edits + 1 segments, one of which survives any ``edits``
     edits: it is looked for in lines up to ``edits`` longer at the places it can have moved to. What shares a segment and
-    nearly the parities of its characters is verified by the edit distance of the texts. Lines of a segment that more than
+    nearly the parities of its characters is verified by the edit distance of the texts. Lines of a segment that gives more than
+    FEW pairs a line lie side by side in one task, where only lines that aren't connected yet are compared. Lines of a segment that more than
     some ``hot`` lines, or more than ``crowd`` of one task, have are not compared in pairs: of each of them all variants
     with up to ``edits`` characters left or blotted out are made, and those of one variant are linked to one line, which
     takes work in proportion to the lines and the square of their length.

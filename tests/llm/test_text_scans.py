@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helixframe.llm import automaton, decontaminate, langid, licenses, line_dedup, substring_dedup
+from helixframe.llm.components import connected_components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -339,6 +340,41 @@ def test_pairs_of_a_common_segment_stay_in_proportion():
     assert sum(b.num_rows for b in out) <= 4 * n and {x for b in out for x in b.column(0).to_pylist()} == set(range(n))
 
 
+def test_near_lines_of_a_segment_give_no_more_rows_than_lines(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    n = 700
+    batch = pa.record_batch([pa.array(x) for x in (np.full(n, 9), np.arange(n), np.zeros(n, np.int64))], names=["key", "line", "sign"])
+    out = [r for b in line_dedup._candidates(iter([batch]), 2) for r in b.to_pylist()]
+    assert len(out) == n and {r["a"] for r in out} == set(range(n))
+    rows = spark.createDataFrame([(i, f"the same long line with a number {i:03d} in it") for i in range(n)] + [(n, "another line that nothing is near to")], "doc_id long, text string")
+    texts, links = line_dedup.near_lines(rows)
+    roots = {r.root for r in connected_components(links).collect()}
+    assert texts.count() == n and len(roots) == 1 and links.count() < 12 * n
+
+
+def test_lines_side_by_side_against_brute_force():
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ab") for _ in range(rng.randint(7, 9))) for _ in range(60)]
+    own = [True] * 40 + [False] * 20
+    rows = [pa.record_batch([pa.array([1] * 60), pa.array(own), pa.array(range(60)), pa.array(lines)], names=["pack", "own", "id", "line"]).slice(i, 7) for i in range(0, 60, 7)]
+    for edits in (0, 1, 2):
+        told = [(r["a"], r["b"]) for b in line_dedup._linked(iter(rows), edits) for r in b.to_pylist()]
+        near = [(i, j) for j in range(60) for i in range(min(j, 40)) if line_dedup.edit_distance(lines[i], lines[j], edits) <= edits]
+        assert set(told) <= set(near) and len(told) < 60
+        parts = []
+        for pairs in (told, near):
+            root = list(range(60))
+            for i, j in pairs:
+                a, b = root[i], root[j]
+                root = [min(a, b) if x in (a, b) else x for x in root]
+            parts.append(root)
+        assert parts[0] == parts[1]
+
+
 def test_rewrite_keeps_rows_and_columns(spark):
     same = "a line that is long enough to compare"
     df = spark.createDataFrame([(2, same + "\nshort", 9, "s"), (1, same, 9, None), (None, None, 9, "t"), (3, "own text of another document", 9, "u")], "doc_id long, text string, n_chars long, `row` string")
