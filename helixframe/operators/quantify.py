@@ -33,10 +33,12 @@ def block_counts(reads: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def assign_jnx_reads(jnx_reads: DataFrame, tag_blocks: DataFrame) -> DataFrame:
-    """Counts of reads on junction tags by the tag block that holds their start."""
-    n = jnx_reads.groupBy("tag_id", "pos0").agg(F.count(F.lit(1)).alias("n"))
-    found = n.join(tag_blocks, "tag_id").filter("pos0 >= block_start0 and pos0 < block_end1")
-    return found.groupBy("tag_id", "block_start0", "block_end1").agg(F.sum("n").alias("n_reads"))
+    """Counts of reads on junction tags by the tag block that holds their start.
+
+    Reads stream past their tag's blocks, which are hashed, and are neither sorted nor held; only counts of blocks are.
+    """
+    found = jnx_reads.join(tag_blocks.hint("shuffle_hash"), "tag_id").filter("pos0 >= block_start0 and pos0 < block_end1")
+    return found.groupBy("tag_id", "block_start0", "block_end1").agg(F.count(F.lit(1)).alias("n_reads"))
 
 
 def mappable_on_blocks(runs: DataFrame, blocks: DataFrame, read_length: int) -> DataFrame:

@@ -195,7 +195,8 @@ JR = {k: v for k, v in TAGS.items() if k != "jr"} | {"rd": "SELECT tag_id, (up *
 
 
 def jnx_reads(t):
-    return t.select("tag_id", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("x"), "up", "len").select("tag_id", ((F.col("up") * 7 + F.col("len") * F.col("x") + 13 * F.col("x")) % 400).alias("pos0"))
+    """39 reads of each tag, made behind the shuffle of tags."""
+    return t.repartition("tag_id").select("tag_id", F.explode(F.sequence(F.lit(1), F.lit(39))).alias("x"), "up", "len").select("tag_id", ((F.col("up") * 7 + F.col("len") * F.col("x") + 13 * F.col("x")) % 400).alias("pos0"))
 
 
 @query("j02_reads_to_tag_blocks", "SELECT tag_id, block_start0, block_end1, count(*) AS n_reads FROM rd JOIN tb USING (tag_id) WHERE pos0 >= block_start0 AND pos0 < block_end1 GROUP BY ALL", JR)
