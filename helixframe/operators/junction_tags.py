@@ -48,7 +48,7 @@ def _transcripts(occ: DataFrame) -> DataFrame:
 
 
 def _with_paths(rows: DataFrame, keys: list[str], paths: list[str]) -> DataFrame:
-    """One row a tag: its rows' different paths, in order, and how many rows it has."""
+    """One row a tag: its rows' different paths, in order, and how many rows it has. Rows dealt by some of ``keys`` aren't shuffled again."""
     each = rows.groupBy(*keys, *paths).agg(F.sum("n").alias("n"))
     return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*paths))).alias("exon_paths"), F.sum("n").alias("n_tx"))
 
@@ -66,7 +66,7 @@ def known_tags(occ: DataFrame, read_length: int, min_span: int) -> DataFrame:
     left, right = walk(F.array(a), flank, True, over_end=False), walk(F.expr("slice(e, i + 1, size(e) - i)"), flank, False)
     rows = at.select("chrom", "strand", left.alias("l"), right.alias("r"))
     rows = rows.select("chrom", "strand", F.col("l.blocks").alias("left"), F.col("r.blocks").alias("right"), F.col("l.path").alias("left_path"), F.col("r.path").alias("right_path"), F.lit(1).cast("long").alias("n"))
-    return _with_paths(rows, TAG, ["left_path", "right_path"])
+    return _with_paths(rows.repartition(*TAG), TAG, ["left_path", "right_path"])
 
 
 def transcript_flanks(occ: DataFrame, flank: int, leftwards: bool) -> DataFrame:
@@ -131,15 +131,15 @@ def recombined_tags(locus_exon: DataFrame, flank: int, dist: int = 5, max_exons:
     """Tags of every left path of a locus with every right path that begins at least ``dist`` bases later: (locus, chrom, strand, left, right, exon_paths, n_tx).
 
     The result is as large as that; ``max_exons`` bounds the exons of a path. Right paths of large loci are copied to as
-    many tasks as they have blocks of ``block`` left ones.
+    many tasks as they have blocks of ``block`` left ones, by a hash of their bases' bounds: equal tags meet where they are made.
     """
     left = reliable(flank_paths(locus_exon, flank, dist, True, max_exons))
     right = flank_paths(locus_exon, flank, dist, False, max_exons)
     n = left.groupBy("locus").agg(F.ceil(F.count(F.lit(1)) / block).alias("n_blocks"))
-    a = left.join(n, "locus").select(*LOCUS, F.col("bound").alias("up"), F.col("blocks").alias("left"), F.col("path").alias("left_path"), F.pmod(F.xxhash64("path"), F.col("n_blocks")).alias("deal"))
+    a = left.join(n, "locus").select(*LOCUS, F.col("bound").alias("up"), F.col("blocks").alias("left"), F.col("path").alias("left_path"), F.pmod(F.xxhash64("blocks"), F.col("n_blocks")).alias("deal"))
     b = right.join(n, "locus").select("locus", F.col("bound").alias("down"), F.col("blocks").alias("right"), F.col("path").alias("right_path"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("deal"))
     rows = a.join(b, ["locus", "deal"]).filter(F.col("up") + dist <= F.col("down")).withColumn("n", F.lit(1).cast("long"))
-    return _with_paths(rows, ["locus", *TAG], ["left_path", "right_path"])
+    return _with_paths(rows, ["locus", "deal", *TAG], ["left_path", "right_path"]).drop("deal")
 
 
 def tag_sequences(tags: DataFrame, sequences: DataFrame) -> DataFrame:
@@ -175,19 +175,25 @@ def resolve_shared(tags: DataFrame, read_length: int) -> DataFrame:
     Windows that the same tags have are one class. A class's windows that follow each other are one stretch on the tag's
     concatenated coordinates, told once, with the paths of all its tags; what a tag shares with no other is left of, between
     or right of such stretches and told as its own. ``nth`` numbers a junction's rows, those of most tags first, then by
-    place. Tags shorter than ``read_length`` have no window.
+    place. Tags shorter than ``read_length`` have no window. A tag that is alone on its junction is one stretch as it is; those of
+    other junctions are cut into windows behind a shuffle of tags by junction.
     """
     junction = ["chrom", "strand", "donor", "acceptor"]
     t = tags.select("chrom", "strand", F.element_at("left", -1)["end1"].alias("donor"), F.element_at("right", 1)["start0"].alias("acceptor"), F.concat("left", "right").alias("blocks"), "exon_paths")
     t = t.withColumns({"tag": F.xxhash64("chrom", "strand", "blocks"), "size": _length(F.col("blocks"))}).filter(F.col("size") >= read_length)
-    at = t.select(*junction, "tag", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - read_length)).alias("o"))
+    apart = F.forall(F.sequence(F.lit(1), F.size("blocks") - 1), lambda i: F.get("blocks", i - 1)["end1"] <= F.get("blocks", i)["start0"])
+    t = reliable(t.withColumn("alone", (F.count(F.lit(1)).over(Window.partitionBy(*junction)) == 1) & apart))
+    own = t.filter("alone").select(*junction, F.lit(1).alias("nth"), "blocks", F.lit(1).alias("n_tags"), (F.col("size") - read_length + 1).alias("n_windows"), F.array_sort(F.array_distinct("exon_paths")).alias("exon_paths"))
+    t = t.filter("not alone")
+    at = t.repartition(*junction).select(*junction, "tag", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - read_length)).alias("o"))
     windows = at.select(*junction, "tag", "o", _cut(F.col("blocks"), F.col("o"), F.lit(read_length).cast("long")).alias("w"))
     classes = windows.groupBy(*junction, "w").agg(F.array_sort(F.collect_list(F.struct("tag", "o"))).alias("own"))
     first = classes.select(*junction, F.get("own", F.lit(0))["tag"].alias("tag"), F.get("own", F.lit(0))["o"].alias("o"), F.transform("own", lambda x: x["tag"]).alias("tags"))
-    run = F.col("o") - F.row_number().over(Window.partitionBy("tag", "tags").orderBy("o"))
+    run = F.col("o") - F.row_number().over(Window.partitionBy(*junction, "tag", "tags").orderBy("o"))
     stretches = first.withColumn("run", run).groupBy(*junction, "tag", "tags", "run").agg(F.min("o").alias("start"), F.count(F.lit(1)).alias("n_windows"))
     cut = stretches.join(t.select("tag", F.col("blocks").alias("of")), "tag").withColumn("blocks", _cut(F.col("of"), F.col("start"), F.col("n_windows") + read_length - 1))
     paths = cut.select("tag", "start", F.explode("tags").alias("member")).join(t.select(F.col("tag").alias("member"), "exon_paths"), "member").select("tag", "start", F.explode("exon_paths").alias("p")).distinct()
     merged = paths.groupBy("tag", "start").agg(F.array_sort(F.collect_list("p")).alias("exon_paths"))
     nth = F.row_number().over(Window.partitionBy(*junction).orderBy(F.desc("n_tags"), "blocks", "tag"))
-    return cut.withColumn("n_tags", F.size("tags")).join(merged, ["tag", "start"]).withColumn("nth", nth).select(*junction, "nth", "blocks", "n_tags", "n_windows", "exon_paths")
+    shared = cut.withColumn("n_tags", F.size("tags")).join(merged, ["tag", "start"]).withColumn("nth", nth).select(*junction, "nth", "blocks", "n_tags", "n_windows", "exon_paths")
+    return own.unionByName(shared)

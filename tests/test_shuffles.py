@@ -16,3 +16,16 @@ def test_reads_on_tags_are_made_behind_the_shuffle(spark):
     for name in ("a08_junction_density", "j02_reads_to_tag_blocks"):
         keys, plan = exchanges(spark, name)
         assert "Generate explode" in plan and not any("pos0" in k for k in keys)
+
+
+def test_tags_alone_on_their_junction_are_not_cut_into_windows(spark):
+    from helixframe.operators import junction_tags as J
+
+    block, path = "struct<start0:bigint,end1:bigint>", "struct<left_path:array<struct<start0:bigint,end1:bigint>>,right_path:array<struct<start0:bigint,end1:bigint>>>"
+    rows = [("c", "+", [(0, 10)], [(k, k + 10)], [([(0, 10)], [(k, k + 10)])]) for k in (20, 40)] + [("c", "+", [(5, 10)], [(40, 50)], [([(5, 10)], [(40, 50)])]), ("c", "-", [(0, 4), (2, 10)], [(20, 30)], [])]
+    tags = spark.createDataFrame(rows, f"chrom string, strand string, `left` array<{block}>, `right` array<{block}>, exon_paths array<{path}>")
+    out = J.resolve_shared(tags, 8)
+    got = sorted((r.strand, r.acceptor, r.nth, tuple(map(tuple, r.blocks)), r.n_tags, r.n_windows, len(r.exon_paths)) for r in out.collect())
+    assert got[:3] == [("+", 20, 1, ((0, 10), (20, 30)), 1, 13, 1), ("+", 40, 1, ((5, 10), (40, 50)), 2, 8, 2), ("+", 40, 2, ((0, 10), (40, 42)), 1, 5, 1)]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union" and "Generate" not in plan.children().head().toString()
