@@ -57,6 +57,29 @@ def test_links_are_alike_and_few_are_missed(spark):
                 assert j in allowed[i]
 
 
+def test_one_bucket_of_all_loses_no_link(spark, monkeypatch):
+    own = N._signed
+
+    def one_bucket(batches, width):
+        for b in own(batches, width):
+            for r in b.to_pylist():
+                yield N.pa.RecordBatch.from_pylist([r | {"bands": [7]}], schema=b.schema)
+
+    monkeypatch.setattr(N, "_signed", one_bucket)
+    texts = corpus(4, 30)
+    for side in (256, 8):
+        monkeypatch.setattr(N, "SIDE", side)
+        roots = groups(spark, texts)
+        want = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if jaccard(texts[i], texts[j]) >= 0.8 - 1e-9:
+                    want = [min(want[i], want[j]) if x in (want[i], want[j]) else x for x in want]
+        told = [roots.get(i, i) for i in range(len(texts))]
+        assert len(set(want)) < len(texts)
+        assert all((told[i] == told[j]) == (want[i] == want[j]) for i in range(len(texts)) for j in range(i))
+
+
 def test_texts_of_every_kind(spark):
     rng = random.Random(2)
     long = " ".join(f"L{rng.randrange(9999)}" for _ in range(60_000))
