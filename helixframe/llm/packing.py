@@ -23,7 +23,7 @@ BLOCKS_A_TASK = 4
 #: Words up to this length are remembered: twice so many, and so many ends of chunks, per Python worker.
 CHUNK_CHARS, WORDS_KEPT, TAILS_KEPT = 48, 150_000, 10_000
 #: Text that a worker splits at once, in bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: ASCII marks that are tokens apart from the letters before them when they end a chunk.
 _TAIL = ".,!?;:$*&#%)"
 #: Lower-case letters that stay one character each whatever the tokenizer does to case and form; runs of them are one word.
@@ -131,7 +131,7 @@ def _tokenize(batches: Iterator[pa.RecordBatch], path: str | None, most: int, en
                     piece = own[at : at + 4 * most]
                     rows.append((doc_id, k, at // 4, len(piece) // 4, piece))
                     size += len(piece)
-                if size > 8 << 20:
+                if size > SLICE_BYTES:
                     yield pa.record_batch(list(map(list, zip(*rows, strict=True))), schema=_PIECES)
                     rows, size = [], 0
             if rows:
