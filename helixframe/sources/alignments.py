@@ -26,7 +26,10 @@ def read_sam(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Data
     f = lambda i: F.get("f", F.lit(i))
     rows = lines.filter(~F.col("v").startswith("@")).select("ordinal", F.split("v", "\t").alias("f")).filter(F.size("f") >= 11)
     tags = F.transform(F.filter(F.slice("f", F.lit(12), F.greatest(F.size("f") - 11, F.lit(0))), lambda t: t.rlike(r"^[A-Za-z][A-Za-z0-9]:.:")), lambda t: F.struct(F.substr(t, F.lit(1), F.lit(2)).alias("k"), F.struct(F.substr(t, F.lit(4), F.lit(1)).alias("type"), F.substr(t, F.lit(6)).alias("value")).alias("v")))
-    first = F.map_from_entries(F.filter(tags, lambda t: F.array_position(F.transform(tags, lambda u: u["k"]), t["k"]) == F.array_position(tags, t)))
+    # columns of their own that are read several times, so that no expression over them tells them anew for each element
+    rows = rows.withColumn("_tags", tags).withColumn("_keys", F.transform("_tags", lambda t: t["k"]))
+    once = F.filter("_tags", lambda t: F.array_position("_keys", t["k"]) == F.array_position("_tags", t))
+    first = F.map_from_entries(F.when(F.size(F.array_distinct("_keys")) == F.size("_keys"), F.col("_tags")).otherwise(once))
     num = lambda i: f(i).try_cast("bigint")
     aln = rows.select("ordinal", f(0).alias("qname"), num(1).cast("int").alias("flag"), f(2).alias("rname"), (num(3) - 1).alias("pos0"), num(4).cast("int").alias("mapq"), f(5).alias("cigar"), F.when(f(6) == "=", f(2)).otherwise(f(6)).alias("mrnm"), (num(7) - 1).alias("mpos0"), num(8).alias("isize"), f(9).alias("seq"), f(10).alias("qual"), first.alias("aux"))
     aln = aln.withColumn("rg", L.tag_text(F.col("aux"), "RG"))
@@ -56,6 +59,14 @@ BIN_BITS, REACHES = 14, (0, *(1 << k for k in range(16)))
 PUSHED_REGIONS = 256
 
 
+def binned(aln: DataFrame) -> DataFrame:
+    """``aln`` with ``bin14`` and ``reach`` of ``convert_alignments``."""
+    end = F.greatest(F.col("pos0") + L.reference_length_of_text(F.col("cigar")), F.col("pos0") + 1)
+    bins = aln.withColumn("_bins", F.shiftright(end - 1, BIN_BITS) - F.shiftright("pos0", BIN_BITS))
+    reach = F.coalesce(*(F.when(F.col("_bins") <= r, r) for r in REACHES), F.lit(REACHES[-1]))  # read once a class, hence told once a row
+    return bins.withColumns({"bin14": F.shiftright("pos0", BIN_BITS), "reach": reach}).drop("_bins")
+
+
 def convert_alignments(spark: SparkSession, src: str, dst: str, row_group_bytes: int | None = None) -> None:
     """SAM text to columnar files that ``fetch_regions`` reads by region.
 
@@ -63,10 +74,7 @@ def convert_alignments(spark: SparkSession, src: str, dst: str, row_group_bytes:
     beyond that; reads of one reach are in one folder, sorted by place, so row groups have narrow bounds of bins.
     """
     aln, _, _ = read_sam(spark, src)
-    end = F.greatest(L.reference_end(F.col("pos0"), L.parse_cigar(F.col("cigar"))), F.col("pos0") + 1)
-    bins = F.shiftright(end - 1, BIN_BITS) - F.shiftright("pos0", BIN_BITS)
-    reach = F.get(F.filter(F.array(*map(F.lit, REACHES)), lambda r: r >= bins), F.lit(0))
-    rows = aln.withColumns({"bin14": F.shiftright("pos0", BIN_BITS), "reach": F.coalesce(reach, F.lit(REACHES[-1]))})
+    rows = binned(aln)
     order = ["reach", "rname", "bin14", "pos0", "ordinal"]
     writer = rows.repartitionByRange(*order[:3]).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("reach")
     (writer.option("parquet.block.size", row_group_bytes) if row_group_bytes else writer).parquet(dst)

@@ -62,3 +62,15 @@ def test_more_regions_than_are_pushed(spark, tmp_path, monkeypatch):
     want = view_regions(spark.read.parquet(dst), spark.createDataFrame(regions, "chrom string, start0 long, end1 long"))
     got = S.fetch_regions(spark, dst, regions)
     assert sorted((r.qname, r.r_start0) for r in got.collect()) == sorted((r.qname, r.r_start0) for r in want.collect())
+
+
+def test_tags_and_bins_are_told_once_a_row(spark, tmp_path):
+    tags = "NM:i:1\tXX:Z:a\tNM:i:2\tbad\tXY:Z:"
+    (tmp_path / "b.sam").write_text(f"r1\t0\tchr1\t16384\t60\t5S1M16384N1M2I1D\t*\t0\t0\tACGT\tIIII\t{tags}\nr2\t0\tchr1\t1\t60\t*\t*\t0\t0\tA\tI\n")
+    aln = S.read_sam(spark, str(tmp_path / "b.sam"))[0]
+    rows = S.binned(aln)
+    r1, r2 = rows.orderBy("qname").collect()
+    assert {k: tuple(v) for k, v in r1.aux.items()} == {"NM": ("i", "1"), "XX": ("Z", "a"), "XY": ("Z", "")} and r2.aux == {}
+    assert (r1.bin14, r1.reach, r2.bin14, r2.reach) == (0, 2, 0, 0)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1 and plan.count("regexp_extract_all") == 1
