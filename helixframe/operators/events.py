@@ -311,16 +311,30 @@ def splice_graph_edges(blocks: DataFrame, junctions: DataFrame) -> DataFrame:
 
 
 def shared_windows(tags: DataFrame, read_length: int) -> DataFrame:
-    """Read-length windows of tags (tag_id, chrom, blocks), each once: (chrom, window, n_tags, tag_id of the first)."""
-    size = F.aggregate("blocks", F.lit(0).cast("long"), lambda a, x: a + x["end1"] - x["start0"])
-    at = tags.withColumn("size", size).filter(F.col("size") >= read_length).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - read_length)))
+    """Read-length windows of tags (tag_id, chrom, blocks), each once: (chrom, window, n_tags, tag_id of the first).
+
+    Equal windows have the same first junction, so tags are dealt by their junctions and cut into windows behind the shuffle.
+    """
+    ends = F.aggregate("blocks", F.array().cast("array<bigint>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(0)) + x["end1"] - x["start0"])))
+    at = tags.withColumn("ends", ends).withColumn("size", F.element_at("ends", -1)).filter((F.size("blocks") > 1) & (F.col("size") >= read_length))
+    at = at.withColumn("j", F.explode(F.sequence(F.lit(0), F.size("blocks") - 2)))
+    left, right, end = F.get("blocks", F.col("j")), F.get("blocks", F.col("j") + 1), F.get("ends", F.col("j"))
+    length = left["end1"] - left["start0"]
+    # the first and the last base of the junction's left block that a window over the junction begins with
+    lo, hi = F.greatest(length - read_length + 1, F.lit(0)), F.least(length - 1, F.col("size") - read_length - end + length)
+    rest = F.slice("blocks", F.col("j") + 1, F.size("blocks") - F.col("j"))
+    rows = at.select("tag_id", "chrom", left["end1"].alias("donor"), right["start0"].alias("acceptor"), length.alias("length"), (length + right["end1"] - right["start0"]).alias("both"), lo.cast("long").alias("lo"), hi.cast("long").alias("hi"), rest.alias("rest"))
+    cut = rows.filter("lo <= hi").repartition("chrom", "donor", "acceptor").withColumn("o", F.explode(F.sequence("lo", "hi")))
     step = lambda acc, x: F.struct(
         (acc["at"] + x["end1"] - x["start0"]).alias("at"),
         F.when((acc["at"] < F.col("o") + read_length) & (acc["at"] + x["end1"] - x["start0"] > F.col("o")), F.concat(acc["w"], F.array(F.struct((x["start0"] + F.greatest(F.col("o") - acc["at"], F.lit(0))).alias("start0"), F.least(x["end1"], x["start0"] + F.col("o") + read_length - acc["at"]).alias("end1"))))).otherwise(acc["w"]).alias("w"),
     )
-    win = F.aggregate("blocks", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EXON).alias("w")), step, lambda a: a["w"])
-    rows = at.select("tag_id", "chrom", win.alias("window")).filter(F.size("window") > 1)
-    return rows.groupBy("chrom", "window").agg(F.countDistinct("tag_id").alias("n_tags"), F.min("tag_id").alias("tag_id"))
+    win = F.aggregate("rest", F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(EXON).alias("w")), step, lambda a: a["w"])
+    # a window that ends in the right block is told by its junction and start
+    own = cut.select("tag_id", "chrom", "donor", "acceptor", (F.col("donor") - F.col("length") + F.col("o")).alias("start0"), F.when(F.col("o") + read_length > F.col("both"), win).alias("longer"))
+    held = own.groupBy("chrom", "donor", "acceptor", "start0", "longer").agg(F.countDistinct("tag_id").alias("n_tags"), F.min("tag_id").alias("tag_id"))
+    two = F.array(F.struct("start0", F.col("donor").alias("end1")), F.struct(F.col("acceptor").alias("start0"), (F.col("acceptor") + read_length - F.col("donor") + F.col("start0")).alias("end1")))
+    return held.select("chrom", F.coalesce("longer", two.cast(EXON)).alias("window"), "n_tags", "tag_id")
 
 
 def is_cobound(exc: Column, inc: Column) -> Column:

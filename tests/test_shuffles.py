@@ -29,3 +29,33 @@ def test_tags_alone_on_their_junction_are_not_cut_into_windows(spark):
     assert got[:3] == [("+", 20, 1, ((0, 10), (20, 30)), 1, 13, 1), ("+", 40, 1, ((5, 10), (40, 50)), 2, 8, 2), ("+", 40, 2, ((0, 10), (40, 42)), 1, 5, 1)]
     plan = out._jdf.queryExecution().optimizedPlan()
     assert plan.nodeName() == "Union" and "Generate" not in plan.children().head().toString()
+
+
+def test_tags_are_shuffled_before_they_are_cut_into_windows(spark):
+    import random
+    import re
+
+    from helixframe.operators import events as E
+
+    rng, rows = random.Random(3), []
+    for _ in range(200):
+        at, blocks = rng.randrange(5), []
+        for _ in range(rng.randrange(1, 6)):
+            blocks.append((at, at + rng.choice([0, 1, 2, 3, 5, 9])))
+            at = blocks[-1][1] + rng.choice([0, 1, 5])
+        rows.append((rng.randrange(150), f"c{rng.randrange(2)}", blocks))
+    want = {}
+    for tag, chrom, blocks in rows:
+        bases = [p for a, z in blocks for p in range(a, z)]
+        spans, here = [], 0
+        for a, z in blocks:
+            spans.append((here, here + z - a, a))
+            here += z - a
+        for o in range(len(bases) - 4):
+            window = tuple((a + max(o - s, 0), min(a + e - s, a + o + 5 - s)) for s, e, a in spans if s < o + 5 and e > o)
+            if len(window) > 1:
+                want.setdefault((chrom, window), set()).add(tag)
+    df = E.shared_windows(spark.createDataFrame(rows, "tag_id long, chrom string, blocks array<struct<start0:bigint,end1:bigint>>"), 5)
+    assert {(r.chrom, tuple(map(tuple, r.window))): (r.n_tags, r.tag_id) for r in df.collect()} == {k: (len(v), min(v)) for k, v in want.items()}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: [m.start() for m in re.finditer("Generate explode", plan)][0]]
