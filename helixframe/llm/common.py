@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +71,27 @@ def sha256_hex(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
+def release() -> None:
+    """Gives memory that was freed, which Arrow and the C library keep for later, back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
+    if trim:
+        trim(0)
+
+
+def tidy(task: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``task``, a function of batches, whose Python worker gives freed memory back when a task is over: it lives on beside the JVM."""
+
+    @functools.wraps(task)
+    def run(*args, **named) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(*args, **named)
+        finally:
+            release()
+
+    return run
+
+
 _held: dict = {}
 
 
@@ -73,6 +99,7 @@ def held(owner: str, key, make):
     """What a Python worker keeps for later tasks of one operator: ``make()``, once a key. Another operator's goes."""
     if _held.get("owner") != owner:
         _held.clear()
+        release()
         _held.update(owner=owner, made={})
     made = _held["made"]
     if key not in made:

@@ -11,7 +11,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held
+from .common import held, release
 
 DIMENSIONS = 4096
 #: Bounds of the sample that the centroids are fitted on: documents a language, and in all.
@@ -131,7 +131,11 @@ def language_of(text: Column, model: LanguageModel) -> Column:
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
         held("langid", None, dict)
-        names, scores, rejected = model.predict(texts.to_pylist())
+        names, scores, rejected = [], [], []
+        for at in range(0, len(texts), 256):
+            for own, more in zip((names, scores, rejected), model.predict(texts.slice(at, 256).to_pylist()), strict=True):
+                own += more
+        release()
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["lang", "score", "rejected"])
 
     return predict(text)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Crowds, cut, held, id_and_text, mixed, spread_join, stored
+from .common import Crowds, cut, held, id_and_text, mixed, spread_join, stored, tidy
 from .components import connected_components
 
 #: Most edits between longer lines that count as the same.
@@ -108,6 +108,7 @@ def signature(line: str) -> int:
 MARK, OWN, PROBE, LONE = 0, 1, 2, 3
 
 
+@tidy
 def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int, crowd: int) -> Iterator[pa.RecordBatch]:
     """(key, line, sign) of texts: each line's own segments, and its probes for others; line is its 64-bit hash.
 
@@ -162,6 +163,7 @@ def _keys(batches: Iterator[pa.RecordBatch], edits: int, least: int, crowd: int)
             yield made(keys, lines, signs, times)
 
 
+@tidy
 def _candidates(batches: Iterator[pa.RecordBatch], edits: int, hot: int = HOT) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) of lines that share a key, at least one by a segment of its own, with near signatures. Rows come sorted by key and line.
 
@@ -325,12 +327,14 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         near = [i for i, (x, y) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)) if edit_distance(x, y, edits) <= edits]
         yield b.select([0, 1]).take(pa.array(near, pa.int64()))
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch], edits: int) -> Iterator[pa.RecordBatch]:
     """Links (a, b) that connect all lines (pack, own, id, line) of each pack that are near. Rows come sorted by pack, own ones first.
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, cut, held, mixed, spread_join, stored
+from .common import BROADCAST_ROWS, cut, held, mixed, spread_join, stored, tidy
 
 WORDS, SIMILARITY = 5, 0.8
 #: Bands, rows of each, and representatives of a band's bucket: texts alike to 0.8 share a bucket with a chance of 0.998.
@@ -69,6 +69,7 @@ def set_key(own: np.ndarray) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+@tidy
 def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashes = held("near_copies", None, _Hashes)
     for b in batches:
@@ -84,6 +85,7 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(keys, pa.int64()), lists], names=["node", "key", "bands"])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     hashes = held("near_copies", None, _Hashes)
     for b in batches:
@@ -100,6 +102,7 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return both >= similarity * (len(a) + len(b) - both) - 1e-9
 
 
+@tidy
 def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of sets with their representative, which comes first of each group (lead, deal)."""
     group, lead = None, np.empty(0, np.uint32)
@@ -114,6 +117,7 @@ def _verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
+@tidy
 def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """Links of the sets of each two blocks (band, lo, hi) that aren't connected yet. Rows come sorted, those of the first block (side 0) first.
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, held, id_and_text
+from .common import cut, held, id_and_text, tidy
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -119,6 +119,7 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield batch.slice(a, b - a)
 
 
+@tidy
 def _tokenize(batches: Iterator[pa.RecordBatch], path: str | None, most: int, end_id: int) -> Iterator[pa.RecordBatch]:
     tokenizer, end = held("packing", path, partial(ChunkTokenizer, path)), np.asarray([end_id], "<u4").tobytes()
     for batch in batches:
@@ -183,6 +184,7 @@ def pack_block(demands: np.ndarray, capacities: np.ndarray, weights: np.ndarray,
     return bins, offsets
 
 
+@tidy
 def _pack(batches: Iterator[pa.RecordBatch], capacities, weights, rule: str, block_rows: int) -> Iterator[pa.RecordBatch]:
     base, capacities, weights = TaskContext.get().partitionId() << 40, np.asarray(capacities, float), np.asarray(weights, float)
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Crowds, cut, held, mixed, row_key, spread_join, without
+from .common import Crowds, cut, held, mixed, release, row_key, spread_join, without
 from .components import connected_components
 from .near_copies import SIMILARITY, near_copy_links
 
@@ -52,7 +52,9 @@ def fingerprint_of(text: Column, width: int = SHINGLE_WORDS) -> Column:
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
         held("simhash", None, dict)
-        return pa.array(np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts)).view(np.int64))
+        found = np.fromiter((fingerprint(x.as_py(), width) for x in texts), np.uint64, len(texts)).view(np.int64)
+        release()
+        return pa.array(found)
 
     return prints(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
