@@ -63,9 +63,9 @@ def junctions(occ: DataFrame) -> DataFrame:
     return edges.join(into, ["chrom", "next_start0", "next_end1"])
 
 
-def gene_junctions(occ: DataFrame) -> DataFrame:
-    """Distinct junctions of each gene."""
-    w = Window.partitionBy("tx_id").orderBy("start0", "end1")
+def gene_junctions(occ: DataFrame, transcript: list[str] | None = None) -> DataFrame:
+    """Distinct junctions of each gene; ``transcript`` has the columns that name a transcript, tx_id unless given."""
+    w = Window.partitionBy(*(transcript or ["tx_id"])).orderBy("start0", "end1")
     rows = occ.withColumns({"next_start0": F.lead("start0").over(w), "next_end1": F.lead("end1").over(w)}).filter("next_start0 is not null")
     return rows.select("gene_id", "chrom", "strand", "start0", "end1", "next_start0", "next_end1").distinct()
 

@@ -26,12 +26,15 @@ def bound_groups(locus_exon: DataFrame, terminal: bool = False, junctions: DataF
     of ends one right group. With ``terminal``, exons without a junction into or out of them are in group 0 on that side.
     """
     w = Window.partitionBy("locus").orderBy("pos", "kind")
-    marks = locus_exon.select("locus", F.explode(F.array(F.struct(F.col("start0").alias("pos"), F.lit(1).alias("kind")), F.struct(F.col("end1").alias("pos"), F.lit(0).alias("kind")))).alias("m")).select("locus", "m.pos", "m.kind").distinct()
+    ends = F.array(F.struct(F.col("start0").alias("pos"), F.lit(1).alias("kind")), F.struct(F.col("end1").alias("pos"), F.lit(0).alias("kind")))
+    marks = locus_exon.dropna(subset=["locus", "start0", "end1"]).select("*", F.inline(ends))
     changed = marks.withColumn("new", F.when(F.coalesce(F.lag("kind").over(w), F.lit(-1)) != F.col("kind"), 1).otherwise(0))
-    num = changed.withColumns({"lg": F.sum(F.when(F.col("kind") == 1, F.col("new")).otherwise(0)).over(w), "rg": F.sum(F.when(F.col("kind") == 0, F.col("new")).otherwise(0)).over(w)})
-    left = num.filter("kind = 1").select("locus", F.col("pos").alias("start0"), F.col("lg").alias("left_group"))
-    right = num.filter("kind = 0").select("locus", F.col("pos").alias("end1"), F.col("rg").alias("right_group"))
-    out = locus_exon.join(left, ["locus", "start0"]).join(right, ["locus", "end1"])
+    # of equal boundaries the first alone can be new, so all of them have one number
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("new")).otherwise(0)).over(so_far)
+    num = changed.withColumns({"lg": of(1), "rg": of(0)})
+    group = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    out = num.groupBy(*locus_exon.columns).agg(group(1, "lg").alias("left_group"), group(0, "rg").alias("right_group"))
     if terminal:
         into = junctions.select("locus", F.col("next_start0").alias("start0"), F.col("next_end1").alias("end1"), F.lit(True).alias("_in")).distinct()
         away = junctions.select("locus", "start0", "end1", F.lit(True).alias("_out")).distinct()
@@ -40,6 +43,36 @@ def bound_groups(locus_exon: DataFrame, terminal: bool = False, junctions: DataF
     return out
 
 
+def grouped_junctions(junctions: DataFrame, groups: DataFrame, jnx_counts: DataFrame | None = None) -> DataFrame:
+    """Distinct junctions (locus, chrom, strand, src, dst, ends): the groups that they lead from and to, and both exons as an array.
+
+    ``src`` is the left exon's right group and ``dst`` the right exon's left one. Where ``groups`` have n_reads and n_positions,
+    exons have these too, and the left one those of its junction in ``jnx_counts`` (as in ``quantify``) as jnx_reads and jnx_positions.
+    """
+    counted = jnx_counts is not None
+    counts = ["n_reads", "n_positions"] if counted else []
+    exons = lambda s, e, group, n: groups.select("locus", F.col("start0").alias(s), F.col("end1").alias(e), F.col(group).alias(n), *(F.col(c).alias(f"_{s}_{c}") for c in counts))
+    j = junctions.select(*LOCUS, "start0", "end1", "next_start0", "next_end1").distinct()
+    j = j.join(exons("start0", "end1", "right_group", "src"), ["locus", "start0", "end1"])
+    if counted:
+        j = j.join(jnx_counts.select("locus", "end1", "next_start0", F.col("n_reads").alias("jnx_reads"), F.col("n_positions").alias("jnx_positions")), ["locus", "end1", "next_start0"], "left")
+    j = j.join(exons("next_start0", "next_end1", "left_group", "dst"), ["locus", "next_start0", "next_end1"])
+    own = lambda s, e, jnx: F.struct(F.col(s).cast("long").alias("start0"), F.col(e).cast("long").alias("end1"), *(F.col(f"_{s}_{c}").cast("long").alias(c) for c in counts), *((F.col(c) if jnx else F.lit(None)).cast("long").alias(c) for c in ("jnx_reads", "jnx_positions") if counted))
+    return j.select(*LOCUS, "src", "dst", F.array(own("start0", "end1", True), own("next_start0", "next_end1", False)).alias("ends"))
+
+
+def grouped_paths(grouped: DataFrame, max_steps: int) -> DataFrame:
+    """``splice_paths`` of ``grouped_junctions``, with the groups that a path leads from (src) and to (dst)."""
+    path = grouped.select(*LOCUS, "src", "dst", F.lit(1).alias("steps"), F.col("ends").alias("exons"))
+    edge = grouped.select(F.col("locus").alias("_l"), F.col("ends")[0]["start0"].alias("_s"), F.col("ends")[0]["end1"].alias("_e"), F.col("dst").alias("_dst"), F.col("ends").alias("_ends"))
+    last, out = F.element_at("exons", -1), path
+    for k in range(2, max_steps + 1):
+        on = (F.col("locus") == F.col("_l")) & (last["start0"] == F.col("_s")) & (last["end1"] == F.col("_e"))
+        path = path.join(edge, on).select(*LOCUS, "src", F.col("_dst").alias("dst"), F.lit(k).alias("steps"), F.concat(F.slice("exons", F.lit(1), F.size("exons") - 1), "_ends").alias("exons"))
+        out = out.unionByName(path)
+    return out
+
+
 def splice_paths(junctions: DataFrame, max_steps: int) -> DataFrame:
     """All paths (locus, chrom, strand, steps, exons) of 1 to ``max_steps`` junctions; exons in genomic order."""
     j = junctions.select(*LOCUS, exon_struct().alias("a"), exon_struct("next_start0", "next_end1").alias("b")).distinct()
@@ -56,18 +89,21 @@ def _overlap(a: Column, b: Column) -> Column:
     return (a["start0"] < b["end1"]) & (b["start0"] < a["end1"])
 
 
-def aep_events(paths: DataFrame, groups: DataFrame, a: tuple[int, int] = (1, 1), b: tuple[int, int] = (2, 2)) -> DataFrame:
+def aep_events(paths: DataFrame, groups: DataFrame | None, a: tuple[int, int] = (1, 1), b: tuple[int, int] = (2, 2)) -> DataFrame:
     """Pairs of paths: ``exc`` of a[0]..a[1] steps and ``inc`` of b[0]..b[1] steps (arrays of exons).
 
     Both start in one right group and end in one left group of the locus, their flanks overlap, and no middle exon of one
     overlaps one of the other. (1,1),(2,2) are skipped exons, (2,2),(2,2) mutually exclusive ones. Of equally long paths
-    inclusion is the one whose second exon comes first in the transcript.
+    inclusion is the one whose second exon comes first in the transcript. ``grouped_paths`` have their groups, others get them
+    from ``groups``.
     """
     if not 1 <= a[0] <= a[1] <= b[0] <= b[1] or b[1] < 2:
         raise ValueError("steps have to satisfy 1 <= a0 <= a1 <= b0 <= b1 and b1 >= 2")
-    right = groups.select("locus", exon_struct().alias("_first"), F.col("right_group").alias("src"))
-    left = groups.select("locus", exon_struct().alias("_last"), F.col("left_group").alias("dst"))
-    tagged = paths.withColumns({"_first": F.element_at("exons", 1), "_last": F.element_at("exons", -1)}).join(right, ["locus", "_first"]).join(left, ["locus", "_last"])
+    tagged = paths
+    if groups is not None:
+        right = groups.select("locus", exon_struct().alias("_first"), F.col("right_group").alias("src"))
+        left = groups.select("locus", exon_struct().alias("_last"), F.col("left_group").alias("dst"))
+        tagged = paths.withColumns({"_first": F.element_at("exons", 1), "_last": F.element_at("exons", -1)}).join(right, ["locus", "_first"]).join(left, ["locus", "_last"])
     m = tagged.filter(F.col("steps").between(*a)).select(*LOCUS, "src", "dst", F.col("exons").alias("m"))
     n = tagged.filter(F.col("steps").between(*b)).select("locus", "src", "dst", F.col("exons").alias("n"))
     mid = lambda c: F.slice(c, 2, F.size(c) - 2)
@@ -245,7 +281,33 @@ def quantify(events: DataFrame, exon_counts: DataFrame, jnx_counts: DataFrame) -
         n("exc", "n_reads", F.col("flank")).alias("flank_reads"), *each, *checks,
         F.min(F.when(F.col("jnx"), (F.coalesce("n_reads", F.lit(0)) > 0).cast("int"))).alias("jrf"), F.min(F.when(F.col("jnx"), (F.coalesce("n_positions", F.lit(0)) > 0).cast("int"))).alias("jpf"),
     )
-    out = events.join(g, "event_id").withColumn("exc_plus", F.col("exc_reads") + F.when(F.size("exc") == 2, F.col("flank_reads")).otherwise(0))
+    return _ratios(events.join(g, "event_id"))
+
+
+def quantify_carried(events: DataFrame) -> DataFrame:
+    """``quantify`` of events whose exons carry their counts (``grouped_junctions``): nothing is joined; exc and inc are left with their bounds alone."""
+    flanks = lambda p: F.array(F.element_at(p, 1), F.element_at(p, -1))
+    mids = lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0)))
+    hops = lambda p: F.slice(p, F.lit(1), F.size(p) - 1)
+    total = lambda xs, c: F.aggregate(xs, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x[c], F.lit(0)))
+    seen = lambda xs, c: F.forall(xs, lambda x: F.coalesce(x[c], F.lit(0)) > 0).cast("int")
+    told = lambda xs, c: F.array_join(F.transform(xs, lambda x: F.coalesce(x[c], F.lit(0)).cast("string")), ",")
+    cols = {}
+    for side in ("inc", "exc"):
+        p = F.col(side)
+        for what in ("reads", "positions"):
+            for part, xs, c in (("flank", flanks(p), f"n_{what}"), ("jnx", hops(p), f"jnx_{what}"), ("mid", mids(p), f"n_{what}")):
+                cols[f"{side}_{part}_{what}"] = total(xs, c)
+        cols |= {f"{side}_jr": told(hops(p), "jnx_reads"), f"{side}_jp": told(hops(p), "jnx_positions"), f"{side}_jrf": seen(hops(p), "jnx_reads"), f"{side}_jpf": seen(hops(p), "jnx_positions")}
+    bounds = {p: F.transform(p, lambda x: F.struct(x["start0"].alias("start0"), x["end1"].alias("end1"))) for p in ("exc", "inc")}
+    own = {f"{side}_{what}": F.col(f"{side}_jnx_{what}") + F.col(f"{side}_mid_{what}") for side in ("inc", "exc") for what in ("reads", "positions")}
+    out = events.withColumns(cols).withColumns(bounds | own | {"flank_reads": F.col("exc_flank_reads"), "jrf": F.least("inc_jrf", "exc_jrf"), "jpf": F.least("inc_jpf", "exc_jpf")})
+    return _ratios(out)
+
+
+def _ratios(out: DataFrame) -> DataFrame:
+    """Counted events with exc_plus, IR, densities and Psi."""
+    out = out.withColumn("exc_plus", F.col("exc_reads") + F.when(F.size("exc") == 2, F.col("flank_reads")).otherwise(0))
     di, de = F.try_divide("inc_reads", "inc_positions"), F.try_divide("exc_reads", "exc_positions")
     return out.withColumns({"ir": F.try_divide(F.col("inc_reads"), F.col("inc_reads") + F.col("exc_plus")), "inc_density": di, "exc_density": de, "psi": F.try_divide(di, di + de)})
 
@@ -358,6 +420,11 @@ def _identity(events: DataFrame, event_type: Column, locus_name: Column, link_pr
     ]
 
 
+def identity_table(events: DataFrame, event_type: Column, locus_name: Column, link_prefix: str = "", link_suffix: str = "") -> DataFrame:
+    """Events, counted or not, as the twelve columns that ``count_table`` begins with."""
+    return events.select(*_identity(events, event_type, locus_name, link_prefix, link_suffix))
+
+
 def count_table(events: DataFrame, event_type: Column, locus_name: Column, link_prefix: str = "", link_suffix: str = "") -> DataFrame:
     """Quantified events as the 43 columns of the text table: identity, places, link, counts of each path and ratios.
 

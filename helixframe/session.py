@@ -45,6 +45,13 @@ def scratch(spark, name: str) -> str:
     return f"{shared_folder(spark)}/helix-{name}-{uuid.uuid4().hex}"
 
 
+def stored(df):
+    """``df`` as a Parquet table in the shared folder, for tables that are read more than once."""
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _shipped: set[str] = set()
 
 
