@@ -61,8 +61,7 @@ def expression(occ: DataFrame, reads: DataFrame, ratio: float = 0.5, read_length
 @program
 def call_variants(aln: DataFrame, sequences: DataFrame, model: str = "soap", **filters) -> DataFrame:
     """VCF columns of the SNPs and the realigned indels of alignments that pass the variant filter."""
-    el = V.site_elements(aln)
-    snps = V.call_snps(V.consensus(V.genotype_likelihoods(el, model)), sequences)
+    snps = V.call_snps(V.consensus(V.read_likelihoods(aln, model)), sequences)
     none = {"a1": F.lit("*"), "a2": F.lit("*"), "cnt1": F.lit(0).cast("long"), "cnt2": F.lit(0).cast("long")}
     cols = ["chrom", "pos1", "ref", "cons", "cons_q", "snp_q", "rms_mapq", "depth", *none]
     both = snps.withColumns(none).select(*cols).unionByName(realigned_indels(aln, sequences).select(*cols))
