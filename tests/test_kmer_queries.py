@@ -1,5 +1,11 @@
 """Queries on k-mers do their whole job."""
 
+import random
+
+import pyarrow as pa
+import pytest
+
+from helixframe.operators import packed_kmers as P
 from helixframe.plans import registry
 
 SF = "/root/testdata/sf0.001"
@@ -11,3 +17,30 @@ def test_all_kmers_are_sorted(spark):
     assert rows.count() == q["m01_kmer_rows"](spark, SF).count() == sum(r.n for r in q["m01_kmers"](spark, SF).collect())
     assert {r.c for r in rows.selectExpr("left(kmer, 1) AS c").distinct().collect()} >= set("ACGT")
     assert all("LIKE" not in registry.oracle_sql()[name] for name in ("t04_sort_kmers", "t04_sort_kmers_whole"))
+
+
+def test_chunks_are_shuffled_once_and_kmers_dealt_packed(spark):
+    """The bases that follow a chunk come with it, not by a join with all chunks; counts deal different k-mers packed."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lambda name: registry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan("m01_kmer_rows").count("Exchange hashpartitioning") == 1 and "Join" not in plan("m01_kmer_rows")
+        counts = plan("m01_kmers")
+        assert counts.count("Exchange hashpartitioning") == 2 and "Exchange hashpartitioning(bucket" in counts and "Join" not in counts
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("k", [1, 4, 16, 30])
+def test_counts_however_few_kmers_are_held(k, monkeypatch):
+    rng = random.Random(k)
+    seqs = ["".join(rng.choice("ACGTN" if rng.random() < 0.05 else "AC") for _ in range(n)) for n in (0, 3, 40, 90, 200, 31)] * 2
+    want = {s[i : i + k] for s in seqs for i in range(len(s) - k + 1)}
+    rows = pa.RecordBatch.from_arrays([pa.array(["c"] * len(seqs)), pa.array([100 * i for i in range(len(seqs))]), pa.array([s.encode() for s in seqs])], names=["contig", "start", "seq"])
+    for held in ({}, {"BASES": 50, "PENDING": 8, "HELD": 30}):
+        for name, value in held.items():
+            monkeypatch.setattr(P, name, value)
+        dealt = sorted((r for b in P._dealt_different(iter([rows]), k) for r in b.to_pylist()), key=lambda r: r["bucket"])
+        (got,) = [r for b in P._counted(iter([pa.RecordBatch.from_pylist(dealt)]), k) for r in b.to_pylist()]
+        n = sum(max(0, len(s) - k + 1) for s in seqs)
+        assert got == {"n": n, "n_distinct": len(want), "pos_sum": sum(100 * j + i + 1 for j, s in enumerate(seqs) for i in range(len(s) - k + 1))}
