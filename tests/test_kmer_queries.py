@@ -44,3 +44,24 @@ def test_counts_however_few_kmers_are_held(k, monkeypatch):
         (got,) = [r for b in P._counted(iter([pa.RecordBatch.from_pylist(dealt)]), k) for r in b.to_pylist()]
         n = sum(max(0, len(s) - k + 1) for s in seqs)
         assert got == {"n": n, "n_distinct": len(want), "pos_sum": sum(100 * j + i + 1 for j, s in enumerate(seqs) for i in range(len(s) - k + 1))}
+
+
+@pytest.mark.parametrize("k", [1, 3, 16, 30])
+def test_kmers_are_in_order_over_all_ranges(spark, k, monkeypatch):
+    """Ranges that end inside equal k-mers, and stretches in several folds."""
+    monkeypatch.setattr(P, "SAMPLED", 8)
+    monkeypatch.setattr(P, "FILLED", 3)
+    rng = random.Random(k)
+    seqs = {f"c{i}": "".join(rng.choice("ACGTN" if rng.random() < 0.1 else "A") for _ in range(rng.choice([0, 3, 40, 90]))) for i in range(20)}
+    chunk = 40
+    df = spark.createDataFrame([(c, i, s[chunk * i : chunk * i + chunk]) for c, s in seqs.items() for i in range(max(1, -(-len(s) // chunk)))], "contig string, chunk int, seq string").repartition(5)
+    flip = str.maketrans("ACGT", "TGCA")
+    want = sorted((x, c, i + 1, strand) for c, s in seqs.items() for i in range(len(s) - k + 1) for x, strand in ((s[i : i + k], "+"), (s[i : i + k].translate(flip)[::-1], "-")))
+    got = P.ordered_kmer_rows(df, k, chunk)
+    assert [(r.kmer, r.contig, r.pos1, r.strand) for r in got.collect()] == want
+    assert got.rdd.getNumPartitions() > 10
+
+
+def test_kmers_are_dealt_packed_to_be_sorted(spark):
+    plan = registry.queries()["t04_sort_kmers"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange rangepartitioning" not in plan
