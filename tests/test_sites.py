@@ -72,3 +72,14 @@ def test_tied_reads_are_in_the_order_of_their_places(spark):
     tied = spark.createDataFrame(rows, READS).withColumn("place", 100 - R.F.col("mapq"))
     assert [r.mapqs for r in R.pileup(tied, columns=("mapqs",)).collect()] == [".-,"] * 2
     assert [r.mapqs for r in R.pileup(tied.drop("place"), columns=("mapqs",)).collect()] == [",-."] * 2
+
+
+def test_batches_are_laid_out_in_slices():
+    """However long reads are, a slice has a bounded number of positions."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], names=["x"])
+    for each in (36, S.SIZE):
+        laid, seen = [0], []
+        for b in S._steps(iter([batch, batch]), laid):
+            laid[0] = each * b.num_rows
+            seen.append(b.num_rows)
+        assert sum(seen) == 20_000 and max(seen) * each <= 2 * S.STEP
